@@ -1,0 +1 @@
+"""Flagship query (entry): placeholder until the slice is complete."""
