@@ -76,7 +76,7 @@ def _clean80(text: Column) -> Column:
 def response_fields(d: DataFrame) -> DataFrame:
     """Expected field values for a documents frame (doc_id, text, lang, source)."""
     return d.select(
-        "doc_id",
+        "doc_id", "source",
         _clean80(F.col("text")).alias("problem_statement"),
         F.concat(F.lit("Outcome for "), F.col("source")).alias("desired_outcome"),
         F.array(F.concat(F.lit("pain "), F.col("lang")),
@@ -246,8 +246,8 @@ def fx_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         st.alias("started_at"),
         F.timestamp_micros(F.unix_micros(st) + F.round(value * F.col("s.w") * 1000).cast("long"))
         .alias("completed_at"),
-        ((F.col("tokens_input") * F.col("s.w")) // 100).alias("tokens_input"),
-        ((F.col("tokens_output") * F.col("s.w")) // 100).alias("tokens_output"),
+        F.floor(F.col("tokens_input") * F.col("s.w") / 100).cast("long").alias("tokens_input"),
+        F.floor(F.col("tokens_output") * F.col("s.w") / 100).cast("long").alias("tokens_output"),
         (value * F.col("s.w") / 1000000.0).alias("cost_usd"),
     )
 
