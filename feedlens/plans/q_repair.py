@@ -123,10 +123,8 @@ def _blank_any(arr: str) -> str:
     return f"len(list_filter({arr}, lambda x: x IS NULL OR {Q.strip('x')} = '')) > 0"
 
 
-@query("conform_extract", f"""
-SELECT run_id, len(v) = 0 AS valid, array_to_string(v, ',') AS violations,
-       array_to_string(list_transform(pain_points, lambda x: {Q.strip('x')}), '|') AS pain_points
-FROM (SELECT run_id, pain_points, list_filter([
+EXTRACT_CONFORMED = f"""
+SELECT *, len(v) = 0 AS valid FROM (SELECT *, list_filter([
   CASE WHEN problem_statement IS NULL THEN 'problem_statement_required' END,
   CASE WHEN desired_outcome IS NULL THEN 'desired_outcome_required' END,
   CASE WHEN len(pain_points) < 1 THEN 'pain_points_min_items' END,
@@ -134,32 +132,44 @@ FROM (SELECT run_id, pain_points, list_filter([
   CASE WHEN len(value_drivers) < 1 THEN 'value_drivers_min_items' END,
   CASE WHEN {_blank_any('value_drivers')} THEN 'value_drivers_blank_item' END,
   CASE WHEN NOT (confidence_score >= 0 AND confidence_score <= 1) THEN 'confidence_score_range' END],
-  lambda x: x IS NOT NULL) AS v FROM ({EXTRACT_REPAIRED}))""")
+  lambda x: x IS NOT NULL) AS v FROM ({EXTRACT_REPAIRED}))"""
+
+
+@query("conform_extract", f"""
+SELECT run_id, valid, array_to_string(v, ',') AS violations,
+       array_to_string(list_transform(pain_points, lambda x: {Q.strip('x')}), '|') AS pain_points
+FROM ({EXTRACT_CONFORMED})""")
 def conform_extract(spark, sf):
     c = RP.conform_extract(repaired_extract(spark, sf))
     return c.select("run_id", "valid", F.array_join("violations", ",").alias("violations"),
                     _j("pain_points").alias("pain_points"))
 
 
-@query("conform_self_check", f"""
-SELECT run_id, len(v) = 0 AS valid, array_to_string(v, ',') AS violations
-FROM (SELECT run_id, list_filter([
+SELF_CHECK_CONFORMED = f"""
+SELECT *, len(v) = 0 AS valid FROM (SELECT *, list_filter([
   CASE WHEN NOT (overall_accuracy >= 0 AND overall_accuracy <= 1) THEN 'overall_accuracy_range' END,
   CASE WHEN NOT (hallucination_risk >= 0 AND hallucination_risk <= 1) THEN 'hallucination_risk_range' END],
-  lambda x: x IS NOT NULL) AS v FROM ({SELF_CHECK_REPAIRED}))""")
+  lambda x: x IS NOT NULL) AS v FROM ({SELF_CHECK_REPAIRED}))"""
+
+
+@query("conform_self_check", f"""
+SELECT run_id, valid, array_to_string(v, ',') AS violations FROM ({SELF_CHECK_CONFORMED})""")
 def conform_self_check(spark, sf):
     c = RP.conform_self_check(repaired_self_check(spark, sf))
     return c.select("run_id", "valid", F.array_join("violations", ",").alias("violations"))
 
 
-@query("conform_value_prop", f"""
-SELECT run_id, len(v) = 0 AS valid, array_to_string(v, ',') AS violations
-FROM (SELECT run_id, list_filter([
+VALUE_PROP_CONFORMED = f"""
+SELECT *, len(v) = 0 AS valid FROM (SELECT *, list_filter([
   CASE WHEN length(headline) > 200 THEN 'headline_max_length' END,
   CASE WHEN len(key_talking_points) < 3 THEN 'key_talking_points_min_items' END,
   CASE WHEN len(key_talking_points) > 5 THEN 'key_talking_points_max_items' END,
   CASE WHEN persona NOT IN ('executive','technical','business_user','procurement') THEN 'persona_enum' END],
-  lambda x: x IS NOT NULL) AS v FROM ({VALUE_PROP_REPAIRED}))""")
+  lambda x: x IS NOT NULL) AS v FROM ({VALUE_PROP_REPAIRED}))"""
+
+
+@query("conform_value_prop", f"""
+SELECT run_id, valid, array_to_string(v, ',') AS violations FROM ({VALUE_PROP_CONFORMED})""")
 def conform_value_prop(spark, sf):
     c = RP.conform_value_prop(repaired_value_prop(spark, sf))
     return c.select("run_id", "valid", F.array_join("violations", ",").alias("violations"))

@@ -1 +1,130 @@
-"""(filled in below)"""
+"""Queries for the gate (G1–G4), assembly (W1, W2), totals (W3–W6) and flat export."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import repair as RP
+from ..operators import results as W
+from ..sources import fixtures as FX
+from .catalog import query
+from .q_repair import (EXTRACT_CONFORMED, SELF_CHECK_CONFORMED, SELF_CHECK_REPAIRED, VALUE_PROP_CONFORMED,
+                       repaired_extract, repaired_self_check, repaired_value_prop)
+
+
+@query("gate_approved", f"SELECT run_id, overall_accuracy FROM ({SELF_CHECK_REPAIRED}) WHERE approved")
+def gate_approved(spark, sf):
+    return W.gate_approved(repaired_self_check(spark, sf)).select("run_id", "overall_accuracy")
+
+
+@query("gate_threshold", f"""
+SELECT run_id, overall_accuracy > 0.7 AND hallucination_risk < 0.3 AS threshold_pass FROM ({SELF_CHECK_REPAIRED})""")
+def gate_threshold(spark, sf):
+    return repaired_self_check(spark, sf).select("run_id", W.threshold_pass().alias("threshold_pass"))
+
+
+@query("gate_disagree", f"""
+SELECT run_id, approved, threshold_pass FROM (
+  SELECT run_id, approved, overall_accuracy > 0.7 AND hallucination_risk < 0.3 AS threshold_pass
+  FROM ({SELF_CHECK_REPAIRED})) WHERE approved <> threshold_pass""")
+def gate_disagree(spark, sf):
+    return W.gate_disagree(repaired_self_check(spark, sf)).select("run_id", "approved", "threshold_pass")
+
+
+@query("claim_support", """
+SELECT run_id, CASE WHEN n_claims = -1 THEN 0 ELSE n_claims END AS n_claims,
+       CASE WHEN n_claims <= 0 THEN NULL ELSE n_supported END AS n_supported,
+       CASE WHEN n_claims <= 0 THEN NULL ELSE CAST(n_supported AS DOUBLE) / n_claims END AS support_rate
+FROM fx_self_check""")
+def claim_support(spark, sf):
+    c = W.claim_support(repaired_self_check(spark, sf))
+    return c.select("run_id", "n_claims", F.col("n_supported").cast("long").alias("n_supported"), "support_rate")
+
+
+def _outcome(spark, sf, strict=False):
+    e = RP.conform_extract(repaired_extract(spark, sf))
+    s = RP.conform_self_check(repaired_self_check(spark, sf))
+    v = RP.conform_value_prop(repaired_value_prop(spark, sf))
+    return W.outcome(e, s, v, strict_placeholders=strict)
+
+
+OUTCOME_SQL = f"""
+SELECT e.run_id,
+  CASE WHEN NOT e.valid THEN 'extract: ' || array_to_string(e.v, ',')
+       WHEN NOT s.valid THEN 'self_check: ' || array_to_string(s.v, ',')
+       WHEN NOT s.approved THEN 'Self-check failed: ' || s.rejection_reason
+       WHEN NOT vp.valid THEN 'rewrite: ' || array_to_string(vp.v, ',') END AS error,
+  e.valid AS e_ok, e.valid AND s.valid AS s_ok,
+  e.problem_statement, s.overall_accuracy, s.hallucination_risk, vp.headline, vp.persona
+FROM ({EXTRACT_CONFORMED}) e LEFT JOIN ({SELF_CHECK_CONFORMED}) s ON e.run_id = s.run_id
+LEFT JOIN ({VALUE_PROP_CONFORMED}) vp ON e.run_id = vp.run_id"""
+
+
+@query("assemble_result", f"""
+SELECT run_id, TRUE AS success, headline, problem_statement, overall_accuracy, persona
+FROM ({OUTCOME_SQL}) WHERE error IS NULL""")
+def assemble_result(spark, sf):
+    o = _outcome(spark, sf).filter("success")
+    return o.select("run_id", "success", F.col("value_proposition.headline").alias("headline"),
+                    F.col("extracted_data.problem_statement").alias("problem_statement"),
+                    F.col("self_check.overall_accuracy").alias("overall_accuracy"),
+                    F.col("value_proposition.persona").alias("persona"))
+
+
+@query("error_result", f"""
+SELECT run_id, FALSE AS success, error, 'Workflow execution failed' AS headline,
+  CASE WHEN e_ok THEN problem_statement ELSE '' END AS problem_statement,
+  CASE WHEN s_ok THEN overall_accuracy ELSE 0.0 END AS overall_accuracy,
+  CASE WHEN s_ok THEN hallucination_risk ELSE 1.0 END AS hallucination_risk
+FROM ({OUTCOME_SQL}) WHERE error IS NOT NULL""")
+def error_result(spark, sf):
+    o = _outcome(spark, sf).filter(~F.col("success"))
+    return o.select("run_id", "success", "error", F.col("value_proposition.headline").alias("headline"),
+                    F.col("extracted_data.problem_statement").alias("problem_statement"),
+                    F.col("self_check.overall_accuracy").alias("overall_accuracy"),
+                    F.col("self_check.hallucination_risk").alias("hallucination_risk"))
+
+
+@query("error_result_strict", f"""
+SELECT run_id, error, '' AS problem_statement, 0.0 AS overall_accuracy, 1.0 AS hallucination_risk
+FROM ({OUTCOME_SQL}) WHERE error IS NOT NULL""")
+def error_result_strict(spark, sf):
+    o = _outcome(spark, sf, strict=True).filter(~F.col("success"))
+    return o.select("run_id", "error", F.col("extracted_data.problem_statement").alias("problem_statement"),
+                    F.col("self_check.overall_accuracy").alias("overall_accuracy"),
+                    F.col("self_check.hallucination_risk").alias("hallucination_risk"))
+
+
+@query("export_flat", f"""
+SELECT run_id, error IS NULL AS success,
+  CASE WHEN error IS NULL THEN headline ELSE 'Workflow execution failed' END AS value_proposition__headline,
+  CASE WHEN e_ok THEN problem_statement ELSE '' END AS extracted_data__problem_statement
+FROM ({OUTCOME_SQL})""")
+def export_flat(spark, sf):
+    f = W.flatten(_outcome(spark, sf))
+    return f.select("run_id", "success", "value_proposition__headline", "extracted_data__problem_statement")
+
+
+STEP_DUR = "(epoch_us(completed_at) - epoch_us(started_at)) // 1000"
+
+
+@query("step_duration", f"SELECT run_id, step, {STEP_DUR} AS duration_ms FROM fx_steps")
+def step_duration(spark, sf):
+    s = FX.fx_steps(spark, sf)
+    return s.select("run_id", "step", W.step_duration_ms(F.col("started_at"), F.col("completed_at")).alias("duration_ms"))
+
+
+@query("run_totals", f"""
+SELECT run_id, round(sum(cost_usd), 6) AS total_cost_usd, CAST(sum(tokens_input) AS BIGINT) AS total_tokens_input,
+  CAST(sum(tokens_output) AS BIGINT) AS total_tokens_output, CAST(sum({STEP_DUR}) AS BIGINT) AS total_latency_ms,
+  count(*) AS n_steps, CASE WHEN bool_and(status = 'success') THEN 'success' ELSE 'failed' END AS status
+FROM fx_steps GROUP BY run_id""")
+def run_totals(spark, sf):
+    return W.run_totals(FX.fx_steps(spark, sf))
+
+
+@query("cost_by_step", f"""
+SELECT step, round(c, 6) AS cost_usd, round(l, 3) AS avg_latency_ms, round(c / sum(c) OVER (), 6) AS cost_share
+FROM (SELECT step, sum(cost_usd) AS c, avg({STEP_DUR}) AS l FROM fx_steps GROUP BY step)""")
+def cost_by_step(spark, sf):
+    return W.cost_by_step(FX.fx_steps(spark, sf))
