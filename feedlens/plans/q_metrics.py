@@ -1 +1,225 @@
-"""(filled in below)"""
+"""Queries for metrics (MT1–MT10, A7), log windows and alarms."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schemas as S
+from ..operators import metrics as MT
+from ..sources import fixtures as FX
+from .catalog import query
+from .q_repair import SELF_CHECK_REPAIRED, repaired_self_check
+
+
+def bucket_sql(ts: str, seconds: int) -> str:
+    us = seconds * 1_000_000
+    return f"make_timestamp((epoch_us({ts}) // {us}) * {us})"
+
+
+def hist_sql(src: str, labels: list[str], value: str, buckets: list[float], metric: str) -> str:
+    lab = ", ".join(labels)
+    sel = (lab + ", ") if labels else ""
+    aggs = ", ".join(f"CAST(sum(CASE WHEN {value} <= {b!r} THEN 1 ELSE 0 END) AS DOUBLE) AS b{i}"
+                     for i, b in enumerate(buckets))
+    rows = [f"{{'metric': '{metric}_bucket', 'le': '{MT.le_label(b)}', 'value': b{i}}}" for i, b in enumerate(buckets)]
+    rows += [f"{{'metric': '{metric}_bucket', 'le': '+Inf', 'value': cnt}}",
+             f"{{'metric': '{metric}_count', 'le': NULL, 'value': cnt}}",
+             f"{{'metric': '{metric}_sum', 'le': NULL, 'value': round(total, 6)}}"]
+    group = f"GROUP BY {lab}" if labels else ""
+    return f"""
+SELECT r.metric AS metric, {sel}r.le AS le, r.value AS value FROM (
+  SELECT {sel}unnest([{", ".join(rows)}]) AS r FROM (
+    SELECT {sel}{aggs}, CAST(count({value}) AS DOUBLE) AS cnt, sum({value}) AS total FROM {src} {group}))"""
+
+
+def _runs(spark, sf):
+    return FX.fx_runs(spark, sf)
+
+
+def _log(spark, sf):
+    return MT.parse_log(FX.fx_log(spark, sf))
+
+
+@query("scan_log", """
+SELECT event, level, run_id, provider, success, total_cost_usd, total_latency_ms, error, field, ts FROM fx_log""")
+def scan_log(spark, sf):
+    return _log(spark, sf).select("event", "level", "run_id", "provider", "success", "total_cost_usd",
+                                  "total_latency_ms", "error", "field", "ts")
+
+
+@query("m_executions", """
+SELECT provider, model, CASE WHEN success THEN 'success' ELSE 'failure' END AS status, count(*) AS value
+FROM fx_runs GROUP BY ALL""")
+def m_executions(spark, sf):
+    return MT.executions(_runs(spark, sf))
+
+
+@query("m_duration_hist", hist_sql("fx_runs", ["provider", "model"], "duration_s", S.DURATION_BUCKETS,
+                                   "workflow_duration_seconds"))
+def m_duration_hist(spark, sf):
+    return MT.histogram(_runs(spark, sf), ["provider", "model"], "duration_s", S.DURATION_BUCKETS,
+                        "workflow_duration_seconds")
+
+
+@query("m_cost_hist", hist_sql("fx_runs", ["provider", "model"], "cost_usd", S.COST_BUCKETS, "workflow_cost_usd"))
+def m_cost_hist(spark, sf):
+    return MT.histogram(_runs(spark, sf), ["provider", "model"], "cost_usd", S.COST_BUCKETS, "workflow_cost_usd")
+
+
+@query("m_active_runs", f"""
+WITH d AS (SELECT started_at AS t, 1 AS d FROM fx_runs UNION ALL SELECT completed_at, -1 FROM fx_runs),
+b AS (SELECT {bucket_sql('t', 300)} AS bucket, t, d FROM d),
+r AS (SELECT bucket, d, sum(d) OVER (PARTITION BY bucket ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS run FROM b),
+per AS (SELECT bucket, max(run) AS peak_inside, sum(d) AS net FROM r GROUP BY bucket)
+SELECT bucket, CAST(coalesce(sum(net) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+       + peak_inside AS BIGINT) AS peak_active FROM per""")
+def m_active_runs(spark, sf):
+    return MT.active_runs(_runs(spark, sf))
+
+
+@query("m_tokens", """
+SELECT provider, model, 'input' AS type, CAST(sum(tokens_input) AS BIGINT) AS value FROM fx_runs GROUP BY ALL
+UNION ALL
+SELECT provider, model, 'output', CAST(sum(tokens_output) AS BIGINT) FROM fx_runs GROUP BY ALL""")
+def m_tokens(spark, sf):
+    return MT.tokens(_runs(spark, sf))
+
+
+STEP_SECONDS = """(SELECT step, provider, CAST((epoch_us(completed_at) - epoch_us(started_at)) // 1000 AS DOUBLE) / 1000
+  AS duration_s FROM fx_steps)"""
+
+
+@query("m_step_hist", hist_sql(STEP_SECONDS, ["step", "provider"], "duration_s", S.STEP_DURATION_BUCKETS,
+                               "agent_step_duration_seconds"))
+def m_step_hist(spark, sf):
+    s = FX.fx_steps(spark, sf)
+    d = ((F.unix_micros("completed_at") - F.unix_micros("started_at")) / 1000).cast("long").cast("double") / 1000
+    return MT.histogram(s.withColumn("duration_s", d), ["step", "provider"], "duration_s",
+                        S.STEP_DURATION_BUCKETS, "agent_step_duration_seconds")
+
+
+@query("m_step_failures", "SELECT step, provider, count(*) AS value FROM fx_steps WHERE status = 'failed' GROUP BY ALL")
+def m_step_failures(spark, sf):
+    return MT.step_failures(FX.fx_steps(spark, sf))
+
+
+@query("m_risk_hist", hist_sql("fx_runs", [], "risk", S.RISK_BUCKETS, "hallucination_risk_score"))
+def m_risk_hist(spark, sf):
+    return MT.histogram(_runs(spark, sf), [], "risk", S.RISK_BUCKETS, "hallucination_risk_score")
+
+
+@query("m_rejections", f"""
+SELECT rejection_reason AS reason, count(*) AS value FROM ({SELF_CHECK_REPAIRED}) WHERE NOT approved GROUP BY 1""")
+def m_rejections(spark, sf):
+    return MT.rejections(repaired_self_check(spark, sf))
+
+
+@query("m_rollup", """
+SELECT provider, model, status, count(*) AS value, GROUPING(provider, model, status) AS level
+FROM (SELECT provider, model, CASE WHEN success THEN 'success' ELSE 'failure' END AS status FROM fx_runs)
+GROUP BY ROLLUP (provider, model, status)""")
+def m_rollup(spark, sf):
+    return MT.rollup_executions(_runs(spark, sf))
+
+
+@query("metrics_text", """
+SELECT 'workflow_executions_total{provider="' || provider || '",model="' || model || '",status="' || status
+       || '"} ' || printf('%.6f', CAST(n AS DOUBLE)) AS line
+FROM (SELECT provider, model, CASE WHEN success THEN 'success' ELSE 'failure' END AS status, count(*) AS n
+      FROM fx_runs GROUP BY ALL)""")
+def metrics_text(spark, sf):
+    e = MT.executions(_runs(spark, sf)).withColumn("metric", F.lit("workflow_executions_total"))
+    return MT.exposition(e, ["provider", "model", "status"])
+
+
+def _win_sql(where: str, seconds: int, agg: str = "count(*)") -> str:
+    return f"SELECT {bucket_sql('ts', seconds)} AS window_start, {agg} AS n FROM fx_log WHERE {where} GROUP BY 1"
+
+
+@query("log_completed", _win_sql("event = 'workflow_execution_completed'", 300))
+def log_completed(spark, sf):
+    return MT.window_counts(_log(spark, sf).filter(F.col("event") == S.EV_COMPLETED), "5 minutes")
+
+
+@query("log_failed", _win_sql("event = 'workflow_execution_failed'", 300))
+def log_failed(spark, sf):
+    return MT.window_counts(_log(spark, sf).filter(F.col("event") == S.EV_FAILED), "5 minutes")
+
+
+@query("log_cost", _win_sql("event = 'workflow_execution_completed' AND total_cost_usd IS NOT NULL", 300,
+                            "round(sum(total_cost_usd), 6)"))
+def log_cost(spark, sf):
+    l = _log(spark, sf).filter((F.col("event") == S.EV_COMPLETED) & F.col("total_cost_usd").isNotNull())
+    return MT.window_counts(l, "5 minutes", F.col("total_cost_usd"))
+
+
+def _alarm_sql(seconds: int) -> str:
+    c = _win_sql("event = 'workflow_execution_failed'", seconds)
+    return f"""
+SELECT a.window_start, a.n, b.n AS prev_n FROM ({c}) a JOIN ({c}) b
+  ON b.window_start + INTERVAL {seconds} SECOND = a.window_start WHERE a.n > 5 AND b.n > 5"""
+
+
+@query("alarm_errors", _alarm_sql(300))
+def alarm_errors(spark, sf):
+    c = MT.window_counts(_log(spark, sf).filter(F.col("event") == S.EV_FAILED), "5 minutes")
+    return MT.alarm(c, 300)
+
+
+@query("alarm_errors_1h", _alarm_sql(3600))
+def alarm_errors_1h(spark, sf):
+    c = MT.window_counts(_log(spark, sf).filter(F.col("event") == S.EV_FAILED), "1 hour")
+    return MT.alarm(c, 3600)
+
+
+@query("rate_5m", """
+SELECT ws AS window_start, ws + INTERVAL 5 MINUTE AS window_end, count(*) AS n, round(count(*) / 300, 6) AS rate
+FROM (SELECT make_timestamp((epoch_us(ts) // 60000000 - k) * 60000000) AS ws
+      FROM fx_log, (VALUES (0), (1), (2), (3), (4)) AS t(k) WHERE event = 'workflow_execution_completed')
+GROUP BY ws""")
+def rate_5m(spark, sf):
+    return MT.sliding_rate(_log(spark, sf).filter(F.col("event") == S.EV_COMPLETED))
+
+
+@query("latency_pct", """
+SELECT provider, 0.5 AS p, round(quantile_cont(duration_s, 0.5), 6) AS value FROM fx_runs GROUP BY provider
+UNION ALL SELECT provider, 0.95, round(quantile_cont(duration_s, 0.95), 6) FROM fx_runs GROUP BY provider
+UNION ALL SELECT provider, 0.99, round(quantile_cont(duration_s, 0.99), 6) FROM fx_runs GROUP BY provider""")
+def latency_pct(spark, sf):
+    r = MT.exact_percentiles(_runs(spark, sf), ["provider"], "duration_s", [0.5, 0.95, 0.99])
+    return r.select("provider", "p", F.round("value", 6).alias("value"))
+
+
+@query("alert_rules", f"""
+SELECT 'error_rate' AS rule, window_start, round(v, 6) AS value, CAST(0.05 AS DOUBLE) AS threshold FROM (
+  SELECT {bucket_sql('started_at', 300)} AS window_start, avg(CASE WHEN success THEN 0.0 ELSE 1.0 END) AS v
+  FROM fx_runs GROUP BY 1) WHERE v > 0.05
+UNION ALL
+SELECT 'p95_latency_s', window_start, round(v, 6), 10.0 FROM (
+  SELECT {bucket_sql('started_at', 3600)} AS window_start, quantile_cont(duration_s, 0.95) AS v
+  FROM fx_runs GROUP BY 1) WHERE v > 10.0
+UNION ALL
+SELECT 'rejection_rate', window_start, round(v, 6), 0.3 FROM (
+  SELECT {bucket_sql('started_at', 3600)} AS window_start, avg(CASE WHEN risk >= 0.3 THEN 1.0 ELSE 0.0 END) AS v
+  FROM fx_runs GROUP BY 1) WHERE v > 0.3
+UNION ALL
+SELECT 'cost_per_hour', window_start, round(v, 6), 0.5 FROM (
+  SELECT {bucket_sql('started_at', 3600)} AS window_start, sum(cost_usd) AS v FROM fx_runs GROUP BY 1) WHERE v > 0.5""")
+def alert_rules(spark, sf):
+    r = _runs(spark, sf).withColumn("ts", F.col("started_at"))
+    return MT.alert_rules(r)
+
+
+@query("budget_alert", """
+SELECT day, env, round(cost, 6) AS cost_usd, budget_usd, cost > budget_usd AS over_budget FROM (
+  SELECT CAST(started_at AS DATE) AS day,
+         CASE user_id % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'staging' ELSE 'prod' END AS env, sum(cost_usd) AS cost
+  FROM fx_runs GROUP BY ALL) c
+JOIN (VALUES ('dev', 10.0), ('staging', 100.0), ('prod', 1000.0)) AS b(env2, budget_usd) ON c.env = b.env2""")
+def budget_alert(spark, sf):
+    return MT.budget_alert(_runs(spark, sf))
+
+
+@query("log_warnings", "SELECT event, field, count(*) AS n FROM fx_log WHERE level = 'warning' GROUP BY ALL")
+def log_warnings(spark, sf):
+    return MT.warnings(_log(spark, sf))
