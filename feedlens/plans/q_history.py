@@ -1 +1,160 @@
-"""(filled in below)"""
+"""Queries for run-history dashboards and provider comparison (Q1–Q17)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import history as Hs
+from ..sources import fixtures as FX
+from .catalog import query
+
+START, END, PREV = "2024-01-08 00:00:00", "2024-01-15 00:00:00", "2024-01-01 00:00:00"
+BILLED = "CASE WHEN from_cache THEN 0.0 ELSE cost_usd END"
+RANGE = f"started_at >= TIMESTAMP '{START}' AND started_at < TIMESTAMP '{END}'"
+
+
+def _runs(spark, sf):
+    return FX.fx_runs(spark, sf)
+
+
+@query("summary", f"""
+SELECT count(*) AS total_runs, round(sum({BILLED}), 6) AS total_cost_usd, round(avg(duration_s), 6) AS avg_latency_s,
+       round(avg(CASE WHEN success THEN 1.0 ELSE 0.0 END), 6) AS success_rate,
+       round(avg(CASE WHEN from_cache THEN 1.0 ELSE 0.0 END), 6) AS cache_hit_rate
+FROM fx_runs WHERE {RANGE}""")
+def summary(spark, sf):
+    return Hs.summary(_runs(spark, sf), START, END)
+
+
+@query("cost_by_provider", f"SELECT provider, round(sum({BILLED}), 6) AS cost_usd, count(*) AS runs FROM fx_runs GROUP BY 1")
+def cost_by_provider(spark, sf):
+    return Hs.cost_by_provider(_runs(spark, sf))
+
+
+@query("runs_by_day", "SELECT CAST(started_at AS DATE) AS day, count(*) AS runs FROM fx_runs GROUP BY 1")
+def runs_by_day(spark, sf):
+    return Hs.by_day(_runs(spark, sf)).select("day", "runs")
+
+
+@query("trend_daily", f"""
+SELECT CAST(started_at AS DATE) AS day, round(avg(duration_s), 6) AS avg_latency_s, round(sum({BILLED}), 6) AS cost_usd
+FROM fx_runs GROUP BY 1""")
+def trend_daily(spark, sf):
+    return Hs.by_day(_runs(spark, sf)).select("day", "avg_latency_s", "cost_usd")
+
+
+@query("period_delta", f"""
+SELECT cr AS current_runs, pr AS previous_runs, round((cr - pr) * 100.0 / pr, 6) AS runs_change_pct,
+       round(cc, 6) AS current_cost_usd, round(pc, 6) AS previous_cost_usd FROM (
+  SELECT CAST(sum(CASE WHEN started_at >= TIMESTAMP '{START}' THEN 1 ELSE 0 END) AS BIGINT) AS cr,
+         CAST(sum(CASE WHEN started_at < TIMESTAMP '{START}' THEN 1 ELSE 0 END) AS BIGINT) AS pr,
+         sum(CASE WHEN started_at >= TIMESTAMP '{START}' THEN {BILLED} ELSE 0.0 END) AS cc,
+         sum(CASE WHEN started_at < TIMESTAMP '{START}' THEN {BILLED} ELSE 0.0 END) AS pc
+  FROM fx_runs WHERE started_at >= TIMESTAMP '{PREV}' AND started_at < TIMESTAMP '{END}')""")
+def period_delta(spark, sf):
+    return Hs.period_delta(_runs(spark, sf), START, END, PREV)
+
+
+@query("quality_avg", """
+SELECT provider, round(avg(accuracy), 6) AS avg_accuracy, round(avg(risk), 6) AS avg_risk FROM fx_runs
+WHERE success GROUP BY 1""")
+def quality_avg(spark, sf):
+    return Hs.quality_avg(_runs(spark, sf))
+
+
+@query("latency_hist", "SELECT floor(duration_s / 5.0) * 5.0 AS bucket_s, count(*) AS n FROM fx_runs GROUP BY 1")
+def latency_hist(spark, sf):
+    h = Hs.latency_hist(_runs(spark, sf))
+    return h.select(F.col("bucket_s").cast("double").alias("bucket_s"), "n")
+
+
+@query("history_filter", f"""
+SELECT run_id, started_at, cost_usd FROM fx_runs
+WHERE {RANGE} AND provider = 'google' AND NOT success AND source = 'crm'""")
+def history_filter(spark, sf):
+    r = Hs.history_filter(_runs(spark, sf), START, END, provider="google", success=False, source="crm")
+    return r.select("run_id", "started_at", "cost_usd")
+
+
+@query("history_page", """
+SELECT run_id, cost_usd, (SELECT count(*) FROM fx_runs) AS total, CAST(ceil((SELECT count(*) FROM fx_runs) / 20) AS BIGINT) AS pages
+FROM fx_runs ORDER BY cost_usd DESC, run_id ASC LIMIT 20 OFFSET 40""")
+def history_page(spark, sf):
+    return Hs.history_page(_runs(spark, sf), "cost_usd", page=3).select("run_id", "cost_usd", "total", "pages")
+
+
+@query("history_search", """
+SELECT request_id FROM fx_feedback
+WHERE content ILIKE '%worthless%' OR levenshtein(lower(customer_id), 'cust-7') <= 1""")
+def history_search(spark, sf):
+    return Hs.history_search(FX.fx_feedback(spark, sf), "worthless", "cust-7").select("request_id")
+
+
+@query("history_delete", """
+SELECT run_id FROM fx_runs WHERE run_id NOT IN (SELECT run_id FROM fx_runs WHERE user_id % 10 = 0)""")
+def history_delete(spark, sf):
+    r = _runs(spark, sf)
+    return Hs.history_delete(r, r.filter(F.col("user_id") % 10 == 0)).select("run_id")
+
+
+@query("recent_runs", "SELECT run_id, started_at FROM fx_runs ORDER BY started_at DESC, run_id LIMIT 10")
+def recent_runs(spark, sf):
+    return Hs.recent_runs(_runs(spark, sf)).select("run_id", "started_at")
+
+
+def _pivot_cols():
+    cols = []
+    for p in Hs.PROVIDER_ORDER:
+        for m, src in (("latency_s", "duration_s"), ("cost_usd", "cost_usd"), ("accuracy", "accuracy")):
+            cols.append(f"round(avg({src}) FILTER (WHERE provider = '{p}'), 6) AS {p}_{m}")
+    return ", ".join(cols)
+
+
+@query("compare_pivot", f"SELECT customer_id, {_pivot_cols()} FROM fx_runs GROUP BY customer_id")
+def compare_pivot(spark, sf):
+    return Hs.compare_pivot(_runs(spark, sf))
+
+
+STATS = """(SELECT customer_id, provider, avg(duration_s) AS latency_s, avg(cost_usd) AS cost_usd,
+  avg(accuracy) AS accuracy FROM fx_runs GROUP BY 1, 2)"""
+
+
+@query("compare_winner", f"""
+SELECT customer_id, provider, round(score, 6) AS score FROM (
+  SELECT *, accuracy / cost_usd AS score,
+         row_number() OVER (PARTITION BY customer_id ORDER BY accuracy / cost_usd DESC, provider) AS r
+  FROM {STATS}) WHERE r = 1""")
+def compare_winner(spark, sf):
+    return Hs.compare_winner(_runs(spark, sf))
+
+
+@query("compare_cost_diff", f"""
+SELECT customer_id, provider, round(cost_usd, 6) AS cost_usd,
+  round((cost_usd - min(cost_usd) OVER (PARTITION BY customer_id)) * 100 / min(cost_usd) OVER (PARTITION BY customer_id), 6)
+  AS pct_over_cheapest FROM {STATS}""")
+def compare_cost_diff(spark, sf):
+    return Hs.compare_cost_diff(_runs(spark, sf))
+
+
+@query("quality_band", """
+SELECT run_id, CASE WHEN accuracy > 0.9 THEN 'green' WHEN accuracy >= 0.8 THEN 'yellow' ELSE 'red' END AS band
+FROM fx_runs""")
+def quality_band(spark, sf):
+    return Hs.quality_band(_runs(spark, sf))
+
+
+@query("route_cheapest", """
+SELECT arg_min(provider, c) AS provider, round(min(c), 6) AS avg_cost_usd FROM (
+  SELECT provider, quantile_cont(duration_s, 0.95) AS p95, avg(cost_usd) AS c FROM fx_runs GROUP BY 1)
+WHERE p95 <= 47.0""")
+def route_cheapest(spark, sf):
+    return Hs.route_cheapest(_runs(spark, sf), 47.0)
+
+
+@query("retry_failed", """
+SELECT f.run_id FROM fx_runs f
+LEFT JOIN (SELECT user_id, source, max(started_at) AS last_ok FROM fx_runs WHERE success GROUP BY 1, 2) s
+  ON f.user_id = s.user_id AND f.source = s.source
+WHERE NOT f.success AND (s.last_ok IS NULL OR s.last_ok <= f.started_at)""")
+def retry_failed(spark, sf):
+    return Hs.retry_failed(_runs(spark, sf)).select("run_id")
