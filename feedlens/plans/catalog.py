@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from . import (q_ingest, q_responses, q_repair, q_prompts, q_results,  # noqa: F401
-                   q_cache, q_metrics, q_history, q_limits)
+                   q_cache, q_metrics, q_history, q_limits, flagship, q_streaming)
