@@ -1 +1,60 @@
-"""(streaming queries below)"""
+"""Streaming queries (L5, H9), run to completion with availableNow and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .. import schemas as S
+from ..operators import cache as H
+from ..sources import fixtures as FX
+from ..streaming import jobs as ST
+from .catalog import query
+
+EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+                       T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
+                       T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
+
+
+@query("stream_windows", """
+SELECT make_timestamp((epoch_us(ts) // 300000000) * 300000000) AS window_start, event_type, count(*) AS n
+FROM events GROUP BY ALL""")
+def stream_windows(spark, sf):
+    src = (spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet")
+           .option("maxFilesPerTrigger", 1).parquet(sf)
+           .withColumn("ts", F.col("ts").cast("timestamp")))
+    agg = ST.windowed_counts(src, keys=("event_type",))
+    out, ck = ST.scratch(spark, "stream-windows-out"), ST.scratch(spark, "stream-windows-ck")
+    ST.run_update_to_parquet(agg, out, ck)
+    return ST.latest_rows(spark, out, ["window_start", "event_type"])
+
+
+def _dedupe_sql(ttl_s: int) -> str:
+    w = ttl_s * 1_000_000
+    return f"""
+WITH RECURSIVE ev AS (
+  SELECT request_id, 'workflow:result:' || sha256(content || ':google:gemini-2.5-flash-lite') AS k,
+         epoch_us(requested_at) AS t,
+         row_number() OVER (PARTITION BY 'workflow:result:' || sha256(content || ':google:gemini-2.5-flash-lite')
+                            ORDER BY epoch_us(requested_at), request_id) AS rn
+  FROM fx_feedback),
+r AS (
+  SELECT k, rn, request_id, FALSE AS hit, t AS written FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.k, e.rn, e.request_id, e.t < r.written + {w},
+         CASE WHEN e.t < r.written + {w} THEN r.written ELSE e.t END
+  FROM r JOIN ev e ON e.k = r.k AND e.rn = r.rn + 1)
+SELECT request_id, hit FROM r"""
+
+
+@query("stream_dedupe", _dedupe_sql(S.CACHE_TTL_SECONDS))
+def stream_dedupe(spark, sf):
+    f = FX.fx_feedback(spark, sf).withColumn("provider", F.lit(S.DEFAULT_PROVIDER)) \
+        .withColumn("model", F.lit(S.DEFAULT_MODEL))
+    req = H.with_cache_key(f).select("request_id", "cache_key", "requested_at")
+    staged = ST.scratch(spark, "stream-dedupe-in")
+    req.write.parquet(staged)
+    src = spark.readStream.schema(req.schema).parquet(staged)
+    out, ck = ST.scratch(spark, "stream-dedupe-out"), ST.scratch(spark, "stream-dedupe-ck")
+    ST.run_append_to_parquet(ST.cache_stream(src), out, ck)
+    return spark.read.parquet(out).select("request_id", "hit")
