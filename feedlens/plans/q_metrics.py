@@ -182,7 +182,7 @@ def rate_5m(spark, sf):
 
 
 @query("latency_pct", """
-SELECT provider, 0.5 AS p, round(quantile_cont(duration_s, 0.5), 6) AS value FROM fx_runs GROUP BY provider
+SELECT provider, CAST(0.5 AS DOUBLE) AS p, round(quantile_cont(duration_s, 0.5), 6) AS value FROM fx_runs GROUP BY provider
 UNION ALL SELECT provider, 0.95, round(quantile_cont(duration_s, 0.95), 6) FROM fx_runs GROUP BY provider
 UNION ALL SELECT provider, 0.99, round(quantile_cont(duration_s, 0.99), 6) FROM fx_runs GROUP BY provider""")
 def latency_pct(spark, sf):
@@ -215,7 +215,7 @@ SELECT day, env, round(cost, 6) AS cost_usd, budget_usd, cost > budget_usd AS ov
   SELECT CAST(started_at AS DATE) AS day,
          CASE user_id % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'staging' ELSE 'prod' END AS env, sum(cost_usd) AS cost
   FROM fx_runs GROUP BY ALL) c
-JOIN (VALUES ('dev', 10.0), ('staging', 100.0), ('prod', 1000.0)) AS b(env2, budget_usd) ON c.env = b.env2""")
+JOIN (VALUES ('dev', CAST(10.0 AS DOUBLE)), ('staging', 100.0), ('prod', 1000.0)) AS b(env2, budget_usd) ON c.env = b.env2""")
 def budget_alert(spark, sf):
     return MT.budget_alert(_runs(spark, sf))
 

@@ -32,8 +32,8 @@ def gate_disagree(spark, sf):
 
 
 @query("claim_support", """
-SELECT run_id, CASE WHEN n_claims = -1 THEN 0 ELSE n_claims END AS n_claims,
-       CASE WHEN n_claims <= 0 THEN NULL ELSE n_supported END AS n_supported,
+SELECT run_id, CAST(CASE WHEN n_claims = -1 THEN 0 ELSE n_claims END AS BIGINT) AS n_claims,
+       CAST(CASE WHEN n_claims <= 0 THEN NULL ELSE n_supported END AS BIGINT) AS n_supported,
        CASE WHEN n_claims <= 0 THEN NULL ELSE CAST(n_supported AS DOUBLE) / n_claims END AS support_rate
 FROM fx_self_check""")
 def claim_support(spark, sf):
@@ -86,7 +86,8 @@ def error_result(spark, sf):
 
 
 @query("error_result_strict", f"""
-SELECT run_id, error, '' AS problem_statement, 0.0 AS overall_accuracy, 1.0 AS hallucination_risk
+SELECT run_id, error, '' AS problem_statement, CAST(0.0 AS DOUBLE) AS overall_accuracy,
+       CAST(1.0 AS DOUBLE) AS hallucination_risk
 FROM ({OUTCOME_SQL}) WHERE error IS NOT NULL""")
 def error_result_strict(spark, sf):
     o = _outcome(spark, sf, strict=True).filter(~F.col("success"))
