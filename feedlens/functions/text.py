@@ -14,6 +14,9 @@ from .. import schemas as S
 # Unicode White_Space, spelled out so Java and RE2 agree (Java's `\s` is ASCII-only and RE2's
 # `\s` lacks \v).
 WS = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# the same set as single characters, for trim/translate (no regex on the hot path)
+WS_CHARS = ("\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
 REDACTED = "[REDACTED]"
 
 # Fixed PII patterns (ours; common subset of Java regex and RE2, no lookaround), in
@@ -27,8 +30,8 @@ PII_PATTERNS = [
 
 
 def strip_ws(c: Column) -> Column:
-    """Python ``str.strip()``."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()`` – a set-based trim of both ends, no regex scan."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:
@@ -36,9 +39,13 @@ def is_blank(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    """``len(s.split())``; `split` of '' would give one element, so guard it."""
-    s = strip_ws(c)
-    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, f"{WS}+")))
+    """``len(s.split())``; `split` of '' would give one element, so guard it.
+
+    Every Unicode space is first mapped to ' ' with `translate` (a per-character table), so the
+    split runs on the cheap single-character pattern.
+    """
+    s = F.trim(F.translate(c, WS_CHARS, " " * len(WS_CHARS)))
+    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, " +")))
 
 
 def language(code: Column) -> Column:
@@ -47,6 +54,15 @@ def language(code: Column) -> Column:
     return F.when(lc.isin(*S.LANGUAGES[:-1]), lc).otherwise(F.lit("other"))
 
 
+# a literal each pattern's matches must contain; texts without it skip the regex
+PII_GUARD = {"email": "@"}
+
+
+def _guarded(text: Column, name: str, when_present: Column, otherwise: Column) -> Column:
+    g = PII_GUARD.get(name)
+    return when_present if g is None else F.when(F.instr(text, g) > 0, when_present).otherwise(otherwise)
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """array<struct<value, start, end>> of all matches, 0-based start, exclusive end."""
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
@@ -59,8 +75,11 @@ def _spans(text: Column, pattern: str) -> Column:
         before_ms = F.aggregate(F.slice(m_len, 1, i), F.lit(0), lambda a, x: a + x)
         return before_segs + before_ms
 
-    return F.transform(matches, lambda m, i: F.struct(
+    spans = F.transform(matches, lambda m, i: F.struct(
         m.alias("value"), start(i).alias("start"), (start(i) + F.length(m)).alias("end")))
+    # only texts with a match pay for the split and the offset sums
+    return F.when(F.size(matches) == 0, F.array().cast("array<struct<value:string,start:int,end:int>>")) \
+        .otherwise(spans)
 
 
 def _tagger(name: str, conf: float):
@@ -73,7 +92,8 @@ def detect_pii(text: Column) -> Column:
     """array<PII_DETECTION>; card numbers must pass the Luhn check."""
     parts = []
     for name, pattern, conf in PII_PATTERNS:
-        spans = _spans(text, pattern)
+        spans = _guarded(text, name, _spans(text, pattern),
+                         F.array().cast("array<struct<value:string,start:int,end:int>>"))
         if name == "credit_card":
             spans = F.filter(spans, lambda s: F.call_function("luhn_check", F.regexp_replace(s["value"], "[^0-9]", "")))
         parts.append(F.transform(spans, _tagger(name, conf)))
@@ -83,6 +103,6 @@ def detect_pii(text: Column) -> Column:
 def redact(text: Column) -> Column:
     """Replace every pattern with [REDACTED], in the fixed order."""
     out = text
-    for _, pattern, _ in PII_PATTERNS:
-        out = F.regexp_replace(out, pattern, REDACTED)
+    for name, pattern, _ in PII_PATTERNS:
+        out = _guarded(out, name, F.regexp_replace(out, pattern, REDACTED), out)
     return out
