@@ -58,3 +58,13 @@ def stream_dedupe(spark, sf):
     out, ck = ST.scratch(spark, "stream-dedupe-out"), ST.scratch(spark, "stream-dedupe-ck")
     ST.run_append_to_parquet(ST.cache_stream(src), out, ck)
     return spark.read.parquet(out).select("request_id", "hit")
+
+
+@query("stream_rate_limit", __import__("feedlens.plans.q_limits", fromlist=["_rate_sql"])._rate_sql(10, 60))
+def stream_rate_limit(spark, sf):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.ROCKSDB)
+    src = (spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet")
+           .option("maxFilesPerTrigger", 1).parquet(sf))
+    out, ck = ST.scratch(spark, "stream-rate-out"), ST.scratch(spark, "stream-rate-ck")
+    ST.run_append_to_parquet(ST.rate_limit_stream(src), out, ck)
+    return spark.read.parquet(out).select("event_id", "user_id", "admitted")

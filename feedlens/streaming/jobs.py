@@ -90,3 +90,52 @@ def run_append_to_parquet(df: DataFrame, out: str, checkpoint: str):
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+# --- U1 on a stream: keyed state holds at most `limit` admitted times per user ----------------
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+RATE_OUT = "event_id long, user_id long, admitted boolean"
+
+
+def _rate_processor(limit: int, window_us: int):
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+    state_schema = StructType([StructField("times", ArrayType(LongType()))])
+
+    class RateLimiter(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.times = handle.getValueState("admitted_times", state_schema)
+
+        def handleInputRows(self, key, rows, timerValues):
+            kept = list(self.times.get()[0]) if self.times.exists() else []
+            pdf = pd.concat(list(rows)).sort_values(["ts_us", "event_id"], kind="mergesort")
+            admitted = []
+            for now in pdf["ts_us"].to_numpy():
+                kept = [x for x in kept if x > now - window_us]
+                ok = len(kept) < limit
+                if ok:
+                    kept.append(int(now))
+                admitted.append(ok)
+            self.times.update((kept,))
+            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "user_id": pdf["user_id"].to_numpy(),
+                                "admitted": admitted})
+
+        def close(self) -> None:
+            pass
+
+    return RateLimiter()
+
+
+def rate_limit_stream(requests: DataFrame, limit: int = S.RATE_LIMIT_REQUESTS,
+                      window_seconds: int = S.RATE_LIMIT_WINDOW_SECONDS) -> DataFrame:
+    """U1 (stream): requests(event_id, user_id, ts) → admitted; state per user is ≤ `limit` longs.
+
+    Rows are folded in event-time order within a micro-batch and in arrival order across batches.
+    Needs the RocksDB state store provider (`ROCKSDB`), set before the query starts.
+    """
+    r = requests.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+    return r.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=_rate_processor(limit, window_seconds * 1_000_000),
+        outputStructType=RATE_OUT, outputMode="Append", timeMode="None")
