@@ -1,0 +1,57 @@
+"""End-to-end workflow job with a test double for the model (answers depend only on the step)."""
+
+import json
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from feedlens.plans.runbook import run_workflow
+from feedlens.session import checkpoint_dir
+from feedlens.sources import fixtures as FX
+
+ANSWERS = {
+    "ingest": json.dumps({"language": "en", "pii_detected": False, "redacted_text": "clean", "word_count": 3}),
+    "extract": "Here you go:\n```json\n" + json.dumps({
+        "problem_statement": "slow reports", "desired_outcome": "fast reports", "pain_points": ["manual"],
+        "value_drivers": ["time"], "confidence_score": 0.8}) + "\n```",
+    "rewrite": json.dumps({"headline": "Faster reports", "problem": "p", "solution": "s",
+                           "differentiation": "d", "call_to_action": "c", "key_talking_points": ["a"]}),
+}
+
+
+def stub_model(batch: pd.DataFrame) -> pd.DataFrame:
+    def answer(row):
+        if row.step == "self_check":
+            ok = int(row.run_id[:2], 16) % 2 == 0
+            return json.dumps({"verifications": [], "overall_accuracy": 0.9, "hallucination_risk": 0.1,
+                               "approved": ok})
+        return ANSWERS[row.step]
+    out = batch[["run_id", "step", "provider", "model"]].copy()
+    out["content"] = [answer(r) for r in batch.itertuples()]
+    out["tokens_input"] = batch["prompt"].str.len() // 4
+    out["tokens_output"] = 50
+    out["latency_ms"] = 10
+    return out
+
+
+def test_workflow_end_to_end(spark, sf_dir):
+    notes = FX.fx_feedback(spark, sf_dir).select("request_id", "content", "source", "customer_id",
+                                                 "requested_at")
+    out = f"{checkpoint_dir(spark)}/runbook-test"
+    t = run_workflow(notes, stub_model, out, parallelism=4)
+    res = t["results"]
+    from feedlens.operators import ingest as I
+    accepted = I.accepted(notes)
+    assert t["rejects"].count() == notes.count() - accepted.count()
+    # identical contents are computed once (in-batch dedupe), one result per distinct content
+    assert res.count() == accepted.select("content").distinct().count()
+    ok = res.filter("success")
+    failed = res.filter(~F.col("success"))
+    assert ok.count() > 0 and failed.count() > 0
+    assert failed.filter(~F.col("error").startswith("Self-check failed")).count() == 0
+    # rewrite prompts only for approved runs: padded talking points on successes
+    assert ok.select(F.size("value_proposition.key_talking_points").alias("n")).distinct().first().n == 3
+    steps = t["steps"]
+    assert steps.filter(F.col("step") == "rewrite").count() == ok.count()
+    assert t["cache_entries"].count() == ok.count()
+    assert res.filter(F.col("total_cost_usd").isNull()).count() == 0
