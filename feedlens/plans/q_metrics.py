@@ -223,3 +223,11 @@ def budget_alert(spark, sf):
 @query("log_warnings", "SELECT event, field, count(*) AS n FROM fx_log WHERE level = 'warning' GROUP BY ALL")
 def log_warnings(spark, sf):
     return MT.warnings(_log(spark, sf))
+
+
+@query("latency_pct_approx")
+def latency_pct_approx(spark, sf):
+    """L7 at scale: one-pass mergeable sketch (no exact oracle; rows-only check)."""
+    a = MT.approx_percentiles(_runs(spark, sf), ["provider"], "duration_s", [0.5, 0.95, 0.99])
+    return a.select("provider", F.col("values")[0].alias("p50"), F.col("values")[1].alias("p95"),
+                    F.col("values")[2].alias("p99"))

@@ -129,3 +129,15 @@ SELECT step, round(c, 6) AS cost_usd, round(l, 3) AS avg_latency_ms, round(c / s
 FROM (SELECT step, sum(cost_usd) AS c, avg({STEP_DUR}) AS l FROM fx_steps GROUP BY step)""")
 def cost_by_step(spark, sf):
     return W.cost_by_step(FX.fx_steps(spark, sf))
+
+
+@query("run_ids", """
+SELECT request_id, sha256(request_id || chr(1) || 'google' || chr(1) || 'gemini-2.5-flash-lite') AS run_id
+FROM fx_feedback""")
+def run_ids(spark, sf):
+    """Deterministic run ids, stable across recomputation of a lost partition."""
+    from .. import schemas as S
+    from ..functions import keys
+    f = FX.fx_feedback(spark, sf)
+    return f.select("request_id", keys.run_id(F.col("request_id"), F.lit(S.DEFAULT_PROVIDER),
+                                              F.lit(S.DEFAULT_MODEL)).alias("run_id"))
