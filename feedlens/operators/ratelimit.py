@@ -3,8 +3,8 @@
 U1 is a greedy limiter: a request is admitted if fewer than `limit` admitted requests of the same
 user fall in (t − window, t]; rejected requests do not count. Admission feeds back, so it is a
 sequential fold, not a window count. A gap of at least one window empties the state, so requests
-are first cut into sessions at such gaps (a window `lag`); sessions are independent and are
-folded as sorted streams with mapInPandas, never as one in-memory group per user.
+are first cut into sessions at such gaps; sessions are independent and are folded as sorted
+streams with mapInPandas, never as one in-memory group per user.
 """
 
 from __future__ import annotations
@@ -41,22 +41,46 @@ def _fold_stream(limit: int, window_us: int):
     return run
 
 
+def sessions(r: DataFrame, window_us: int, bucket_us: int) -> DataFrame:
+    """Session id (its start time, `_s`) for rows (_id, _u, _t): a new session starts at a gap of at
+    least one window. Row-level windows are partitioned by (user, time bucket); only one row per
+    (user, bucket) takes part in the per-user pass that carries sessions across bucket edges, so
+    a hot user is spread over as many tasks as it has buckets.
+    """
+    r = r.withColumn("_b", F.floor(F.col("_t") / bucket_us))
+    w = Window.partitionBy("_u", "_b").orderBy("_t", "_id")
+    r = r.withColumn("_prev", F.lag("_t").over(w))
+    inner_start = (F.col("_t") - F.col("_prev")) >= window_us
+    per_b = r.groupBy("_u", "_b").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"),
+                                      F.max(F.when(inner_start, F.col("_t"))).alias("_inner_last_start"))
+    wu = Window.partitionBy("_u").orderBy("_b")
+    prev_last = F.lag("_last").over(wu)
+    per_b = per_b.withColumn("_first_starts", prev_last.isNull() | ((F.col("_first") - prev_last) >= window_us))
+    per_b = per_b.withColumn("_b_last_start", F.coalesce(
+        "_inner_last_start", F.when(F.col("_first_starts"), F.col("_first"))))
+    per_b = per_b.withColumn("_carry", F.last("_b_last_start", ignorenulls=True).over(
+        wu.rowsBetween(Window.unboundedPreceding, -1)))
+    j = r.join(per_b.select("_u", "_b", "_first_starts", "_carry"), ["_u", "_b"])
+    starts = F.when(F.col("_prev").isNull(), F.col("_first_starts")).otherwise(inner_start)
+    j = j.withColumn("_start", F.when(starts, F.col("_t")))
+    running = F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return j.withColumn("_s", F.coalesce(running, F.col("_carry"))).select("_id", "_u", "_t", "_s")
+
+
 def rate_limit(requests: DataFrame, user: str = "user_id", ts: str = "ts", key: str = "event_id",
                limit: int = S.RATE_LIMIT_REQUESTS, window_seconds: int = S.RATE_LIMIT_WINDOW_SECONDS,
-               buckets: int | None = None) -> DataFrame:
+               buckets: int | None = None, bucket_seconds: int = 3600) -> DataFrame:
     """U1 (batch): adds `admitted` to every request.
 
-    Sessions are hashed into `buckets` partitions (whole sessions stay together), each sorted by
-    (user, session, time) and folded as a stream, so memory per task is one Arrow batch plus at
-    most `limit` timestamps.
+    Sessions (see `sessions`) are hashed into `buckets` partitions (whole sessions stay together),
+    each sorted by (user, session, time) and folded as a stream, so memory per task is one Arrow
+    batch plus at most `limit` timestamps.
     """
     window_us = window_seconds * 1_000_000
     n = buckets or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = F.unix_micros(F.col(ts).cast("timestamp"))
     r = requests.select(F.col(key).alias("_id"), F.col(user).alias("_u"), t.alias("_t"))
-    w = Window.partitionBy("_u").orderBy("_t", "_id")
-    gap = (F.col("_t") - F.lag("_t").over(w)) >= window_us
-    r = r.withColumn("_s", F.sum(F.coalesce(gap, F.lit(True)).cast("long")).over(w))
+    r = sessions(r, window_us, bucket_seconds * 1_000_000)
     r = (r.repartition(n, F.pmod(F.hash("_u", "_s"), F.lit(n)))
          .sortWithinPartitions("_u", "_s", "_t", "_id"))
     decided = r.mapInPandas(_fold_stream(limit, window_us), "_id long, admitted boolean")
