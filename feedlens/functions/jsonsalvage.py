@@ -79,8 +79,10 @@ def salvage(df: DataFrame, content: str = "content") -> DataFrame:
     open_raw = strip_ws(F.regexp_extract(c, OPEN_FENCE, 1))
     has_open = c.rlike(OPEN_FENCE)
     out = out.withColumn("_objs", F.when(F.col("_quick").isNull(), brace_objects(c)))
-    out = out.withColumn("_open", F.when(F.col("_quick").isNull() & has_open,
-                                         _first_valid(brace_objects(open_raw))))
+    # a column, so the substring lambda in brace_objects reads it instead of re-running the regex
+    out = out.withColumn("_open_raw", F.when(F.col("_quick").isNull() & has_open, open_raw))
+    out = out.withColumn("_open", F.when(F.col("_open_raw").isNotNull(),
+                                         _first_valid(brace_objects(F.col("_open_raw")))))
     longest = _first_valid(_by_length_desc(F.col("_objs")),
                            lambda o: F.size(F.json_object_keys(o)) > 2)
     first = _first_valid(F.col("_objs"))
@@ -102,4 +104,4 @@ def salvage(df: DataFrame, content: str = "content") -> DataFrame:
     out = out.withColumn("_pick", pick)
     return (out.withColumn("json_text", F.col("_pick.j"))
             .withColumn("strategy", F.col("_pick.s"))
-            .drop("_quick", "_objs", "_open", "_pick"))
+            .drop("_quick", "_objs", "_open_raw", "_open", "_pick"))
