@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exact import rsum, xavg, xsum
+
 PROVIDER_ORDER = ["openai", "anthropic", "google"]
 
 
@@ -24,23 +26,23 @@ def billed_cost():
 def summary(runs: DataFrame, start, end) -> DataFrame:
     """Q1."""
     r = _between(runs, start, end)
-    return r.agg(F.count(F.lit(1)).alias("total_runs"), F.round(F.sum(billed_cost()), 6).alias("total_cost_usd"),
-                 F.round(F.avg("duration_s"), 6).alias("avg_latency_s"),
+    return r.agg(F.count(F.lit(1)).alias("total_runs"), rsum(billed_cost()).alias("total_cost_usd"),
+                 xavg("duration_s").alias("avg_latency_s"),
                  F.round(F.avg(F.col("success").cast("double")), 6).alias("success_rate"),
                  F.round(F.avg(F.col("from_cache").cast("double")), 6).alias("cache_hit_rate"))
 
 
 def cost_by_provider(runs: DataFrame) -> DataFrame:
     """Q2."""
-    return runs.groupBy("provider").agg(F.round(F.sum(billed_cost()), 6).alias("cost_usd"),
+    return runs.groupBy("provider").agg(rsum(billed_cost()).alias("cost_usd"),
                                         F.count(F.lit(1)).alias("runs"))
 
 
 def by_day(runs: DataFrame) -> DataFrame:
     """Q3: runs, latency and cost per day."""
     return runs.groupBy(F.to_date("started_at").alias("day")).agg(
-        F.count(F.lit(1)).alias("runs"), F.round(F.avg("duration_s"), 6).alias("avg_latency_s"),
-        F.round(F.sum(billed_cost()), 6).alias("cost_usd"))
+        F.count(F.lit(1)).alias("runs"), xavg("duration_s").alias("avg_latency_s"),
+        rsum(billed_cost()).alias("cost_usd"))
 
 
 def period_delta(runs: DataFrame, start, end, prev_start) -> DataFrame:
@@ -48,18 +50,18 @@ def period_delta(runs: DataFrame, start, end, prev_start) -> DataFrame:
     r = _between(runs, prev_start, end)
     cur = F.col("started_at") >= F.lit(start).cast("timestamp")
     a = r.agg(F.sum(cur.cast("long")).alias("current_runs"), F.sum((~cur).cast("long")).alias("previous_runs"),
-              F.sum(F.when(cur, billed_cost()).otherwise(0.0)).alias("cc"),
-              F.sum(F.when(~cur, billed_cost()).otherwise(0.0)).alias("pc"))
+              rsum(F.when(cur, billed_cost()).otherwise(0.0)).alias("cc"),
+              rsum(F.when(~cur, billed_cost()).otherwise(0.0)).alias("pc"))
     return a.select("current_runs", "previous_runs",
                     F.round((F.col("current_runs") - F.col("previous_runs")) * 100.0 / F.col("previous_runs"), 6)
                     .alias("runs_change_pct"),
-                    F.round("cc", 6).alias("current_cost_usd"), F.round("pc", 6).alias("previous_cost_usd"))
+                    F.col("cc").alias("current_cost_usd"), F.col("pc").alias("previous_cost_usd"))
 
 
 def quality_avg(runs: DataFrame) -> DataFrame:
     """Q5 (K5: failed runs carry placeholder scores, so only successes count)."""
-    return runs.filter("success").groupBy("provider").agg(F.round(F.avg("accuracy"), 6).alias("avg_accuracy"),
-                                                          F.round(F.avg("risk"), 6).alias("avg_risk"))
+    return runs.filter("success").groupBy("provider").agg(xavg("accuracy").alias("avg_accuracy"),
+                                                          xavg("risk").alias("avg_risk"))
 
 
 def latency_hist(runs: DataFrame, width: float = 5.0) -> DataFrame:
@@ -109,16 +111,16 @@ def recent_runs(runs: DataFrame, k: int = 10) -> DataFrame:
 
 
 def provider_stats(runs: DataFrame, key: str = "customer_id") -> DataFrame:
-    return runs.groupBy(key, "provider").agg(F.avg("duration_s").alias("latency_s"),
-                                              F.avg("cost_usd").alias("cost_usd"),
-                                              F.avg("accuracy").alias("accuracy"))
+    return runs.groupBy(key, "provider").agg(xavg("duration_s").alias("latency_s"),
+                                              xavg("cost_usd").alias("cost_usd"),
+                                              xavg("accuracy").alias("accuracy"))
 
 
 def compare_pivot(runs: DataFrame, key: str = "customer_id") -> DataFrame:
     """Q12: providers side by side (pivot values given, so no extra distinct pass)."""
     p = runs.groupBy(key).pivot("provider", PROVIDER_ORDER).agg(
-        F.round(F.avg("duration_s"), 6).alias("latency_s"), F.round(F.avg("cost_usd"), 6).alias("cost_usd"),
-        F.round(F.avg("accuracy"), 6).alias("accuracy"))
+        xavg("duration_s").alias("latency_s"), xavg("cost_usd").alias("cost_usd"),
+        xavg("accuracy").alias("accuracy"))
     return p
 
 
@@ -127,15 +129,15 @@ def compare_winner(runs: DataFrame, key: str = "customer_id") -> DataFrame:
     s = provider_stats(runs, key).withColumn("score", F.col("accuracy") / F.col("cost_usd"))
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("provider").asc())
     return (s.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-            .select(key, "provider", F.round("score", 6).alias("score")))
+            .select(key, "provider", "score"))
 
 
 def compare_cost_diff(runs: DataFrame, key: str = "customer_id") -> DataFrame:
     """Q14: % above the cheapest provider for the same key."""
     s = provider_stats(runs, key)
     cheapest = F.min("cost_usd").over(Window.partitionBy(key))
-    return s.select(key, "provider", F.round("cost_usd", 6).alias("cost_usd"),
-                    F.round((F.col("cost_usd") - cheapest) * 100 / cheapest, 6).alias("pct_over_cheapest"))
+    return s.select(key, "provider", "cost_usd",
+                    ((F.col("cost_usd") - cheapest) * 100 / cheapest).alias("pct_over_cheapest"))
 
 
 def quality_band(runs: DataFrame) -> DataFrame:
@@ -148,10 +150,10 @@ def route_cheapest(runs: DataFrame, sla_p95_s: float) -> DataFrame:
     """Q16: the cheapest provider whose p95 latency meets the SLA."""
     from .metrics import exact_percentiles
     p95 = exact_percentiles(runs, ["provider"], "duration_s", [0.95]).select("provider", F.col("value").alias("p95_s"))
-    cost = runs.groupBy("provider").agg(F.avg("cost_usd").alias("avg_cost"))
+    cost = runs.groupBy("provider").agg(xavg("cost_usd").alias("avg_cost"))
     ok = p95.join(cost, "provider").filter(F.col("p95_s") <= sla_p95_s)
     return ok.agg(F.min_by("provider", F.struct("avg_cost", "provider")).alias("provider"),
-                  F.round(F.min("avg_cost"), 6).alias("avg_cost_usd"))
+                  F.min("avg_cost").alias("avg_cost_usd"))
 
 
 def retry_failed(runs: DataFrame, key=("user_id", "source")) -> DataFrame:

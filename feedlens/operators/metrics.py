@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.exact import rsum, xsum
 
 ISO_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -34,7 +35,7 @@ def histogram(df: DataFrame, labels: list[str], value: str, buckets: list[float]
     """Cumulative histogram in long form: metric, labels…, le, value (+ _sum and _count rows)."""
     v = F.col(value)
     aggs = [F.sum(F.when(v <= F.lit(b), 1).otherwise(0)).cast("double").alias(f"b{i}") for i, b in enumerate(buckets)]
-    aggs += [F.count(v).cast("double").alias("cnt"), F.sum(v).alias("total")]
+    aggs += [F.count(v).cast("double").alias("cnt"), rsum(v).alias("total")]
     a = df.groupBy(*labels).agg(*aggs)
     rows = [F.struct(F.lit(f"{metric}_bucket").alias("metric"), F.lit(le_label(b)).alias("le"),
                      F.col(f"b{i}").alias("value")) for i, b in enumerate(buckets)]
@@ -42,7 +43,7 @@ def histogram(df: DataFrame, labels: list[str], value: str, buckets: list[float]
              F.struct(F.lit(f"{metric}_count").alias("metric"), F.lit(None).cast("string").alias("le"),
                       F.col("cnt").alias("value")),
              F.struct(F.lit(f"{metric}_sum").alias("metric"), F.lit(None).cast("string").alias("le"),
-                      F.round("total", 6).alias("value"))]
+                      F.col("total").alias("value"))]
     return a.select(*labels, F.explode(F.array(*rows)).alias("r")).select(
         F.col("r.metric").alias("metric"), *labels, F.col("r.le").alias("le"), F.col("r.value").alias("value"))
 
@@ -102,7 +103,7 @@ def active_runs(runs: DataFrame, period: str = "5 minutes") -> DataFrame:
 def window_counts(events: DataFrame, period: str, value: Column | None = None) -> DataFrame:
     """L1–L3: per tumbling period, count (or sum of `value`)."""
     w = F.window("ts", period)
-    agg = F.count(F.lit(1)).alias("n") if value is None else F.round(F.sum(value), 6).alias("n")
+    agg = F.count(F.lit(1)).alias("n") if value is None else rsum(value).alias("n")
     return events.groupBy(w.start.alias("window_start")).agg(agg)
 
 
@@ -190,7 +191,7 @@ def alert_rules(runs: DataFrame, error_rate: float = 0.05, p95_s: float = 10.0,
     hourly = runs.withColumn("window_start", F.window("ts", "1 hour").start)
     p95 = exact_percentiles(hourly, ["window_start"], "duration_s", [0.95]).withColumnRenamed("value", "v")
     h = hourly.groupBy("window_start").agg(
-        F.avg(F.when(F.col("risk") >= 0.3, 1.0).otherwise(0.0)).alias("rej"), F.sum("cost_usd").alias("cost"))
+        F.avg(F.when(F.col("risk") >= 0.3, 1.0).otherwise(0.0)).alias("rej"), rsum("cost_usd").alias("cost"))
 
     def rule(df, name, col, thr):
         return df.filter(F.col(col) > thr).select(F.lit(name).alias("rule"), "window_start",
@@ -207,7 +208,7 @@ BUDGETS = [("dev", 10.0), ("staging", 100.0), ("prod", 1000.0)]  # USD per day
 def budget_alert(runs: DataFrame) -> DataFrame:
     """Daily cost per environment against its budget (3-row dimension, broadcast)."""
     env = F.element_at(F.array(F.lit("dev"), F.lit("staging"), F.lit("prod")), (F.col("user_id") % 3 + 1).cast("int"))
-    daily = runs.groupBy(F.to_date("started_at").alias("day"), env.alias("env")).agg(F.sum("cost_usd").alias("cost"))
+    daily = runs.groupBy(F.to_date("started_at").alias("day"), env.alias("env")).agg(rsum("cost_usd").alias("cost"))
     b = F.broadcast(runs.sparkSession.createDataFrame(BUDGETS, "env string, budget_usd double"))
-    return daily.join(b, "env").select("day", "env", F.round("cost", 6).alias("cost_usd"), "budget_usd",
+    return daily.join(b, "env").select("day", "env", F.col("cost").alias("cost_usd"), "budget_usd",
                                        (F.col("cost") > F.col("budget_usd")).alias("over_budget"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.exact import dsum, rsum, xsum
 
 
 def gate_approved(self_check: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def run_totals(steps: DataFrame, key: str = "run_id") -> DataFrame:
     """Sums per run and status (all steps succeeded)."""
     dur = step_duration_ms(F.col("started_at"), F.col("completed_at"))
     return steps.groupBy(key).agg(
-        F.round(F.sum("cost_usd"), 6).alias("total_cost_usd"),
+        rsum("cost_usd").alias("total_cost_usd"),
         F.sum("tokens_input").alias("total_tokens_input"),
         F.sum("tokens_output").alias("total_tokens_output"),
         F.sum(dur).alias("total_latency_ms"),
@@ -107,11 +108,11 @@ def step_duration_ms(started, completed):
 def cost_by_step(steps: DataFrame) -> DataFrame:
     """Cost and latency per step with its share of the total."""
     dur = step_duration_ms(F.col("started_at"), F.col("completed_at"))
-    agg = steps.groupBy("step").agg(F.sum("cost_usd").alias("cost_usd"), F.avg(dur).alias("avg_latency_ms"))
-    total = F.sum("cost_usd").over(Window.partitionBy())
-    return agg.select("step", F.round("cost_usd", 6).alias("cost_usd"),
-                      F.round("avg_latency_ms", 3).alias("avg_latency_ms"),
-                      F.round(F.col("cost_usd") / total, 6).alias("cost_share"))
+    agg = steps.groupBy("step").agg(rsum("cost_usd").alias("cost_usd"), xsum("cost_usd").alias("_c"),
+                                    F.avg(dur).alias("avg_latency_ms"))
+    total = dsum("_c").over(Window.partitionBy()).cast("double")
+    return agg.select("step", "cost_usd", F.round("avg_latency_ms", 3).alias("avg_latency_ms"),
+                      (F.col("_c") / total).alias("cost_share"))
 
 
 def flatten(results: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as X
+from ..functions.exact import rsum, xsum
 from ..operators import cost as C
 from ..operators import ingest as I
 from ..operators import prompts as P
@@ -44,7 +45,7 @@ def cost_and_approval_by_provider(spark, sf):
     return j.groupBy("provider").agg(
         F.count(F.lit(1)).alias("notes"), F.sum(F.col("approved").cast("long")).alias("approved"),
         F.round(F.avg(F.col("approved").cast("double")), 6).alias("approval_rate"),
-        F.round(F.sum("cost_usd"), 6).alias("total_cost_usd"))
+        rsum("cost_usd").alias("total_cost_usd"))
 
 
 PROMPT_WORDS = Q.word_count(
@@ -69,7 +70,7 @@ c AS (
                ('google','gemini-2.5-flash-lite',0.0375,0.15)) AS p(provider, model, price_in, price_out)
     ON n.provider = p.provider AND n.model = p.model)
 SELECT provider, count(*) AS notes, CAST(sum(CASE WHEN approved THEN 1 ELSE 0 END) AS BIGINT) AS approved,
-       round(avg(CASE WHEN approved THEN 1.0 ELSE 0.0 END), 6) AS approval_rate, round(sum(cost_usd), 6) AS total_cost_usd
+       round(avg(CASE WHEN approved THEN 1.0 ELSE 0.0 END), 6) AS approval_rate, {Q.rsum('cost_usd')} AS total_cost_usd
 FROM c GROUP BY provider""")
 def flagship_cost_approval(spark, sf):
     return cost_and_approval_by_provider(spark, sf)

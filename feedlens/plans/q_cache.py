@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.exact import rsum, xsum
+from .sql_snippets import rsum as sql_rsum
 from ..operators import cache as H
 from ..operators import metrics as MT
 from ..sources import fixtures as FX
@@ -121,7 +123,7 @@ def cache_hit_rate(spark, sf):
 
 
 @query("cache_savings", f"""
-SELECT count(*) AS n_hits, round(sum(cached_cost_usd), 6) AS saved_usd FROM ({hits_sql(S.CACHE_TTL_SECONDS)})""")
+SELECT count(*) AS n_hits, {sql_rsum('cached_cost_usd')} AS saved_usd FROM ({hits_sql(S.CACHE_TTL_SECONDS)})""")
 def cache_savings(spark, sf):
     h = _hit_cols(H.hits(_looked(spark, sf)))
-    return h.agg(F.count(F.lit(1)).alias("n_hits"), F.round(F.sum("cached_cost_usd"), 6).alias("saved_usd"))
+    return h.agg(F.count(F.lit(1)).alias("n_hits"), rsum("cached_cost_usd").alias("saved_usd"))

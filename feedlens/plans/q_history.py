@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import history as Hs
 from ..sources import fixtures as FX
 from .catalog import query
+from .sql_snippets import rsum, xavg, xsum
 
 START, END, PREV = "2024-01-08 00:00:00", "2024-01-15 00:00:00", "2024-01-01 00:00:00"
 BILLED = "CASE WHEN from_cache THEN 0.0 ELSE cost_usd END"
@@ -18,7 +19,7 @@ def _runs(spark, sf):
 
 
 @query("summary", f"""
-SELECT count(*) AS total_runs, round(sum({BILLED}), 6) AS total_cost_usd, round(avg(duration_s), 6) AS avg_latency_s,
+SELECT count(*) AS total_runs, {rsum(BILLED)} AS total_cost_usd, {xavg('duration_s')} AS avg_latency_s,
        round(avg(CASE WHEN success THEN 1.0 ELSE 0.0 END), 6) AS success_rate,
        round(avg(CASE WHEN from_cache THEN 1.0 ELSE 0.0 END), 6) AS cache_hit_rate
 FROM fx_runs WHERE {RANGE}""")
@@ -26,7 +27,7 @@ def summary(spark, sf):
     return Hs.summary(_runs(spark, sf), START, END)
 
 
-@query("cost_by_provider", f"SELECT provider, round(sum({BILLED}), 6) AS cost_usd, count(*) AS runs FROM fx_runs GROUP BY 1")
+@query("cost_by_provider", f"SELECT provider, {rsum(BILLED)} AS cost_usd, count(*) AS runs FROM fx_runs GROUP BY 1")
 def cost_by_provider(spark, sf):
     return Hs.cost_by_provider(_runs(spark, sf))
 
@@ -37,7 +38,7 @@ def runs_by_day(spark, sf):
 
 
 @query("trend_daily", f"""
-SELECT CAST(started_at AS DATE) AS day, round(avg(duration_s), 6) AS avg_latency_s, round(sum({BILLED}), 6) AS cost_usd
+SELECT CAST(started_at AS DATE) AS day, {xavg('duration_s')} AS avg_latency_s, {rsum(BILLED)} AS cost_usd
 FROM fx_runs GROUP BY 1""")
 def trend_daily(spark, sf):
     return Hs.by_day(_runs(spark, sf)).select("day", "avg_latency_s", "cost_usd")
@@ -45,18 +46,18 @@ def trend_daily(spark, sf):
 
 @query("period_delta", f"""
 SELECT cr AS current_runs, pr AS previous_runs, round((cr - pr) * 100.0 / pr, 6) AS runs_change_pct,
-       round(cc, 6) AS current_cost_usd, round(pc, 6) AS previous_cost_usd FROM (
+       cc AS current_cost_usd, pc AS previous_cost_usd FROM (
   SELECT CAST(sum(CASE WHEN started_at >= TIMESTAMP '{START}' THEN 1 ELSE 0 END) AS BIGINT) AS cr,
          CAST(sum(CASE WHEN started_at < TIMESTAMP '{START}' THEN 1 ELSE 0 END) AS BIGINT) AS pr,
-         sum(CASE WHEN started_at >= TIMESTAMP '{START}' THEN {BILLED} ELSE 0.0 END) AS cc,
-         sum(CASE WHEN started_at < TIMESTAMP '{START}' THEN {BILLED} ELSE 0.0 END) AS pc
+         {rsum(f"CASE WHEN started_at >= TIMESTAMP '{START}' THEN {BILLED} ELSE 0.0 END")} AS cc,
+         {rsum(f"CASE WHEN started_at < TIMESTAMP '{START}' THEN {BILLED} ELSE 0.0 END")} AS pc
   FROM fx_runs WHERE started_at >= TIMESTAMP '{PREV}' AND started_at < TIMESTAMP '{END}')""")
 def period_delta(spark, sf):
     return Hs.period_delta(_runs(spark, sf), START, END, PREV)
 
 
-@query("quality_avg", """
-SELECT provider, round(avg(accuracy), 6) AS avg_accuracy, round(avg(risk), 6) AS avg_risk FROM fx_runs
+@query("quality_avg", f"""
+SELECT provider, {xavg('accuracy')} AS avg_accuracy, {xavg('risk')} AS avg_risk FROM fx_runs
 WHERE success GROUP BY 1""")
 def quality_avg(spark, sf):
     return Hs.quality_avg(_runs(spark, sf))
@@ -106,7 +107,8 @@ def _pivot_cols():
     cols = []
     for p in Hs.PROVIDER_ORDER:
         for m, src in (("latency_s", "duration_s"), ("cost_usd", "cost_usd"), ("accuracy", "accuracy")):
-            cols.append(f"round(avg({src}) FILTER (WHERE provider = '{p}'), 6) AS {p}_{m}")
+            x = f"CASE WHEN provider = '{p}' THEN {src} END"
+            cols.append(f"{xavg(x)} AS {p}_{m}")
     return ", ".join(cols)
 
 
@@ -115,12 +117,12 @@ def compare_pivot(spark, sf):
     return Hs.compare_pivot(_runs(spark, sf))
 
 
-STATS = """(SELECT customer_id, provider, avg(duration_s) AS latency_s, avg(cost_usd) AS cost_usd,
-  avg(accuracy) AS accuracy FROM fx_runs GROUP BY 1, 2)"""
+STATS = f"""(SELECT customer_id, provider, {xavg('duration_s')} AS latency_s, {xavg('cost_usd')} AS cost_usd,
+  {xavg('accuracy')} AS accuracy FROM fx_runs GROUP BY 1, 2)"""
 
 
 @query("compare_winner", f"""
-SELECT customer_id, provider, round(score, 6) AS score FROM (
+SELECT customer_id, provider, score FROM (
   SELECT *, accuracy / cost_usd AS score,
          row_number() OVER (PARTITION BY customer_id ORDER BY accuracy / cost_usd DESC, provider) AS r
   FROM {STATS}) WHERE r = 1""")
@@ -129,8 +131,8 @@ def compare_winner(spark, sf):
 
 
 @query("compare_cost_diff", f"""
-SELECT customer_id, provider, round(cost_usd, 6) AS cost_usd,
-  round((cost_usd - min(cost_usd) OVER (PARTITION BY customer_id)) * 100 / min(cost_usd) OVER (PARTITION BY customer_id), 6)
+SELECT customer_id, provider, cost_usd,
+  (cost_usd - min(cost_usd) OVER (PARTITION BY customer_id)) * 100 / min(cost_usd) OVER (PARTITION BY customer_id)
   AS pct_over_cheapest FROM {STATS}""")
 def compare_cost_diff(spark, sf):
     return Hs.compare_cost_diff(_runs(spark, sf))
@@ -143,9 +145,9 @@ def quality_band(spark, sf):
     return Hs.quality_band(_runs(spark, sf))
 
 
-@query("route_cheapest", """
-SELECT arg_min(provider, c) AS provider, round(min(c), 6) AS avg_cost_usd FROM (
-  SELECT provider, quantile_cont(duration_s, 0.95) AS p95, avg(cost_usd) AS c FROM fx_runs GROUP BY 1)
+@query("route_cheapest", f"""
+SELECT arg_min(provider, c) AS provider, min(c) AS avg_cost_usd FROM (
+  SELECT provider, quantile_cont(duration_s, 0.95) AS p95, {xavg('cost_usd')} AS c FROM fx_runs GROUP BY 1)
 WHERE p95 <= 47.0""")
 def route_cheapest(spark, sf):
     return Hs.route_cheapest(_runs(spark, sf), 47.0)

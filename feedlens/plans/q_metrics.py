@@ -8,6 +8,7 @@ from .. import schemas as S
 from ..operators import metrics as MT
 from ..sources import fixtures as FX
 from .catalog import query
+from .sql_snippets import rsum, xsum
 from .q_repair import SELF_CHECK_REPAIRED, repaired_self_check
 
 
@@ -24,12 +25,12 @@ def hist_sql(src: str, labels: list[str], value: str, buckets: list[float], metr
     rows = [f"{{'metric': '{metric}_bucket', 'le': '{MT.le_label(b)}', 'value': b{i}}}" for i, b in enumerate(buckets)]
     rows += [f"{{'metric': '{metric}_bucket', 'le': '+Inf', 'value': cnt}}",
              f"{{'metric': '{metric}_count', 'le': NULL, 'value': cnt}}",
-             f"{{'metric': '{metric}_sum', 'le': NULL, 'value': round(total, 6)}}"]
+             f"{{'metric': '{metric}_sum', 'le': NULL, 'value': total}}"]
     group = f"GROUP BY {lab}" if labels else ""
     return f"""
 SELECT r.metric AS metric, {sel}r.le AS le, r.value AS value FROM (
   SELECT {sel}unnest([{", ".join(rows)}]) AS r FROM (
-    SELECT {sel}{aggs}, CAST(count({value}) AS DOUBLE) AS cnt, sum({value}) AS total FROM {src} {group}))"""
+    SELECT {sel}{aggs}, CAST(count({value}) AS DOUBLE) AS cnt, {rsum(value)} AS total FROM {src} {group}))"""
 
 
 def _runs(spark, sf):
@@ -147,7 +148,7 @@ def log_failed(spark, sf):
 
 
 @query("log_cost", _win_sql("event = 'workflow_execution_completed' AND total_cost_usd IS NOT NULL", 300,
-                            "round(sum(total_cost_usd), 6)"))
+                            f"{rsum('total_cost_usd')}"))
 def log_cost(spark, sf):
     l = _log(spark, sf).filter((F.col("event") == S.EV_COMPLETED) & F.col("total_cost_usd").isNotNull())
     return MT.window_counts(l, "5 minutes", F.col("total_cost_usd"))
@@ -204,16 +205,16 @@ SELECT 'rejection_rate', window_start, round(v, 6), 0.3 FROM (
   FROM fx_runs GROUP BY 1) WHERE v > 0.3
 UNION ALL
 SELECT 'cost_per_hour', window_start, round(v, 6), 0.5 FROM (
-  SELECT {bucket_sql('started_at', 3600)} AS window_start, sum(cost_usd) AS v FROM fx_runs GROUP BY 1) WHERE v > 0.5""")
+  SELECT {bucket_sql('started_at', 3600)} AS window_start, {rsum('cost_usd')} AS v FROM fx_runs GROUP BY 1) WHERE v > 0.5""")
 def alert_rules(spark, sf):
     r = _runs(spark, sf).withColumn("ts", F.col("started_at"))
     return MT.alert_rules(r)
 
 
-@query("budget_alert", """
-SELECT day, env, round(cost, 6) AS cost_usd, budget_usd, cost > budget_usd AS over_budget FROM (
+@query("budget_alert", f"""
+SELECT day, env, cost AS cost_usd, budget_usd, cost > budget_usd AS over_budget FROM (
   SELECT CAST(started_at AS DATE) AS day,
-         CASE user_id % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'staging' ELSE 'prod' END AS env, sum(cost_usd) AS cost
+         CASE user_id % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'staging' ELSE 'prod' END AS env, {rsum('cost_usd')} AS cost
   FROM fx_runs GROUP BY ALL) c
 JOIN (VALUES ('dev', CAST(10.0 AS DOUBLE)), ('staging', 100.0), ('prod', 1000.0)) AS b(env2, budget_usd) ON c.env = b.env2""")
 def budget_alert(spark, sf):

@@ -8,6 +8,7 @@ from ..operators import repair as RP
 from ..operators import results as W
 from ..sources import fixtures as FX
 from .catalog import query
+from .sql_snippets import rsum, xsum
 from .q_repair import (EXTRACT_CONFORMED, SELF_CHECK_CONFORMED, SELF_CHECK_REPAIRED, VALUE_PROP_CONFORMED,
                        repaired_extract, repaired_self_check, repaired_value_prop)
 
@@ -116,7 +117,7 @@ def step_duration(spark, sf):
 
 
 @query("run_totals", f"""
-SELECT run_id, round(sum(cost_usd), 6) AS total_cost_usd, CAST(sum(tokens_input) AS BIGINT) AS total_tokens_input,
+SELECT run_id, {rsum('cost_usd')} AS total_cost_usd, CAST(sum(tokens_input) AS BIGINT) AS total_tokens_input,
   CAST(sum(tokens_output) AS BIGINT) AS total_tokens_output, CAST(sum({STEP_DUR}) AS BIGINT) AS total_latency_ms,
   count(*) AS n_steps, CASE WHEN bool_and(status = 'success') THEN 'success' ELSE 'failed' END AS status
 FROM fx_steps GROUP BY run_id""")
@@ -125,8 +126,9 @@ def run_totals(spark, sf):
 
 
 @query("cost_by_step", f"""
-SELECT step, round(c, 6) AS cost_usd, round(l, 3) AS avg_latency_ms, round(c / sum(c) OVER (), 6) AS cost_share
-FROM (SELECT step, sum(cost_usd) AS c, avg({STEP_DUR}) AS l FROM fx_steps GROUP BY step)""")
+SELECT step, rc AS cost_usd, round(l, 3) AS avg_latency_ms,
+  c / CAST(sum(CAST(c AS DECIMAL(38,10))) OVER () AS DOUBLE) AS cost_share
+FROM (SELECT step, {rsum('cost_usd')} AS rc, {xsum('cost_usd')} AS c, avg({STEP_DUR}) AS l FROM fx_steps GROUP BY step)""")
 def cost_by_step(spark, sf):
     return W.cost_by_step(FX.fx_steps(spark, sf))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import keys
+from ..functions.exact import rsum, xsum
 from ..operators import cache as H
 from ..operators import cost as C
 from ..operators import generate as G
@@ -103,7 +104,7 @@ def run_workflow(notes: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], o
                                        "latency_ms", "error"))
     steps.write.mode("overwrite").parquet(f"{out}/steps")
     steps = spark.read.parquet(f"{out}/steps")
-    totals = steps.groupBy("run_id").agg(F.round(F.sum("cost_usd"), 6).alias("total_cost_usd"),
+    totals = steps.groupBy("run_id").agg(rsum("cost_usd").alias("total_cost_usd"),
                                          F.sum("latency_ms").alias("total_latency_ms"))
     res = W.outcome(ext, sc, vp).join(totals, "run_id", "left").join(
         todo.select("run_id", "request_id", "cache_key", "provider", "model", now_col), "run_id")

@@ -53,3 +53,17 @@ def redact(expr: str) -> str:
     for _, pattern, _ in PII_PATTERNS:
         out = f"regexp_replace({out}, '{_sq(pattern)}', '[REDACTED]', 'g')"
     return out
+
+
+def xsum(expr: str) -> str:
+    """Same as functions.exact.xsum."""
+    return f"CAST(sum(CAST({expr} AS DECIMAL(38,10))) AS DOUBLE)"
+
+
+def xavg(expr: str) -> str:
+    return f"({xsum(expr)} / CAST(count({expr}) AS DOUBLE))"
+
+
+def rsum(expr: str, digits: int = 6) -> str:
+    """Same as functions.exact.rsum (DuckDB rounds decimals half away from zero = HALF_UP here)."""
+    return f"CAST(round(sum(CAST({expr} AS DECIMAL(38,10))), {digits}) AS DOUBLE)"
