@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memo import columns
 from .text import strip_ws
 
 # Fixed patterns (must equal the service's)
@@ -24,6 +25,7 @@ STRATEGIES = ("direct", "fenced", "open_fence", "longest", "first", "cleaned", "
 _JSON_WS = "[ \t\n\r]*"
 
 
+@columns
 def is_json_object(c: Column) -> Column:
     """True iff the whole text is exactly one strict JSON object (surrounding JSON whitespace ok).
 
@@ -36,6 +38,7 @@ def is_json_object(c: Column) -> Column:
             & (F.coalesce(F.json_array_length(wrapped), F.lit(0)) == 1))
 
 
+@columns
 def brace_objects(c: Column) -> Column:
     """J-6: substrings whose braces balance, in text order (depth clamped at 0, K16)."""
     init = F.struct(F.lit(0).alias("d"), F.lit(-1).alias("s"), F.lit(0).alias("i"),
@@ -67,31 +70,27 @@ def _by_length_desc(objs: Column) -> Column:
     return F.transform(F.array_sort(idx), lambda x: x["o"])
 
 
-def salvage(df: DataFrame, content: str = "content") -> DataFrame:
-    """Adds `json_text` (the selected object) and `strategy` to `df`."""
+@columns
+def _stages(content: str) -> list[dict[str, Column]]:
+    """Column sets of the salvage stages for one content column (built once per context)."""
     c = F.col(content)
     fenced = F.regexp_extract(c, FENCE, 1)
-    out = df.withColumn(
-        "_quick",
-        F.when(is_json_object(c), F.struct(c.alias("j"), F.lit("direct").alias("s")))
-        .when((fenced != "") & is_json_object(fenced), F.struct(fenced.alias("j"), F.lit("fenced").alias("s"))))
-
+    quick = (F.when(is_json_object(c), F.struct(c.alias("j"), F.lit("direct").alias("s")))
+             .when((fenced != "") & is_json_object(fenced), F.struct(fenced.alias("j"), F.lit("fenced").alias("s"))))
     open_raw = strip_ws(F.regexp_extract(c, OPEN_FENCE, 1))
     has_open = c.rlike(OPEN_FENCE)
-    out = out.withColumn("_objs", F.when(F.col("_quick").isNull(), brace_objects(c)))
-    # a column, so the substring lambda in brace_objects reads it instead of re-running the regex
-    out = out.withColumn("_open_raw", F.when(F.col("_quick").isNull() & has_open, open_raw))
-    out = out.withColumn("_open", F.when(F.col("_open_raw").isNotNull(),
-                                         _first_valid(brace_objects(F.col("_open_raw")))))
-    longest = _first_valid(_by_length_desc(F.col("_objs")),
-                           lambda o: F.size(F.json_object_keys(o)) > 2)
+    unsolved = F.col("_quick").isNull()
+    # _open_raw is a column, so the substring lambda in brace_objects reads it instead of
+    # re-running the regex
+    stage2 = {"_objs": F.when(unsolved, brace_objects(c)),
+              "_open_raw": F.when(unsolved & has_open, open_raw)}
+    stage3 = {"_open": F.when(F.col("_open_raw").isNotNull(), _first_valid(brace_objects(F.col("_open_raw"))))}
+    longest = _first_valid(_by_length_desc(F.col("_objs")), lambda o: F.size(F.json_object_keys(o)) > 2)
     first = _first_valid(F.col("_objs"))
     cleaned_base = strip_ws(F.regexp_replace(c, FENCE_MARK, ""))
     cleaned = F.regexp_replace(F.regexp_replace(cleaned_base, "\n", " "), TRAILING_COMMA, "$1")
     cleaned_ok = cleaned_base.startswith("{") & cleaned_base.endswith("}") & is_json_object(cleaned)
-    regex_all = F.regexp_extract_all(c, F.lit(NESTED_OBJECT), 0)
-    regex_longest = F.get(_by_length_desc(regex_all), 0)
-
+    regex_longest = F.get(_by_length_desc(F.regexp_extract_all(c, F.lit(NESTED_OBJECT), 0)), 0)
     pick = (
         F.when(F.col("_quick").isNotNull(), F.col("_quick"))
         .when(F.col("_open").isNotNull(), F.struct(F.col("_open").alias("j"), F.lit("open_fence").alias("s")))
@@ -101,7 +100,13 @@ def salvage(df: DataFrame, content: str = "content") -> DataFrame:
         .when(regex_longest.isNotNull() & is_json_object(regex_longest),
               F.struct(regex_longest.alias("j"), F.lit("regex").alias("s")))
         .otherwise(F.struct(F.lit(None).cast("string").alias("j"), F.lit("rejected").alias("s"))))
-    out = out.withColumn("_pick", pick)
-    return (out.withColumn("json_text", F.col("_pick.j"))
-            .withColumn("strategy", F.col("_pick.s"))
-            .drop("_quick", "_objs", "_open_raw", "_open", "_pick"))
+    return [{"_quick": quick}, stage2, stage3, {"_pick": pick},
+            {"json_text": F.col("_pick.j"), "strategy": F.col("_pick.s")}]
+
+
+def salvage(df: DataFrame, content: str = "content") -> DataFrame:
+    """Adds `json_text` (the selected object) and `strategy` to `df`."""
+    out = df
+    for stage in _stages(content):
+        out = out.withColumns(stage)
+    return out.drop("_quick", "_objs", "_open_raw", "_open", "_pick")

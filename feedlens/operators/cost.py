@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 
+_DIMS: dict = {}
+
 
 def prices(spark: SparkSession) -> DataFrame:
     """A3 + M8: listed models with capability flags (6 rows; fixed size, safe to broadcast)."""
+    key = ("prices", id(spark))
+    if key not in _DIMS:
+        _DIMS[key] = _prices(spark)
+    return _DIMS[key]
+
+
+def _prices(spark: SparkSession) -> DataFrame:
     p = spark.createDataFrame(S.PRICE_ROWS, "provider string, model string, price_in double, price_out double")
     m = F.col("model")
     json_mode = (F.when(F.col("provider") == "openai", m.contains("gpt-4") | m.contains("gpt-3.5"))
@@ -19,7 +28,11 @@ def prices(spark: SparkSession) -> DataFrame:
 
 
 def default_prices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(S.DEFAULT_PRICE_ROWS, "provider string, default_in double, default_out double")
+    key = ("defaults", id(spark))
+    if key not in _DIMS:
+        _DIMS[key] = spark.createDataFrame(S.DEFAULT_PRICE_ROWS,
+                                           "provider string, default_in double, default_out double")
+    return _DIMS[key]
 
 
 def with_cost(df: DataFrame, tokens_in: str = "tokens_input", tokens_out: str = "tokens_output",

@@ -14,16 +14,24 @@ SPREAD = ("documents", "events", "conversations")
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in SPREAD else df
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread(df, path) if name in SPREAD else df
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, path: str) -> DataFrame:
     """Round-robin a scan that yields fewer partitions than the cluster has cores.
 
     A file written as one or a few row groups cannot be split further, which leaves cores idle on
     row-wise CPU work. On a large input the scan already has many splits and this is a no-op.
     Filters and column pruning are still pushed below the repartition into the scan.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    sc = df.sparkSession.sparkContext
+    cores = sc.defaultParallelism
+    key = (id(sc), path)
+    if key not in _SCAN_PARTITIONS:  # planning the scan once per file set is enough
+        _SCAN_PARTITIONS[key] = df.rdd.getNumPartitions()
+    return df.repartition(cores) if _SCAN_PARTITIONS[key] < cores else df
+
+
+_SCAN_PARTITIONS: dict = {}
