@@ -127,13 +127,18 @@ def sliding_rate(events: DataFrame, length: str = "5 minutes", slide: str = "1 m
             .agg(F.count(F.lit(1)).alias("n")).withColumn("rate", F.round(F.col("n") / seconds, 6)))
 
 
-def exact_percentiles(df: DataFrame, group: list[str], value: str, ps: list[float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, group: list[str], value: str, ps: list[float],
+                      resolution: float | None = None) -> DataFrame:
     """Exact percentiles (linear interpolation, like `percentile`) without holding a group.
 
     Values are first counted per (group, value); ranks come from a running sum of those counts,
-    then each requested rank is found with a conditional min. Memory per task is bounded by the
-    number of distinct values, not by the group's row count.
+    then each requested rank is found with a conditional min. Work per group is bounded by the
+    number of distinct values, not by the group's row count; `resolution` caps that number for
+    continuous metrics.
     """
+    if resolution is not None:
+        # exact at the given resolution (e.g. 1 ms): bounds the distinct values per group
+        df = df.withColumn(value, F.round(F.col(value) / resolution) * resolution)
     c = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = c.withColumn("_cum", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*group)))
