@@ -232,3 +232,15 @@ def latency_pct_approx(spark, sf):
     a = MT.approx_percentiles(_runs(spark, sf), ["provider"], "duration_s", [0.5, 0.95, 0.99])
     return a.select("provider", F.col("values")[0].alias("p50"), F.col("values")[1].alias("p95"),
                     F.col("values")[2].alias("p99"))
+
+
+@query("metrics_text_hist", """
+SELECT metric || '{provider="' || provider || '",model="' || model || '"'
+       || CASE WHEN le IS NOT NULL THEN ',le="' || le || '"' ELSE '' END || '} ' || printf('%.6f', value) AS line
+FROM (""" + hist_sql("fx_runs", ["provider", "model"], "duration_s", S.DURATION_BUCKETS, "workflow_duration_seconds")
+      + ")")
+def metrics_text_hist(spark, sf):
+    """A7 for the duration histogram (MT2): bucket, count and sum lines."""
+    h = MT.histogram(_runs(spark, sf), ["provider", "model"], "duration_s", S.DURATION_BUCKETS,
+                     "workflow_duration_seconds")
+    return MT.exposition(h, ["provider", "model"])
