@@ -96,7 +96,10 @@ def _in01(c: Column) -> Column:
 
 
 def _with_violations(df: DataFrame, pairs: list[tuple[Column, str]]) -> DataFrame:
+    """Rule names that fail, plus any `type_errors` the parser reported (§7.4)."""
     v = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for bad, name in pairs]))
+    if "type_errors" in df.columns:
+        v = F.concat(v, F.coalesce(F.col("type_errors"), F.array().cast("array<string>")))
     return df.withColumn("violations", v).withColumn("valid", F.size("violations") == 0)
 
 

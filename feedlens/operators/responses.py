@@ -56,10 +56,22 @@ def estimate_tokens(df: DataFrame, prompt: str = "prompt") -> DataFrame:
 
 
 def parse(df: DataFrame, step: str, content: str = "content") -> DataFrame:
-    """J-1 … J-9 then typed: adds `json_text`, `strategy`, `n_keys`, `parsed` (struct of the step)."""
+    """J-1 … J-9 then typed: adds `json_text`, `strategy`, `n_keys`, `parsed` (struct of the step)
+    and `type_errors`.
+
+    `from_json` turns a field of the wrong JSON type into null; read alone, that null would be
+    "repaired" like a missing field. A second, schema-free parse (`map<string,string>`) shows which
+    keys were present with a value, so such fields are reported as `type:<field>` (a V2 violation).
+    """
+    schema = S.STEP_SCHEMAS[step]
     out = salvage(df, content)
-    return (out.withColumn("n_keys", F.size(F.json_object_keys("json_text")))
-            .withColumn("parsed", F.from_json("json_text", S.STEP_SCHEMAS[step])))
+    out = out.withColumns({"n_keys": F.size(F.json_object_keys("json_text")),
+                           "parsed": F.from_json("json_text", schema),
+                           "_raw": F.from_json("json_text", "map<string,string>")})
+    errs = F.array_compact(F.array(*[
+        F.when(F.col("_raw")[f.name].isNotNull() & F.col("parsed")[f.name].isNull(), F.lit(f"type:{f.name}"))
+        for f in schema.fields]))
+    return out.withColumn("type_errors", F.when(F.col("json_text").isNotNull(), errs)).drop("_raw")
 
 
 def parse_rejects(parsed: DataFrame, content: str = "content") -> DataFrame:

@@ -175,3 +175,30 @@ FROM documents""")
 def brace_objects(spark, sf):
     r = FX.fx_responses(spark, sf)
     return r.select("doc_id", F.size(brace_objects_expr(F.col("content"))).alias("n_objects"))
+
+
+def fx_typed_answers(spark, sf):
+    """Extract answers where some fields carry the wrong JSON type (by doc_id % 4)."""
+    from ..sources.tables import table
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    k = F.col("doc_id") % 4
+    conf = F.when(k == 0, F.lit('"high"')).otherwise(F.lit("0.7"))
+    pains = F.when(k == 1, F.lit('"slow"')).otherwise(F.lit('["slow"]'))
+    text = F.concat(F.lit('{"problem_statement": "p", "desired_outcome": "o", "pain_points": '), pains,
+                    F.lit(', "value_drivers": ["time"], "confidence_score": '), conf,
+                    F.when(k == 2, F.lit(', "stakeholders": {"a": 1}')).otherwise(F.lit("")), F.lit("}"))
+    return d.select(F.col("doc_id").cast("string").alias("run_id"), text.alias("content"))
+
+
+@query("parse_type_errors", """
+SELECT CAST(doc_id AS VARCHAR) AS run_id,
+  CASE doc_id % 4 WHEN 0 THEN 'type:confidence_score' WHEN 1 THEN 'type:pain_points'
+       WHEN 2 THEN 'type:stakeholders' ELSE '' END AS type_errors,
+  doc_id % 4 = 3 AS valid
+FROM documents""")
+def parse_type_errors(spark, sf):
+    from ..operators import repair as RP
+    p = R.parse(fx_typed_answers(spark, sf), "extract")
+    typed = p.select("run_id", "type_errors", "parsed.*")
+    c = RP.conform_extract(RP.repair_extract(typed))
+    return c.select("run_id", F.array_join("type_errors", ",").alias("type_errors"), "valid")

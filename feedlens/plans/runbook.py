@@ -38,7 +38,7 @@ def _answers(prompts: DataFrame, fn, out: str, step: str, parallelism: int | Non
 
 def _typed(answers: DataFrame, step: str) -> DataFrame:
     p = R.parse(answers.select("run_id", "content"), step)
-    return p.select("run_id", "strategy", "parsed.*")
+    return p.select("run_id", "strategy", "type_errors", "parsed.*")
 
 
 def run_workflow(notes: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], out: str,
