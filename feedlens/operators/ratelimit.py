@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 
@@ -37,7 +38,9 @@ def _fold_stream(limit: int, window_us: int):
                 if len(kept) < limit:
                     kept.append(now)
                     admitted[i] = True
-            yield pd.DataFrame({"_id": b["_id"].to_numpy(), "admitted": admitted})
+            out = b.drop(columns=["_b", "_s"], errors="ignore")
+            out["admitted"] = admitted
+            yield out
     return run
 
 
@@ -64,7 +67,8 @@ def sessions(r: DataFrame, window_us: int, bucket_us: int) -> DataFrame:
     starts = F.when(F.col("_prev").isNull(), F.col("_first_starts")).otherwise(inner_start)
     j = j.withColumn("_start", F.when(starts, F.col("_t")))
     running = F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return j.withColumn("_s", F.coalesce(running, F.col("_carry"))).select("_id", "_u", "_t", "_s")
+    return (j.withColumn("_s", F.coalesce(running, F.col("_carry")))
+            .drop("_prev", "_first_starts", "_carry", "_start"))
 
 
 def rate_limit(requests: DataFrame, user: str = "user_id", ts: str = "ts", key: str = "event_id",
@@ -79,12 +83,15 @@ def rate_limit(requests: DataFrame, user: str = "user_id", ts: str = "ts", key:
     window_us = window_seconds * 1_000_000
     n = buckets or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    r = requests.select(F.col(key).alias("_id"), F.col(user).alias("_u"), t.alias("_t"))
+    # request columns ride along through the fold, so no join back to the requests is needed
+    r = requests.withColumns({"_id": F.col(key), "_u": F.col(user), "_t": t})
     r = sessions(r, window_us, bucket_seconds * 1_000_000)
     r = (r.repartition(n, F.pmod(F.hash("_u", "_s"), F.lit(n)))
          .sortWithinPartitions("_u", "_s", "_t", "_id"))
-    decided = r.mapInPandas(_fold_stream(limit, window_us), "_id long, admitted boolean")
-    return requests.join(decided.withColumnRenamed("_id", key), key)
+    out_schema = T.StructType([f for f in r.schema.fields if f.name not in ("_b", "_s")]
+                              + [T.StructField("admitted", T.BooleanType())])
+    decided = r.mapInPandas(_fold_stream(limit, window_us), out_schema)
+    return decided.drop("_id", "_u", "_t")
 
 
 def trailing_count(requests: DataFrame, user: str = "user_id", ts: str = "ts",
