@@ -35,6 +35,29 @@ def default_prices(spark: SparkSession) -> DataFrame:
     return _DIMS[key]
 
 
+def capability_flags(model: str = "model", provider: str = "provider"):
+    """M8: json-mode and function-calling support, by the service's model-name rules."""
+    m, p = F.col(model), F.col(provider)
+    json_mode = F.when(p == "openai", m.contains("gpt-4") | m.contains("gpt-3.5")).otherwise(F.lit(False))
+    fn_calling = F.when(p == "anthropic", m.contains("claude-3")).otherwise(F.lit(True))
+    return json_mode, fn_calling
+
+
+def model_catalog(models: DataFrame) -> DataFrame:
+    """Prices (listed or provider default) and capability flags for observed (provider, model)."""
+    spark = models.sparkSession
+    p = F.broadcast(prices(spark).select("provider", "model", "price_in", "price_out"))
+    d = F.broadcast(default_prices(spark))
+    j = models.join(p, ["provider", "model"], "left").join(d, ["provider"], "left")
+    json_mode, fn_calling = capability_flags()
+    return j.select("provider", "model",
+                    F.coalesce("price_in", "default_in").alias("price_in"),
+                    F.coalesce("price_out", "default_out").alias("price_out"),
+                    F.col("price_in").isNotNull().alias("listed"),
+                    json_mode.alias("supports_json_mode"), fn_calling.alias("supports_function_calling"),
+                    *[c for c in models.columns if c not in ("provider", "model")])
+
+
 def with_cost(df: DataFrame, tokens_in: str = "tokens_input", tokens_out: str = "tokens_output",
               out: str = "cost_usd") -> DataFrame:
     """round(in/1e6·p_in + out/1e6·p_out, 6) with the provider default for unlisted models.

@@ -92,10 +92,11 @@ def history_search(spark, sf):
 
 
 @query("history_delete", """
-SELECT run_id FROM fx_runs WHERE run_id NOT IN (SELECT run_id FROM fx_runs WHERE user_id % 10 = 0)""")
+SELECT run_id FROM fx_runs WHERE run_id NOT IN (SELECT run_id FROM fx_runs WHERE NOT success)""")
 def history_delete(spark, sf):
     r = _runs(spark, sf)
-    return Hs.history_delete(r, r.filter(F.col("user_id") % 10 == 0)).select("run_id")
+    # delete the failed runs: the id list is itself derived from the table
+    return Hs.history_delete(r, r.filter(~F.col("success"))).select("run_id")
 
 
 @query("recent_runs", "SELECT run_id, started_at FROM fx_runs ORDER BY started_at DESC, run_id LIMIT 10")

@@ -112,14 +112,21 @@ def step_cost(spark, sf):
     return C.with_cost(s).select("run_id", "step", "model", "cost_usd")
 
 
-@query("price_dimension", """
-SELECT p.provider, p.model, CAST(price_in AS DOUBLE) AS price_in, CAST(price_out AS DOUBLE) AS price_out,
-  CASE WHEN p.provider = 'openai' THEN contains(p.model, 'gpt-4') OR contains(p.model, 'gpt-3.5') ELSE FALSE END
+@query("price_dimension", f"""
+SELECT s.provider, s.model, CAST(coalesce(p.price_in, dp.default_in) AS DOUBLE) AS price_in,
+  CAST(coalesce(p.price_out, dp.default_out) AS DOUBLE) AS price_out, p.model IS NOT NULL AS listed,
+  CASE WHEN s.provider = 'openai' THEN contains(s.model, 'gpt-4') OR contains(s.model, 'gpt-3.5') ELSE FALSE END
     AS supports_json_mode,
-  CASE WHEN p.provider = 'anthropic' THEN contains(p.model, 'claude-3') ELSE TRUE END AS supports_function_calling
-FROM """ + PRICES_SQL)
+  CASE WHEN s.provider = 'anthropic' THEN contains(s.model, 'claude-3') ELSE TRUE END AS supports_function_calling,
+  s.n_steps
+FROM (SELECT provider, model, count(*) AS n_steps FROM {STEP_MODELS} GROUP BY 1, 2) s
+LEFT JOIN {PRICES_SQL} ON s.provider = p.provider AND s.model = p.model
+LEFT JOIN {DEFAULTS_SQL} ON s.provider = dp.provider""")
 def price_dimension(spark, sf):
-    return C.prices(spark)
+    """A3/M8: prices and capability flags of every model seen in the step log (listed or not)."""
+    s = FX.fx_steps(spark, sf).withColumn(
+        "model", F.when(F.col("event_id") % 10 == 9, F.concat("model", F.lit("-preview"))).otherwise(F.col("model")))
+    return C.model_catalog(s.groupBy("provider", "model").agg(F.count(F.lit(1)).alias("n_steps")))
 
 
 # ---- JSON salvage over eight answer shapes ----------------------------------------------
