@@ -40,22 +40,27 @@ def is_json_object(c: Column) -> Column:
 
 @columns
 def brace_objects(c: Column) -> Column:
-    """J-6: substrings whose braces balance, in text order (depth clamped at 0, K16)."""
+    """J-6: substrings whose braces balance, in text order (depth clamped at 0, K16).
+
+    The text is split just before every brace (zero-width lookahead), so the fold takes one step
+    per brace instead of one per character; the running offset is carried by segment lengths.
+    """
     init = F.struct(F.lit(0).alias("d"), F.lit(-1).alias("s"), F.lit(0).alias("i"),
                     F.array().cast("array<struct<s:int,e:int>>").alias("o"))
 
-    def step(acc, ch):
+    def step(acc, seg):
+        ch = F.substring(seg, 1, 1)
         opening = ch == "{"
         closing = (ch == "}") & (acc["d"] > 0)
         done = closing & (acc["d"] == 1)
         return F.struct(
             F.when(opening, acc["d"] + 1).when(closing, acc["d"] - 1).otherwise(acc["d"]).alias("d"),
             F.when(opening & (acc["d"] == 0), acc["i"]).when(done, F.lit(-1)).otherwise(acc["s"]).alias("s"),
-            (acc["i"] + 1).alias("i"),
+            (acc["i"] + F.length(seg)).alias("i"),
             F.when(done, F.concat(acc["o"], F.array(F.struct(acc["s"].alias("s"), acc["i"].alias("e")))))
             .otherwise(acc["o"]).alias("o"))
 
-    spans = F.aggregate(F.split(c, ""), init, step, lambda acc: acc["o"])
+    spans = F.aggregate(F.split(c, "(?=[{}])", -1), init, step, lambda acc: acc["o"])
     return F.transform(spans, lambda x: F.substring(c, x["s"] + 1, x["e"] - x["s"] + 1))
 
 

@@ -128,3 +128,16 @@ def test_rate_limit(spark):
     got = {r.event_id: r.admitted for r in U.rate_limit(df).collect()}
     assert [got[i] for i in range(12)] == [True] * 10 + [False, False]
     assert got[100] is True  # requests 0–9 left the window at t=60…69, rejected ones never counted
+
+
+def test_brace_objects_edges(spark):
+    from feedlens.functions.jsonsalvage import brace_objects
+    cases = [('a {"x": {"y": 1}} b {"z": 2}', ['{"x": {"y": 1}}', '{"z": 2}']),
+             ('} {"a": 1}', ['{"a": 1}']),          # stray closer is ignored (depth clamped at 0)
+             ('{"a": "}"}', ['{"a": "}']),           # braces inside strings count, as in the service
+             ('{{}', []),
+             ('', []),
+             ('{}{}', ['{}', '{}'])]
+    df = spark.createDataFrame([(t,) for t, _ in cases], "t string")
+    got = [r.o for r in df.select(brace_objects(F.col("t")).alias("o")).collect()]
+    assert got == [e for _, e in cases]
