@@ -58,6 +58,9 @@ CACHE_STATE = "written_us long"
 
 def _cache_state_fn(ttl_us: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # the watermark passed the entry's expiry: drop the key
+            state.remove()
+            return
         written = state.get[0] if state.exists else None
         parts = list(pdfs)
         if not parts:
@@ -72,17 +75,24 @@ def _cache_state_fn(ttl_us: int):
                 hits.append(False)
                 written = int(now)  # a miss computes and writes the result
         state.update((written,))
+        # the entry is dead after its TTL; let the watermark evict the key then (bounded state)
+        state.setTimeoutTimestamp(written // 1000 + ttl_us // 1000)
         out = pdf[["request_id", "cache_key", "requested_at"]].copy()
         out["hit"] = hits
         yield out
     return fn
 
 
-def cache_stream(requests: DataFrame, ttl_seconds: int = S.CACHE_TTL_SECONDS) -> DataFrame:
-    """H9: per key, a request within the TTL of the last computed result is a hit (keyed state)."""
-    return (requests.groupBy("cache_key")
+def cache_stream(requests: DataFrame, ttl_seconds: int = S.CACHE_TTL_SECONDS,
+                 delay: str = "10 minutes") -> DataFrame:
+    """H9: per key, a request within the TTL of the last computed result is a hit (keyed state).
+
+    State is one timestamp per key and is evicted by an event-time timeout once the watermark
+    passes the entry's expiry, so it holds only keys seen within the last TTL (+ delay).
+    """
+    return (requests.withWatermark("requested_at", delay).groupBy("cache_key")
             .applyInPandasWithState(_cache_state_fn(ttl_seconds * 1_000_000), CACHE_OUT, CACHE_STATE,
-                                    "append", GroupStateTimeout.NoTimeout))
+                                    "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def run_append_to_parquet(df: DataFrame, out: str, checkpoint: str):
