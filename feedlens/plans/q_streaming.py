@@ -68,3 +68,19 @@ def stream_rate_limit(spark, sf):
     out, ck = ST.scratch(spark, "stream-rate-out"), ST.scratch(spark, "stream-rate-ck")
     ST.run_append_to_parquet(ST.rate_limit_stream(src), out, ck)
     return spark.read.parquet(out).select("event_id", "user_id", "admitted")
+
+
+@query("stream_alarm", __import__("feedlens.plans.q_metrics", fromlist=["_alarm_sql"])._alarm_sql(3600))
+def stream_alarm(spark, sf):
+    """L4 live: failure counts per hour from the stream sink, then the two-period alarm."""
+    from ..operators import metrics as MT
+    src = (spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet")
+           .option("maxFilesPerTrigger", 1).parquet(sf)
+           .filter(F.col("event_type") == "error")
+           # a failed run logs its failure when it completes: start + value/10 seconds
+           .withColumn("ts", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp"))
+                                                + F.round(F.col("value") * 100000).cast("long"))))
+    agg = ST.windowed_counts(src, period="1 hour")
+    out, ck = ST.scratch(spark, "stream-alarm-out"), ST.scratch(spark, "stream-alarm-ck")
+    ST.run_update_to_parquet(agg, out, ck)
+    return MT.alarm(ST.latest_rows(spark, out, ["window_start"]), 3600)
