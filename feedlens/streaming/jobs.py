@@ -116,6 +116,7 @@ def _rate_processor(limit: int, window_us: int):
 
     class RateLimiter(StatefulProcessor):
         def init(self, handle) -> None:
+            self.handle = handle
             self.times = handle.getValueState("admitted_times", state_schema)
 
         def handleInputRows(self, key, rows, timerValues):
@@ -129,9 +130,19 @@ def _rate_processor(limit: int, window_us: int):
                     kept.append(int(now))
                 admitted.append(ok)
             self.times.update((kept,))
+            # once the watermark is a window past the last admitted request the state is empty
+            # anyway: a timer then drops the key, so state holds only recently active users
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            if kept:
+                self.handle.registerTimer(kept[-1] // 1000 + window_us // 1000)
             yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "user_id": pdf["user_id"].to_numpy(),
                                 "admitted": admitted})
 
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.times.clear()
+            return iter([])
+
         def close(self) -> None:
             pass
 
@@ -139,13 +150,18 @@ def _rate_processor(limit: int, window_us: int):
 
 
 def rate_limit_stream(requests: DataFrame, limit: int = S.RATE_LIMIT_REQUESTS,
-                      window_seconds: int = S.RATE_LIMIT_WINDOW_SECONDS) -> DataFrame:
+                      window_seconds: int = S.RATE_LIMIT_WINDOW_SECONDS, delay: str = "10 minutes") -> DataFrame:
     """U1 (stream): requests(event_id, user_id, ts) → admitted; state per user is ≤ `limit` longs.
 
     Rows are folded in event-time order within a micro-batch and in arrival order across batches.
-    Needs the RocksDB state store provider (`ROCKSDB`), set before the query starts.
+    An event-time timer at (last admitted + window) clears a user's state once the watermark passes
+    it, so state holds only users active within the window (+ `delay`); rows later than the
+    watermark are dropped, as for any watermarked stream. Needs the RocksDB state store provider
+    (`ROCKSDB`), set before the query starts.
     """
-    r = requests.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+    t = F.col("ts").cast("timestamp")
+    r = (requests.withColumn("ts_e", t).withWatermark("ts_e", delay)
+         .select("event_id", "user_id", F.unix_micros("ts_e").alias("ts_us")))
     return r.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=_rate_processor(limit, window_seconds * 1_000_000),
-        outputStructType=RATE_OUT, outputMode="Append", timeMode="None")
+        outputStructType=RATE_OUT, outputMode="Append", timeMode="EventTime")
