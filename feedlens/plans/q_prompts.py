@@ -146,7 +146,7 @@ def generate_batch(spark, sf):
     p = c.select(F.col("request_id").alias("run_id"), F.lit("extract").alias("step"),
                  F.lit("google").alias("provider"), F.lit("gemini-2.5-flash-lite").alias("model"),
                  P.extract_prompt(F.col("cleaned")).alias("prompt"))
-    r = G.generate_batch(p, echo_model, parallelism=spark.sparkContext.defaultParallelism)
+    r = G.generate_batch(p, echo_model, parallelism=int(spark.conf.get("spark.sql.shuffle.partitions")))
     return r.select("run_id", "content", "tokens_input", "tokens_output")
 
 

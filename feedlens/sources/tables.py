@@ -26,11 +26,14 @@ def spread(df: DataFrame, path: str) -> DataFrame:
     row-wise CPU work. On a large input the scan already has many splits and this is a no-op.
     Filters and column pruning are still pushed below the repartition into the scan.
     """
-    sc = df.sparkSession.sparkContext
-    cores = sc.defaultParallelism
-    key = (id(sc), path)
-    if key not in _SCAN_PARTITIONS:  # planning the scan once per file set is enough
-        _SCAN_PARTITIONS[key] = df.rdd.getNumPartitions()
+    try:
+        sc = df.sparkSession.sparkContext
+        cores = sc.defaultParallelism
+        key = (id(sc), path)
+        if key not in _SCAN_PARTITIONS:  # planning the scan once per file set is enough
+            _SCAN_PARTITIONS[key] = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a remote session): leave the scan as it is
+        return df
     return df.repartition(cores) if _SCAN_PARTITIONS[key] < cores else df
 
 
