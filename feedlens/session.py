@@ -57,3 +57,39 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Make `feedlens` importable on the executors' Python workers (like `--py-files`).
+
+    Pandas-backed operators are pickled by reference to this package, so workers must be able to
+    import it. The package is zipped once into the shared checkpoint folder and added to the
+    context; on a remote session the zip is uploaded as an artifact instead.
+    """
+    import hashlib
+    import os
+    import zipfile
+
+    key = id(getattr(spark, "_sc", None) or spark)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
+    digest = hashlib.sha1(b"".join(open(f, "rb").read() for f in files)).hexdigest()[:12]
+    folder = os.path.join(checkpoint_dir(spark).replace("file:", ""), "_pylib")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"feedlens-{digest}.zip")
+    if not os.path.exists(path):
+        tmp = f"{path}.{os.getpid()}.part"
+        with zipfile.ZipFile(tmp, "w") as z:
+            for f in files:
+                z.write(f, os.path.join("feedlens", os.path.relpath(f, pkg)))
+        os.replace(tmp, path)
+    try:
+        spark.sparkContext.addPyFile(path)
+    except Exception:
+        spark.addArtifacts(path, pyfile=True)
+    _SHIPPED.add(key)
