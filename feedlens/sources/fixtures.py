@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import keys
-from .tables import table
+from .tables import spread, table
 
 BASE_EPOCH = 1704067200  # 2024-01-01T00:00:00Z
 
@@ -26,7 +26,7 @@ def _pick(idx: Column, values: list) -> Column:
 
 def fx_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(
+    return spread(d.select(
         F.col("doc_id").cast("string").alias("request_id"),
         "doc_id",
         F.col("text").alias("content"),
@@ -34,7 +34,7 @@ def fx_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("cust-"), (F.col("doc_id") % 100).cast("string")).alias("customer_id"),
         "lang",
         F.timestamp_seconds(F.lit(BASE_EPOCH) + F.col("doc_id") * 60).alias("requested_at"),
-    )
+    ), f"{sf_dir}:fx_feedback")
 
 
 def fx_conversation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,8 @@ def fx_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                                F.lit(" on file.")))
         .otherwise(F.lit(""))
     )
-    return d.select(F.col("doc_id").cast("string").alias("request_id"), "doc_id",
-                    F.concat(F.col("text"), suffix).alias("content"))
+    return spread(d.select(F.col("doc_id").cast("string").alias("request_id"), "doc_id",
+                           F.concat(F.col("text"), suffix).alias("content")), f"{sf_dir}:fx_pii")
 
 
 # --- model answers wrapped in eight text shapes -----------------------------------------
@@ -106,8 +106,8 @@ def fx_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Broken { start. "), payload, F.lit(" tail.")),
         F.concat(F.lit("No structured answer for "), F.col("source"), F.lit(".")),
     ])
-    return f.select(F.col("doc_id").cast("string").alias("run_id"), "doc_id",
-                    F.lit("extract").alias("step"), text.alias("content"))
+    return spread(f.select(F.col("doc_id").cast("string").alias("run_id"), "doc_id",
+                           F.lit("extract").alias("step"), text.alias("content")), f"{sf_dir}:fx_responses")
 
 
 # --- typed step outputs with holes ---------------------------------------------------------
@@ -254,7 +254,7 @@ def fx_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run log as JSON lines (one `value` string per event)."""
-    r = fx_runs(spark, sf_dir)
+    r = spread(fx_runs(spark, sf_dir), f"{sf_dir}:fx_log")
     iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
     start_ts = F.date_format("started_at", iso)
     end_ts = F.date_format("completed_at", iso)

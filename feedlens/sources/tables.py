@@ -7,24 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# fact tables whose rows carry CPU-heavy work (regex over text, JSON building and parsing)
-SPREAD = ("documents", "events", "conversations")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    return spread(df, path) if name in SPREAD else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def spread(df: DataFrame, path: str) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has cores.
+    """Round-robin rows whose scan yields fewer partitions than the cluster has cores.
 
     A file written as one or a few row groups cannot be split further, which leaves cores idle on
-    row-wise CPU work. On a large input the scan already has many splits and this is a no-op.
-    Filters and column pruning are still pushed below the repartition into the scan.
+    the row-wise CPU work that follows (regex over text, JSON). Applied to a view after its
+    projection, so only the needed columns move; on a large input the scan already has many
+    splits and this is a no-op. Filters on the view are still pushed into the scan.
     """
     try:
         sc = df.sparkSession.sparkContext
