@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exact import rsum, xavg, xsum
+from ..functions.exact import rsum, xavg
 
 PROVIDER_ORDER = ["openai", "anthropic", "google"]
 

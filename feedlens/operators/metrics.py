@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.exact import rsum, xsum
+from ..functions.exact import rsum
 
 ISO_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as X
-from ..functions.exact import rsum, xsum
+from ..functions.exact import rsum
 from ..operators import cost as C
 from ..operators import ingest as I
 from ..operators import prompts as P

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.exact import rsum, xsum
+from ..functions.exact import rsum
 from .sql_snippets import rsum as sql_rsum
 from ..operators import cache as H
 from ..operators import metrics as MT

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import history as Hs
 from ..sources import fixtures as FX
 from .catalog import query
-from .sql_snippets import rsum, xavg, xsum
+from .sql_snippets import rsum, xavg
 
 START, END, PREV = "2024-01-08 00:00:00", "2024-01-15 00:00:00", "2024-01-01 00:00:00"
 BILLED = "CASE WHEN from_cache THEN 0.0 ELSE cost_usd END"

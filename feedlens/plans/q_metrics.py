@@ -8,7 +8,7 @@ from .. import schemas as S
 from ..operators import metrics as MT
 from ..sources import fixtures as FX
 from .catalog import query
-from .sql_snippets import rsum, xsum
+from .sql_snippets import rsum
 from .q_repair import SELF_CHECK_REPAIRED, repaired_self_check
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import keys
-from ..functions.exact import rsum, xsum
+from ..functions.exact import rsum
 from ..operators import cache as H
 from ..operators import cost as C
 from ..operators import generate as G
