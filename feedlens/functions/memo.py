@@ -8,11 +8,14 @@ this cache keys them by the builder and the SQL text of the arguments.
 from __future__ import annotations
 
 import functools
+from collections import OrderedDict
 
 from pyspark import SparkContext
 from pyspark.sql import Column
 
-_CACHE: dict = {}
+# bounded: calls inside higher-order lambdas see a fresh variable name each time
+_MAX = 512
+_CACHE: OrderedDict = OrderedDict()
 
 
 def _key(v):
@@ -28,5 +31,9 @@ def columns(fn):
         hit = _CACHE.get(k)
         if hit is None:
             hit = _CACHE[k] = fn(*args, **kwargs)
+            if len(_CACHE) > _MAX:
+                _CACHE.popitem(last=False)
+        else:
+            _CACHE.move_to_end(k)
         return hit
     return wrapper
