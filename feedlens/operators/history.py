@@ -86,10 +86,9 @@ def history_page(runs: DataFrame, sort_col: str, page: int, size: int = 20, desc
     """Q8: one page in (sort, run_id) order – a top-(page·size) sort, then the offset."""
     order = [F.col(sort_col).desc() if descending else F.col(sort_col).asc(), F.col("run_id").asc()]
     rows = runs.orderBy(*order).offset((page - 1) * size).limit(size)
-    # the total is one aggregated row, attached by a broadcast join on a constant key
-    total = (runs.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
-             .withColumn("_k", F.lit(1)))
-    return rows.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k")
+    # the total is a scalar subquery: computed once, no join
+    total = runs.agg(F.count(F.lit(1))).scalar()
+    return rows.withColumn("total", total).withColumn("pages", F.ceil(F.col("total") / size))
 
 
 def history_search(feedback: DataFrame, q: str, customer_q: str | None = None, max_edits: int = 1) -> DataFrame:
