@@ -47,7 +47,7 @@ def schema_text(step: str) -> str:
 
 
 def step_prompts(spark: SparkSession) -> DataFrame:
-    """4-row dimension (step, system_prompt, json_schema); fixed size, broadcast on use."""
+    """B5 as a table (step, system_prompt, json_schema), e.g. for export next to the prompts."""
     rows = [(k, v, schema_text(k)) for k, v in SYSTEM_PROMPTS.items()]
     return spark.createDataFrame(rows, "step string, system_prompt string, json_schema string")
 
@@ -87,12 +87,16 @@ def rewrite_prompt(extracted: Column, persona: Column) -> Column:
 
 
 def with_system(df: DataFrame, step_col: str = "step") -> DataFrame:
-    """Attach system prompt and schema; Google and Anthropic get the schema in the prompt."""
-    sp = F.broadcast(step_prompts(df.sparkSession))
-    j = df.join(sp, df[step_col] == sp["step"], "left").drop(sp["step"])
+    """Attach system prompt and schema; Google and Anthropic get the schema in the prompt.
+
+    The four step texts are a literal map looked up per row, so no join (and no exchange) is needed.
+    """
+    systems = F.create_map(*[x for k, v in SYSTEM_PROMPTS.items() for x in (F.lit(k), F.lit(v))])
+    schemas = F.create_map(*[x for k in SYSTEM_PROMPTS for x in (F.lit(k), F.lit(schema_text(k)))])
+    out = df.withColumns({"system_prompt": systems[F.col(step_col)], "json_schema": schemas[F.col(step_col)]})
     inline = F.col("provider").isin("google", "anthropic")
-    return j.withColumn("prompt", F.when(inline, F.concat(F.col("prompt"), F.lit(SCHEMA_INTRO), F.col("json_schema")))
-                        .otherwise(F.col("prompt")))
+    return out.withColumn("prompt", F.when(inline, F.concat(F.col("prompt"), F.lit(SCHEMA_INTRO), F.col("json_schema")))
+                          .otherwise(F.col("prompt")))
 
 
 def cost_preview(prompts: DataFrame, max_tokens: str = "max_tokens") -> DataFrame:
