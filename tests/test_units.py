@@ -141,3 +141,12 @@ def test_brace_objects_edges(spark):
     df = spark.createDataFrame([(t,) for t, _ in cases], "t string")
     got = [r.o for r in df.select(brace_objects(F.col("t")).alias("o")).collect()]
     assert got == [e for _, e in cases]
+
+
+def test_history_page(spark):
+    from feedlens.operators import history as Hs
+    runs = spark.createDataFrame([(f"r{i:02d}", float(i % 7)) for i in range(45)], "run_id string, cost_usd double")
+    p3 = Hs.history_page(runs, "cost_usd", page=3).collect()
+    assert len(p3) == 5 and {r.total for r in p3} == {45} and {r.pages for r in p3} == {3}
+    everything = sorted(((-c, i) for i, c in ((r.run_id, r.cost_usd) for r in runs.collect())))
+    assert [r.run_id for r in p3] == [i for _, i in everything][40:45]
