@@ -150,3 +150,21 @@ def test_history_page(spark):
     assert len(p3) == 5 and {r.total for r in p3} == {45} and {r.pages for r in p3} == {3}
     everything = sorted(((-c, i) for i, c in ((r.run_id, r.cost_usd) for r in runs.collect())))
     assert [r.run_id for r in p3] == [i for _, i in everything][40:45]
+
+
+def test_cache_lookup_as_of(spark):
+    from feedlens.operators import cache as H
+    t0 = datetime(2024, 1, 1, 0, 50)
+    cache = spark.createDataFrame([("k", '{"run_id": "a"}', t0), ("k", '{"run_id": "b"}', t0 + timedelta(minutes=20))],
+                                  "cache_key string, result_json string, written_at timestamp")
+    req = spark.createDataFrame([
+        ("1", "k", t0 - timedelta(minutes=1)),     # before any write: miss
+        ("2", "k", t0 + timedelta(minutes=5)),     # entry a (crosses the hour bucket edge later)
+        ("3", "k", t0 + timedelta(minutes=30)),    # latest entry b wins
+        ("4", "k", t0 + timedelta(minutes=75)),    # 02:05, next hour bucket: b (01:10) still live
+        ("5", "k", t0 + timedelta(minutes=140)),   # 03:10: b expired: miss
+        ("6", "z", t0 + timedelta(minutes=5))],    # other key: miss
+        "request_id string, cache_key string, requested_at timestamp")
+    got = {r.request_id: (r.hit, r.result_json) for r in H.lookup(req, cache).collect()}
+    assert got == {"1": (False, None), "2": (True, '{"run_id": "a"}'), "3": (True, '{"run_id": "b"}'),
+                   "4": (True, '{"run_id": "b"}'), "5": (False, None), "6": (False, None)}
