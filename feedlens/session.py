@@ -41,16 +41,19 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder: the cluster's setting wins; a scratch folder only if unset."""
+    """Shared checkpoint folder: the cluster's setting wins; a scratch folder only if unset.
+
+    ``spark.checkpoint.dir`` is read-only at run time, so the fallback is set on the context alone.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="feedlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    try:
-        spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # remote sessions have no SparkContext; the setting above is what counts
-        pass
-    return path
+    sc = spark.sparkContext
+    if path:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(path)
+        return path
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="feedlens-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -66,30 +69,22 @@ def ship_library(spark: SparkSession) -> None:
     """Make `feedlens` importable on the executors' Python workers (like `--py-files`).
 
     Pandas-backed operators are pickled by reference to this package, so workers must be able to
-    import it. The package is zipped once into the shared checkpoint folder and added to the
-    context; on a remote session the zip is uploaded as an artifact instead.
+    import it. The package is zipped into a driver-local scratch file; `addPyFile` hands it to the
+    executors over Spark's own file distribution.
     """
-    import hashlib
     import os
     import zipfile
 
-    key = id(getattr(spark, "_sc", None) or spark)
+    key = spark.sparkContext.applicationId
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
-    digest = hashlib.sha1(b"".join(open(f, "rb").read() for f in files)).hexdigest()[:12]
-    folder = os.path.join(checkpoint_dir(spark).replace("file:", ""), "_pylib")
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, f"feedlens-{digest}.zip")
-    if not os.path.exists(path):
-        tmp = f"{path}.{os.getpid()}.part"
-        with zipfile.ZipFile(tmp, "w") as z:
-            for f in files:
-                z.write(f, os.path.join("feedlens", os.path.relpath(f, pkg)))
-        os.replace(tmp, path)
-    try:
-        spark.sparkContext.addPyFile(path)
-    except Exception:
-        spark.addArtifacts(path, pyfile=True)
+    path = os.path.join(tempfile.mkdtemp(prefix="feedlens-lib-"), "feedlens-lib.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, names in os.walk(pkg):
+            for f in sorted(names):
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.join("feedlens", os.path.relpath(full, pkg)))
+    spark.sparkContext.addPyFile(path)
     _SHIPPED.add(key)
