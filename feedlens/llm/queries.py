@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship_library
 from ..sources.tables import table
-from . import mixing, sharding, simhash
+from . import (decontamination, langid, licences, mixing, neighbours, quality, sharding, simhash,
+               toxicity, urls)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +82,45 @@ def op7_sharding(spark, sf_dir):
     rows = sharding.shard_rows(table(spark, sf_dir, "documents"), 16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    """Toxicity score of every document, learnt from the labelled rows of three folds."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark, sf_dir):
+    """Every document that holds a benchmark item, with the item, its BM25 share and overlaps."""
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_licences")
+def op1_licences(spark, sf_dir):
+    """Licence of every document, by its own header or by its nearest ancestor directory's file."""
+    return licences.scan(licences.as_files(table(spark, sf_dir, "documents")), "doc_id")
+
+
+@query("op4_langid")
+def op4_langid(spark, sf_dir):
+    """Language of every document by compression against per-language dictionaries."""
+    return langid.language(table(spark, sf_dir, "documents"))
+
+
+@query("op5_urls")
+def op5_urls(spark, sf_dir):
+    """Verdict on every page's URL: the longest rule that fits, else the trees'."""
+    return urls.verdicts(table(spark, sf_dir, "pages"))
+
+
+@query("op6_quality")
+def op6_quality(spark, sf_dir):
+    """Quality score of every document, learnt from positives and unlabelled text."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_neighbours")
+def op10_neighbours(spark, sf_dir):
+    """The 20 nearest others, by inner product, of every vector whose id is divisible by 20."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
