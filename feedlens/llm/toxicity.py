@@ -5,7 +5,7 @@ labelled rows of the fitting folds. Both interpolate with the same continuation
 pooled over the classes, so an expression that neither has seen costs them the same but for their
 backoff weights. The log-likelihood ratio of a character is then one lookup: by its n-gram if either
 class has seen it, else by its context. Ratios are summed over words and averaged over the text; a
-logistic curve over four such scores, fitted on another fold, turns them into a probability.
+logistic curve over such scores, fitted on another fold, turns them into a probability.
 
 Symbols: text is lower-cased; a-z, blank, digit, punctuation and three kinds of non-ASCII byte make
 32 symbols, so there are at most 32^ORDER n-grams, whatever the corpus; that bounds what is
@@ -37,6 +37,10 @@ TUNE_ROWS = 20_000
 #: Symbols counted at once in a task.
 CHUNK = 2_000_000
 BLANK, DIGIT, MARK = 0, 27, 31
+EXCESS = 2.0
+#: Scales that bring the scores to about one, and the curve used when the tuning fold lacks a class.
+SCALE = np.array([0.5, 2.0, 10.0, 10.0, 10.0])
+PLAIN = np.array([0.0, 0.0, 2.0, 6.0, 0.0, -8.0])
 
 
 def _symbol_table() -> np.ndarray:
@@ -153,7 +157,8 @@ def ratios(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Model:
 
 
 def scores(text: str | None, model: Model) -> np.ndarray:
-    """Length-normalised ratio of the text and of its best word, and the two best words' sums."""
+    """Length-normalised ratio of the text and of its best word, the two best words' sums, and what all
+    words have above `EXCESS`, over the root of their number."""
     s = symbols(text)
     code = grams(s)
     r = model.ratio[code]
@@ -164,12 +169,13 @@ def scores(text: str | None, model: Model) -> np.ndarray:
     long = np.diff(blanks)
     word = (run[blanks[1:] + 1] - run[blanks[:-1] + 1])[long > 1]  # with the blank after it
     if not len(word):
-        return np.zeros(4)
+        return np.zeros(len(SCALE))
     top = np.sort(np.partition(word, max(0, len(word) - 2))[-2:])
-    return np.array([run[-1] / len(r), (word / long[long > 1]).max(), top[-1], top[0] if len(word) > 1 else 0.0])
+    return np.array([run[-1] / len(r), (word / long[long > 1]).max(), top[-1], top[0] if len(word) > 1 else 0.0,
+                     np.maximum(word - EXCESS, 0).sum() / np.sqrt(len(word))])
 
 
-def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 30) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last weight is the intercept."""
     x = np.column_stack([x, np.ones(len(x))])
     w, pull = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
@@ -180,11 +186,6 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) ->
     return w
 
 
-#: Scales that bring the four scores to about one, and the curve used when the tuning fold lacks a class.
-SCALE = np.array([0.5, 2.0, 10.0, 10.0])
-PLAIN = np.array([0.0, 0.0, 2.0, 6.0, -8.0])
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Count, smooth and tune; None if the fitting folds lack a class."""
     got = gram_counts(docs, labels).toPandas()  # at most 32^ORDER rows
@@ -205,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def _scorer(model: Model, raw: bool = False):
-    """Spark function from a text column to the four scores (raw) or the probability."""
+    """Spark function from a text column to the scores (raw) or the probability."""
     from pyspark.sql import SparkSession
     shared = SparkSession.active().sparkContext.broadcast(model)
 
@@ -215,7 +216,7 @@ def _scorer(model: Model, raw: bool = False):
         x = [scores(t, m) for t in texts]
         if raw:
             return pd.Series([v.tolist() for v in x])
-        z = (np.array(x).reshape(-1, 4) / SCALE) @ m.curve[:-1] + m.curve[-1]
+        z = (np.array(x).reshape(-1, len(SCALE)) / SCALE) @ m.curve[:-1] + m.curve[-1]
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
     return run
 
