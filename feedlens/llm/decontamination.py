@@ -272,18 +272,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     return out if out is not None else spark.createDataFrame([], MATCH)
 
 
+def _holds(spark, index: Index, threshold: float):
+    """Spark function from a text column to whether the text holds an item of `index`."""
+    shared = spark.sparkContext.broadcast(index)
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        hit = np.zeros(len(texts), bool)
+        for k, *_ in search(shared.value, texts.tolist(), threshold):
+            hit[k] = True
+        return pd.Series(hit)
+    return run
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without those that hold an item; no text is moved."""
-    spark = docs.sparkSession
     out = docs
     for index in indexes(benchmark):
-        shared = spark.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def holds(texts: pd.Series, shared=shared) -> pd.Series:
-            hit = np.zeros(len(texts), bool)
-            for k, *_ in search(shared.value, texts.tolist(), threshold):
-                hit[k] = True
-            return pd.Series(hit)
-        out = out.filter(~holds(F.col("text")))
+        out = out.filter(~_holds(docs.sparkSession, index, threshold)(F.col("text")))
     return out

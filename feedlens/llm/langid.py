@@ -89,14 +89,14 @@ def fit(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with lang_pred, score and rejected."""
+    """`docs` with lang_pred, score and rejected (columns of these names are replaced)."""
     shared = SparkSession.active().sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
-    return docs.withColumn("_lang", run("text")).select(
-        *docs.columns, "_lang.lang_pred", "_lang.score", "_lang.rejected")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    return docs.select(F.struct(*kept).alias("_row"), run("text").alias("_lang")).select("_row.*", "_lang.*")
 
 
 def language(docs: DataFrame) -> DataFrame:

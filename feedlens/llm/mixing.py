@@ -83,13 +83,10 @@ def mixed(docs: DataFrame, weight=cycle_weights, epochs: int = 3) -> DataFrame:
     rows = _planned(docs, weight, epochs)
     here = F.when(F.col("part") > 0, F.struct(*ORDER))
     cuts = settle(rows.groupBy("_g").agg(F.first("whole").alias("_whole"), F.max(here).alias("_cut")))
-    cols = docs.columns
-    keyed = docs.withColumn("_g", group_key(F.col("source")))
-    key = F.struct(random_key(F.col("doc_id")).alias("key"), F.col("doc_id"),
-                   word_count(F.col("text")).alias("size"))
-    out = join_summary(keyed, cuts, ["_g"]).withColumn("_key", key)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), group_key(F.col("source")).alias("_g"), F.struct(
+        random_key(F.col("doc_id")).alias("key"), F.col("doc_id"), word_count(F.col("text")).alias("size")).alias("_key"))
+    out = join_summary(keyed, cuts, ["_g"])
     times = F.col("_whole") + F.coalesce((F.col("_key") <= F.col("_cut")).cast("long"), F.lit(0))
     times = F.when(F.col("_key.size") > 0, times).otherwise(0)
-    return (out.withColumn("_times", times.cast("int"))
-            .filter("_times > 0")
-            .withColumn("_copy", F.explode(F.expr("sequence(1, _times)"))).select(*cols))
+    return (out.withColumn("_times", times.cast("int")).filter("_times > 0")
+            .withColumn("_copy", F.explode(F.expr("sequence(1, _times)"))).select("_row.*"))

@@ -223,8 +223,11 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     held = spots.filter("one = 1").select(
         "rep", "curve", F.explode(F.sequence((low / CHUNK).cast("int"), (high / CHUNK).cast("int"))).alias("chunk"), "block")
     both = asks.withColumn("ask", F.lit(True)).unionByName(held.withColumn("ask", F.lit(False)))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _merge_blocks(pdf, top + 1)
     found = (both.join(known.select("rep", "v"), "rep").groupBy("curve", "block", "chunk")
-             .applyInPandas(partial(_merge_blocks, most=top + 1), "rep long, scores array<double>, reps array<long>"))
+             .applyInPandas(merge, "rep long, scores array<double>, reps array<long>"))
     own = known.filter("asks").select("rep", F.array(square).alias("scores"), F.array("rep").alias("reps"))
     pairs = F.arrays_zip((F.transform("scores", lambda s: -s)).alias("s"), F.col("reps").alias("r"))
     merged = (found.unionByName(own).select("rep", pairs.alias("p")).groupBy("rep")

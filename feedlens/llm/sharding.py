@@ -48,16 +48,17 @@ def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
     """`docs` with `size` and `shard`; the texts are not moved.
 
     The shards' last rows (at most `shards` of them) are read as cut points and every document is
-    compared with them. Identical rows stay together.
+    compared with them. Identical rows stay together. Columns named `size` or `shard` are replaced.
     """
     placed = settle(shard_rows(docs, shards))
     last = (placed.groupBy("shard").agg(F.max(F.struct(*ORDER)).alias("last"))
             .orderBy("shard").collect())
     key = F.struct(F.col("doc_id"), F.col("text_crc32"), F.col("size"))
     size, crc = _measures()
-    out = docs.withColumns({"size": size, "text_crc32": crc})
+    kept = [c for c in docs.columns if c not in ("size", "shard")]
+    out = docs.select(F.struct(*kept).alias("_row"), "doc_id", size, crc)
     shard = F.lit(None).cast("int")
     for r in reversed(last):
         cut = F.struct(*[F.lit(r["last"][c]).cast("long").alias(c) for c in ORDER])
         shard = F.when(key <= cut, F.lit(r["shard"])).otherwise(shard)
-    return out.withColumn("shard", shard.cast("int")).drop("text_crc32")
+    return out.select("_row.*", "size", shard.cast("int").alias("shard"))

@@ -188,12 +188,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """`docs` with one document of each component: the one with the smallest doc_id.
 
-    Of rows repeating that doc_id, the one whose columns hash lowest stays. Rows without doc_id stay.
+    Of rows repeating that doc_id, the one whose text hashes lowest stays. Rows without doc_id stay.
     """
-    cols = docs.columns
     found = near_duplicates(docs.select("doc_id", "text"), width, radius)
     heads = found.filter("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*cols))
-    kept = docs.filter("doc_id is not null").join(heads, "doc_id", "left_semi")
-    kept = kept.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(*cols)
-    return kept.unionByName(docs.filter("doc_id is null").select(*cols))
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    rows = docs.filter("doc_id is not null").select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    kept = (rows.join(heads, "doc_id", "left_semi")
+            .withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select("_row.*"))
+    return kept.unionByName(docs.filter("doc_id is null"))

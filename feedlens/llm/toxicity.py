@@ -237,4 +237,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """`docs` without those whose score reaches the threshold."""
-    return with_score(docs, fit(docs, labels), "_toxic").filter(F.col("_toxic") < threshold).select(*docs.columns)
+    model = fit(docs, labels)
+    return docs if model is None else docs.filter(_scorer(model)(F.col("text")) < threshold)
