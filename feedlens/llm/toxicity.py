@@ -107,7 +107,9 @@ def _labels(labels: DataFrame) -> DataFrame:
 def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(gram, ordinary, toxic): n-gram counts over all labelled rows of the fitting folds."""
     chosen = fold(F.col("doc_id"), FOLDS).isin(*FIT)
-    rows = docs.filter(chosen).select("doc_id", "text").join(_labels(labels).filter(chosen), "doc_id")
+    # labels grow with the corpus: the same shuffled join at every size, hashing the labels' side
+    known = _labels(labels).filter(chosen).hint("shuffle_hash")
+    rows = docs.filter(chosen).select("doc_id", "text").join(known, "doc_id")
     counted = rows.select("text", F.col("toxic").cast("int")).mapInArrow(_counted, "gram int, toxic int, n long")
     return counted.groupBy("gram").agg(F.sum(F.expr("if(toxic = 0, n, 0)")).alias("ordinary"),
                                        F.sum(F.expr("if(toxic = 1, n, 0)")).alias("toxic"))
@@ -195,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     model = ratios(got["gram"].to_numpy(np.int64), got["ordinary"].to_numpy(), got["toxic"].to_numpy())
     chosen = fold(F.col("doc_id"), FOLDS) == TUNE
     known = _labels(labels).filter(chosen).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TUNE_ROWS)
-    tune = (docs.filter(chosen).select("doc_id", "text").join(known, "doc_id")
+    tune = (docs.filter(chosen).select("doc_id", "text").join(F.broadcast(known), "doc_id")  # TUNE_ROWS at most
             .select(_scorer(model, raw=True)("text").alias("x"), "toxic").toPandas())
     y = tune["toxic"].to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
