@@ -1,11 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two character models of order `ORDER`, one of toxic and one of ordinary text, are counted over all
-labelled rows of the fitting folds. Both interpolate with the same continuation (backoff) counts,
-pooled over the classes, so an expression that neither has seen costs them the same but for their
-backoff weights. The log-likelihood ratio of a character is then one lookup: by its n-gram if either
-class has seen it, else by its context. Ratios are summed over words and averaged over the text; a
-logistic curve over such scores, fitted on another fold, turns them into a probability.
+labelled rows of the fitting folds. Both back off to the same continuation counts of up to `SHARED`
+symbols, pooled over the classes, so that an expression new to both costs them the same there. The
+log-likelihood ratio of a character is then one lookup by its n-gram. Ratios are summed over words and
+averaged over the text; a logistic curve over such scores, fitted on another fold, turns them into a
+probability.
 
 Symbols: text is lower-cased; a-z, blank, digit, punctuation and three kinds of non-ASCII byte make
 32 symbols, so there are at most 32^ORDER n-grams, whatever the corpus; that bounds what is
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import fold
 
-ORDER = 4
+ORDER, SHARED = 4, 2
 DISCOUNT = 0.75
 FOLDS, HELD, FIT, TUNE = 4, 2, (0, 1), 3
 #: The logistic curve is fitted on at most so many labelled rows, the first by a hash of their id.
@@ -115,57 +115,55 @@ def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
                                        F.sum(F.expr("if(toxic = 1, n, 0)")).alias("toxic"))
 
 
-def _continuation(gram: np.ndarray, types: np.ndarray, n: int) -> np.ndarray:
-    """Interpolated Kneser-Ney probability of each distinct n-gram's last symbol given the others.
+def _types(seen: np.ndarray) -> np.ndarray:
+    """How many of the n-grams seen end in each (n-1)-gram."""
+    return seen.reshape(32, -1).sum(axis=0).astype(float)
 
-    `types` counts the distinct longer n-grams that end in each.
+
+def _probability(levels: list[np.ndarray]) -> np.ndarray:
+    """Interpolated Kneser-Ney: of each n-gram of the last level, its last symbol given the others.
+
+    `levels[n - 1]` counts all 32^n n-grams, below the last level by their continuations. A context
+    that was never seen leaves it to the shorter one.
     """
-    if n == 1:
-        return 0.99 * types / types.sum() + 0.01 / 32
-    _, at = np.unique(gram >> 5, return_inverse=True)
-    total, kinds = np.bincount(at, types), np.bincount(at)
-    return (np.maximum(types - DISCOUNT, 0) + DISCOUNT * kinds[at] * _shorter(gram, n)) / total[at]
+    p = 0.99 * levels[0] / max(1.0, levels[0].sum()) + 0.01 / 32
+    for n, count in enumerate(levels[1:], 2):
+        count = count.reshape(-1, 32)
+        total, kinds = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
+        shorter = np.tile(p.reshape(-1, 32), (32, 1)) if n > 2 else np.tile(p, (32, 1))
+        own = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * kinds * shorter) / np.maximum(total, 1)
+        p = np.where(total > 0, own, shorter).reshape(-1)
+    return p
+
 
+def ratios(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """log p(toxic) - log p(ordinary) of every n-gram, from the counts of all 32^ORDER n-grams.
 
-def _shorter(gram: np.ndarray, n: int) -> np.ndarray:
-    """For each distinct n-gram, the continuation probability with one symbol less of context."""
-    tail, at, types = np.unique(gram & ((1 << 5 * (n - 1)) - 1), return_inverse=True, return_counts=True)
-    return _continuation(tail, types.astype(float), n - 1)[at]
+    Levels of up to SHARED symbols pool the continuations of both classes, longer ones are the class's.
+    """
+    def chain(count: np.ndarray) -> list[np.ndarray]:
+        levels = [count.astype(float)]
+        while len(levels[0]) > 32:
+            levels.insert(0, _types(levels[0] > 0))
+        return levels
+
+    both = chain(ordinary + toxic)
+    logs = [np.log(_probability(both[:SHARED] + chain(n)[SHARED:])) for n in (ordinary, toxic)]
+    return (logs[1] - logs[0]).astype(np.float32)
 
 
 @dataclass
 class Model:
-    """ratio: log-likelihood ratio by n-gram (nan: seen in neither class); back: by context; curve."""
+    """ratio: log-likelihood ratio by n-gram; curve: weights of the scores, the intercept last."""
     ratio: np.ndarray
-    back: np.ndarray
-    curve: np.ndarray | None = None
-
-
-def ratios(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Model:
-    """The tables of log p(toxic) - log p(ordinary) from distinct n-grams' counts."""
-    low = _shorter(gram, ORDER)
-    context, at = np.unique(gram >> 5, return_inverse=True)
-    logs, backs = [], []
-    for n in (ordinary.astype(float), toxic.astype(float)):
-        total, kinds = np.bincount(at, n), np.bincount(at, n > 0)
-        back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        own = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[at]
-        logs.append(np.log(own + back[at] * low))
-        backs.append(np.log(back))
-    model = Model(np.full(1 << 5 * ORDER, np.nan, np.float32), np.zeros(1 << 5 * (ORDER - 1), np.float32))
-    model.ratio[gram] = logs[1] - logs[0]
-    model.back[context] = backs[1] - backs[0]
-    return model
+    curve: np.ndarray
 
 
 def scores(text: str | None, model: Model) -> np.ndarray:
     """Length-normalised ratio of the text and of its best word, the two best words' sums, and what all
     words have above `EXCESS`, over the root of their number."""
     s = symbols(text)
-    code = grams(s)
-    r = model.ratio[code]
-    new = np.isnan(r)
-    r[new] = model.back[code[new] >> 5]
+    r = model.ratio[grams(s)]
     run = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
     blanks = np.flatnonzero(s[ORDER - 1:] == BLANK)
     long = np.diff(blanks)
@@ -193,8 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     got = gram_counts(docs, labels).toPandas()  # at most 32^ORDER rows
     if not len(got) or not got["ordinary"].any() or not got["toxic"].any():
         return None
-    got = got.sort_values("gram")
-    model = ratios(got["gram"].to_numpy(np.int64), got["ordinary"].to_numpy(), got["toxic"].to_numpy())
+    dense = np.zeros((2, 1 << 5 * ORDER))
+    dense[:, got["gram"]] = got["ordinary"], got["toxic"]
+    model = Model(ratios(*dense), PLAIN)
     chosen = fold(F.col("doc_id"), FOLDS) == TUNE
     known = _labels(labels).filter(chosen).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TUNE_ROWS)
     tune = (docs.filter(chosen).select("doc_id", "text").join(F.broadcast(known), "doc_id")  # TUNE_ROWS at most
@@ -202,8 +201,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     y = tune["toxic"].to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
         model.curve = _curve(np.stack(tune["x"].to_numpy()) / SCALE, y)
-    else:
-        model.curve = PLAIN
     return model
 
 

@@ -32,42 +32,40 @@ def test_fold_is_crc32(spark):
     assert got == [zlib.crc32(s.encode()) % 4 for s in ("7", "123456", "")]
 
 
-def brute_ratio(ordinary, toxic, n, d):
+def brute_ratio(counts, n, shared, d):
     """log p_toxic - log p_ordinary of a symbol tuple, by recursion over dictionaries."""
-    grams = set(ordinary) | set(toxic)
-    types = {n: None}
-    level = grams
-    for k in range(n - 1, 0, -1):
-        types[k] = Counter(g[1:] for g in level)
-        level = set(types[k])
-
-    def low(g):
-        t = types[len(g)]
+    def chain(count):
+        levels = {n: count}
+        for k in range(n - 1, 0, -1):
+            levels[k] = Counter(g[1:] for g in levels[k + 1])
+        return levels
+    pooled = chain(counts[0] + counts[1])
+    own = [chain(c) for c in counts]
+
+    def p(k, g):
+        t = (pooled if len(g) <= shared else own[k])[len(g)]
         if len(g) == 1:
             return 0.99 * t[g] / sum(t.values()) + 0.01 / 32
-        same = [h for h in t if h[:-1] == g[:-1]]
-        total = sum(t[h] for h in same)
-        return (max(t[g] - d, 0) + d * len(same) * low(g[1:])) / total
-
-    def p(count, g):
-        same = [h for h in count if h[:-1] == g[:-1]]
-        total = sum(count[h] for h in same)
-        if not total:
-            return low(g[1:])
-        return (max(count[g] - d, 0) + d * len(same) * low(g[1:])) / total
-    return {g: math.log(p(toxic, g)) - math.log(p(ordinary, g)) for g in grams}
+        same = [t[h] for h in t if h[:-1] == g[:-1]]
+        if not same:
+            return p(k, g[1:])
+        return (max(t[g] - d, 0) + d * len(same) * p(k, g[1:])) / sum(same)
+    return lambda g: math.log(p(1, g)) - math.log(p(0, g))
 
 
 def test_kneser_ney_against_dictionaries():
     texts = {0: ["the cat sat on the mat", "a hat and the cat"], 1: ["the bad bat sat", "bad cat!"]}
-    count = {k: Counter(int(g) for t in v for g in toxicity.grams(toxicity.symbols(t))) for k, v in texts.items()}
+    count = [Counter(int(g) for t in texts[k] for g in toxicity.grams(toxicity.symbols(t))) for k in (0, 1)]
     as_tuple = lambda g: tuple((g >> 5 * k) & 31 for k in range(toxicity.ORDER - 1, -1, -1))
-    want = brute_ratio(*[Counter({as_tuple(g): n for g, n in count[k].items()}) for k in (0, 1)],
-                       toxicity.ORDER, toxicity.DISCOUNT)
-    keys = np.array(sorted(set(count[0]) | set(count[1])))
-    model = toxicity.ratios(keys, *[np.array([count[k][g] for g in keys]) for k in (0, 1)])
-    for g in keys.tolist():
-        assert model.ratio[g] == pytest.approx(want[as_tuple(g)], abs=1e-4)
+    want = brute_ratio([Counter({as_tuple(g): n for g, n in c.items()}) for c in count], toxicity.ORDER,
+                       toxicity.SHARED, toxicity.DISCOUNT)
+    dense = np.zeros((2, 1 << 5 * toxicity.ORDER))
+    for k in (0, 1):
+        dense[k, list(count[k])] = list(count[k].values())
+    ratio = toxicity.ratios(*dense)
+    unseen = toxicity.grams(toxicity.symbols("the dog sang a bath")).tolist()
+    for g in [*count[0], *count[1], *unseen]:
+        assert ratio[g] == pytest.approx(want(as_tuple(g)), abs=1e-4)
 
 
 def test_gram_counts_cover_all_labelled_rows(docs, labels):
