@@ -2,8 +2,9 @@
 
 A double sum depends on the order partial sums meet, which changes with partitioning; a result
 rounded for publication can then flip in its last digit between runs. Summing the values as
-decimal(38,10) is exact and associative; the total is published as double. Inputs carry at most
-ten decimals (costs, durations, scores), so the cast loses nothing.
+decimal(28,10) (38 digits in the sum) is exact and associative; the total is published as double.
+Documented precision: each value is first rounded HALF_UP to ten decimals (costs, durations and scores
+carry fewer); a value of 10^18 or more is refused with an error.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCALE = 10
-DEC = f"decimal(38,{SCALE})"
+DEC = f"decimal(28,{SCALE})"
 
 
 def _c(c) -> Column:
@@ -36,3 +37,8 @@ def xavg(c) -> Column:
 def rsum(c, digits: int = 6) -> Column:
     """Exact sum rounded HALF_UP in decimal, then published as double (no double rounding)."""
     return F.round(dsum(c), digits).cast("double")
+
+
+def billed_cost() -> Column:
+    """K8: a cache hit costs nothing."""
+    return F.when(F.col("from_cache"), F.lit(0.0)).otherwise(F.col("cost_usd"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .memo import columns
+from .memo import by_name
 from .text import strip_ws
 
 # Fixed patterns (must equal the service's)
@@ -25,20 +25,21 @@ STRATEGIES = ("direct", "fenced", "open_fence", "longest", "first", "cleaned", "
 _JSON_WS = "[ \t\n\r]*"
 
 
-@columns
 def is_json_object(c: Column) -> Column:
     """True iff the whole text is exactly one strict JSON object (surrounding JSON whitespace ok).
 
-    Wrapping in brackets makes the parser consume the whole text: trailing text fails, and
-    ``{..}, {..}`` becomes a 2-element array that the length test rejects.
+    The text is put into an array before its own md5, so the parser must consume all of it: trailing
+    text fails, and a text that closes the array early or brings further elements does not leave the
+    md5 in second and last place. NaN, Infinity and repeated keys are not strict JSON and are refused.
     """
-    wrapped = F.concat(F.lit("["), c, F.lit("]"))
+    mark = F.md5(c)
+    wrapped = F.concat(F.lit("["), c, F.lit(',"'), mark, F.lit('"]'))
     return (F.coalesce(c.rlike(f"^{_JSON_WS}\\{{"), F.lit(False))
             & F.try_parse_json(wrapped).isNotNull()
-            & (F.coalesce(F.json_array_length(wrapped), F.lit(0)) == 1))
+            & (F.coalesce(F.json_array_length(wrapped), F.lit(0)) == 2)
+            & F.coalesce(F.get_json_object(wrapped, "$[1]") == mark, F.lit(False)))
 
 
-@columns
 def brace_objects(c: Column) -> Column:
     """J-6: substrings whose braces balance, in text order (depth clamped at 0, K16).
 
@@ -75,7 +76,7 @@ def _by_length_desc(objs: Column) -> Column:
     return F.transform(F.array_sort(idx), lambda x: x["o"])
 
 
-@columns
+@by_name
 def _stages(content: str) -> list[dict[str, Column]]:
     """Column sets of the salvage stages for one content column (built once per context)."""
     c = F.col(content)

@@ -1,39 +1,25 @@
-"""Reuse of built Column expressions.
+"""Reuse of column expressions that are built from names alone.
 
-Large expressions (the brace fold, the PII spans) take thousands of driver→JVM calls to build.
-They are unresolved, so one built Column can serve every DataFrame of the same Spark context;
-this cache keys them by the builder and the SQL text of the arguments.
+Large expressions (the salvage stages) take thousands of driver to JVM calls to build. They are
+unresolved, so one set can serve every DataFrame of the same application. Only functions of plain
+strings are cached: two Columns that print alike may be bound to different frames.
 """
 
 from __future__ import annotations
 
 import functools
-from collections import OrderedDict
 
 from pyspark import SparkContext
-from pyspark.sql import Column
 
-# bounded: calls inside higher-order lambdas see a fresh variable name each time
-_MAX = 512
-_CACHE: OrderedDict = OrderedDict()
 
+def by_name(fn):
+    @functools.lru_cache(maxsize=64)
+    def built(app: str, *names: str):
+        return fn(*names)
 
-def _key(v):
-    return ("col", str(v)) if isinstance(v, Column) else v
-
-
-def columns(fn):
     @functools.wraps(fn)
-    def wrapper(*args, **kwargs):
-        sc = SparkContext._active_spark_context
-        k = (fn.__module__, fn.__qualname__, id(sc), tuple(_key(a) for a in args),
-             tuple(sorted((n, _key(v)) for n, v in kwargs.items())))
-        hit = _CACHE.get(k)
-        if hit is None:
-            hit = _CACHE[k] = fn(*args, **kwargs)
-            if len(_CACHE) > _MAX:
-                _CACHE.popitem(last=False)
-        else:
-            _CACHE.move_to_end(k)
-        return hit
+    def wrapper(*names: str):
+        if not all(isinstance(n, str) for n in names):
+            raise TypeError(f"{fn.__name__} takes column names")
+        return built(SparkContext._active_spark_context.applicationId, *names)
     return wrapper

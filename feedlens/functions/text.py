@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from .memo import columns
 
 # Unicode White_Space, spelled out so Java and RE2 agree (Java's `\s` is ASCII-only and RE2's
 # `\s` lacks \v).
@@ -43,7 +42,6 @@ def java_pattern(name: str, pattern: str) -> str:
     return JAVA_PATTERNS.get(name, pattern)
 
 
-@columns
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()`` – a set-based trim of both ends, no regex scan."""
     return F.btrim(c, F.lit(WS_CHARS))
@@ -53,7 +51,6 @@ def is_blank(c: Column) -> Column:
     return strip_ws(c) == ""
 
 
-@columns
 def word_count(c: Column) -> Column:
     """``len(s.split())``; `split` of '' would give one element, so guard it.
 
@@ -110,7 +107,6 @@ def _tagger(name: str, conf: float):
         F.struct(s["start"].alias("start"), s["end"].alias("end")).alias("location"))
 
 
-@columns
 def detect_pii(text: Column) -> Column:
     """array<PII_DETECTION>; card numbers must pass the Luhn check."""
     parts = []
@@ -123,7 +119,6 @@ def detect_pii(text: Column) -> Column:
     return F.when(text.isNull(), F.array().cast(T.ArrayType(S.PII_DETECTION))).otherwise(F.concat(*parts))
 
 
-@columns
 def redact(text: Column) -> Column:
     """Replace every pattern with [REDACTED], in the fixed order."""
     out = text

@@ -22,9 +22,10 @@ def with_cache_key(df: DataFrame, content: str = "content", provider: str = "pro
 
 
 def latest_entries(cache: DataFrame, now=None) -> DataFrame:
-    """H5: last write wins per key (optionally only writes at or before `now`)."""
+    """H5: last write wins per key (optionally only writes at or before `now`); of writes at the same
+    time, the greatest result text."""
     c = cache if now is None else cache.filter(F.col("written_at") <= F.lit(now).cast("timestamp"))
-    w = Window.partitionBy("cache_key").orderBy(F.col("written_at").desc())
+    w = Window.partitionBy("cache_key").orderBy(F.col("written_at").desc(), F.col("result_json").desc())
     return c.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import text as X
@@ -89,7 +88,7 @@ def merge_ingest(notes: DataFrame, responses: DataFrame, key: str = "request_id"
 
     `responses(key, content)` holds the model's raw answer text. Parsing failures, missing
     answers and unknown languages fall back to English, our regex PII result and our redacted
-    text – never the unredacted original (K1).
+    text – never the unredacted original (K1). The model's own redacted text is redacted once more.
     """
     parsed = salvage(responses.select(key, F.col("content").alias("answer")), "answer")
     parsed = parsed.select(key, F.from_json("json_text", S.INGEST_RESPONSE).alias("r"),
@@ -97,7 +96,7 @@ def merge_ingest(notes: DataFrame, responses: DataFrame, key: str = "request_id"
     base = normalize(notes)
     j = base.join(parsed, key, "left")
     use_model = F.col("r").isNotNull()
-    lang_raw = F.lower(F.col("r.language"))
+    lang_raw = F.lower(X.strip_ws(F.col("r.language")))
     # K2: a language outside the enum becomes 'other' instead of discarding the answer
     lang = F.when(lang_raw.isNull(), F.lit("en")).when(lang_raw.isin(*S.LANGUAGES), lang_raw) \
         .otherwise(F.lit("other"))
@@ -108,7 +107,7 @@ def merge_ingest(notes: DataFrame, responses: DataFrame, key: str = "request_id"
         "detected_pii",
         (F.col("has_pii") | F.coalesce(F.when(use_model, F.col("r.pii_detected")), F.lit(False)))
         .alias("has_pii"),
-        F.when(use_model, F.coalesce(F.col("r.redacted_text"), F.col("cleaned_content")))
+        F.when(use_model, F.coalesce(X.redact(F.col("r.redacted_text")), F.col("cleaned_content")))
         .otherwise(F.col("cleaned_content")).alias("cleaned_content"),
         F.when(use_model, F.coalesce(F.col("r.word_count").cast("int"), F.col("word_count")))
         .otherwise(F.col("word_count")).alias("word_count"),
@@ -117,7 +116,3 @@ def merge_ingest(notes: DataFrame, responses: DataFrame, key: str = "request_id"
                                                F.lit("no_answer")).otherwise(F.lit("fallback"))
         .alias("ingest_source"),
     )
-
-
-NOTE_SCHEMA = T.StructType([T.StructField("request_id", T.StringType()),
-                            T.StructField("content", T.StringType())])

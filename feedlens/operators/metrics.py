@@ -8,23 +8,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..functions.exact import rsum
+from ..functions.exact import billed_cost, rsum
 
-ISO_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+CORRUPT = "_corrupt_record"
+LOG_LINE = T.StructType([*S.LOG_EVENT.fields, T.StructField(CORRUPT, T.StringType())])
 
 
 def parse_log(lines: DataFrame, value: str = "value") -> DataFrame:
-    """JSON-lines events (already loaded as text) → typed rows with `ts`."""
-    e = lines.select(F.from_json(value, S.LOG_EVENT).alias("e")).select("e.*")
-    return e.withColumn("ts", F.to_timestamp("timestamp", ISO_FMT))
+    """JSON-lines events (already loaded as text) → typed rows with `ts`.
+
+    A line that is no JSON object stays as a row of nulls with its text in `_corrupt_record`; a time
+    that cannot be read is null. ISO times may lack the fraction, as the service's writer leaves it out.
+    """
+    e = lines.select(F.from_json(value, LOG_LINE, {"columnNameOfCorruptRecord": CORRUPT}).alias("e")).select("e.*")
+    return e.withColumn("ts", F.col("timestamp").try_cast("timestamp"))
 
 
 def read_log(spark, path: str, stream: bool = False) -> DataFrame:
-    """Read JSON-lines logs with the fixed schema, batch or as a stream."""
-    r = (spark.readStream if stream else spark.read).schema(S.LOG_EVENT)
-    return r.json(path).withColumn("ts", F.to_timestamp("timestamp", ISO_FMT))
+    """Read JSON-lines logs with the fixed schema, batch or as a stream (see `parse_log`)."""
+    r = (spark.readStream if stream else spark.read).text(path)
+    return parse_log(r)
+
+
+def unreadable_lines(log: DataFrame) -> DataFrame:
+    """How many lines of a log are no JSON object, and how many have no readable time."""
+    bad = F.col(CORRUPT).isNotNull()
+    return log.agg(F.count_if(bad).alias("corrupt_lines"), F.count_if(~bad & F.col("ts").isNull()).alias("bad_times"))
 
 
 def le_label(b: float) -> str:
@@ -48,10 +60,23 @@ def histogram(df: DataFrame, labels: list[str], value: str, buckets: list[float]
         F.col("r.metric").alias("metric"), *labels, F.col("r.le").alias("le"), F.col("r.value").alias("value"))
 
 
+def _execution_labels(runs: DataFrame) -> DataFrame:
+    """provider, model, status of every run; one that raised is an error of unknown provider and model."""
+    raised = F.coalesce(F.col("raised"), F.lit(False)) if "raised" in runs.columns else F.lit(False)
+    unknown = lambda c: F.when(raised, F.lit("unknown")).otherwise(F.col(c)).alias(c)
+    status = (F.when(raised, F.lit("error")).when(F.col("success"), F.lit("success"))
+              .otherwise(F.lit("failure")))
+    return runs.select(unknown("provider"), unknown("model"), status.alias("status"))
+
+
 def executions(runs: DataFrame) -> DataFrame:
     """MT1: workflow_executions_total by provider, model, status."""
-    status = F.when(F.col("success"), F.lit("success")).otherwise(F.lit("failure"))
-    return runs.groupBy("provider", "model", status.alias("status")).agg(F.count(F.lit(1)).alias("value"))
+    return _execution_labels(runs).groupBy("provider", "model", "status").agg(F.count(F.lit(1)).alias("value"))
+
+
+def with_result(runs: DataFrame) -> DataFrame:
+    """MT2/MT3: runs that ended in a result; one that raised is not observed."""
+    return runs.filter(~F.col("raised"))
 
 
 def tokens(runs: DataFrame) -> DataFrame:
@@ -76,28 +101,34 @@ def rejections(self_check: DataFrame) -> DataFrame:
 
 def rollup_executions(runs: DataFrame) -> DataFrame:
     """MT10: totals at every label level at once."""
-    status = F.when(F.col("success"), F.lit("success")).otherwise(F.lit("failure"))
-    return (runs.withColumn("status", status).rollup("provider", "model", "status")
+    return (_execution_labels(runs).rollup("provider", "model", "status")
             .agg(F.count(F.lit(1)).alias("value"), F.grouping_id().alias("level")))
 
 
 def active_runs(runs: DataFrame, period: str = "5 minutes") -> DataFrame:
-    """MT4: peak of the active-runs gauge per period.
+    """MT4: peak of the active-runs gauge per period, for every period from the first event to the last.
 
-    +1 at start, −1 at end. The level entering a period is the sum of all earlier periods'
-    deltas (a running sum over one row per period – small), the peak inside a period is a
-    running sum partitioned by period, so no single task sees all events.
+    +1 at start, −1 at end, ends first at equal times. Levels are built up from seconds: a running sum
+    inside each second, then over the seconds of a period, then over periods, so the only one-task
+    window sees one row per period. A period's peak counts the level it is entered with.
     """
     d = runs.select(F.explode(F.array(
-        F.struct(F.col("started_at").alias("t"), F.lit(1).alias("d")),
-        F.struct(F.col("completed_at").alias("t"), F.lit(-1).alias("d")))).alias("x")).select("x.*")
-    d = d.withColumn("bucket", F.window("t", period).start)
-    inside = Window.partitionBy("bucket").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = (d.withColumn("run", F.sum("d").over(inside))
-           .groupBy("bucket").agg(F.max("run").alias("peak_inside"), F.sum("d").alias("net")))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return per.select("bucket", (F.coalesce(F.sum("net").over(before), F.lit(0)) + F.col("peak_inside"))
-                      .alias("peak_active"))
+        F.struct(F.col("started_at").alias("t"), F.lit(1).cast("long").alias("d")),
+        F.struct(F.col("completed_at").alias("t"), F.lit(-1).cast("long").alias("d")))).alias("x")).select("x.*")
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    earlier = (Window.unboundedPreceding, -1)
+    d = d.withColumn("second", F.date_trunc("second", "t"))
+    d = d.withColumn("run", F.sum("d").over(Window.partitionBy("second").orderBy("t", "d").rowsBetween(*upto)))
+    sec = d.groupBy("second").agg(F.max("run").alias("top"), F.sum("d").alias("net"))
+    sec = sec.withColumn("bucket", F.window("second", period).start)
+    entry = F.coalesce(F.sum("net").over(Window.partitionBy("bucket").orderBy("second").rowsBetween(*earlier)), F.lit(0))
+    per = (sec.withColumn("top", F.col("top") + entry).groupBy("bucket")
+           .agg(F.max("top").alias("top"), F.sum("net").alias("net")))
+    span = per.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).filter("a is not null")
+    every = span.select(F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {period}"))).alias("bucket"))
+    dense = every.join(per, "bucket", "left")
+    level = F.coalesce(F.sum("net").over(Window.orderBy("bucket").rowsBetween(*earlier)), F.lit(0))
+    return dense.select("bucket", (level + F.greatest(F.lit(0), F.coalesce("top", F.lit(0)))).cast("long").alias("peak_active"))
 
 
 def window_counts(events: DataFrame, period: str, value: Column | None = None) -> DataFrame:
@@ -110,13 +141,17 @@ def window_counts(events: DataFrame, period: str, value: Column | None = None) -
 def alarm(counts: DataFrame, period_seconds: int, threshold: float = S.ALARM_THRESHOLD) -> DataFrame:
     """L4: Sum > threshold in each of 2 successive periods; a missing period is not breaching.
 
-    The previous period is found by an equi join on its start, so a gap breaks the run and no
-    dense spine of periods is needed.
+    Each breaching period stands for itself and for the predecessor of the next one; grouping both
+    roles by period start pairs them up, so the counts are computed once and no spine is needed.
     """
     breach = counts.filter(F.col("n") > threshold)
-    prev = breach.select((F.col("window_start") + F.expr(f"INTERVAL {period_seconds} SECONDS")).alias("window_start"),
-                         F.col("n").alias("prev_n"))
-    return breach.join(prev, "window_start").select("window_start", "n", "prev_n")
+    null = F.lit(None)
+    later = F.col("window_start") + F.expr(f"INTERVAL {period_seconds} SECONDS")
+    roles = F.array(F.struct(F.col("window_start").alias("w"), F.col("n").alias("n"), null.cast(counts.schema["n"].dataType).alias("p")),
+                    F.struct(later.alias("w"), null.cast(counts.schema["n"].dataType).alias("n"), F.col("n").alias("p")))
+    both = breach.select(F.explode(roles).alias("r")).groupBy(F.col("r.w").alias("window_start")).agg(
+        F.max("r.n").alias("n"), F.max("r.p").alias("prev_n"))
+    return both.filter("n is not null and prev_n is not null")
 
 
 def sliding_rate(events: DataFrame, length: str = "5 minutes", slide: str = "1 minute",
@@ -173,14 +208,60 @@ def warnings(log: DataFrame) -> DataFrame:
             .groupBy("event", "field").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _escaped(label: Column) -> Column:
+    """A label value with backslash, quote and line feed escaped."""
+    out = F.replace(label, F.lit("\\"), F.lit("\\\\"))
+    out = F.replace(out, F.lit('"'), F.lit('\\"'))
+    return F.replace(out, F.lit("\n"), F.lit("\\n"))
+
+
+def _number(value: Column) -> Column:
+    """A plain decimal with up to twelve places and no trailing zeros."""
+    return F.regexp_replace(F.format_string("%.12f", value.cast("double")), r"\.?0+$", "")
+
+
 def exposition(samples: DataFrame, labels: list[str]) -> DataFrame:
     """Long-form samples → Prometheus text lines (`metric{l="v",…} value`)."""
-    parts = [F.concat(F.lit(f'{lab}="'), F.col(lab), F.lit('"')) for lab in labels]
+    parts = [F.concat(F.lit(f'{lab}="'), _escaped(F.col(lab)), F.lit('"')) for lab in labels]
     if "le" in samples.columns:
         parts.append(F.when(F.col("le").isNotNull(), F.concat(F.lit('le="'), F.col("le"), F.lit('"'))))
-    lab = F.concat_ws(",", *parts)
-    return samples.select(F.concat(F.col("metric"), F.lit("{"), lab, F.lit("} "),
-                                   F.format_string("%.6f", F.col("value").cast("double"))).alias("line"))
+    inside = F.concat_ws(",", *parts) if parts else F.lit("")
+    braces = F.when(inside == "", F.lit("")).otherwise(F.concat(F.lit("{"), inside, F.lit("}")))
+    return samples.select(F.concat(F.col("metric"), braces, F.lit(" "), _number(F.col("value"))).alias("line"))
+
+
+def family(name: str, kind: str, text: str, samples: DataFrame, labels: list[str]) -> DataFrame:
+    """A metric's HELP and TYPE lines before its samples (`pos` keeps the order)."""
+    head = samples.sparkSession.createDataFrame(
+        [(name, 0, f"# HELP {name} {text}"), (name, 1, f"# TYPE {name} {kind}")], "family string, pos int, line string")
+    body = exposition(samples if "metric" in samples.columns else samples.withColumn("metric", F.lit(name)), labels)
+    return head.unionByName(body.select(F.lit(name).alias("family"), F.lit(2).alias("pos"), "line"))
+
+
+def registry(runs: DataFrame, steps: DataFrame, self_check: DataFrame) -> DataFrame:
+    """All nine metrics as text lines (family, pos, line)."""
+    done = with_result(runs)
+    lasted = steps.withColumn("duration_s", (
+        (F.unix_micros("completed_at") - F.unix_micros("started_at")) / 1000).cast("long").cast("double") / 1000)
+    now = active_runs(runs).agg(F.max_by("peak_active", "bucket").alias("value"))
+    by = ["provider", "model"]
+    parts = [
+        ("workflow_executions_total", executions(runs), [*by, "status"]),
+        ("workflow_duration_seconds", histogram(done, by, "duration_s", S.DURATION_BUCKETS, "workflow_duration_seconds"), by),
+        ("workflow_cost_usd", histogram(done, by, "cost_usd", S.COST_BUCKETS, "workflow_cost_usd"), by),
+        ("tokens_consumed_total", tokens(runs), [*by, "type"]),
+        ("agent_step_duration_seconds", histogram(lasted, ["step", "provider"], "duration_s", S.STEP_DURATION_BUCKETS,
+                                                  "agent_step_duration_seconds"), ["step", "provider"]),
+        ("agent_step_failures_total", step_failures(steps), ["step", "provider"]),
+        ("hallucination_risk_score", histogram(runs, [], "risk", S.RISK_BUCKETS, "hallucination_risk_score"), []),
+        ("self_check_rejections_total", rejections(self_check), ["reason"]),
+        ("active_workflows", now, [])]
+    out = None
+    for name, samples, labels in parts:
+        kind, text = S.METRICS[name]
+        lines = family(name, kind, text, samples, labels)
+        out = lines if out is None else out.unionByName(lines)
+    return out
 
 
 def write_text(lines: DataFrame, path: str) -> None:
@@ -196,7 +277,7 @@ def alert_rules(runs: DataFrame, error_rate: float = 0.05, p95_s: float = 10.0,
     hourly = runs.withColumn("window_start", F.window("ts", "1 hour").start)
     p95 = exact_percentiles(hourly, ["window_start"], "duration_s", [0.95]).withColumnRenamed("value", "v")
     h = hourly.groupBy("window_start").agg(
-        F.avg(F.when(F.col("risk") >= 0.3, 1.0).otherwise(0.0)).alias("rej"), rsum("cost_usd").alias("cost"))
+        F.avg(F.when(F.col("approved"), 0.0).otherwise(1.0)).alias("rej"), rsum(billed_cost()).alias("cost"))
 
     def rule(df, name, col, thr):
         return df.filter(F.col(col) > thr).select(F.lit(name).alias("rule"), "window_start",
@@ -210,10 +291,10 @@ def alert_rules(runs: DataFrame, error_rate: float = 0.05, p95_s: float = 10.0,
 BUDGETS = [("dev", 10.0), ("staging", 100.0), ("prod", 1000.0)]  # USD per day
 
 
-def budget_alert(runs: DataFrame) -> DataFrame:
-    """Daily cost per environment against its budget (3-row dimension, broadcast)."""
-    env = F.element_at(F.array(F.lit("dev"), F.lit("staging"), F.lit("prod")), (F.col("user_id") % 3 + 1).cast("int"))
-    daily = runs.groupBy(F.to_date("started_at").alias("day"), env.alias("env")).agg(rsum("cost_usd").alias("cost"))
+def budget_alert(runs: DataFrame, environment: str = "environment") -> DataFrame:
+    """Daily billed cost per environment against its budget (3-row dimension, broadcast)."""
+    daily = runs.groupBy(F.to_date("started_at").alias("day"), F.col(environment).alias("env")).agg(
+        rsum(billed_cost()).alias("cost"))
     b = F.broadcast(runs.sparkSession.createDataFrame(BUDGETS, "env string, budget_usd double"))
     return daily.join(b, "env").select("day", "env", F.col("cost").alias("cost_usd"), "budget_usd",
                                        (F.col("cost") > F.col("budget_usd")).alias("over_budget"))

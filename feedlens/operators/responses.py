@@ -11,21 +11,24 @@ from ..functions.jsonsalvage import salvage
 
 
 def envelope_content(env: str = "envelope"):
-    """M2: function_call.arguments → first tool call's args as JSON → content → ''."""
+    """M2: OpenAI answers take function_call.arguments ('{}' without any), else the first tool call's
+    args as JSON; the other providers, and OpenAI without either, take content, else ''."""
     e = F.col(env)
+    call = F.get_json_object(e, "$.additional_kwargs.function_call")
+    called = F.when(call.isNotNull(), F.coalesce(F.get_json_object(call, "$.arguments"), F.lit("{}")))
     return F.coalesce(
-        F.get_json_object(e, "$.additional_kwargs.function_call.arguments"),
-        F.get_json_object(e, "$.tool_calls[0].args"),
+        F.when(F.col("provider") == "openai", F.coalesce(called, F.get_json_object(e, "$.tool_calls[0].args"))),
         F.get_json_object(e, "$.content"),
         F.lit(""))
 
 
 def _tok(e, path):
-    return F.coalesce(F.get_json_object(e, path).cast("long"), F.lit(0).cast("long"))
+    """A token count, null if it is missing or no number (12.0 counts as 12)."""
+    return F.get_json_object(e, path).try_cast("double").try_cast("long")
 
 
 def unpack_envelope(df: DataFrame, env: str = "envelope", prompt: str = "prompt") -> DataFrame:
-    """M2–M5 on a table (provider, envelope JSON text, prompt)."""
+    """M2–M5 on a table (provider, envelope JSON text, prompt); unreadable counts are 0 and flagged."""
     e = F.col(env)
     p = F.col("provider")
     tin = (F.when(p == "openai", _tok(e, "$.response_metadata.token_usage.prompt_tokens"))
@@ -38,7 +41,9 @@ def unpack_envelope(df: DataFrame, env: str = "envelope", prompt: str = "prompt"
                                                    F.lit("end_turn")))
               .otherwise(F.coalesce(F.get_json_object(e, "$.response_metadata.finish_reason"), F.lit("stop"))))
     out = df.withColumn("content", envelope_content(env))
-    out = out.withColumn("tokens_input_raw", tin).withColumn("tokens_output_raw", tout)
+    zero = F.lit(0).cast("long")
+    out = out.withColumns({"tokens_unreadable": tin.isNull() | tout.isNull(),
+                           "tokens_input_raw": F.coalesce(tin, zero), "tokens_output_raw": F.coalesce(tout, zero)})
     return estimate_tokens(out, prompt).withColumn("finish_reason", finish)
 
 
@@ -62,6 +67,8 @@ def parse(df: DataFrame, step: str, content: str = "content") -> DataFrame:
     `from_json` turns a field of the wrong JSON type into null; read alone, that null would be
     "repaired" like a missing field. A second, schema-free parse (`map<string,string>`) shows which
     keys were present with a value, so such fields are reported as `type:<field>` (a V2 violation).
+    An answer that no strategy could read has the single error `unparseable_json`, so no repair can
+    make it valid.
     """
     schema = S.STEP_SCHEMAS[step]
     out = salvage(df, content)
@@ -71,7 +78,8 @@ def parse(df: DataFrame, step: str, content: str = "content") -> DataFrame:
     errs = F.array_compact(F.array(*[
         F.when(F.col("_raw")[f.name].isNotNull() & F.col("parsed")[f.name].isNull(), F.lit(f"type:{f.name}"))
         for f in schema.fields]))
-    return out.withColumn("type_errors", F.when(F.col("json_text").isNotNull(), errs)).drop("_raw")
+    unread = F.array(F.lit("unparseable_json"))
+    return out.withColumn("type_errors", F.when(F.col("json_text").isNotNull(), errs).otherwise(unread)).drop("_raw")
 
 
 def parse_rejects(parsed: DataFrame, content: str = "content") -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 PAD4 = "lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0')"
-CLEAN80 = "regexp_replace(substr(text, 1, 80), '[\\x00-\\x1f\"{}\\[\\]\\\\]', '', 'g')"
 KEY = ("'workflow:result:' || sha256({c} || ':' || {p} || ':' || {m})")
 
 FX: dict[str, str] = {}
@@ -31,8 +30,8 @@ SELECT CAST(doc_id AS VARCHAR) AS request_id, doc_id,
          ELSE '' END AS content
 FROM documents"""
 
-FX["fx_response_fields"] = f"""
-SELECT doc_id, {CLEAN80} AS problem_statement,
+FX["fx_response_fields"] = """
+SELECT doc_id, text AS problem_statement,
        'Outcome for ' || source AS desired_outcome,
        ['pain ' || lang, 'cost ' || source] AS pain_points,
        CAST(doc_id % 10 AS DOUBLE) / 10 AS confidence_score
@@ -41,7 +40,7 @@ FROM documents"""
 # typed fixtures: the oracle states the same values directly
 FX["fx_extracted"] = """
 SELECT CAST(doc_id AS VARCHAR) AS run_id, doc_id,
-       CASE WHEN doc_id % 7 = 3 THEN '' ELSE substr(text, 1, 60) END AS problem_statement,
+       CASE WHEN doc_id % 7 = 3 THEN '' ELSE text END AS problem_statement,
        CAST(NULL AS VARCHAR) AS current_solution,
        CASE WHEN doc_id % 7 = 5 THEN NULL ELSE 'Outcome ' || source END AS desired_outcome,
        CASE doc_id % 7 WHEN 1 THEN CAST([] AS VARCHAR[]) WHEN 2 THEN CAST(NULL AS VARCHAR[])
@@ -68,7 +67,8 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
 FX["fx_value_prop"] = """
 SELECT CAST(doc_id AS VARCHAR) AS run_id, doc_id,
-       CASE doc_id % 7 WHEN 4 THEN '' WHEN 5 THEN rpad('H', 201, 'x') ELSE substr(text, 1, 50) END AS headline,
+       CASE doc_id % 7 WHEN 4 THEN '' WHEN 5 THEN rpad('H', 201, 'x')
+            ELSE CASE WHEN doc_id % 3 = 0 THEN text ELSE 'Less manual work for ' || source END END AS headline,
        'Problem of ' || source AS problem, 'Automate the workflow' AS solution,
        CASE WHEN doc_id % 7 = 2 THEN NULL ELSE 'Faster than manual' END AS differentiation,
        CAST(NULL AS VARCHAR) AS quantified_value,
@@ -82,20 +82,24 @@ FROM documents"""
 
 FX["fx_runs"] = """
 SELECT CAST(event_id AS VARCHAR) AS run_id, event_id,
-       CAST(ts AS TIMESTAMP) AS started_at,
-       make_timestamp(epoch_us(CAST(ts AS TIMESTAMP)) + CAST(round(value * 100000) AS BIGINT)) AS completed_at,
+       started_at,
+       make_timestamp(epoch_us(started_at) + CAST(round(value * 100000) AS BIGINT)) AS completed_at,
        user_id, 'cust-' || CAST(user_id AS VARCHAR) AS customer_id,
        CASE user_id % 4 WHEN 0 THEN 'crm' WHEN 1 THEN 'email' WHEN 2 THEN 'call' ELSE 'manual' END AS source,
        CASE event_id % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' ELSE 'google' END AS provider,
        CASE event_id % 3 WHEN 0 THEN 'gpt-4o-mini' WHEN 1 THEN 'claude-sonnet-4-5'
             ELSE 'gemini-2.5-flash-lite' END AS model,
-       event_type <> 'error' AS success, event_type = 'view' AS from_cache,
+       event_type <> 'error' AS success, event_type = 'error' AND event_id % 2 = 1 AS raised,
+       event_id % 10 < 7 AS approved,
+       CASE user_id % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'staging' ELSE 'prod' END AS environment,
+       event_type = 'view' AS from_cache,
        value, value / 10 AS duration_s, CAST(round(value * 100) AS BIGINT) AS duration_ms,
        value / 10000 AS cost_usd,
        100 + (event_id * 37) % 900 AS tokens_input, 50 + (event_id * 13) % 450 AS tokens_output,
        CAST(event_id % 5 + 6 AS DOUBLE) / 10 AS accuracy, CAST(event_id % 10 AS DOUBLE) / 10 AS risk,
        CASE WHEN event_type = 'error' THEN 'Provider timeout' END AS error
-FROM events"""
+FROM (SELECT *, CASE WHEN event_id % 13 = 0 THEN date_trunc('second', CAST(ts AS TIMESTAMP))
+                     ELSE CAST(ts AS TIMESTAMP) END AS started_at FROM events)"""
 
 FX["fx_steps"] = """
 SELECT r.run_id, r.event_id, r.provider, r.model, s.step, s.idx AS step_idx,
@@ -123,13 +127,13 @@ SELECT CASE WHEN from_cache THEN 'cache_hit' ELSE 'cache_miss' END, 'info', star
        provider, model, source, NULL, NULL, NULL, NULL, {KEY.format(c='run_id', p='provider', m='model')}, NULL
 FROM fx_runs
 UNION ALL
-SELECT 'workflow_execution_completed', 'info', completed_at, run_id, provider, model, source, TRUE,
+SELECT 'workflow_execution_completed', 'info', completed_at, run_id, provider, model, source, success,
        cost_usd, duration_ms, NULL, NULL, NULL
-FROM fx_runs WHERE success
+FROM fx_runs WHERE NOT raised
 UNION ALL
 SELECT 'workflow_execution_failed', 'error', completed_at, run_id, provider, model, source, NULL,
        NULL, NULL, error, NULL, NULL
-FROM fx_runs WHERE NOT success
+FROM fx_runs WHERE raised
 UNION ALL
 SELECT 'extraction_missing_field', 'warning', completed_at, run_id, provider, model, source, NULL,
        NULL, NULL, NULL, NULL, 'pain_points'

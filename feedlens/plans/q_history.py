@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import history as Hs
 from ..sources import fixtures as FX
 from .catalog import query
-from .sql_snippets import rsum, xavg
+from .sql_snippets import BILLED, rsum, xavg
 
 START, END, PREV = "2024-01-08 00:00:00", "2024-01-15 00:00:00", "2024-01-01 00:00:00"
-BILLED = "CASE WHEN from_cache THEN 0.0 ELSE cost_usd END"
 RANGE = f"started_at >= TIMESTAMP '{START}' AND started_at < TIMESTAMP '{END}'"
 
 
@@ -86,7 +85,7 @@ def history_page(spark, sf):
 
 @query("history_search", """
 SELECT request_id FROM fx_feedback
-WHERE content ILIKE '%worthless%' OR levenshtein(lower(customer_id), 'cust-7') <= 1""")
+WHERE content ILIKE '%worthless%' OR levenshtein(lower(customer_id), 'cust-7') <= 2""")
 def history_search(spark, sf):
     return Hs.history_search(FX.fx_feedback(spark, sf), "worthless", "cust-7").select("request_id")
 

@@ -122,9 +122,9 @@ def fx_ingest_responses(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang")
     k = F.col("doc_id") % 4
     zh = F.to_json(F.struct(F.lit("zh").alias("language"), F.lit(True).alias("pii_detected"),
-                            F.concat(F.lit("redacted "), F.col("doc_id").cast("string")).alias("redacted_text"),
-                            F.lit(7).alias("word_count")))
-    good = F.to_json(F.struct(F.col("lang").alias("language"), F.lit(False).alias("pii_detected"),
+                            F.concat(F.lit("leaks jane.doe@example.com "), F.col("doc_id").cast("string"))
+                            .alias("redacted_text"), F.lit(7).alias("word_count")))
+    good = F.to_json(F.struct(F.concat(F.lit(" "), F.upper("lang"), F.lit("\n")).alias("language"), F.lit(False).alias("pii_detected"),
                               F.concat(F.lit("clean "), F.col("doc_id").cast("string")).alias("redacted_text"),
                               (F.col("doc_id") % 50).alias("word_count"),
                               F.lit("good").alias("input_quality")))
@@ -138,7 +138,7 @@ WITH det AS (SELECT request_id, count(*) AS n FROM ({Q.pii_rows('fx_pii')}) GROU
 SELECT p.request_id,
        CASE p.doc_id % 4 WHEN 1 THEN 'other' WHEN 3 THEN d.lang ELSE 'en' END AS language,
        coalesce(det.n, 0) > 0 OR p.doc_id % 4 = 1 AS has_pii,
-       CASE p.doc_id % 4 WHEN 1 THEN 'redacted ' || CAST(p.doc_id AS VARCHAR)
+       CASE p.doc_id % 4 WHEN 1 THEN 'leaks [REDACTED] ' || CAST(p.doc_id AS VARCHAR)
             WHEN 3 THEN 'clean ' || CAST(p.doc_id AS VARCHAR)
             ELSE {Q.redact(Q.strip('p.content'))} END AS cleaned_content,
        CASE p.doc_id % 4 WHEN 1 THEN 7 WHEN 3 THEN p.doc_id % 50

@@ -8,7 +8,7 @@ from .. import schemas as S
 from ..operators import metrics as MT
 from ..sources import fixtures as FX
 from .catalog import query
-from .sql_snippets import rsum
+from .sql_snippets import BILLED, rsum
 from .q_repair import SELF_CHECK_REPAIRED, repaired_self_check
 
 
@@ -18,6 +18,7 @@ def bucket_sql(ts: str, seconds: int) -> str:
 
 
 def hist_sql(src: str, labels: list[str], value: str, buckets: list[float], metric: str) -> str:
+    """Cumulative histogram rows of `src` in long form."""
     lab = ", ".join(labels)
     sel = (lab + ", ") if labels else ""
     aggs = ", ".join(f"CAST(sum(CASE WHEN {value} <= {b!r} THEN 1 ELSE 0 END) AS DOUBLE) AS b{i}"
@@ -44,36 +45,54 @@ def _log(spark, sf):
 @query("scan_log", """
 SELECT event, level, run_id, provider, success, total_cost_usd, total_latency_ms, error, field, ts FROM fx_log""")
 def scan_log(spark, sf):
-    return _log(spark, sf).select("event", "level", "run_id", "provider", "success", "total_cost_usd",
-                                  "total_latency_ms", "error", "field", "ts")
+    return _log(spark, sf).filter(F.col(MT.CORRUPT).isNull()).select(
+        "event", "level", "run_id", "provider", "success", "total_cost_usd", "total_latency_ms", "error", "field", "ts")
 
 
-@query("m_executions", """
-SELECT provider, model, CASE WHEN success THEN 'success' ELSE 'failure' END AS status, count(*) AS value
-FROM fx_runs GROUP BY ALL""")
+@query("scan_log_bad", """
+SELECT count(*) FILTER (WHERE event_id % 101 = 0) AS corrupt_lines, CAST(0 AS BIGINT) AS bad_times FROM fx_runs""")
+def scan_log_bad(spark, sf):
+    """Cut lines are kept and counted; whole-second times are read."""
+    return MT.unreadable_lines(_log(spark, sf))
+
+
+EXECUTIONS = """(SELECT CASE WHEN raised THEN 'unknown' ELSE provider END AS provider,
+    CASE WHEN raised THEN 'unknown' ELSE model END AS model,
+    CASE WHEN raised THEN 'error' WHEN success THEN 'success' ELSE 'failure' END AS status FROM fx_runs)"""
+RESULTS = "(SELECT * FROM fx_runs WHERE NOT raised)"
+
+
+@query("m_executions", f"SELECT provider, model, status, count(*) AS value FROM {EXECUTIONS} GROUP BY ALL")
 def m_executions(spark, sf):
     return MT.executions(_runs(spark, sf))
 
 
-@query("m_duration_hist", hist_sql("fx_runs", ["provider", "model"], "duration_s", S.DURATION_BUCKETS,
+@query("m_duration_hist", hist_sql(RESULTS, ["provider", "model"], "duration_s", S.DURATION_BUCKETS,
                                    "workflow_duration_seconds"))
 def m_duration_hist(spark, sf):
-    return MT.histogram(_runs(spark, sf), ["provider", "model"], "duration_s", S.DURATION_BUCKETS,
+    return MT.histogram(MT.with_result(_runs(spark, sf)), ["provider", "model"], "duration_s", S.DURATION_BUCKETS,
                         "workflow_duration_seconds")
 
 
-@query("m_cost_hist", hist_sql("fx_runs", ["provider", "model"], "cost_usd", S.COST_BUCKETS, "workflow_cost_usd"))
+@query("m_cost_hist", hist_sql(RESULTS, ["provider", "model"], "cost_usd", S.COST_BUCKETS, "workflow_cost_usd"))
 def m_cost_hist(spark, sf):
-    return MT.histogram(_runs(spark, sf), ["provider", "model"], "cost_usd", S.COST_BUCKETS, "workflow_cost_usd")
+    return MT.histogram(MT.with_result(_runs(spark, sf)), ["provider", "model"], "cost_usd", S.COST_BUCKETS,
+                        "workflow_cost_usd")
+
+
+# stated by counting: runs begun less runs ended at every event time, and at each period's start
+ACTIVE = f"""
+WITH x AS (SELECT started_at AS t, 1 AS d FROM fx_runs UNION ALL SELECT completed_at, -1 FROM fx_runs),
+at_time AS (SELECT DISTINCT t, sum(d) OVER (ORDER BY t RANGE UNBOUNDED PRECEDING) AS level FROM x),
+period AS (SELECT unnest(generate_series(min({bucket_sql('t', 300)}), max({bucket_sql('t', 300)}), INTERVAL 300 SECOND))
+           AS bucket FROM x),
+entry AS (SELECT p.bucket, coalesce(a.level, 0) AS level FROM period p ASOF LEFT JOIN at_time a ON p.bucket > a.t),
+inside AS (SELECT {bucket_sql('t', 300)} AS bucket, max(level) AS level FROM at_time GROUP BY 1)
+SELECT e.bucket, CAST(greatest(e.level, coalesce(i.level, e.level)) AS BIGINT) AS peak_active
+FROM entry e LEFT JOIN inside i ON e.bucket = i.bucket"""
 
 
-@query("m_active_runs", f"""
-WITH d AS (SELECT started_at AS t, 1 AS d FROM fx_runs UNION ALL SELECT completed_at, -1 FROM fx_runs),
-b AS (SELECT {bucket_sql('t', 300)} AS bucket, t, d FROM d),
-r AS (SELECT bucket, d, sum(d) OVER (PARTITION BY bucket ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS run FROM b),
-per AS (SELECT bucket, max(run) AS peak_inside, sum(d) AS net FROM r GROUP BY bucket)
-SELECT bucket, CAST(coalesce(sum(net) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-       + peak_inside AS BIGINT) AS peak_active FROM per""")
+@query("m_active_runs", ACTIVE)
 def m_active_runs(spark, sf):
     return MT.active_runs(_runs(spark, sf))
 
@@ -117,17 +136,24 @@ def m_rejections(spark, sf):
 
 @query("m_rollup", """
 SELECT provider, model, status, count(*) AS value, GROUPING(provider, model, status) AS level
-FROM (SELECT provider, model, CASE WHEN success THEN 'success' ELSE 'failure' END AS status FROM fx_runs)
+FROM """ + EXECUTIONS + """
 GROUP BY ROLLUP (provider, model, status)""")
 def m_rollup(spark, sf):
     return MT.rollup_executions(_runs(spark, sf))
 
 
-@query("metrics_text", """
-SELECT 'workflow_executions_total{provider="' || provider || '",model="' || model || '",status="' || status
-       || '"} ' || printf('%.6f', CAST(n AS DOUBLE)) AS line
-FROM (SELECT provider, model, CASE WHEN success THEN 'success' ELSE 'failure' END AS status, count(*) AS n
-      FROM fx_runs GROUP BY ALL)""")
+def lines_sql(src: str, labels: list[str], metric: str = "metric") -> str:
+    """Text lines of samples (labels…, value, and le where there is one)."""
+    parts = [f"'{x}=\"' || {x} || '\"'" for x in labels]
+    if metric == "metric":
+        parts.append("CASE WHEN le IS NOT NULL THEN 'le=\"' || le || '\"' END")
+    inside = f"concat_ws(',', {', '.join(parts)})" if parts else "''"
+    return (f"SELECT {metric} || CASE WHEN {inside} = '' THEN '' ELSE '{{' || {inside} || '}}' END || ' ' || "
+            f"regexp_replace(CAST(CAST(value AS DOUBLE) AS VARCHAR), '\\.0$', '') AS line FROM ({src})")
+
+
+@query("metrics_text", lines_sql(f"SELECT provider, model, status, count(*) AS value FROM {EXECUTIONS} GROUP BY ALL",
+                                 ["provider", "model", "status"], "'workflow_executions_total'"))
 def metrics_text(spark, sf):
     e = MT.executions(_runs(spark, sf)).withColumn("metric", F.lit("workflow_executions_total"))
     return MT.exposition(e, ["provider", "model", "status"])
@@ -167,6 +193,27 @@ def alarm_errors(spark, sf):
     return MT.alarm(c, 300)
 
 
+@query("alarm_errors_any", _alarm_sql(300).replace("n > 5", "n > 0"))
+def alarm_errors_any(spark, sf):
+    """L4 over 300 s periods with threshold 0, which the given events do reach."""
+    c = MT.window_counts(_log(spark, sf).filter(F.col("event") == S.EV_FAILED), "5 minutes")
+    return MT.alarm(c, 300, threshold=0)
+
+
+@query("log_succeeded", _win_sql("event = 'workflow_execution_completed' AND success", 300))
+def log_succeeded(spark, sf):
+    """L1 by success: completed runs that ended well."""
+    return MT.window_counts(_log(spark, sf).filter((F.col("event") == S.EV_COMPLETED) & F.col("success")), "5 minutes")
+
+
+@query("log_unsuccessful", _win_sql("event = 'workflow_execution_failed' OR "
+                                    "(event = 'workflow_execution_completed' AND NOT success)", 300))
+def log_unsuccessful(spark, sf):
+    """L2 by success (K13): runs that raised or completed without success."""
+    bad = (F.col("event") == S.EV_FAILED) | ((F.col("event") == S.EV_COMPLETED) & ~F.col("success"))
+    return MT.window_counts(_log(spark, sf).filter(bad), "5 minutes")
+
+
 @query("alarm_errors_1h", _alarm_sql(3600))
 def alarm_errors_1h(spark, sf):
     c = MT.window_counts(_log(spark, sf).filter(F.col("event") == S.EV_FAILED), "1 hour")
@@ -201,11 +248,11 @@ SELECT 'p95_latency_s', window_start, round(v, 6), 10.0 FROM (
   FROM fx_runs GROUP BY 1) WHERE v > 10.0
 UNION ALL
 SELECT 'rejection_rate', window_start, round(v, 6), 0.3 FROM (
-  SELECT {bucket_sql('started_at', 3600)} AS window_start, avg(CASE WHEN risk >= 0.3 THEN 1.0 ELSE 0.0 END) AS v
+  SELECT {bucket_sql('started_at', 3600)} AS window_start, avg(CASE WHEN approved THEN 0.0 ELSE 1.0 END) AS v
   FROM fx_runs GROUP BY 1) WHERE v > 0.3
 UNION ALL
 SELECT 'cost_per_hour', window_start, round(v, 6), 0.5 FROM (
-  SELECT {bucket_sql('started_at', 3600)} AS window_start, {rsum('cost_usd')} AS v FROM fx_runs GROUP BY 1) WHERE v > 0.5""")
+  SELECT {bucket_sql('started_at', 3600)} AS window_start, {rsum(BILLED)} AS v FROM fx_runs GROUP BY 1) WHERE v > 0.5""")
 def alert_rules(spark, sf):
     r = _runs(spark, sf).withColumn("ts", F.col("started_at"))
     return MT.alert_rules(r)
@@ -213,8 +260,7 @@ def alert_rules(spark, sf):
 
 @query("budget_alert", f"""
 SELECT day, env, cost AS cost_usd, budget_usd, cost > budget_usd AS over_budget FROM (
-  SELECT CAST(started_at AS DATE) AS day,
-         CASE user_id % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'staging' ELSE 'prod' END AS env, {rsum('cost_usd')} AS cost
+  SELECT CAST(started_at AS DATE) AS day, environment AS env, {rsum(BILLED)} AS cost
   FROM fx_runs GROUP BY ALL) c
 JOIN (VALUES ('dev', CAST(10.0 AS DOUBLE)), ('staging', 100.0), ('prod', 1000.0)) AS b(env2, budget_usd) ON c.env = b.env2""")
 def budget_alert(spark, sf):
@@ -226,21 +272,71 @@ def log_warnings(spark, sf):
     return MT.warnings(_log(spark, sf))
 
 
-@query("latency_pct_approx")
+RANKS = """
+SELECT provider, TRUE AS p50_ok, TRUE AS p95_ok, TRUE AS p99_ok FROM fx_runs GROUP BY provider"""
+
+
+@query("latency_pct_approx", RANKS)
 def latency_pct_approx(spark, sf):
-    """L7 at scale: one-pass mergeable sketch (no exact oracle; rows-only check)."""
-    a = MT.approx_percentiles(_runs(spark, sf), ["provider"], "duration_s", [0.5, 0.95, 0.99])
-    return a.select("provider", F.col("values")[0].alias("p50"), F.col("values")[1].alias("p95"),
-                    F.col("values")[2].alias("p99"))
+    """L7 in one pass with a mergeable sketch: is each value's rank within its stated bound (1/1000 of the rows)?"""
+    runs = _runs(spark, sf)
+    ps, names = [0.5, 0.95, 0.99], ["p50", "p95", "p99"]
+    a = MT.approx_percentiles(runs, ["provider"], "duration_s", ps, accuracy=1000)
+    j = runs.select("provider", "duration_s").join(F.broadcast(a), "provider")  # one row per provider
+    n = F.count(F.lit(1))
+    below = [F.count_if(F.col("duration_s") < F.col("values")[k]) for k in range(3)]
+    upto = [F.count_if(F.col("duration_s") <= F.col("values")[k]) for k in range(3)]
+    ok = [((lo <= p * n + n / 1000 + 1) & (hi >= p * n - n / 1000 - 1)).alias(f"{name}_ok")
+          for lo, hi, p, name in zip(below, upto, ps, names)]
+    return j.groupBy("provider").agg(*ok)
+
+
+DURATION_HIST = hist_sql(RESULTS, ["provider", "model"], "duration_s", S.DURATION_BUCKETS, "workflow_duration_seconds")
 
 
-@query("metrics_text_hist", """
-SELECT metric || '{provider="' || provider || '",model="' || model || '"'
-       || CASE WHEN le IS NOT NULL THEN ',le="' || le || '"' ELSE '' END || '} ' || printf('%.6f', value) AS line
-FROM (""" + hist_sql("fx_runs", ["provider", "model"], "duration_s", S.DURATION_BUCKETS, "workflow_duration_seconds")
-      + ")")
+@query("metrics_text_hist", lines_sql(DURATION_HIST, ["provider", "model"]))
 def metrics_text_hist(spark, sf):
     """A7 for the duration histogram (MT2): bucket, count and sum lines."""
-    h = MT.histogram(_runs(spark, sf), ["provider", "model"], "duration_s", S.DURATION_BUCKETS,
+    h = MT.histogram(MT.with_result(_runs(spark, sf)), ["provider", "model"], "duration_s", S.DURATION_BUCKETS,
                      "workflow_duration_seconds")
     return MT.exposition(h, ["provider", "model"])
+
+
+def _registry_sql() -> str:
+    by = ["provider", "model"]
+    bodies = {
+        "workflow_executions_total": lines_sql(
+            f"SELECT provider, model, status, count(*) AS value FROM {EXECUTIONS} GROUP BY ALL", [*by, "status"],
+            "'workflow_executions_total'"),
+        "workflow_duration_seconds": lines_sql(DURATION_HIST, by),
+        "workflow_cost_usd": lines_sql(hist_sql(RESULTS, by, "cost_usd", S.COST_BUCKETS, "workflow_cost_usd"), by),
+        "tokens_consumed_total": lines_sql(
+            "SELECT provider, model, 'input' AS type, sum(tokens_input) AS value FROM fx_runs GROUP BY ALL UNION ALL "
+            "SELECT provider, model, 'output', sum(tokens_output) FROM fx_runs GROUP BY ALL", [*by, "type"],
+            "'tokens_consumed_total'"),
+        "agent_step_duration_seconds": lines_sql(
+            hist_sql(STEP_SECONDS, ["step", "provider"], "duration_s", S.STEP_DURATION_BUCKETS,
+                     "agent_step_duration_seconds"), ["step", "provider"]),
+        "agent_step_failures_total": lines_sql(
+            "SELECT step, provider, count(*) AS value FROM fx_steps WHERE status = 'failed' GROUP BY ALL",
+            ["step", "provider"], "'agent_step_failures_total'"),
+        "hallucination_risk_score": lines_sql(
+            hist_sql("fx_runs", [], "risk", S.RISK_BUCKETS, "hallucination_risk_score"), []),
+        "self_check_rejections_total": lines_sql(
+            f"SELECT rejection_reason AS reason, count(*) AS value FROM ({SELF_CHECK_REPAIRED}) WHERE NOT approved "
+            "GROUP BY 1", ["reason"], "'self_check_rejections_total'"),
+        "active_workflows": lines_sql(
+            f"SELECT arg_max(peak_active, bucket) AS value FROM ({ACTIVE})", [], "'active_workflows'"),
+    }
+    parts = []
+    for name, (kind, text) in S.METRICS.items():
+        parts.append(f"SELECT '{name}' AS family, 0 AS pos, '# HELP {name} {text}' AS line")
+        parts.append(f"SELECT '{name}', 1, '# TYPE {name} {kind}'")
+        parts.append(f"SELECT '{name}', 2, line FROM ({bodies[name]})")
+    return "\nUNION ALL ".join(parts)
+
+
+@query("metrics_text_all", _registry_sql())
+def metrics_text_all(spark, sf):
+    """The nine metrics with their HELP and TYPE lines."""
+    return MT.registry(_runs(spark, sf), FX.fx_steps(spark, sf), repaired_self_check(spark, sf))

@@ -15,8 +15,10 @@ def fx_envelopes(spark, sf):
     r = FX.fx_runs(spark, sf)
     even = F.col("event_id") % 2 == 0
     text = F.concat(F.lit("answer "), F.col("run_id"), F.lit(" ok"))
+    bare = F.col("event_id") % 12 == 0  # a call without arguments
     openai_fc = F.struct(
-        F.struct(F.struct(F.concat(F.lit('{"k": '), F.col("run_id"), F.lit("}")).alias("arguments"))
+        F.struct(F.struct(F.lit("f").alias("name"),
+                          F.when(~bare, F.concat(F.lit('{"k": '), F.col("run_id"), F.lit("}"))).alias("arguments"))
                  .alias("function_call")).alias("additional_kwargs"),
         F.struct(F.struct(F.col("tokens_input").alias("prompt_tokens"),
                           F.col("tokens_output").alias("completion_tokens")).alias("token_usage"),
@@ -28,7 +30,11 @@ def fx_envelopes(spark, sf):
         .alias("response_metadata"))
     anthropic = F.struct(
         text.alias("content"),
-        F.struct(F.struct(F.col("tokens_input").alias("input_tokens"),
+        F.when(F.col("event_id") % 4 == 0, F.array(F.struct(F.struct(F.lit("ignored").alias("k")).alias("args"))))
+        .alias("tool_calls"),  # only OpenAI's tool calls carry the answer
+        F.struct(F.struct(F.when(F.col("event_id") % 10 == 1, F.lit("n/a"))
+                          .when(F.col("event_id") % 10 == 3, F.concat(F.col("tokens_input").cast("string"), F.lit(".0")))
+                          .otherwise(F.col("tokens_input").cast("string")).alias("input_tokens"),
                           F.col("tokens_output").alias("output_tokens")).alias("usage"),
                  F.when(even, F.lit("max_tokens")).alias("stop_reason")).alias("response_metadata"))
     zero = F.col("event_id") % 5 == 0
@@ -48,10 +54,13 @@ def fx_envelopes(spark, sf):
 
 ENVELOPE_EXPECT = """
 SELECT run_id,
-  CASE WHEN provider = 'openai' AND event_id % 2 = 0 THEN '{"k": ' || run_id || '}'
+  CASE WHEN provider = 'openai' AND event_id % 12 = 0 THEN '{}'
+       WHEN provider = 'openai' AND event_id % 2 = 0 THEN '{"k": ' || run_id || '}'
        WHEN provider = 'openai' THEN '{"k":' || CAST(event_id AS VARCHAR) || '}'
        ELSE 'answer ' || run_id || ' ok' END AS content,
-  CASE WHEN provider = 'google' AND event_id % 5 = 0 THEN 9 ELSE tokens_input END AS tokens_input,
+  CASE WHEN provider = 'google' AND event_id % 5 = 0 THEN 9
+       WHEN provider = 'anthropic' AND event_id % 10 = 1 THEN 0 ELSE tokens_input END AS tokens_input,
+  provider = 'anthropic' AND event_id % 10 = 1 AS tokens_unreadable,
   CASE WHEN provider = 'google' AND event_id % 5 = 0 THEN 3 ELSE tokens_output END AS tokens_output,
   provider = 'google' AND event_id % 5 = 0 AS tokens_estimated,
   CASE WHEN provider = 'openai' AND event_id % 2 = 0 THEN 'length'
@@ -68,10 +77,10 @@ def response_content(spark, sf):
 
 
 @query("response_tokens", f"""
-SELECT run_id, tokens_input, tokens_output, finish_reason FROM ({ENVELOPE_EXPECT})""")
+SELECT run_id, tokens_input, tokens_output, tokens_unreadable, finish_reason FROM ({ENVELOPE_EXPECT})""")
 def response_tokens(spark, sf):
     return R.unpack_envelope(fx_envelopes(spark, sf)).select(
-        "run_id", "tokens_input", "tokens_output", "finish_reason")
+        "run_id", "tokens_input", "tokens_output", "tokens_unreadable", "finish_reason")
 
 
 @query("token_estimate", f"""

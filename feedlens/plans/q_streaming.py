@@ -10,6 +10,8 @@ from ..operators import cache as H
 from ..sources import fixtures as FX
 from ..streaming import jobs as ST
 from .catalog import query
+from .q_limits import _rate_sql
+from .q_metrics import _alarm_sql
 
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
                        T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
@@ -60,7 +62,7 @@ def stream_dedupe(spark, sf):
     return spark.read.parquet(out).select("request_id", "hit")
 
 
-@query("stream_rate_limit", __import__("feedlens.plans.q_limits", fromlist=["_rate_sql"])._rate_sql(10, 60))
+@query("stream_rate_limit", _rate_sql(10, 60))
 def stream_rate_limit(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.ROCKSDB)
     src = (spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet")
@@ -70,15 +72,15 @@ def stream_rate_limit(spark, sf):
     return spark.read.parquet(out).select("event_id", "user_id", "admitted")
 
 
-@query("stream_alarm", __import__("feedlens.plans.q_metrics", fromlist=["_alarm_sql"])._alarm_sql(3600))
+@query("stream_alarm", _alarm_sql(3600))
 def stream_alarm(spark, sf):
     """L4 live: failure counts per hour from the stream sink, then the two-period alarm."""
     from ..operators import metrics as MT
     src = (spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet")
            .option("maxFilesPerTrigger", 1).parquet(sf)
-           .filter(F.col("event_type") == "error")
-           # a failed run logs its failure when it completes: start + value/10 seconds
-           .withColumn("ts", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp"))
+           # a run that raised logs its failure when it completes: start + value/10 seconds
+           .filter((F.col("event_type") == "error") & (F.col("event_id") % 2 == 1))
+           .withColumn("ts", F.timestamp_micros(F.unix_micros(FX.run_start(F.col("event_id"), F.col("ts")))
                                                 + F.round(F.col("value") * 100000).cast("long"))))
     agg = ST.windowed_counts(src, period="1 hour")
     out, ck = ST.scratch(spark, "stream-alarm-out"), ST.scratch(spark, "stream-alarm-ck")

@@ -55,6 +55,10 @@ def redact(expr: str) -> str:
     return out
 
 
+#: Same as functions.exact.billed_cost (K8).
+BILLED = "CASE WHEN from_cache THEN 0.0 ELSE cost_usd END"
+
+
 def xsum(expr: str) -> str:
     """Same as functions.exact.xsum."""
     return f"CAST(sum(CAST({expr} AS DECIMAL(38,10))) AS DOUBLE)"

@@ -88,6 +88,19 @@ COST_BUCKETS = [0.0001, 0.001, 0.01, 0.1, 1.0, 10.0]
 STEP_DURATION_BUCKETS = [0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0]
 RISK_BUCKETS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 
+# metrics: name to (type, help); names and types must equal the service's, the texts are ours
+METRICS = {
+    "workflow_executions_total": ("counter", "Runs by provider, model and outcome"),
+    "workflow_duration_seconds": ("histogram", "Run time in seconds"),
+    "workflow_cost_usd": ("histogram", "Run cost in US dollars"),
+    "tokens_consumed_total": ("counter", "Tokens by provider, model and direction"),
+    "agent_step_duration_seconds": ("histogram", "Step time in seconds"),
+    "agent_step_failures_total": ("counter", "Failed steps by step and provider"),
+    "hallucination_risk_score": ("histogram", "Risk scores given by the self-check"),
+    "self_check_rejections_total": ("counter", "Rejections by reason"),
+    "active_workflows": ("gauge", "Runs under way in the last period"),
+}
+
 # log event names
 EV_STARTED = "workflow_execution_started"
 EV_COMPLETED = "workflow_execution_completed"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import keys
-from .tables import spread, table
+from .tables import table
 
 BASE_EPOCH = 1704067200  # 2024-01-01T00:00:00Z
 
@@ -26,7 +26,7 @@ def _pick(idx: Column, values: list) -> Column:
 
 def fx_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return spread(d.select(
+    return d.select(
         F.col("doc_id").cast("string").alias("request_id"),
         "doc_id",
         F.col("text").alias("content"),
@@ -34,7 +34,7 @@ def fx_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("cust-"), (F.col("doc_id") % 100).cast("string")).alias("customer_id"),
         "lang",
         F.timestamp_seconds(F.lit(BASE_EPOCH) + F.col("doc_id") * 60).alias("requested_at"),
-    ), f"{sf_dir}:fx_feedback")
+    )
 
 
 def fx_conversation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,21 +63,29 @@ def fx_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                                F.lit(" on file.")))
         .otherwise(F.lit(""))
     )
-    return spread(d.select(F.col("doc_id").cast("string").alias("request_id"), "doc_id",
-                           F.concat(F.col("text"), suffix).alias("content")), f"{sf_dir}:fx_pii")
+    return d.select(F.col("doc_id").cast("string").alias("request_id"), "doc_id",
+                    F.concat(F.col("text"), suffix).alias("content"))
 
 
 # --- model answers wrapped in eight text shapes -----------------------------------------
 
-def _clean80(text: Column) -> Column:
-    return F.regexp_replace(F.substring(text, 1, 80), r'[\x00-\x1f"{}\[\]\\]', "")
+def _json_string(text: Column) -> Column:
+    """A whole text as a JSON string; braces and brackets are escaped too, so the shapes below hold."""
+    out = _inner(F.to_json(F.array(text)))
+    for char, code in (("{", "007b"), ("}", "007d"), ("[", "005b"), ("]", "005d")):
+        out = F.replace(out, F.lit(char), F.lit(f"\\u{code}"))
+    return out
+
+
+def _inner(text: Column) -> Column:
+    return F.substr(text, F.lit(2), F.length(text) - 2)
 
 
 def response_fields(d: DataFrame) -> DataFrame:
     """Expected field values for a documents frame (doc_id, text, lang, source)."""
     return d.select(
         "doc_id", "source",
-        _clean80(F.col("text")).alias("problem_statement"),
+        F.col("text").alias("problem_statement"),
         F.concat(F.lit("Outcome for "), F.col("source")).alias("desired_outcome"),
         F.array(F.concat(F.lit("pain "), F.col("lang")),
                 F.concat(F.lit("cost "), F.col("source"))).alias("pain_points"),
@@ -88,11 +96,16 @@ def response_fields(d: DataFrame) -> DataFrame:
 def fx_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     f = response_fields(d)
-    payload = F.to_json(F.struct("problem_statement", "desired_outcome", "pain_points",
-                                 "confidence_score"))
+    f = f.withColumn("_problem", _json_string(F.col("problem_statement")))
+    f = f.withColumn("_open", F.concat(
+        F.lit('{"problem_statement":'), F.col("_problem"),
+        F.lit(',"desired_outcome":'), _json_string(F.col("desired_outcome")),
+        F.lit(',"pain_points":'), F.to_json("pain_points"),
+        F.lit(',"confidence_score":'), F.col("confidence_score").cast("string")))
+    payload = F.concat("_open", F.lit("}"))
     k = F.col("doc_id") % 8
-    small = F.concat(F.lit('First {"problem_statement": "'), F.col("problem_statement"),
-                     F.lit('", "confidence_score": 0.'), (F.col("doc_id") % 10).cast("string"),
+    small = F.concat(F.lit('First {"problem_statement": '), F.col("_problem"),
+                     F.lit(', "confidence_score": 0.'), (F.col("doc_id") % 10).cast("string"),
                      F.lit('} and {"desired_outcome": "x"} done.'))
     text = _pick(k, [
         payload,
@@ -100,14 +113,12 @@ def fx_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Sure.\n```json\n"), payload, F.lit("\n")),
         F.concat(F.lit('Note {"a": 1} then '), payload, F.lit(" end.")),
         small,
-        F.concat(F.expr("substring(to_json(struct(problem_statement, desired_outcome, pain_points, "
-                        "confidence_score)), 1, length(to_json(struct(problem_statement, "
-                        "desired_outcome, pain_points, confidence_score))) - 1)"), F.lit(",}")),
+        F.concat("_open", F.lit(",}")),
         F.concat(F.lit("Broken { start. "), payload, F.lit(" tail.")),
         F.concat(F.lit("No structured answer for "), F.col("source"), F.lit(".")),
     ])
-    return spread(f.select(F.col("doc_id").cast("string").alias("run_id"), "doc_id",
-                           F.lit("extract").alias("step"), text.alias("content")), f"{sf_dir}:fx_responses")
+    return f.select(F.col("doc_id").cast("string").alias("run_id"), "doc_id",
+                    F.lit("extract").alias("step"), text.alias("content"))
 
 
 # --- typed step outputs with holes ---------------------------------------------------------
@@ -122,7 +133,7 @@ def fx_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     drivers = F.when(k == 2, empty).otherwise(F.array(F.lit("time"), F.lit("cost")))
     return d.select(
         F.col("doc_id").cast("string").alias("run_id"), "doc_id",
-        F.when(k == 3, F.lit("")).otherwise(F.substring("text", 1, 60)).alias("problem_statement"),
+        F.when(k == 3, F.lit("")).otherwise(F.col("text")).alias("problem_statement"),
         F.lit(None).cast("string").alias("current_solution"),
         F.when(k == 5, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("Outcome "), F.col("source"))).alias("desired_outcome"),
@@ -176,8 +187,10 @@ def fx_value_prop(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("p1"), F.lit("p2")),
         F.array(F.lit("p1"), F.lit("p2"), F.lit("p3"), F.lit("p4"), F.lit("p5")),
     ])
+    # every third headline is the whole text: most are over 200 characters, which V2 refuses
     headline = (F.when(k == 4, F.lit("")).when(k == 5, F.rpad(F.lit("H"), 201, "x"))
-                .otherwise(F.substring("text", 1, 50)))
+                .when(F.col("doc_id") % 3 == 0, F.col("text"))
+                .otherwise(F.concat(F.lit("Less manual work for "), F.col("source"))))
     return d.select(
         F.col("doc_id").cast("string").alias("run_id"), "doc_id",
         headline.alias("headline"),
@@ -194,10 +207,17 @@ def fx_value_prop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- run log views -------------------------------------------------------------------------
 
+def run_start(event_id: Column, ts: Column) -> Column:
+    """Every 13th run starts on a whole second, as a log line without a fraction."""
+    t = ts.cast("timestamp")
+    return F.when(event_id % 13 == 0, F.date_trunc("second", t)).otherwise(t)
+
+
 def fx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     p = e.event_id % 3
-    started = F.col("ts").cast("timestamp")
+    started = run_start(F.col("event_id"), F.col("ts"))
+    failed = F.col("event_type") == "error"
     return e.select(
         F.col("event_id").cast("string").alias("run_id"), "event_id",
         started.alias("started_at"),
@@ -210,7 +230,10 @@ def fx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(p, [F.lit("openai"), F.lit("anthropic"), F.lit("google")]).alias("provider"),
         _pick(p, [F.lit("gpt-4o-mini"), F.lit("claude-sonnet-4-5"), F.lit(S.DEFAULT_MODEL)])
         .alias("model"),
-        (F.col("event_type") != "error").alias("success"),
+        (~failed).alias("success"),
+        (failed & (F.col("event_id") % 2 == 1)).alias("raised"),  # the others end in a failed result
+        (F.col("event_id") % 10 < 7).alias("approved"),
+        _pick(F.col("user_id") % 3, [F.lit("dev"), F.lit("staging"), F.lit("prod")]).alias("environment"),
         (F.col("event_type") == "view").alias("from_cache"),
         "value",
         (F.col("value") / 10).alias("duration_s"),
@@ -253,11 +276,15 @@ def fx_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The run log as JSON lines (one `value` string per event)."""
-    r = spread(fx_runs(spark, sf_dir), f"{sf_dir}:fx_log")
-    iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
-    start_ts = F.date_format("started_at", iso)
-    end_ts = F.date_format("completed_at", iso)
+    """The run log as JSON lines (one `value` string per event); every 101st run adds a cut line."""
+    r = fx_runs(spark, sf_dir)
+
+    def iso(c):
+        # like the service's writer: no fraction when it is zero
+        whole = F.unix_micros(c) % 1_000_000 == 0
+        return F.when(whole, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(
+            F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    start_ts, end_ts = iso("started_at"), iso("completed_at")
     none_s = F.lit(None).cast("string")
     none_b = F.lit(None).cast("boolean")
     none_d = F.lit(None).cast("double")
@@ -280,14 +307,18 @@ def fx_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         ev(S.EV_CACHE_MISS, "info", start_ts, "app.cache", key=key, cond=~F.col("from_cache")),
         ev(S.EV_COMPLETED, "info", end_ts, "app.api", success=F.lit(True), cost=F.col("cost_usd"),
            lat=F.col("duration_ms"), cond=F.col("success")),
-        ev(S.EV_FAILED, "error", end_ts, "app.api", err=F.col("error"), cond=~F.col("success")),
+        ev(S.EV_COMPLETED, "info", end_ts, "app.api", success=F.lit(False), cost=F.col("cost_usd"),
+           lat=F.col("duration_ms"), cond=~F.col("success") & ~F.col("raised")),
+        ev(S.EV_FAILED, "error", end_ts, "app.api", err=F.col("error"), cond=F.col("raised")),
         ev("extraction_missing_field", "warning", end_ts, "app.validator",
            field=F.lit("pain_points"), cond=F.col("event_id") % 7 == 0),
         ev("google_token_count_estimated", "warning", end_ts, "app.providers",
            field=F.lit("tokens_input"), cond=(F.col("event_id") % 11 == 0) & (F.col("provider") == "google")),
     )
-    return (r.select(F.explode(F.array_compact(events)).alias("e"))
-            .select(F.to_json("e").alias("value")))
+    lines = F.concat(F.transform(F.array_compact(events), lambda e: F.to_json(e)),
+                     F.when(F.col("event_id") % 101 == 0, F.array(F.lit('{"event": "workflow_exec')))
+                     .otherwise(F.array().cast("array<string>")))
+    return r.select(F.explode(lines).alias("value"))
 
 
 def fx_cache(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,29 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-
-def spread(df: DataFrame, path: str) -> DataFrame:
-    """Round-robin rows whose scan yields fewer partitions than the cluster has cores.
-
-    A file written as one or a few row groups cannot be split further, which leaves cores idle on
-    the row-wise CPU work that follows (regex over text, JSON). Applied to a view after its
-    projection, so only the needed columns move; on a large input the scan already has many
-    splits and this is a no-op. Filters on the view are still pushed into the scan.
-    """
-    try:
-        sc = df.sparkSession.sparkContext
-        cores = sc.defaultParallelism
-        key = (id(sc), path)
-        if key not in _SCAN_PARTITIONS:  # planning the scan once per file set is enough
-            _SCAN_PARTITIONS[key] = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a remote session): leave the scan as it is
-        return df
-    return df.repartition(cores) if _SCAN_PARTITIONS[key] < cores else df
-
-
-_SCAN_PARTITIONS: dict = {}

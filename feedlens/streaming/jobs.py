@@ -73,7 +73,8 @@ def _cache_state_fn(ttl_us: int):
                 hits.append(True)
             else:
                 hits.append(False)
-                written = int(now)  # a miss computes and writes the result
+                # a miss computes and writes the result; a late row never moves the entry back
+                written = int(now) if written is None else max(written, int(now))
         state.update((written,))
         # the entry is dead after its TTL; let the watermark evict the key then (bounded state)
         state.setTimeoutTimestamp(written // 1000 + ttl_us // 1000)
