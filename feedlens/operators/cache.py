@@ -60,11 +60,11 @@ def misses(looked: DataFrame) -> DataFrame:
     return looked.filter(~F.col("hit"))
 
 
-def leaders(requests: DataFrame, key: str = "request_id") -> DataFrame:
-    """H6: identical inputs in one batch are computed once – the smallest request id per cache key
-    is the leader; the others take its result. Pre-aggregated per key, so a hot key is one row."""
-    lead = requests.groupBy("cache_key").agg(F.min(key).alias("leader_" + key))
-    return requests.join(lead, "cache_key")
+def leaders(requests: DataFrame, key: str = "request_id", by: str = "cache_key") -> DataFrame:
+    """H6: identical inputs in one batch are computed once – the smallest request id per `by` is the
+    leader; the others take its result. Pre-aggregated per key, so a hot key is one row."""
+    lead = requests.groupBy(by).agg(F.min(key).alias("leader_" + key))
+    return requests.join(lead, by)
 
 
 def entries_for(results: DataFrame, written_at: str = "written_at") -> DataFrame:
@@ -80,6 +80,14 @@ def write(entries: DataFrame, path: str, mode: str = "append") -> None:
      .write.mode(mode).partitionBy("write_day").parquet(path))
 
 
+def results_of_hits(hit_rows: DataFrame, key: str = "request_id") -> DataFrame:
+    """H2: the cached result of every hit as a result row (`from_cache` is true)."""
+    r = F.from_json("result_json", S.RESULT)
+    return (hit_rows.withColumn("_r", r)
+            .select(key, "cache_key", *[F.col(f"_r.{f.name}").alias(f.name) for f in S.RESULT.fields],
+                    F.lit(True).alias("from_cache")))
+
+
 def read_results(entries: DataFrame) -> DataFrame:
     """A5: cached JSON back to the typed result."""
     return entries.withColumn("result", F.from_json("result_json", S.RESULT))

@@ -64,7 +64,6 @@ def provider_fallback(attempts: DataFrame, keys=("run_id",)) -> DataFrame:
 
 def unconfigured(requests: DataFrame, configured: list[str]) -> DataFrame:
     """M9: requests for a provider with no credentials → rejects('provider_not_configured')."""
-    spark = requests.sparkSession
-    conf = F.broadcast(spark.createDataFrame([(p,) for p in configured], "provider string"))
-    return (requests.join(conf, "provider", "left_anti")
+    known = F.coalesce(F.col("provider").isin(*configured), F.lit(False)) if configured else F.lit(False)
+    return (requests.filter(~known)
             .withColumn("reject_reason", F.lit("provider_not_configured")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import text as X
 from ..functions.jsonsalvage import salvage
+from . import repair as RP
 
 
 def fill_defaults(df: DataFrame) -> DataFrame:
@@ -43,6 +44,15 @@ def validate(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("reject_reason", reason)
 
 
+def check_requests(df: DataFrame, configured: list[str] | None = None) -> DataFrame:
+    """V1, V4 and M9 in one: adds the first `reject_reason` of a request with its model settings."""
+    checked = RP.conform_config(validate(df))
+    reason = F.coalesce("reject_reason", F.when(~F.col("valid"), F.array_join("violations", ",")))
+    if configured is not None:
+        reason = F.coalesce(reason, F.when(~F.col("provider").isin(*configured), F.lit("provider_not_configured")))
+    return checked.withColumn("reject_reason", reason).drop("violations", "valid")
+
+
 def accepted(df: DataFrame) -> DataFrame:
     return validate(df).filter(F.col("reject_reason").isNull()).drop("reject_reason")
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions.exact import dsum, rsum, xsum
@@ -35,69 +36,83 @@ def claim_support(self_check: DataFrame, key: str = "run_id") -> DataFrame:
         F.avg(F.col("c.supported_by_input").cast("double")).alias("support_rate"))
 
 
-def outcome(extract: DataFrame, self_check: DataFrame, value_prop: DataFrame,
-            key: str = "run_id", strict_placeholders: bool = False) -> DataFrame:
-    """One row per run from the conformed step tables (joined on the run key).
+def _placeholder(schema: T.StructType, values: dict) -> Column:
+    """A struct of fixed values; lists are given as lists, fields without a value are null."""
+    def value(f):
+        v = values.get(f.name)
+        c = F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
+        return c.cast(f.dataType).alias(f.name)
+    return F.struct(*[value(f) for f in schema.fields])
 
-    Inputs carry `valid` and `violations` from conformance. A run fails at the first step that
-    is invalid, or at the gate. K4: outputs of steps that finished are kept unless
-    `strict_placeholders` asks for the service's all-placeholder error result.
+
+def outcome(normalized: DataFrame, extract: DataFrame, self_check: DataFrame, value_prop: DataFrame,
+            key: str = "run_id", strict_placeholders: bool = False, at: str = "processed_at") -> DataFrame:
+    """One row for every run of `normalized`, from the conformed step tables.
+
+    Step tables carry `valid` and `violations` from conformance. A run fails at the first step that is
+    missing or invalid, or at the gate. K4: outputs of steps that finished are kept unless
+    `strict_placeholders` asks for the service's all-placeholder error result. `at` (a column of
+    `normalized`) dates the result, so that a recomputed partition gives the same rows.
     """
-    e = extract.select(key, F.col("valid").alias("e_ok"), F.col("violations").alias("e_v"),
-                       F.struct(*[F.col(f.name) for f in S.EXTRACTED.fields]).alias("extracted_data"))
-    s = self_check.select(key, F.col("valid").alias("s_ok"), F.col("violations").alias("s_v"),
-                          F.struct(*[F.col(f.name) for f in S.SELF_CHECK.fields]).alias("self_check"))
-    v = value_prop.select(key, F.col("valid").alias("v_ok"), F.col("violations").alias("v_v"),
-                          F.struct(*[F.col(f.name) for f in S.VALUE_PROP.fields]).alias("value_proposition"))
-    j = e.join(s, key, "left").join(v, key, "left")
-    approved = F.coalesce(F.col("self_check.approved"), F.lit(False))
-    error = (F.when(~F.col("e_ok"), F.concat(F.lit("extract: "), F.array_join("e_v", ",")))
-             .when(F.col("s_ok").isNull(), F.lit("self_check: missing"))
-             .when(~F.col("s_ok"), F.concat(F.lit("self_check: "), F.array_join("s_v", ",")))
-             .when(~approved, F.concat(F.lit("Self-check failed: "), F.col("self_check.rejection_reason")))
-             .when(F.col("v_ok").isNull(), F.lit("rewrite: missing"))
-             .when(~F.col("v_ok"), F.concat(F.lit("rewrite: "), F.array_join("v_v", ","))))
+    def step(df, name, schema):
+        return df.select(key, F.col("valid").alias(f"{name}_ok"), F.col("violations").alias(f"{name}_v"),
+                         F.struct(*[F.col(f.name) for f in schema.fields]).alias(name))
+    n = normalized.select(key, F.struct(*[F.col(at if f.name == "processed_at" else f.name).cast(f.dataType).alias(f.name)
+                                          for f in S.NORMALIZED.fields]).alias("n"))
+    j = (n.join(step(extract, "e", S.EXTRACTED), key, "left").join(step(self_check, "s", S.SELF_CHECK), key, "left")
+         .join(step(value_prop, "v", S.VALUE_PROP), key, "left"))
+    approved = F.coalesce(F.col("s.approved"), F.lit(False))
+    broken = lambda step, name: F.concat(F.lit(f"{step}: "), F.array_join(f"{name}_v", ","))
+    reason = F.coalesce(F.col("s.rejection_reason"), F.lit(S.TEXT_SELF_CHECK_REJECTED))
+    error = (F.when(F.col("e_ok").isNull(), F.lit("extract: missing")).when(~F.col("e_ok"), broken("extract", "e"))
+             .when(F.col("s_ok").isNull(), F.lit("self_check: missing")).when(~F.col("s_ok"), broken("self_check", "s"))
+             .when(~approved, F.concat(F.lit("Self-check failed: "), reason))
+             .when(F.col("v_ok").isNull(), F.lit("rewrite: missing")).when(~F.col("v_ok"), broken("rewrite", "v")))
     ok = error.isNull()
-    ph_vp = F.struct(*[F.lit(S.ERROR_VALUE_PROP.get(f.name)).cast(f.dataType).alias(f.name)
-                       if f.name != "key_talking_points"
-                       else F.array(*[F.lit(x) for x in S.ERROR_VALUE_PROP["key_talking_points"]]).alias(f.name)
-                       for f in S.VALUE_PROP.fields])
-    ph_vp = ph_vp.withField("persona", F.lit(S.DEFAULT_PERSONA))
-    ph_sc = F.struct(F.array().cast(S.SELF_CHECK["verifications"].dataType).alias("verifications"),
-                     F.lit(0.0).alias("overall_accuracy"), F.lit(1.0).alias("hallucination_risk"),
-                     F.lit(False).alias("approved"), F.lit(None).cast("string").alias("rejection_reason"))
-    ph_ex = F.struct(F.lit("").alias("problem_statement"), F.lit(None).cast("string").alias("current_solution"),
-                     F.lit("").alias("desired_outcome"), F.array(F.lit(S.ERROR_ITEM)).alias("pain_points"),
-                     F.array(F.lit(S.ERROR_ITEM)).alias("value_drivers"),
-                     F.array().cast("array<string>").alias("stakeholders"),
-                     F.lit(None).cast("string").alias("timeline"), F.lit(None).cast("string").alias("budget_signals"),
-                     F.lit(0.0).alias("confidence_score"))
+    no_vp = _placeholder(S.VALUE_PROP, {**S.ERROR_VALUE_PROP, "persona": S.DEFAULT_PERSONA})
+    no_n = _placeholder(S.NORMALIZED, {"content": "", "language": "en", "detected_pii": [], "has_pii": False,
+                                       "cleaned_content": "", "word_count": 0})
+    no_s = _placeholder(S.SELF_CHECK, {"verifications": [], "overall_accuracy": 0.0, "hallucination_risk": 1.0,
+                                       "approved": False})
+    no_e = _placeholder(S.EXTRACTED, {"problem_statement": "", "desired_outcome": "", "pain_points": [S.ERROR_ITEM],
+                                      "value_drivers": [S.ERROR_ITEM], "stakeholders": [], "confidence_score": 0.0})
     if strict_placeholders:
-        keep_e = keep_s = keep_v = ok
+        keep_n = keep_e = keep_s = ok
     else:
-        keep_e = F.col("e_ok")
-        keep_s = F.col("e_ok") & F.coalesce(F.col("s_ok"), F.lit(False))
-        keep_v = ok
+        keep_n = F.lit(True)
+        keep_e = F.coalesce("e_ok", F.lit(False))
+        keep_s = keep_e & F.coalesce("s_ok", F.lit(False))
+    dated = F.col("n.processed_at")
     return j.select(
         key,
         ok.alias("success"),
         error.alias("error"),
-        F.when(keep_e, F.col("extracted_data")).otherwise(ph_ex).alias("extracted_data"),
-        F.when(keep_s, F.col("self_check")).otherwise(ph_sc).alias("self_check"),
-        F.when(keep_v, F.col("value_proposition")).otherwise(ph_vp).alias("value_proposition"),
+        F.when(ok, F.col("v")).otherwise(no_vp).withField("generated_at", dated).alias("value_proposition"),
+        F.when(keep_n, F.col("n")).otherwise(no_n.withField("processed_at", dated)).alias("normalized_input"),
+        F.when(keep_e, F.col("e")).otherwise(no_e).alias("extracted_data"),
+        F.when(keep_s, F.col("s")).otherwise(no_s).alias("self_check"),
     )
 
 
 def run_totals(steps: DataFrame, key: str = "run_id") -> DataFrame:
-    """Sums per run and status (all steps succeeded)."""
+    """Sums per run, status (all steps succeeded and, with an `approved` column, the gate passed)
+    and the error of the first step that failed."""
     dur = step_duration_ms(F.col("started_at"), F.col("completed_at"))
+    fine = F.bool_and(F.col("status") == "success")
+    error = F.min_by(F.col("error"), F.when(F.col("status") != "success", F.col("started_at"))) if "error" in steps.columns \
+        else F.lit(None).cast("string")
+    if "approved" in steps.columns:
+        passed = F.coalesce(F.bool_and("approved"), F.lit(True))
+        error = F.coalesce(error, F.when(~passed, F.lit(S.TEXT_SELF_CHECK_REJECTED)))
+        fine = fine & passed
     return steps.groupBy(key).agg(
         rsum("cost_usd").alias("total_cost_usd"),
         F.sum("tokens_input").alias("total_tokens_input"),
         F.sum("tokens_output").alias("total_tokens_output"),
         F.sum(dur).alias("total_latency_ms"),
         F.count(F.lit(1)).alias("n_steps"),
-        F.when(F.bool_and(F.col("status") == "success"), F.lit("success")).otherwise(F.lit("failed")).alias("status"))
+        F.when(fine, F.lit("success")).otherwise(F.lit("failed")).alias("status"),
+        error.alias("error"))
 
 
 def step_duration_ms(started, completed):
@@ -132,10 +147,11 @@ def flatten(results: DataFrame) -> DataFrame:
     return results.select(*cols)
 
 
-def export(results: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """parquet/json keep the nesting; csv gets the flat form."""
+def export(results: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
+           partition_by: tuple[str, ...] = ()) -> None:
+    """parquet/json keep the nesting, csv gets the flat form; folders by `partition_by`."""
     out = flatten(results) if fmt == "csv" else results
-    w = out.write.mode(mode)
+    w = out.write.mode(mode).partitionBy(*partition_by) if partition_by else out.write.mode(mode)
     if fmt == "csv":
         w = w.option("header", "true")
     w.format(fmt).save(path)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions import keys
 from ..functions.exact import rsum
 from .sql_snippets import rsum as sql_rsum
 from ..operators import cache as H
 from ..operators import metrics as MT
 from ..sources import fixtures as FX
 from .catalog import query
-from .q_results import OUTCOME_SQL, _outcome
+from .q_results import _outcome, record, record_sql
 
 KEY_SQL = "'workflow:result:' || sha256(content || ':google:gemini-2.5-flash-lite')"
 
@@ -84,17 +85,31 @@ def cache_roundtrip(spark, sf):
 
 
 @query("cache_write", f"""
-SELECT {KEY_SQL} AS cache_key, f.request_id AS run_id, f.requested_at AS written_at
-FROM ({OUTCOME_SQL}) x JOIN fx_feedback f ON x.run_id = f.request_id WHERE x.error IS NULL""")
+SELECT {KEY_SQL} AS cache_key, f.requested_at AS written_at, x.* EXCLUDE (error)
+FROM ({record_sql()}) x JOIN fx_feedback f ON x.run_id = f.request_id WHERE x.success""")
 def cache_write(spark, sf):
+    """A4 and back (A5): the whole record of every successful run, through its cached JSON."""
     o = _outcome(spark, sf)
-    f = FX.fx_feedback(spark, sf).select(F.col("request_id").alias("run_id"), "content",
+    f = FX.fx_feedback(spark, sf).select(F.col("request_id").alias("run_id"), F.col("content").alias("note"),
                                          F.col("requested_at").alias("written_at"))
     res = (o.join(f, "run_id").withColumn("provider", F.lit(S.DEFAULT_PROVIDER))
            .withColumn("model", F.lit(S.DEFAULT_MODEL)))
-    res = H.with_cache_key(res).drop("provider", "model")
-    e = H.entries_for(res)
-    return e.select("cache_key", F.get_json_object("result_json", "$.run_id").alias("run_id"), "written_at")
+    res = H.with_cache_key(res, content="note").drop("provider", "model", "note")
+    back = H.read_results(H.entries_for(res))
+    nested = [f.name for f in S.RESULT.fields if f.name in o.columns and f.name != "error"]
+    return record(back.select("cache_key", "written_at", *[F.col(f"result.{c}").alias(c) for c in nested]))
+
+
+@query("cache_union", f"""
+SELECT request_id, coalesce(cached_run_id, own) AS run_id, cached_run_id IS NOT NULL AS from_cache
+FROM (SELECT request_id, sha256(request_id || chr(1) || 'google' || chr(1) || 'gemini-2.5-flash-lite') AS own FROM fx_feedback)
+LEFT JOIN ({hits_sql(S.CACHE_TTL_SECONDS)}) USING (request_id)""")
+def cache_union(spark, sf):
+    """H2: one row for every request, its cached result or its own run."""
+    looked = _looked(spark, sf)
+    own = keys.run_id(F.col("request_id"), F.lit(S.DEFAULT_PROVIDER), F.lit(S.DEFAULT_MODEL))
+    hit = H.results_of_hits(H.hits(looked)).select("request_id", "run_id", "from_cache")
+    return hit.unionByName(H.misses(looked).select("request_id", own.alias("run_id"), F.lit(False).alias("from_cache")))
 
 
 @query("dedupe_calls", f"""

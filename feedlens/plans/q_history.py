@@ -85,9 +85,9 @@ def history_page(spark, sf):
 
 @query("history_search", """
 SELECT request_id FROM fx_feedback
-WHERE content ILIKE '%worthless%' OR levenshtein(lower(customer_id), 'cust-7') <= 2""")
+WHERE content ILIKE '%worthless%' OR levenshtein(lower(customer_id), 'cust-1234') <= 2""")
 def history_search(spark, sf):
-    return Hs.history_search(FX.fx_feedback(spark, sf), "worthless", "cust-7").select("request_id")
+    return Hs.history_search(FX.fx_feedback(spark, sf), "worthless", "cust-1234").select("request_id")
 
 
 @query("history_delete", """

@@ -152,3 +152,21 @@ def ingest_merge(spark, sf):
     return m.select("request_id", "language", "has_pii", "cleaned_content",
                     F.col("word_count").cast("long").alias("word_count"), "input_quality",
                     "ingest_source")
+
+
+@query("workflow_rejects", """
+SELECT request_id, reason AS reject_reason FROM (
+  SELECT request_id, CASE WHEN content IS NULL THEN 'missing_content' WHEN length(content) < 10 THEN 'too_short'
+      WHEN """ + Q.strip("content") + """ = '' THEN 'blank'
+      WHEN doc_id % 25 > 20 AND doc_id % 4 = 3 THEN 'temperature_range,provider_enum'
+      WHEN doc_id % 25 > 20 THEN 'temperature_range' WHEN doc_id % 4 = 3 THEN 'provider_enum'
+      WHEN doc_id % 4 = 1 THEN 'provider_not_configured' END AS reason
+  FROM fx_feedback) WHERE reason IS NOT NULL""")
+def workflow_rejects(spark, sf):
+    """V1, V4 and M9 over notes with their own settings: every rejected request with its reason."""
+    f = FX.fx_feedback(spark, sf)
+    names = F.array(*[F.lit(p) for p in ("openai", "anthropic", "google", "other")])
+    f = f.withColumns({"provider": F.element_at(names, (F.col("doc_id") % 4 + 1).cast("int")),
+                       "temperature": (F.col("doc_id") % 25).cast("double") / 10})
+    r = I.check_requests(I.fill_defaults(f), configured=["openai", "google"])
+    return r.filter("reject_reason is not null").select("request_id", "reject_reason")

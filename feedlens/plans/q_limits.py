@@ -42,10 +42,3 @@ SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(CAST(ts A
 def req_rate_60s(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "ts")
     return U.trailing_count(e).select("event_id", "n_window")
-
-
-@query("rate_limit_small_buckets", _rate_sql(10, 60))
-def rate_limit_small_buckets(spark, sf):
-    """U1 with 5-minute sessionising buckets: sessions carried across many bucket edges."""
-    e = table(spark, sf, "events").select("event_id", "user_id", "ts")
-    return U.rate_limit(e, bucket_seconds=300).select("event_id", "user_id", "admitted")

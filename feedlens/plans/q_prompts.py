@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -127,29 +126,6 @@ def cost_preview(spark, sf):
     return P.cost_preview(_with_schema(spark, sf)).select("run_id", "tokens_input", "cost_preview_usd")
 
 
-def echo_model(batch: pd.DataFrame) -> pd.DataFrame:
-    """A pure stand-in for a model: answers with the prompt's length (used by tests and checks)."""
-    n = batch["prompt"].str.len().fillna(0).astype("int64")
-    return pd.DataFrame({
-        "run_id": batch["run_id"], "step": batch["step"], "provider": batch["provider"], "model": batch["model"],
-        "content": '{"chars": ' + n.astype(str) + "}", "tokens_input": n // 4,
-        "tokens_output": pd.Series(5, index=batch.index, dtype="int64"),
-        "latency_ms": pd.Series(0, index=batch.index, dtype="int64"), "finish_reason": "stop", "error": None})
-
-
-@query("generate_batch", f"""
-SELECT request_id AS run_id, '{{"chars": ' || CAST(length(prompt) AS VARCHAR) || '}}' AS content,
-       length(prompt) // 4 AS tokens_input, CAST(5 AS BIGINT) AS tokens_output
-FROM ({EXTRACT_PROMPT_SQL})""")
-def generate_batch(spark, sf):
-    c = _cleaned(spark, sf)
-    p = c.select(F.col("request_id").alias("run_id"), F.lit("extract").alias("step"),
-                 F.lit("google").alias("provider"), F.lit("gemini-2.5-flash-lite").alias("model"),
-                 P.extract_prompt(F.col("cleaned")).alias("prompt"))
-    r = G.generate_batch(p, echo_model, parallelism=int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return r.select("run_id", "content", "tokens_input", "tokens_output")
-
-
 @query("retry_select", """
 SELECT run_id, attempt, error_kind, attempt + 1 AS next_attempt FROM fx_attempts
 WHERE attempt = 1 AND NOT success AND error_kind NOT IN ('ValueError','TypeError','KeyError')

@@ -209,9 +209,23 @@ LOG_EVENT = T.StructType([
     T.StructField("field", T.StringType()),
 ])
 
+NORMALIZED = T.StructType([
+    T.StructField("content", T.StringType()),
+    T.StructField("language", T.StringType()),
+    T.StructField("detected_pii", T.ArrayType(PII_DETECTION)),
+    T.StructField("has_pii", T.BooleanType()),
+    T.StructField("cleaned_content", T.StringType()),
+    T.StructField("word_count", T.IntegerType()),
+    T.StructField("processed_at", T.TimestampType()),
+])
+
+# the model never sets the time; the job does
+VALUE_PROP_RESULT = T.StructType([*VALUE_PROP.fields, T.StructField("generated_at", T.TimestampType())])
+
 RESULT = T.StructType([
     T.StructField("run_id", T.StringType()),
-    T.StructField("value_proposition", VALUE_PROP),
+    T.StructField("value_proposition", VALUE_PROP_RESULT),
+    T.StructField("normalized_input", NORMALIZED),
     T.StructField("extracted_data", EXTRACTED),
     T.StructField("self_check", SELF_CHECK),
     T.StructField("total_latency_ms", T.LongType()),
