@@ -2,8 +2,8 @@
 
 The lookup is an as-of join: a request hits the newest entry of its key written at or before the
 request and still inside the TTL. It is computed as a union + window partitioned by
-(key, TTL-wide time bucket) instead of a join, so a hot key never multiplies requests by entries
-and each window group is bounded by one TTL period of that key's traffic.
+(key, time bucket) instead of a join, so a hot key never multiplies requests by entries and each
+window group is bounded by part of one TTL period of that key's traffic.
 """
 
 from __future__ import annotations
@@ -21,35 +21,44 @@ def with_cache_key(df: DataFrame, content: str = "content", provider: str = "pro
     return df.withColumn("cache_key", keys.cache_key(F.col(content), F.col(provider), F.col(model)))
 
 
+def _tie(result: str = "result_json"):
+    """Of entries written at the same time, the one whose text hashes highest counts as the last."""
+    return F.xxhash64(result)
+
+
 def latest_entries(cache: DataFrame, now=None) -> DataFrame:
-    """H5: last write wins per key (optionally only writes at or before `now`); of writes at the same
-    time, the greatest result text."""
+    """H5: last write wins per key (optionally only writes at or before `now`)."""
     c = cache if now is None else cache.filter(F.col("written_at") <= F.lit(now).cast("timestamp"))
-    w = Window.partitionBy("cache_key").orderBy(F.col("written_at").desc(), F.col("result_json").desc())
+    w = Window.partitionBy("cache_key").orderBy(F.col("written_at").desc(), _tie().desc())
     return c.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
 def lookup(requests: DataFrame, cache: DataFrame, ttl_seconds: int = S.CACHE_TTL_SECONDS,
-           now_col: str = "requested_at", key: str = "request_id") -> DataFrame:
-    """H2 + H3 + H5: every request with `hit`, and the entry's `result_json`/`written_at` on hits."""
+           now_col: str = "requested_at", key: str = "request_id", splits: int = 4) -> DataFrame:
+    """H2 + H3 + H5: every request with `hit`, and the entry's `result_json`/`written_at` on hits.
+
+    Time is cut into `splits` buckets a TTL; an entry stands in each bucket that its life touches, so a
+    hot key is spread over its buckets. Only an entry's time and hash take part in the search; the
+    result bodies are joined to the hits afterwards.
+    """
     ttl_us = ttl_seconds * 1_000_000
-    req_t = F.unix_micros(F.col(now_col))
-    r = (requests.withColumn("_t", req_t).withColumn("_kind", F.lit(1))
-         .withColumn("_b", F.floor(req_t / ttl_us)))
+    width = ttl_us // splits
+    r = (requests.withColumn("_t", F.unix_micros(F.col(now_col))).withColumn("_kind", F.lit(1))
+         .withColumn("_b", F.floor(F.col("_t") / width)))
     w_t = F.unix_micros(F.col("written_at"))
-    # an entry is live for one TTL, so it overlaps at most two TTL-wide buckets
-    e = cache.select("cache_key", w_t.alias("_t"), F.lit(0).alias("_kind"),
-                     F.struct("written_at", "result_json").alias("_entry"),
-                     F.explode(F.array(F.floor(w_t / ttl_us), F.floor(w_t / ttl_us) + 1)).alias("_b"))
+    e = cache.select("cache_key", w_t.alias("_t"), F.lit(0).alias("_kind"), _tie().alias("_h"),
+                     F.struct(w_t.alias("t"), _tie().alias("h")).alias("_entry"),
+                     F.explode(F.sequence(F.floor(w_t / width), F.floor((w_t + ttl_us - 1) / width))).alias("_b"))
     u = r.unionByName(e, allowMissingColumns=True)
-    win = (Window.partitionBy("cache_key", "_b").orderBy("_t", "_kind")
+    win = (Window.partitionBy("cache_key", "_b").orderBy("_t", "_kind", "_h")
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     x = u.withColumn("_e", F.last("_entry", ignorenulls=True).over(win)).filter(F.col("_kind") == 1)
-    live = F.coalesce(F.col("_t") < F.unix_micros(F.col("_e.written_at")) + ttl_us, F.lit(False))
-    return (x.withColumn("hit", live)
-            .withColumn("result_json", F.when(live, F.col("_e.result_json")))
-            .withColumn("written_at", F.when(live, F.col("_e.written_at")))
-            .drop("_t", "_kind", "_b", "_entry", "_e"))
+    live = F.coalesce(F.col("_t") < F.col("_e.t") + ttl_us, F.lit(False))
+    x = x.withColumns({"hit": live, "_wt": F.when(live, F.col("_e.t")), "_wh": F.when(live, F.col("_e.h"))})
+    bodies = cache.groupBy("cache_key", w_t.alias("_wt"), _tie().alias("_wh")).agg(
+        F.first("result_json").alias("result_json"), F.first("written_at").alias("written_at"))
+    return (x.drop("_t", "_kind", "_b", "_h", "_entry", "_e")
+            .join(bodies, ["cache_key", "_wt", "_wh"], "left").drop("_wt", "_wh"))
 
 
 def hits(looked: DataFrame) -> DataFrame:

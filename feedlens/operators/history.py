@@ -105,34 +105,40 @@ def recent_runs(runs: DataFrame, k: int = 10) -> DataFrame:
     return runs.orderBy(F.col("started_at").desc(), F.col("run_id").asc()).limit(k)
 
 
-def provider_stats(runs: DataFrame, key: str = "customer_id") -> DataFrame:
+def _scored():
+    """K5: a failed run carries placeholder scores, so it has no accuracy."""
+    return F.when(F.col("success"), F.col("accuracy"))
+
+
+def provider_stats(runs: DataFrame, key: str = "input_key") -> DataFrame:
+    """Averages per input and provider, with billed costs (K8) and scores of successes (K5)."""
     return runs.groupBy(key, "provider").agg(xavg("duration_s").alias("latency_s"),
-                                              xavg("cost_usd").alias("cost_usd"),
-                                              xavg("accuracy").alias("accuracy"))
+                                              xavg(billed_cost()).alias("cost_usd"),
+                                              xavg(_scored()).alias("accuracy"))
 
 
-def compare_pivot(runs: DataFrame, key: str = "customer_id") -> DataFrame:
-    """Q12: providers side by side (pivot values given, so no extra distinct pass)."""
+def compare_pivot(runs: DataFrame, key: str = "input_key") -> DataFrame:
+    """Q12: providers side by side on the same input (pivot values given, so no extra distinct pass)."""
     p = runs.groupBy(key).pivot("provider", PROVIDER_ORDER).agg(
-        xavg("duration_s").alias("latency_s"), xavg("cost_usd").alias("cost_usd"),
-        xavg("accuracy").alias("accuracy"))
+        xavg("duration_s").alias("latency_s"), xavg(billed_cost()).alias("cost_usd"),
+        xavg(_scored()).alias("accuracy"))
     return p
 
 
-def compare_winner(runs: DataFrame, key: str = "customer_id") -> DataFrame:
-    """Q13: best accuracy per dollar (ours), ties by provider name."""
-    s = provider_stats(runs, key).withColumn("score", F.col("accuracy") / F.col("cost_usd"))
+def compare_winner(runs: DataFrame, key: str = "input_key") -> DataFrame:
+    """Q13: best accuracy per dollar (ours), ties by provider name; without costs there is no score."""
+    s = provider_stats(runs, key).withColumn("score", F.try_divide("accuracy", "cost_usd"))
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("provider").asc())
     return (s.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
             .select(key, "provider", "score"))
 
 
-def compare_cost_diff(runs: DataFrame, key: str = "customer_id") -> DataFrame:
-    """Q14: % above the cheapest provider for the same key."""
+def compare_cost_diff(runs: DataFrame, key: str = "input_key") -> DataFrame:
+    """Q14: % above the cheapest provider for the same input (null where that costs nothing)."""
     s = provider_stats(runs, key)
     cheapest = F.min("cost_usd").over(Window.partitionBy(key))
     return s.select(key, "provider", "cost_usd",
-                    ((F.col("cost_usd") - cheapest) * 100 / cheapest).alias("pct_over_cheapest"))
+                    F.try_divide((F.col("cost_usd") - cheapest) * 100, cheapest).alias("pct_over_cheapest"))
 
 
 def quality_band(runs: DataFrame) -> DataFrame:

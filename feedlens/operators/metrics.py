@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions.exact import billed_cost, rsum
+from ..session import cut_lineage
 
 CORRUPT = "_corrupt_record"
 LOG_LINE = T.StructType([*S.LOG_EVENT.fields, T.StructField(CORRUPT, T.StringType())])
@@ -162,30 +163,36 @@ def sliding_rate(events: DataFrame, length: str = "5 minutes", slide: str = "1 m
             .agg(F.count(F.lit(1)).alias("n")).withColumn("rate", F.round(F.col("n") / seconds, 6)))
 
 
-def exact_percentiles(df: DataFrame, group: list[str], value: str, ps: list[float],
-                      resolution: float | None = None) -> DataFrame:
+def exact_percentiles(df: DataFrame, group: list[str], value: str, ps: list[float]) -> DataFrame:
     """Exact percentiles (linear interpolation, like `percentile`) without holding a group.
 
-    Values are first counted per (group, value); ranks come from a running sum of those counts,
-    then each requested rank is found with a conditional min. Work per group is bounded by the
-    number of distinct values, not by the group's row count; `resolution` caps that number for
-    continuous metrics.
+    Values are counted per (group, value) and range-partitioned by both, so a large group spans many
+    partitions. Prefix sums over the partitions' totals (one row per partition and group) tell which of
+    them hold a requested rank; only those are ranked row by row.
     """
-    if resolution is not None:
-        # exact at the given resolution (e.g. 1 ms): bounds the distinct values per group
-        df = df.withColumn(value, F.round(F.col(value) / resolution) * resolution)
-    c = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = c.withColumn("_cum", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*group)))
-    x = c.withColumn("p", F.explode(F.array(*[F.lit(float(q)) for q in ps])))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = df.filter(F.col(value).isNotNull()).groupBy(F.struct(*group).alias("_g"), F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    # range bounds are sampled, so the placement is written before it is used twice
+    placed = cut_lineage(c.repartitionByRange(n, "_g", "_v").withColumn("_part", F.spark_partition_id()))
+    per = placed.groupBy("_g", "_part").agg(F.sum("_c").alias("_s"))
+    whole = Window.partitionBy("_g")
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumns({"_off": F.coalesce(F.sum("_s").over(before), F.lit(0).cast("long")), "_n": F.sum("_s").over(whole)})
+    rank = lambda p, f: f(F.lit(float(p)) * (F.col("_n") - 1))
+    wanted = F.array(*[F.struct(F.lit(float(p)).alias("p"), rank(p, f).cast("long").alias("r"), F.lit(up).alias("up"))
+                       for p in ps for f, up in ((F.floor, 0), (F.ceil, 1))])
+    here = F.filter(wanted, lambda w: (w["r"] >= F.col("_off")) & (w["r"] < F.col("_off") + F.col("_s")))
+    per = per.withColumn("_w", here).filter(F.size("_w") > 0)
+    w = Window.partitionBy("_g", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = placed.join(per, ["_g", "_part"]).withColumn("_cum", F.sum("_c").over(w) + F.col("_off"))
+    hits = rows.select("_g", "_v", "_n", "_cum", F.explode(F.filter("_w", lambda x: (x["r"] < F.col("_cum")) & (
+        x["r"] >= F.col("_cum") - F.col("_c")))).alias("x"))
+    a = hits.groupBy("_g", F.col("x.p").alias("p")).agg(
+        F.max(F.when(F.col("x.up") == 0, F.col("_v"))).alias("_lo"),
+        F.max(F.when(F.col("x.up") == 1, F.col("_v"))).alias("_hi"), F.max("_n").alias("_n"))
     pos = F.col("p") * (F.col("_n") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
-    a = x.groupBy(*group, "p").agg(
-        F.min(F.when(F.col("_cum") > lo, F.col(value))).alias("_lo"),
-        F.min(F.when(F.col("_cum") > hi, F.col(value))).alias("_hi"),
-        F.first(pos).alias("_pos"))
-    frac = F.col("_pos") - F.floor("_pos")
-    return a.select(*group, "p", (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("value"))
+    return a.select("_g.*", "p", (F.col("_lo") + (pos - F.floor(pos)) * (F.col("_hi") - F.col("_lo"))).alias("value"))
 
 
 def approx_percentiles(df: DataFrame, group: list[str], value: str, ps: list[float],

@@ -19,6 +19,9 @@ from pyspark.sql import types as T
 from .. import schemas as S
 
 
+BUCKET_WINDOWS = 60
+
+
 def _fold_stream(limit: int, window_us: int):
     """Sorted (user, session, t) rows in, `admitted` out; state (≤ limit times) carries across batches."""
     def run(batches):
@@ -85,7 +88,7 @@ def rate_limit(requests: DataFrame, user: str = "user_id", ts: str = "ts", key:
     # request columns ride along through the fold, so no join back to the requests is needed
     r = requests.withColumns({"_id": F.col(key), "_u": F.col(user), "_t": t})
     r = sessions(r, window_us, bucket_seconds * 1_000_000)
-    r = (r.repartition(n, F.pmod(F.hash("_u", "_s"), F.lit(n)))
+    r = (r.repartition(n, "_u", "_s")
          .sortWithinPartitions("_u", "_s", "_t", "_id"))
     out_schema = T.StructType([f for f in r.schema.fields if f.name not in ("_b", "_s")]
                               + [T.StructField("admitted", T.BooleanType())])
@@ -95,7 +98,18 @@ def rate_limit(requests: DataFrame, user: str = "user_id", ts: str = "ts", key:
 
 def trailing_count(requests: DataFrame, user: str = "user_id", ts: str = "ts",
                    window_seconds: int = S.RATE_LIMIT_WINDOW_SECONDS) -> DataFrame:
-    """Requests of the same user in (t − window, t] (range frame on microseconds)."""
+    """Requests of the same user in (t − window, t] (range frame on microseconds).
+
+    A user's time is cut into buckets of `BUCKET_WINDOWS` windows; each row also stands, uncounted for
+    itself, in the bucket after its own if a request there can still see it. So a hot user is spread
+    over its buckets.
+    """
+    window_us = window_seconds * 1_000_000
+    width = BUCKET_WINDOWS * window_us
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(user).orderBy(t).rangeBetween(-(window_seconds * 1_000_000 - 1), 0)
-    return requests.withColumn("n_window", F.count(F.lit(1)).over(w))
+    bucket = F.floor(t / width)
+    seen_next = F.floor((t + window_us - 1) / width) > bucket
+    rows = requests.withColumns({"_t": t, "_own": bucket}).withColumn(
+        "_b", F.explode(F.when(seen_next, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    w = Window.partitionBy(user, "_b").orderBy("_t").rangeBetween(-(window_us - 1), 0)
+    return (rows.withColumn("n_window", F.count(F.lit(1)).over(w)).filter("_b = _own").drop("_t", "_own", "_b"))

@@ -152,6 +152,6 @@ def export(results: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """parquet/json keep the nesting, csv gets the flat form; folders by `partition_by`."""
     out = flatten(results) if fmt == "csv" else results
     w = out.write.mode(mode).partitionBy(*partition_by) if partition_by else out.write.mode(mode)
-    if fmt == "csv":
-        w = w.option("header", "true")
+    if fmt == "csv":  # quotes are doubled, as readers of csv expect
+        w = w.option("header", "true").option("escape", '"')
     w.format(fmt).save(path)

@@ -84,12 +84,12 @@ FX["fx_runs"] = """
 SELECT CAST(event_id AS VARCHAR) AS run_id, event_id,
        started_at,
        make_timestamp(epoch_us(started_at) + CAST(round(value * 100000) AS BIGINT)) AS completed_at,
-       user_id, 'cust-' || CAST(user_id AS VARCHAR) AS customer_id,
+       user_id, event_id // 3 AS input_key, 'cust-' || CAST(user_id AS VARCHAR) AS customer_id,
        CASE user_id % 4 WHEN 0 THEN 'crm' WHEN 1 THEN 'email' WHEN 2 THEN 'call' ELSE 'manual' END AS source,
        CASE event_id % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' ELSE 'google' END AS provider,
        CASE event_id % 3 WHEN 0 THEN 'gpt-4o-mini' WHEN 1 THEN 'claude-sonnet-4-5'
             ELSE 'gemini-2.5-flash-lite' END AS model,
-       event_type <> 'error' AS success, event_type = 'error' AND event_id % 2 = 1 AS raised,
+       event_type <> 'error' AS success, event_type = 'error' AND event_id % 5 <> 0 AS raised,
        event_id % 10 < 7 AS approved,
        CASE user_id % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'staging' ELSE 'prod' END AS environment,
        event_type = 'view' AS from_cache,

@@ -103,36 +103,38 @@ def recent_runs(spark, sf):
     return Hs.recent_runs(_runs(spark, sf)).select("run_id", "started_at")
 
 
+SCORED = "CASE WHEN success THEN accuracy END"
+
+
 def _pivot_cols():
     cols = []
     for p in Hs.PROVIDER_ORDER:
-        for m, src in (("latency_s", "duration_s"), ("cost_usd", "cost_usd"), ("accuracy", "accuracy")):
+        for m, src in (("latency_s", "duration_s"), ("cost_usd", BILLED), ("accuracy", SCORED)):
             x = f"CASE WHEN provider = '{p}' THEN {src} END"
             cols.append(f"{xavg(x)} AS {p}_{m}")
     return ", ".join(cols)
 
 
-@query("compare_pivot", f"SELECT customer_id, {_pivot_cols()} FROM fx_runs GROUP BY customer_id")
+@query("compare_pivot", f"SELECT input_key, {_pivot_cols()} FROM fx_runs GROUP BY input_key")
 def compare_pivot(spark, sf):
     return Hs.compare_pivot(_runs(spark, sf))
 
 
-STATS = f"""(SELECT customer_id, provider, {xavg('duration_s')} AS latency_s, {xavg('cost_usd')} AS cost_usd,
-  {xavg('accuracy')} AS accuracy FROM fx_runs GROUP BY 1, 2)"""
+STATS = f"""(SELECT input_key, provider, {xavg('duration_s')} AS latency_s, {xavg(BILLED)} AS cost_usd,
+  {xavg(SCORED)} AS accuracy FROM fx_runs GROUP BY 1, 2)"""
 
 
 @query("compare_winner", f"""
-SELECT customer_id, provider, score FROM (
-  SELECT *, accuracy / cost_usd AS score,
-         row_number() OVER (PARTITION BY customer_id ORDER BY accuracy / cost_usd DESC, provider) AS r
-  FROM {STATS}) WHERE r = 1""")
+SELECT input_key, provider, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY input_key ORDER BY score DESC NULLS LAST, provider) AS r
+  FROM (SELECT *, accuracy / nullif(cost_usd, 0) AS score FROM {STATS})) WHERE r = 1""")
 def compare_winner(spark, sf):
     return Hs.compare_winner(_runs(spark, sf))
 
 
 @query("compare_cost_diff", f"""
-SELECT customer_id, provider, cost_usd,
-  (cost_usd - min(cost_usd) OVER (PARTITION BY customer_id)) * 100 / min(cost_usd) OVER (PARTITION BY customer_id)
+SELECT input_key, provider, cost_usd,
+  (cost_usd - min(cost_usd) OVER (PARTITION BY input_key)) * 100 / nullif(min(cost_usd) OVER (PARTITION BY input_key), 0)
   AS pct_over_cheapest FROM {STATS}""")
 def compare_cost_diff(spark, sf):
     return Hs.compare_cost_diff(_runs(spark, sf))

@@ -213,6 +213,11 @@ def run_start(event_id: Column, ts: Column) -> Column:
     return F.when(event_id % 13 == 0, F.date_trunc("second", t)).otherwise(t)
 
 
+def run_raises(event_id: Column) -> Column:
+    """Of the failed runs, those that raise; the others end in a failed result."""
+    return event_id % 5 != 0
+
+
 def fx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     p = e.event_id % 3
@@ -224,6 +229,8 @@ def fx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_micros(F.unix_micros(started) + F.round(F.col("value") * 100000).cast("long"))
         .alias("completed_at"),
         "user_id",
+        # three successive runs, one of each provider, work on the same note
+        F.floor(F.col("event_id") / 3).alias("input_key"),
         F.concat(F.lit("cust-"), F.col("user_id").cast("string")).alias("customer_id"),
         _pick(F.col("user_id") % 4, [F.lit("crm"), F.lit("email"), F.lit("call"), F.lit("manual")])
         .alias("source"),
@@ -231,7 +238,7 @@ def fx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(p, [F.lit("gpt-4o-mini"), F.lit("claude-sonnet-4-5"), F.lit(S.DEFAULT_MODEL)])
         .alias("model"),
         (~failed).alias("success"),
-        (failed & (F.col("event_id") % 2 == 1)).alias("raised"),  # the others end in a failed result
+        (failed & run_raises(F.col("event_id"))).alias("raised"),  # the others end in a failed result
         (F.col("event_id") % 10 < 7).alias("approved"),
         _pick(F.col("user_id") % 3, [F.lit("dev"), F.lit("staging"), F.lit("prod")]).alias("environment"),
         (F.col("event_type") == "view").alias("from_cache"),

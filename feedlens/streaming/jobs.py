@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +26,29 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stage_slices(df: DataFrame, ts: str, path: str, slices: int = 4, late_seconds: int = 0) -> None:
+    """Write `df` as successive time slices, one file each, for a source that takes one file a trigger.
+
+    Every second row of the last `late_seconds` of a slice comes with the next one, late and out of order.
+    """
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    edge = df.agg(F.min(t).alias("a"), F.max(t).alias("b")).first()
+    width = (edge["b"] - edge["a"]) // slices + 1
+    nth = F.floor((t - edge["a"]) / width)
+    late = ((t - edge["a"]) % width >= width - late_seconds * 1_000_000) & (F.pmod(F.xxhash64(t), F.lit(2)) == 0)
+    nth = F.least(F.when(late, nth + 1).otherwise(nth), F.lit(slices - 1))
+    for k in range(slices):
+        df.filter(nth == k).coalesce(1).write.mode("append").parquet(path)
+
+
 def windowed_counts(stream: DataFrame, period: str = "5 minutes", delay: str = "10 minutes",
                     ts: str = "ts", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Tumbling counts with a watermark; rows later than the watermark are dropped."""
-    w = F.window(ts, period)
-    return (stream.withWatermark(ts, delay).groupBy(w.start.alias("window_start"), *keys)
-            .agg(F.count(F.lit(1)).alias("n")))
+    """Tumbling counts with a watermark; rows later than the watermark are dropped.
+
+    The grouping key is the window itself: only then does the watermark evict old windows' state.
+    """
+    counts = stream.withWatermark(ts, delay).groupBy(F.window(ts, period), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("window.start").alias("window_start"), *keys, "n")
 
 
 def run_update_to_parquet(agg: DataFrame, out: str, checkpoint: str, available_now: bool = True):
@@ -106,6 +124,20 @@ def run_append_to_parquet(df: DataFrame, out: str, checkpoint: str):
 # --- U1 on a stream: keyed state holds at most `limit` admitted times per user ----------------
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Run queries with the RocksDB state store, then restore the session's own setting."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 RATE_OUT = "event_id long, user_id long, admitted boolean"
 
 

@@ -62,3 +62,16 @@ def test_prompt_and_metrics_sinks(spark, sf_dir):
     tpath = _dir(spark, "metrics")
     MT.write_text(lines, tpath)
     assert spark.read.text(tpath).count() == lines.count()
+
+
+def test_exports_in_each_format(spark, sf_dir):
+    from feedlens.operators import results as W
+    from feedlens.plans.q_results import _outcome
+    res = _outcome(spark, sf_dir).cache()
+    for fmt in ("parquet", "json", "csv"):
+        path = _dir(spark, f"export-{fmt}")
+        W.export(res, path, fmt, partition_by=("success",))
+        back = spark.read.options(header="true", multiLine=str(fmt == "csv"), escape='"').format(fmt).load(path)
+        assert back.filter("success = 'true'").count() == res.filter("success").count() > 0
+        if fmt == "csv":
+            assert "value_proposition__headline" in back.columns

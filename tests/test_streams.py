@@ -1,5 +1,7 @@
 """Stream = batch: the streaming forms give the same answers as the batch forms on the same data."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -8,6 +10,7 @@ from feedlens.operators import metrics as MT
 from feedlens.operators import ratelimit as U
 from feedlens.sources import fixtures as FX
 from feedlens.sources.tables import table
+from feedlens.streaming import jobs as ST
 
 
 def _rows(df, cols):
@@ -37,3 +40,44 @@ def test_sums_do_not_depend_on_partitioning(spark, sf_dir):
     h2 = MT.histogram(r.repartition(5), ["provider"], "cost_usd", [0.001, 0.01], "c")
     cols = ["metric", "provider", "le", "value"]
     assert _rows(h1, cols) == _rows(h2, cols)
+
+
+T0 = datetime(2024, 1, 1)
+REQUEST = "request_id string, cache_key string, requested_at timestamp"
+
+
+def _feed(spark, batches):
+    """A source of one micro-batch per list of rows."""
+    path = ST.scratch(spark, "feed")
+    for rows in batches:
+        spark.createDataFrame(rows, REQUEST).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _row(name, key, minutes):
+    return (name, key, T0 + timedelta(minutes=minutes))
+
+
+def test_late_request_does_not_move_an_entry_back(spark):
+    src = _feed(spark, [[_row("a", "k", 60)], [_row("b", "k", 55)], [_row("c", "k", 117)], [_row("d", "k", 121)]])
+    out = ST.scratch(spark, "out")
+    ST.run_append_to_parquet(ST.cache_stream(src), out, ST.scratch(spark, "ck"))
+    assert {r.request_id: r.hit for r in spark.read.parquet(out).collect()} == {"a": False, "b": False, "c": True, "d": False}
+
+
+def test_cache_state_is_evicted_by_event_time(spark):
+    batches = [[_row(str(i), f"k{i}", i % 5) for i in range(50)]] + [[_row(f"x{h}", "x", 60 * h)] for h in (5, 10, 15)]
+    out = ST.scratch(spark, "out")
+    q = ST.run_append_to_parquet(ST.cache_stream(_feed(spark, batches)), out, ST.scratch(spark, "ck"))
+    assert spark.read.parquet(out).count() == 53
+    rows = [op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]]
+    assert max(rows) >= 50 and rows[-1] <= 2
+
+
+def test_rows_behind_the_watermark_are_dropped(spark):
+    src = _feed(spark, [[_row("a", "k", 0)], [_row("b", "k", 300)], [_row("c", "k", 400)], [_row("late", "k", 10)]])
+    agg = ST.windowed_counts(src, ts="requested_at")
+    out, ck = ST.scratch(spark, "out"), ST.scratch(spark, "ck")
+    ST.run_update_to_parquet(agg, out, ck)
+    got = ST.latest_rows(spark, out, ["window_start"]).collect()
+    assert sorted(r.window_start for r in got) == [T0, T0 + timedelta(minutes=300), T0 + timedelta(minutes=400)]

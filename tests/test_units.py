@@ -1,7 +1,14 @@
 """Cases lifted from the service's unit tests (validators, schemas, providers) plus our own."""
 
+import json
+import os
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from feedlens import schemas as S
@@ -168,3 +175,205 @@ def test_cache_lookup_as_of(spark):
     got = {r.request_id: (r.hit, r.result_json) for r in H.lookup(req, cache).collect()}
     assert got == {"1": (False, None), "2": (True, '{"run_id": "a"}'), "3": (True, '{"run_id": "b"}'),
                    "4": (True, '{"run_id": "b"}'), "5": (False, None), "6": (False, None)}
+
+
+def test_bound_columns_of_two_frames(spark):
+    a = spark.createDataFrame([("one two",)], "content string")
+    b = spark.createDataFrame([("three four five mail a@b.example.com",)], "content string")
+    assert a.select(X.word_count(a["content"]).alias("n")).first().n == 2
+    assert b.select(X.word_count(b["content"]).alias("n")).first().n == 5
+    for fn in (X.redact, X.strip_ws, X.detect_pii):
+        a.select(fn(a["content"]).alias("x")).collect()
+        b.select(fn(b["content"]).alias("x")).collect()
+    assert [r.strategy for r in salvage(b).collect()] == ["rejected"]
+    assert a.select(F.lit(1).alias("1")).select(X.word_count(F.col("1").cast("string")).alias("n")).first().n == 1
+
+
+def test_json_object_shapes(spark):
+    from feedlens.functions.jsonsalvage import is_json_object
+    cases = [('{"a":1}', True), (' {"a":1}\n', True), ('{"a":"}]"}', True), ('{"a":1}] tail', False),
+             ('{"a":1}],[{"b":2}', False), ('{"a":1},{"b":2}', False), ('{"a":1},"x"', False), ('[1]', False), ("", False),
+             (None, False), ('{"a":1', False), ('{"a":1} x', False), ('{"a":1},"', False)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.ok for r in df.select("i", is_json_object(F.col("t")).alias("ok")).collect()}
+    assert [bool(got[i]) for i in range(len(cases))] == [e for _, e in cases]
+
+
+def test_unreadable_answers_are_not_repaired(spark):
+    from feedlens.operators import responses as R
+    df = spark.createDataFrame([("r", "sorry, no JSON here")], "run_id string, content string")
+    p = R.parse(df, "extract")
+    c = RP.conform_extract(RP.repair_extract(p.select("run_id", "type_errors", "parsed.*"))).first()
+    assert not c.valid and c.violations == ["unparseable_json"]
+
+
+def test_log_lines_that_cannot_be_read(spark):
+    from feedlens.operators import metrics as MT
+    lines = [json.dumps({"event": "e", "timestamp": t, "run_id": str(i)}) for i, t in enumerate(
+        ["2024-01-01T00:00:00Z", "2024-01-01T00:00:00.5Z", "2024-01-01T02:00:00.123456+02:00", "yesterday", None])]
+    df = spark.createDataFrame([(x,) for x in [*lines, "no json", '{"event": "cut']], "value string")
+    log = MT.parse_log(df).cache()
+    t0 = datetime(2024, 1, 1)
+    assert [r.ts for r in log.filter("run_id is not null").orderBy("run_id").collect()] == [
+        t0, t0 + timedelta(seconds=0.5), t0 + timedelta(microseconds=123456), None, None]
+    assert MT.unreadable_lines(log).first().asDict() == {"corrupt_lines": 2, "bad_times": 2}
+
+
+def test_token_counts_that_are_no_integers(spark):
+    from feedlens.operators import responses as R
+    env = lambda n: json.dumps({"content": "x", "response_metadata": {"usage": {"input_tokens": n, "output_tokens": 1}}})
+    df = spark.createDataFrame([("anthropic", env(v), "p") for v in (7, 12.0, "15", "n/a", None, 1e300)],
+                               "provider string, envelope string, prompt string")
+    got = [(r.tokens_input, r.tokens_unreadable) for r in R.unpack_envelope(df).collect()]
+    assert got == [(7, False), (12, False), (15, False), (0, True), (0, True), (0, True)]
+
+
+def test_answer_by_provider(spark):
+    from feedlens.operators import responses as R
+    env = json.dumps({"content": "text", "tool_calls": [{"args": {"k": 1}}]})
+    bare = json.dumps({"content": "text", "additional_kwargs": {"function_call": {"name": "f"}}})
+    df = spark.createDataFrame([("anthropic", env), ("google", env), ("openai", env), ("openai", bare)],
+                               "provider string, envelope string")
+    assert [r.c for r in df.select(R.envelope_content().alias("c")).collect()] == ["text", "text", '{"k":1}', "{}"]
+
+
+def test_active_runs_peak_and_dense_periods(spark):
+    from feedlens.operators import metrics as MT
+    t = lambda m: datetime(2024, 1, 1, 0, m)
+    runs = spark.createDataFrame([(t(4), t(6)), (t(4), t(17))], "started_at timestamp, completed_at timestamp")
+    got = {r.bucket.minute: r.peak_active for r in MT.active_runs(runs).collect()}
+    assert got == {0: 2, 5: 2, 10: 1, 15: 1}
+    assert MT.active_runs(runs.filter("false")).count() == 0
+
+
+def test_exposition_escapes_and_small_numbers(spark):
+    from feedlens.operators import metrics as MT
+    df = spark.createDataFrame([("m", 'a"b\\c\nd', 1e-7), ("m", "x", 100.0), ("m", "y", 0.0)], "metric string, l string, value double")
+    assert [r.line for r in MT.exposition(df, ["l"]).collect()] == [
+        'm{l="a\\"b\\\\c\\nd"} 0.0000001', 'm{l="x"} 100', 'm{l="y"} 0']
+
+
+def test_search_takes_wildcards_literally(spark):
+    from feedlens.operators import history as Hs
+    df = spark.createDataFrame([("1", "a 100% sure thing"), ("2", "a 100 sure thing"), ("3", "snake_case"), ("4", "snakeXcase")],
+                               "request_id string, content string")
+    assert [r.request_id for r in Hs.history_search(df, "100%").collect()] == ["1"]
+    assert [r.request_id for r in Hs.history_search(df, "SNAKE_").collect()] == ["3"]
+
+
+def test_exact_percentiles_of_skewed_groups(spark):
+    from feedlens.operators import metrics as MT
+    rng = np.random.default_rng(4)
+    rows = [("big", float(x)) for x in rng.exponential(size=3000)] + [("ties", 1.0)] * 500 + [("one", 2.5), (None, 1.0), (None, 3.0)]
+    df = spark.createDataFrame(rows + [("big", None)], "g string, v double")
+    ps = [0.0, 0.5, 0.95, 0.999, 1.0]
+    got = {(r.g, r.p): r.value for r in MT.exact_percentiles(df, ["g"], "v", ps).collect()}
+    for g in ("big", "ties", "one", None):
+        v = [x for k, x in rows if k == g]
+        for p in ps:
+            assert got[g, p] == pytest.approx(np.quantile(v, p)), (g, p)
+
+
+def test_trailing_count_over_bucket_edges(spark):
+    rng = np.random.default_rng(5)
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, int(rng.integers(0, 3)), t0 + timedelta(seconds=int(s))) for i, s in enumerate(rng.integers(0, 9000, 600))]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
+    got = {r.event_id: r.n_window for r in U.trailing_count(df).collect()}
+    for i, u, t in rows:
+        assert got[i] == sum(u2 == u and t - timedelta(seconds=60) < t2 <= t for _, u2, t2 in rows)
+
+
+def test_rate_limit_does_not_depend_on_bucket_size(spark, sf_dir):
+    from feedlens.sources.tables import table
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    a, b = (sorted(U.rate_limit(e, bucket_seconds=s).select("event_id", "admitted").collect()) for s in (300, 3600))
+    assert a == b
+
+
+def test_cache_ties_do_not_depend_on_partitioning(spark):
+    from feedlens.operators import cache as H
+    t0 = datetime(2024, 1, 1)
+    rows = [("k", json.dumps({"run_id": str(i)}), t0) for i in range(20)]
+    cache = spark.createDataFrame(rows, "cache_key string, result_json string, written_at timestamp")
+    req = spark.createDataFrame([("1", "k", t0 + timedelta(minutes=1))], "request_id string, cache_key string, requested_at timestamp")
+    seen = {(H.latest_entries(c).first().result_json, H.lookup(req, c).first().result_json)
+            for c in (cache.coalesce(1), cache.repartition(7), cache.orderBy(F.desc("result_json")))}
+    assert len(seen) == 1 and len(set(seen.pop())) == 1
+
+
+def test_cache_lookup_splits_agree(spark, sf_dir):
+    from feedlens.operators import cache as H
+    from feedlens.sources import fixtures as FX
+    f = H.with_cache_key(I.fill_defaults(FX.fx_feedback(spark, sf_dir))).select("request_id", "cache_key", "requested_at")
+    got = [sorted((r.request_id, r.hit, r.result_json or "") for r in H.lookup(f, FX.fx_cache(spark, sf_dir), splits=n).collect())
+           for n in (1, 4, 7)]
+    assert got[0] == got[1] == got[2] and any(h for _, h, _ in got[0])
+
+
+def test_sums_round_to_ten_decimals(spark):
+    from feedlens.functions.exact import xsum
+    df = spark.createDataFrame([(0.123456789012,), (0.1,)], "x double")
+    assert df.agg(xsum("x").alias("s")).first().s == 0.223456789
+
+
+def test_generate_batch_fills_the_record(spark):
+    from feedlens.operators import generate as G
+
+    def echo(batch: pd.DataFrame) -> pd.DataFrame:
+        return batch[["run_id", "step", "provider", "model"]].assign(content="x" + batch["prompt"])
+    df = spark.createDataFrame([("1", "extract", "google", "m", "p")], "run_id string, step string, provider string, model string, prompt string")
+    r = G.generate_batch(df, echo).first()
+    assert r.content == "xp" and r.error is None and r.tokens_input is None
+
+
+def test_model_text_is_redacted_again(spark):
+    notes = spark.createDataFrame([("1", "call +1 (555) 555-0100 now")], "request_id string, content string")
+    answer = json.dumps({"language": " EN ", "pii_detected": True, "redacted_text": "call +1 (555) 555-0100, a@b.example.com"})
+    r = I.merge_ingest(notes, spark.createDataFrame([("1", answer)], "request_id string, content string")).first()
+    assert r.language == "en" and "555" not in r.cleaned_content and "@" not in r.cleaned_content
+
+
+def test_null_rejection_reason_is_still_an_error(spark):
+    from feedlens.operators import results as W
+    null = lambda t: F.lit(None).cast(t)
+    base = spark.range(1).select(F.lit("r").alias("run_id"), F.lit(True).alias("valid"), F.array().cast("array<string>").alias("violations"))
+    norm = base.select("run_id", *[null(f.dataType).alias(f.name) for f in S.NORMALIZED.fields])
+    step = lambda schema, **v: base.select("*", *[F.lit(v[f.name]).alias(f.name) if f.name in v else
+                                                  null(f.dataType).alias(f.name) for f in schema.fields])
+    r = W.outcome(norm, step(S.EXTRACTED), step(S.SELF_CHECK, approved=False), step(S.VALUE_PROP)).first()
+    assert not r.success and r.error.startswith("Self-check failed: ")
+    r = W.outcome(norm, step(S.EXTRACTED).filter("false"), step(S.SELF_CHECK), step(S.VALUE_PROP)).first()
+    assert (r.success, r.error) == (False, "extract: missing")
+
+
+def test_compare_without_costs(spark):
+    from feedlens.operators import history as Hs
+    runs = spark.createDataFrame([(1, "google", True, True, 1.0, 0.5, 0.9), (1, "openai", True, False, 1.0, 0.5, 0.8)],
+                                 "input_key long, provider string, success boolean, from_cache boolean, duration_s double, "
+                                 "cost_usd double, accuracy double")
+    assert Hs.compare_winner(runs).first().provider == "openai"
+    assert {r.pct_over_cheapest for r in Hs.compare_cost_diff(runs).collect()} == {None}
+
+
+@pytest.mark.parametrize("folder", [None, "file"])
+def test_queries_run_without_and_with_a_checkpoint_folder(tmp_path, sf_dir, folder):
+    """A fresh process without Spark defaults: the folder is unset, or given as file: URL."""
+    code = f"""
+import sys; sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+b = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+if {folder!r}:
+    b = b.config("spark.checkpoint.dir", "file://{tmp_path}/shared")
+spark = b.getOrCreate()
+import __spark_entry__ as E
+assert E.entry(spark).count() == 3
+for name in ("latency_pct", "rate_limit", "stream_windows"):
+    assert E.queries()[name](spark, {sf_dir!r}).count() > 0
+print("fine")
+"""
+    conf = tmp_path / "conf"
+    conf.mkdir()
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, cwd=tmp_path,
+                         env={**os.environ, "SPARK_CONF_DIR": str(conf)})
+    assert out.stdout.strip().endswith("fine"), out.stderr[-2000:]
