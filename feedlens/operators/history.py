@@ -77,10 +77,20 @@ def history_filter(runs: DataFrame, start, end, provider=None, success=None, sou
     return r
 
 
-def history_page(runs: DataFrame, sort_col: str, page: int, size: int = 20, descending: bool = True) -> DataFrame:
-    """Q8: one page in (sort, run_id) order – a top-(page·size) sort, then the offset."""
+def history_page(runs: DataFrame, sort_col: str, page: int, size: int = 20, descending: bool = True,
+                 after: tuple | None = None) -> DataFrame:
+    """Q8: one page in (sort, run_id) order – a top-(page·size) sort, then the offset.
+
+    For deep pages give `after`, the (sort value, run_id) of the last row seen: the page is then the
+    first `size` rows beyond it, found with a filter and a top-`size` sort, and `page` is not used.
+    """
     order = [F.col(sort_col).desc() if descending else F.col(sort_col).asc(), F.col("run_id").asc()]
-    rows = runs.orderBy(*order).offset((page - 1) * size).limit(size)
+    if after is None:
+        rows = runs.orderBy(*order).offset((page - 1) * size).limit(size)
+    else:
+        value, run_id = (F.lit(x) for x in after)
+        beyond = F.col(sort_col) < value if descending else F.col(sort_col) > value
+        rows = runs.filter(beyond | ((F.col(sort_col) == value) & (F.col("run_id") > run_id))).orderBy(*order).limit(size)
     # the total is a scalar subquery: computed once, no join
     total = runs.agg(F.count(F.lit(1))).scalar()
     return rows.withColumn("total", total).withColumn("pages", F.ceil(F.col("total") / size))

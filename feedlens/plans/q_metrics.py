@@ -180,8 +180,16 @@ def log_cost(spark, sf):
     return MT.window_counts(l, "5 minutes", F.col("total_cost_usd"))
 
 
-def _alarm_sql(seconds: int) -> str:
-    c = _win_sql("event = 'workflow_execution_failed'", seconds)
+FAILED = "event = 'workflow_execution_failed'"
+UNSUCCESSFUL = f"{FAILED} OR (event = 'workflow_execution_completed' AND NOT success)"
+
+
+def _unsuccessful(log):
+    return log.filter((F.col("event") == S.EV_FAILED) | ((F.col("event") == S.EV_COMPLETED) & ~F.col("success")))
+
+
+def _alarm_sql(seconds: int, where: str = FAILED) -> str:
+    c = _win_sql(where, seconds)
     return f"""
 SELECT a.window_start, a.n, b.n AS prev_n FROM ({c}) a JOIN ({c}) b
   ON b.window_start + INTERVAL {seconds} SECOND = a.window_start WHERE a.n > 5 AND b.n > 5"""
@@ -206,18 +214,16 @@ def log_succeeded(spark, sf):
     return MT.window_counts(_log(spark, sf).filter((F.col("event") == S.EV_COMPLETED) & F.col("success")), "5 minutes")
 
 
-@query("log_unsuccessful", _win_sql("event = 'workflow_execution_failed' OR "
-                                    "(event = 'workflow_execution_completed' AND NOT success)", 300))
+@query("log_unsuccessful", _win_sql(UNSUCCESSFUL, 300))
 def log_unsuccessful(spark, sf):
     """L2 by success (K13): runs that raised or completed without success."""
-    bad = (F.col("event") == S.EV_FAILED) | ((F.col("event") == S.EV_COMPLETED) & ~F.col("success"))
-    return MT.window_counts(_log(spark, sf).filter(bad), "5 minutes")
+    return MT.window_counts(_unsuccessful(_log(spark, sf)), "5 minutes")
 
 
-@query("alarm_errors_1h", _alarm_sql(3600))
+@query("alarm_errors_1h", _alarm_sql(3600, UNSUCCESSFUL))
 def alarm_errors_1h(spark, sf):
-    c = MT.window_counts(_log(spark, sf).filter(F.col("event") == S.EV_FAILED), "1 hour")
-    return MT.alarm(c, 3600)
+    """L4 by success over one hour."""
+    return MT.alarm(MT.window_counts(_unsuccessful(_log(spark, sf)), "1 hour"), 3600)
 
 
 @query("rate_5m", """

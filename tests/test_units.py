@@ -157,6 +157,9 @@ def test_history_page(spark):
     assert len(p3) == 5 and {r.total for r in p3} == {45} and {r.pages for r in p3} == {3}
     everything = sorted(((-c, i) for i, c in ((r.run_id, r.cost_usd) for r in runs.collect())))
     assert [r.run_id for r in p3] == [i for _, i in everything][40:45]
+    p2 = Hs.history_page(runs, "cost_usd", page=2).collect()
+    by_key = Hs.history_page(runs, "cost_usd", page=3, after=(p2[-1].cost_usd, p2[-1].run_id)).collect()
+    assert [r.run_id for r in by_key] == [r.run_id for r in p3]
 
 
 def test_cache_lookup_as_of(spark):
