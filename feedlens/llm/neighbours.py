@@ -187,6 +187,15 @@ def _merge_blocks(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
     return pd.DataFrame({"rep": q["rep"].to_numpy(), "scores": [s for s, _ in found], "reps": [r for _, r in found]})
 
 
+def _merge_queries(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
+    """One query's lists from its blocks and curves to its `most` best distinct candidates."""
+    score, reps = np.concatenate(pdf["scores"].to_list()), np.concatenate(pdf["reps"].to_list())
+    order = np.lexsort((reps, -score))
+    _, first = np.unique(reps[order], return_index=True)
+    keep = order[np.sort(first)[:most]]
+    return pd.DataFrame({"rep": pdf["rep"].iloc[0], "other": reps[keep], "minus": -score[keep]})
+
+
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20,
             top: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` best others of each vector whose id `every` divides."""
@@ -228,16 +237,15 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         return _merge_blocks(pdf, top + 1)
     found = (both.join(known.select("rep", "v"), "rep").groupBy("curve", "block", "chunk")
              .applyInPandas(merge, "rep long, scores array<double>, reps array<long>"))
+
+    def best_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _merge_queries(pdf, top + 1)
     own = known.filter("asks").select("rep", F.array(square).alias("scores"), F.array("rep").alias("reps"))
-    pairs = F.arrays_zip((F.transform("scores", lambda s: -s)).alias("s"), F.col("reps").alias("r"))
-    merged = (found.unionByName(own).select("rep", pairs.alias("p")).groupBy("rep")
-              .agg(F.flatten(F.collect_list("p")).alias("p")))
-    best = merged.select("rep", F.explode(F.slice(F.array_sort(F.array_distinct("p")), 1, top + 1)).alias("b")).select(
-        "rep", F.col("b.s").alias("minus"), F.col("b.r").alias("other"))
+    best = found.unionByName(own).groupBy("rep").applyInPandas(best_of, "rep long, other long, minus double")
 
     members = known.select(F.col("rep").alias("other"), F.explode("ids").alias("vec_id"))
-    by_class = Window.partitionBy("rep").orderBy("minus", "vec_id")
-    listed = (best.join(members, "other").withColumn("nth", F.row_number().over(by_class))
+    by_member = Window.partitionBy("rep").orderBy("minus", "vec_id")
+    listed = (best.join(members, "other").withColumn("nth", F.row_number().over(by_member))
               .filter(F.col("nth") <= top + 1).select("rep", "vec_id", "minus"))
     queries = asking.join(known.select("v", "rep"), "v").select(F.col("vec_id").alias("query_id"), "rep")
     by_query = Window.partitionBy("query_id").orderBy("minus", "vec_id")
