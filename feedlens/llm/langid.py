@@ -22,9 +22,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, join_summary, settle
 
-PIECES, PIECE = 1024, 128
+PIECES, PIECE, SPARE = 1024, 128, 2
 LEVEL, BLOCK = 9, 4096
 #: Rejected: the second language's total is less than this share above the first's.
 MARGIN = 0.01
@@ -73,13 +73,19 @@ class Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Collects at most PIECES pieces of PIECE characters for each language."""
-    rank = F.xxhash64(F.lit("piece"), "doc_id")
-    room = F.greatest(F.length("text") - PIECE, F.lit(1))
-    piece = F.substring("text", (F.pmod(F.xxhash64(F.lit("place"), "doc_id"), room) + 1).cast("int"), F.lit(PIECE))
-    rows = (docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-            .filter(fold(F.col("doc_id"), FOLDS) != HELD)
-            .select("lang", rank.alias("rank"), piece.alias("piece")))
+    """Collects at most PIECES pieces of PIECE characters for each language.
+
+    A language's rows are first thinned, by the hash of their id, to about SPARE times as many as are
+    needed (by its count), so that no task ranks all rows of a frequent language.
+    """
+    taught = fold(F.col("doc_id"), FOLDS) != HELD
+    counts = settle(docs.filter(F.col("lang").isNotNull() & taught).groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    place = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.greatest(F.length("text") - PIECE, F.lit(1)))
+    rows = (docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & taught)
+            .select("lang", F.xxhash64(F.lit("piece"), "doc_id").alias("rank"),
+                    F.substring("text", (place + 1).cast("int"), F.lit(PIECE)).alias("piece")))
+    share = F.pmod("rank", F.lit(1_000_000)) / 1_000_000
+    rows = join_summary(rows, counts, ["lang"]).filter(share * F.col("n") < SPARE * PIECES)
     first = Window.partitionBy("lang").orderBy("rank", "piece")
     got = rows.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= PIECES).collect()
     by: dict[str, list[bytes]] = {}
