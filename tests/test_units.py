@@ -325,7 +325,8 @@ def test_generate_batch_fills_the_record(spark):
 
     def echo(batch: pd.DataFrame) -> pd.DataFrame:
         return batch[["run_id", "step", "provider", "model"]].assign(content="x" + batch["prompt"])
-    df = spark.createDataFrame([("1", "extract", "google", "m", "p")], "run_id string, step string, provider string, model string, prompt string")
+    df = spark.createDataFrame([("1", "extract", "google", "m", "p")],
+                               "run_id string, step string, provider string, model string, prompt string")
     r = G.generate_batch(df, echo).first()
     assert r.content == "xp" and r.error is None and r.tokens_input is None
 
