@@ -8,8 +8,8 @@ of its own takes that of the nearest ancestor directory that has one. Directorie
 their ancestors' paths; files meet only their own directory's result.
 
 Document frequencies of the templates' words are counted over all texts; a word that no template has
-counts as rare. Lines without any telling template word (one in less than `TELLING` of all texts) have
-no chance and are skipped.
+counts as rare. However common its words are, a text is compared unless its template words' share of its
+length, which no cosine can exceed (Cauchy-Schwarz), is below what is already found.
 
 Edge cases: null and empty texts have no licence of their own; a null path is in the root directory;
 ties go to the higher cosine, then the first licence by name, then the first path; an empty table gives
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import join_summary, settle
 
-HEADER, WHOLE, TELLING = 0.6, 0.6, 0.02
+HEADER, WHOLE = 0.6, 0.6
 PARAGRAPH = 40
 #: A whole text of more than so many times the longest template's words is no licence file.
 LONGEST = 3
@@ -68,46 +68,59 @@ class Matcher:
     def __init__(self, templates: list[tuple[str, str]], df: dict[str, int], n: int):
         self.rare = math.log(1 + n) + 1
         self.idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for _, t in templates for w in words(t)}
-        self.telling = {w for w in self.idf if df.get(w, 0) <= max(TELLING * n, 1)}
-        self.templates = []
-        for name, text in templates:
+        self.names, self.postings = [], {}
+        for k, (name, text) in enumerate(templates):
             v = {w: f * self.idf[w] for w, f in Counter(words(text)).items()}
             size = math.sqrt(sum(x * x for x in v.values()))
-            self.templates.append((name, {w: x / size for w, x in v.items()}))
+            self.names.append(name)
+            for w, x in v.items():
+                self.postings.setdefault(w, []).append((k, x / size))
         self.longest = LONGEST * max(len(words(t)) for _, t in templates)
 
-    def best(self, w: list[str]) -> tuple[float, str]:
-        v = {x: f * self.idf.get(x, self.rare) for x, f in Counter(w).items()}
-        size = math.sqrt(sum(x * x for x in v.values()))
-        got = ((sum(x * t[k] for k, x in v.items() if k in t) / size, name) for name, t in self.templates)
-        return min(got, key=lambda s: (-s[0], s[1]))
+    def best(self, w: list[str], above: float = 0.0) -> tuple[float, str]:
+        """The highest cosine and its licence; (0, "") if none can exceed `above`."""
+        every = known = 0.0
+        hits = []
+        for x, f in Counter(w).items():
+            got = self.postings.get(x)
+            if got is None:
+                every += (f * self.rare) ** 2
+            else:
+                v = f * self.idf[x]
+                known += v * v
+                hits.append((v, got))
+        every += known
+        if known <= above * above * every:
+            return 0.0, ""
+        dot = [0.0] * len(self.names)
+        for v, got in hits:
+            for k, x in got:
+                dot[k] += v * x
+        size = math.sqrt(every)
+        return min(((d / size, name) for d, name in zip(dot, self.names)), key=lambda s: (-s[0], s[1]))
 
     def scan(self, text: str | None) -> tuple[str | None, float, bool]:
         """(licence, cosine, is a licence file) of a text; the best cosine is given in any case."""
         top: tuple[float, str] = (0.0, "")
-        has = not self.telling.isdisjoint(words(text))
-        if not has:
-            return None, 0.0, False
+        every: list[str] = []
         paragraph: list[str] = []
-        telling = lines = 0
+        lines = 0
 
-        def close() -> tuple[float, str]:
-            return self.best(paragraph) if telling and lines > 1 else (0.0, "")
+        def better(w: list[str]) -> tuple[float, str]:
+            return max(top, self.best(w, top[0]), key=lambda s: s[0])
 
         for line in (text or "").split("\n"):
             w = words(line)
             if not w or lines >= PARAGRAPH:
-                top = max(top, close(), key=lambda s: s[0])
-                paragraph, telling, lines = [], 0, 0
+                top = better(paragraph) if lines > 1 else top
+                paragraph, lines = [], 0
             if w:
-                if not self.telling.isdisjoint(w):
-                    telling += 1
-                    top = max(top, self.best(w), key=lambda s: s[0])
+                top = better(w)
+                every += w
                 paragraph += w
                 lines += 1
-        top = max(top, close(), key=lambda s: s[0])
-        every = words(text)
-        whole = self.best(every) if len(every) <= self.longest else (0.0, "")
+        top = better(paragraph) if lines > 1 else top
+        whole = self.best(every, min(top[0], WHOLE - 1e-9)) if len(every) <= self.longest else (0.0, "")
         top = max(top, whole, key=lambda s: s[0])
         return (top[1] if top[0] >= HEADER else None), top[0], whole[0] >= WHOLE
 

@@ -199,3 +199,26 @@ def test_licences_of_documents(spark):
 def test_licence_edge_cases(spark, odd_docs, no_docs):
     assert licences.scan(licences.as_files(odd_docs), "doc_id").count() == odd_docs.count()
     assert licences.scan(licences.as_files(no_docs), "doc_id").count() == 0
+
+
+def test_notices_that_many_texts_carry(spark):
+    """A third of all texts, or two of a few, carry one notice: each of them has that licence and gives it on."""
+    rows = [(k, f"s{k}/x", f"{PLAIN} {k}\n{MIT if k % 3 == 0 else PLAIN}\n" + PLAIN * 9) for k in range(300)]
+    rows += [(900, "d/LICENSE", MIT), (901, "d/e/x.py", PLAIN)]
+    got = {r["id"]: r for r in licences.scan(files(spark, rows), "id").collect()}
+    assert [k for k in range(300) if got[k]["own_licence"] == "MIT"] == list(range(0, 300, 3))
+    assert got[900]["is_licence_file"] and (got[901]["licence"], got[901]["inherited_from"]) == ("MIT", "d")
+    few = [(1, "a/x", f"{PLAIN}\n{GPL}"), (2, "b/x", f"{GPL}\n{PLAIN}"), (3, "c/x", PLAIN)]
+    got = {r["id"]: r["licence"] for r in licences.scan(files(spark, few), "id").collect()}
+    assert got == {1: "GPL-3.0", 2: "GPL-3.0", 3: None}
+
+
+def test_pruning_keeps_the_best_cosine():
+    rng = np.random.default_rng(5)
+    names = sorted({w for _, t in licences.TEMPLATES for w in licences.words(t)}) + [f"x{k}" for k in range(40)]
+    m = licences.Matcher(licences.TEMPLATES, {w: int(rng.integers(1, 900)) for w in names}, 1000)
+    for _ in range(200):
+        lines = [list(rng.choice(names, rng.integers(1, 9))) for _ in range(rng.integers(1, 6))]
+        flat = [x for w in lines for x in w]
+        want = max(m.best(w)[0] for w in [*lines, flat])
+        assert m.scan("\n".join(" ".join(w) for w in lines))[1] == pytest.approx(want)
