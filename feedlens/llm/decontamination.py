@@ -9,9 +9,10 @@ Retrieval is exact above the threshold. Words common to many items are the non-e
 weights can never lift an item over `COMMON_SHARE`. A first test, over all passages of a batch at once,
 adds up only the essential lists and drops what stays below threshold minus the item's common weight.
 Passages that remain run block-max WAND over all lists. What it retrieves is verified on five-word
-shingles: at least `OVERLAP` of the question's and of the answer's must occur in the passage. The
-answer is an item's last sentence, the question what comes before (both: the whole item if it has one
-sentence only). Words are runs of letters and digits, lower-cased.
+shingles: at least `OVERLAP` of the whole item's, or of the question's and of the answer's each, must
+occur in the passage. The answer is an item's last sentence, the question what comes before (both: the
+whole item if it has one sentence only). One edit breaks most shingles of a short part, so the parts
+alone would lose near copies. Words are runs of letters and digits, lower-cased.
 
 The index is broadcast. It is cut into parts of at most `PART_WORDS` words by a hash of the item
 (each with its own document frequencies), and every part searches all documents.
@@ -87,6 +88,7 @@ class Index:
     essential: np.ndarray  # by term: its lists is added up in the first test
     common: np.ndarray  # by item: weight of its non-essential words
     parts: list[tuple[list[str], list[str]]]
+    whole: list[list[str]]
     width: int  # words of a segment
     start: np.ndarray  # essential postings, concatenated: bounds by term, items, weights
     items: np.ndarray
@@ -119,7 +121,7 @@ def build(rows: list[tuple[int, str]]) -> Index | None:
     size = np.array([len(p.items) if e else 0 for p, e in zip(lists, essential)])
     some = [p for p, e in zip(lists, essential) if e]
     return Index([i for i, _, _ in kept], {x: k for k, x in enumerate(names)}, lists, essential, common,
-                 [question_and_answer(t) for _, t, _ in kept], max(len(w) for _, _, w in kept),
+                 [question_and_answer(t) for _, t, _ in kept], [w for _, _, w in kept], max(len(w) for _, _, w in kept),
                  np.concatenate([[0], np.cumsum(size)]),
                  np.concatenate([p.items for p in some]) if some else np.zeros(0, int),
                  np.concatenate([p.weights for p in some]) if some else np.zeros(0))
@@ -233,7 +235,7 @@ def search(index: Index, texts: list[str | None], threshold: float = THRESHOLD)
             passage = words(texts[start + d])[here] if found else []
             for item, score in found:
                 q, a = (_overlap(p, passage) for p in index.parts[item])
-                if q >= OVERLAP and a >= OVERLAP:
+                if (q >= OVERLAP and a >= OVERLAP) or _overlap(index.whole[item], passage) >= OVERLAP:
                     best[d, item] = max(best.get((d, item), (0.0,)), (score, q, a))
         for (d, item), got in sorted(best.items()):
             yield start + d, index.ids[item], *got

@@ -105,3 +105,25 @@ def test_parts_give_the_same_matches(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(D, "PART_WORDS", 500)
     assert len(D.indexes(bench)) > 1
     assert {(r["doc_id"], r["item_id"]) for r in D.matches(docs, bench).collect()} == whole
+
+
+def test_edited_copies_of_every_item(spark, sf_dir):
+    """One word of an item changed: found whenever retrieved and 0.8 of the item's shingles, or of both parts', are left."""
+    items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
+    index = D.build(items)
+    seen = {True: 0, False: 0}
+    for k, item_id in enumerate(index.ids):
+        w = index.whole[k]
+        for at in range(0, len(w), 3):
+            copy = [*w[:at], "zzz", *w[at + 1:]]
+            share = sum(float(p.weights[p.items == k].sum()) for p in (index.lists[index.term[x]] for x in {*copy} - {"zzz"}))
+            have = " " + " ".join(copy) + " "
+
+            def left(part):
+                grams = {" ".join(g) for g in D.shingles(part)}
+                return sum(f" {g} " in have for g in grams) >= 0.8 * len(grams)
+            want = share >= D.THRESHOLD and (left(w) or all(map(left, index.parts[k])))
+            got = any(i == item_id for _, i, *_ in D.search(index, ["before " + " ".join(copy) + " after"]))
+            assert got == want, (item_id, at)
+            seen[want and not all(map(left, index.parts[k]))] += 1
+    assert seen[True] > 0
