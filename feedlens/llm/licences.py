@@ -1,9 +1,10 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Files are (path, text). Every line of a file, every paragraph of up to `PARAGRAPH` lines, and a whole
-text that is short enough to be a licence file is compared with each template by the cosine of sparse
-TF-IDF vectors. A line or paragraph over `HEADER` gives the file its own licence. A file whose whole text
-is over `WHOLE` is a licence file: it also gives its directory that licence. A file without a licence
+Files are (path, text). Every line of a file, every paragraph of up to `PARAGRAPH` lines and every whole
+text, however long, is compared with each notice by the cosine of sparse TF-IDF vectors, whole texts
+also with the full licence texts. A line or paragraph over `HEADER` gives the file its own licence. A file
+whose whole text is over `WHOLE` is a licence file: it also gives its directory that licence. A text over
+`WHOLE` of a full licence has that one, whatever notices it quotes. A file without a licence
 of its own takes that of the nearest ancestor directory that has one. Directories are joined with
 their ancestors' paths; files meet only their own directory's result.
 
@@ -29,11 +30,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_summary, settle
+from .licence_texts import TEXTS
 
 HEADER, WHOLE = 0.6, 0.6
 PARAGRAPH = 40
-#: A whole text of more than so many times the longest template's words is no licence file.
-LONGEST = 3
 
 #: Licence names with notices as authors write them.
 TEMPLATES = [
@@ -63,9 +63,9 @@ def words(text: str | None) -> list[str]:
 
 
 class Matcher:
-    """Cosines to the templates under document frequencies `df` of `n` texts."""
+    """Cosines to the templates under document frequencies `df` of `n` texts; `full` is for whole texts only."""
 
-    def __init__(self, templates: list[tuple[str, str]], df: dict[str, int], n: int):
+    def __init__(self, templates: list[tuple[str, str]], df: dict[str, int], n: int, full: list[tuple[str, str]] = ()):
         self.rare = math.log(1 + n) + 1
         self.idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for _, t in templates for w in words(t)}
         self.names, self.postings = [], {}
@@ -75,7 +75,7 @@ class Matcher:
             self.names.append(name)
             for w, x in v.items():
                 self.postings.setdefault(w, []).append((k, x / size))
-        self.longest = LONGEST * max(len(words(t)) for _, t in templates)
+        self.full = Matcher(full, df, n) if full else None
 
     def best(self, w: list[str], above: float = 0.0) -> tuple[float, str]:
         """The highest cosine and its licence; (0, "") if none can exceed `above`."""
@@ -120,7 +120,12 @@ class Matcher:
                 paragraph += w
                 lines += 1
         top = better(paragraph) if lines > 1 else top
-        whole = self.best(every, min(top[0], WHOLE - 1e-9)) if len(every) <= self.longest else (0.0, "")
+        if self.full:
+            whole = self.full.best(every, min(top[0], WHOLE - 1e-9))
+            if whole[0] >= WHOLE:
+                return whole[1], whole[0], True
+            top = max(top, whole, key=lambda s: s[0])
+        whole = self.best(every, min(top[0], WHOLE - 1e-9))
         top = max(top, whole, key=lambda s: s[0])
         return (top[1] if top[0] >= HEADER else None), top[0], whole[0] >= WHOLE
 
@@ -135,13 +140,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: frozenset) -> It
         yield pa.RecordBatch.from_arrays([pa.array(list(count)), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
 
 
-def matcher(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> Matcher:
+def matcher(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, full: list[tuple[str, str]] = TEXTS) -> Matcher:
     """Counts, over all texts, in how many each template word occurs (collected: that vocabulary)."""
-    vocabulary = frozenset(w for _, t in templates for w in words(t))
+    vocabulary = frozenset(w for _, t in [*templates, *full] for w in words(t))
     got = (files.select("text").mapInArrow(partial(_frequencies, vocabulary=vocabulary), "word string, n long")
            .groupBy("word").agg(F.sum("n").alias("n")).collect())
     df = {r["word"]: r["n"] for r in got}
-    return Matcher(templates, df, df.pop("", 0))
+    return Matcher(templates, df, df.pop("", 0), full)
 
 
 def as_files(docs: DataFrame) -> DataFrame:
@@ -155,9 +160,10 @@ def _directory(path):
     return F.regexp_replace(F.coalesce(path, F.lit("")), r"/?[^/]*$", "")
 
 
-def scan(files: DataFrame, id_col: str, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+def scan(files: DataFrame, id_col: str, templates: list[tuple[str, str]] = TEMPLATES,
+         full: list[tuple[str, str]] = TEXTS) -> DataFrame:
     """id, path, own licence and cosine, is_licence_file, inherited licence and from where, licence."""
-    m = matcher(files, templates)
+    m = matcher(files, templates, full)
     shared = files.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

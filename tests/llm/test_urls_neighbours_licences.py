@@ -222,3 +222,18 @@ def test_pruning_keeps_the_best_cosine():
         flat = [x for w in lines for x in w]
         want = max(m.best(w)[0] for w in [*lines, flat])
         assert m.scan("\n".join(" ".join(w) for w in lines))[1] == pytest.approx(want)
+
+
+def test_full_licence_texts_are_licence_files(spark):
+    """Whole licences of up to thousands of words, with an owner's line, give their directories a licence."""
+    assert {"MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "MPL-2.0"} <= {name for name, _ in licences.TEXTS}
+    rows = [(k, f"{name}/LICENSE", f"Copyright (c) 2024 Some Owner\n\n{text}") for k, (name, text) in enumerate(licences.TEXTS)]
+    rows += [(100 + k, f"{name}/src/x.py", f"{PLAIN} {k}") for k, (name, _) in enumerate(licences.TEXTS)]
+    rows += [(200 + k, f"plain/{k}", f"{PLAIN} {k}\n" * 900) for k in range(100)]
+    rows += [(400, "quoting/x.py", f"{MIT}\n" + f"{PLAIN}\n" * 900)]
+    got = {r["id"]: r for r in licences.scan(files(spark, rows), "id").collect()}
+    for k, (name, _) in enumerate(licences.TEXTS):
+        assert (got[k]["own_licence"], got[k]["is_licence_file"]) == (name, True)
+        assert (got[100 + k]["licence"], got[100 + k]["inherited_from"]) == (name, name)
+    assert all(got[200 + k]["licence"] is None for k in range(100))
+    assert (got[400]["own_licence"], got[400]["is_licence_file"]) == ("MIT", False)
