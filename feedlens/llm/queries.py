@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_library
 from ..sources.tables import table
-from . import (decontamination, langid, licences, mixing, neighbours, quality, sharding, simhash,
+from . import (decontamination, jaccard, langid, licences, mixing, neighbours, quality, sharding, simhash,
                toxicity, urls)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,35 @@ def op6_quality(spark, sf_dir):
 def op10_neighbours(spark, sf_dir):
     """The 20 nearest others, by inner product, of every vector whose id is divisible by 20."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+  FROM words),
+sizes AS (SELECT rid, count(*) AS n FROM sets GROUP BY rid),
+links AS (
+  SELECT a.rid AS u, b.rid AS v
+  FROM sets a JOIN sets b ON a.s = b.s AND a.rid <> b.rid
+  JOIN sizes x ON x.rid = a.rid JOIN sizes y ON y.rid = b.rid
+  GROUP BY a.rid, b.rid, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach AS (
+  SELECT rid AS u, rid AS v FROM words
+  UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v)
+SELECT any_value(w.doc_id) AS doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles,
+       min(o.doc_id) AS component_id
+FROM reach r JOIN words w ON w.rid = r.u JOIN words o ON o.rid = r.v LEFT JOIN sizes z ON z.rid = r.u
+GROUP BY r.u
+"""
+
+
+@query("op11_jaccard", JACCARD_SQL)
+def op11_jaccard(spark, sf_dir):
+    """Set size and component of every document; links at 85 % of common four-word shingles."""
+    return jaccard.similar(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
