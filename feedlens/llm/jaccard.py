@@ -27,6 +27,7 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -41,8 +42,6 @@ from .simhash import components
 
 #: Counters of the sketch (4 MB broadcast, whatever the corpus) and counters in one row of it.
 CELLS, PART = 1 << 20, 1 << 14
-#: Postings of a column in a tile, sets in a block, shingles in a block; postings of a column in one sorted run.
-TILE, SETS, ITEMS, RUN = 512, 512, 1 << 20, 4096
 #: Columns multiplied at once, hashes counted at once.
 SLICE, FLUSH = 4096, 1 << 20
 
@@ -145,6 +144,15 @@ def _sketch(profile: DataFrame) -> np.ndarray:
     return np.minimum(out.reshape(-1), (1 << 32) - 1).astype(np.uint32)
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """Bounds of what one task holds: postings in a tile, sets and shingles in a block, postings in a sorted run."""
+    tile: int = 512
+    sets: int = 512
+    items: int = 1 << 20
+    run: int = 4096
+
+
 class Share:
     """The share num/den that intersection over union must reach, in whole numbers."""
 
@@ -160,7 +168,7 @@ class Share:
         return -(-self.num * (n + m) // (self.num + self.den))
 
 
-def _postings(docs: DataFrame, width: int, share: Share, sketch) -> DataFrame:
+def _postings(docs: DataFrame, width: int, share: Share, sizes: Sizes, sketch) -> DataFrame:
     """The leading shingles `w` of each set, with its size and the place of `w` in the common order.
 
     A shingle that the sketch sees far above the usual gets several sorted runs, dealt by set (`run` from 1 on;
@@ -190,7 +198,7 @@ def _postings(docs: DataFrame, width: int, share: Share, sketch) -> DataFrame:
             order = np.argsort(c.astype(np.uint64) << np.uint64(32) | items >> np.uint64(32), kind="stable")
             lead = order[:n - int(share.least(np.int64(n))) + 1]
             hi, lo = np.frombuffer(sig, np.int64)
-            runs = 1 + (np.maximum(c[lead] - noise, 0) // RUN).astype(np.int64)
+            runs = 1 + (np.maximum(c[lead] - noise, 0) // sizes.run).astype(np.int64)
             k = len(lead)
             place = np.where(runs > 1, 1 + int(lo) % runs, 0)
             held.append((items[lead].view(np.int64), place, np.full(k, n), np.arange(k), np.full(k, hi),
@@ -207,8 +215,8 @@ def _postings(docs: DataFrame, width: int, share: Share, sketch) -> DataFrame:
 _TILES = "w long, tile long, n array<long>, pos array<long>, hi array<long>, lo array<long>"
 
 
-def _cut_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted postings to tiles: lists of at most TILE postings of one column. Columns of one document go."""
+def _cut_tiles(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Sorted postings to tiles: lists of at most `most` postings of one column. Columns of one document go."""
     def emit(c: list[np.ndarray], last: bool):
         """Tiles of the runs in `c`; the last run is held back unless nothing follows, but for whole tiles."""
         nonlocal carry, cut
@@ -227,14 +235,14 @@ def _cut_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nth = np.arange(len(w)) - starts[group]
         first = np.zeros(len(starts), np.int64)
         first[0] = cut  # whole tiles of the first run that went before
-        tile = first[group] + nth // TILE
+        tile = first[group] + nth // most
         ends = np.append(starts[1:], len(w))
         end = len(w)
         if not last:  # of the last run, only whole tiles may go
-            whole = (ends[-1] - starts[-1] - 1) // TILE * TILE  # one row stays, so that the run stays open
+            whole = (ends[-1] - starts[-1] - 1) // most * most  # one row stays, so that the run stays open
             end = int(starts[-1] + whole)
             carry = [x[end:] for x in c]
-            cut = int(first[-1] + whole // TILE)
+            cut = int(first[-1] + whole // most)
         else:
             carry = None
         new_tile = np.ones(len(w), bool)
@@ -262,10 +270,10 @@ def _cut_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _tiles(postings: DataFrame) -> DataFrame:
+def _tiles(postings: DataFrame, most: int) -> DataFrame:
     n = shuffle_width(postings.sparkSession)
     runs = postings.repartition(n, "w", "run").sortWithinPartitions("w", "run", "n", "hi", "lo")
-    return runs.mapInArrow(_cut_tiles, _TILES)
+    return runs.mapInArrow(partial(_cut_tiles, most=most), _TILES)
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -409,10 +417,10 @@ def _needed_sets(docs: DataFrame, at: DataFrame, width: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "node binary, items binary")
 
 
-def _blocks(members: DataFrame, share: Share) -> DataFrame:
+def _blocks(members: DataFrame, share: Share, sizes: Sizes) -> DataFrame:
     """node, root and its block (s, t): one block for a small component, else by size class and hash."""
     step = float(np.log(share.den / share.num))
-    tiles = F.greatest(F.ceil(F.count(F.lit(1)) / SETS), F.ceil(F.sum("n") / ITEMS))
+    tiles = F.greatest(F.ceil(F.count(F.lit(1)) / sizes.sets), F.ceil(F.sum("n") / sizes.items))
     whole = members.groupBy("root").agg(tiles.alias("cuts"))
     classed = members.join(whole, "root").withColumn(
         "s", F.when(F.col("cuts") > 1, F.floor(F.log("n") / step)).otherwise(F.lit(0)).cast("int"))
@@ -439,12 +447,12 @@ def _node_of(hi: str, lo: str):
         F.concat(*(F.substring(F.lpad(F.hex(x), 16, "0"), k, 2) for k in range(15, 0, -2))) for x in (hi, lo))))
 
 
-def links(docs: DataFrame, classes: DataFrame, sketch, width: int, share: Share) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, sketch, width: int, share: Share, sizes: Sizes) -> DataFrame:
     """Links (a, b) between sets that give the components of all pairs reaching the share."""
-    tiles = settle(_tiles(_postings(docs, width, share, sketch)))
+    tiles = settle(_tiles(_postings(docs, width, share, sizes, sketch), sizes.tile))
     roots = settle(components(_candidates(tiles, share)))
     members = settle(roots.join(classes, roots["node"] == classes["sig"]).select("node", "root", "n", "doc_id", "th"))
-    blocks = settle(_blocks(members, share))
+    blocks = settle(_blocks(members, share, sizes))
     sets = _needed_sets(docs, members.select("doc_id", "th"), width).join(blocks, "node")
     own = blocks.select("root", "s", "t").distinct().select("root", "s", "t", F.col("s").alias("s2"),
                                                             F.col("t").alias("t2"))
@@ -459,7 +467,7 @@ def links(docs: DataFrame, classes: DataFrame, sketch, width: int, share: Share)
             .mapInArrow(partial(_multiply, share=share), "a binary, b binary"))
 
 
-def similar(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def similar(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, sizes: Sizes = Sizes()) -> DataFrame:
     """doc_id, n_shingles and component_id of every document; links at num/den of intersection over union."""
     share = Share(num, den)
     profile = settle(_profile(docs, width))
@@ -468,7 +476,7 @@ def similar(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> D
         F.min(F.struct("doc_id", "th")).alias("at"), F.min("doc_id").alias("head"))
         .select("sig", "n", "at.doc_id", "at.th", "head"))
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(profile))
-    roots = components(links(docs, classes, sketch, width, share))
+    roots = components(links(docs, classes, sketch, width, share, sizes))
     rooted = classes.join(roots, classes["sig"] == roots["node"], "left").select(
         "sig", "head", F.coalesce("root", "sig").alias("root"))
     least = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
