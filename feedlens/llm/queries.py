@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import ship_library
 from ..sources.tables import table
 from . import (decontamination, jaccard, langid, licences, mixing, neighbours, quality, sharding, simhash,
-               toxicity, urls)
+               toxicity, urls, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -156,3 +156,9 @@ GROUP BY r.u
 def op11_jaccard(spark, sf_dir):
     """Set size and component of every document; links at 85 % of common four-word shingles."""
     return jaccard.similar(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
+@query("op12_whitening")
+def op12_whitening(spark, sf_dir):
+    """Every vector on the first 16 principal components of the distinct vectors, at unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=16)
