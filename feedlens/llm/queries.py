@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import ship_library
 from ..sources.tables import table
 from . import (decontamination, jaccard, langid, licences, mixing, neighbours, quality, sharding, simhash,
-               toxicity, urls, whitening)
+               spelling, toxicity, urls, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -162,3 +162,51 @@ def op11_jaccard(spark, sf_dir):
 def op12_whitening(spark, sf_dir):
     """Every vector on the first 16 principal components of the distinct vectors, at unit variance."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"), most=16)
+
+
+SPELLING_SQL = r"""
+WITH RECURSIVE crc_table AS (  -- entries 0 to 255 of the CRC-32 table, as a list
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z:
+              CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256))::BIGINT AS i)),
+runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents)
+  GROUP BY ALL),
+coded AS (
+  SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(range(0, len(x)::BIGINT, 2), lambda k: ('0x' || x[k + 1:k + 2])::BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM coded, crc_table),
+words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN run[:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING len(word) >= 7 AND sum(n) >= 2),
+places AS (SELECT word, unnest(range(len(word)))::BIGINT AS k FROM words),
+holes AS (  -- a word with one code point replaced, or left out
+  SELECT word, k, word[:k] || '*' || word[k + 2:] AS replaced, word[:k] || word[k + 2:] AS deleted FROM places),
+pairs AS (
+  SELECT a.word, b.word AS other FROM holes a JOIN holes b ON a.replaced = b.replaced AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM holes a JOIN words b ON a.deleted = b.word
+  UNION SELECT b.word, a.word FROM holes a JOIN words b ON a.deleted = b.word),
+ranked AS (
+  SELECT p.word, w.word AS other, w.n AS other_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+         row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, w.word) AS place
+  FROM pairs p JOIN words w ON w.word = p.other),
+formed AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0)::BIGINT AS n_near, CASE WHEN r.other_n >= 10 * w.n THEN r.other END AS form,
+         CASE WHEN r.other_n >= 10 * w.n THEN r.other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1),
+chain AS (
+  SELECT word, word AS root, form FROM formed
+  UNION ALL SELECT c.word, c.form, f.form FROM chain c JOIN formed f ON f.word = c.form WHERE c.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c ON c.word = f.word AND c.form IS NULL
+"""
+
+
+@query("op13_spelling", SPELLING_SQL)
+def op13_spelling(spark, sf_dir):
+    """Every word with its near words' number, its common form and the last form it leads to."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
