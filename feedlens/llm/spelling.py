@@ -57,35 +57,45 @@ def observed(doc_id, text: str | None, every: int = 31) -> Counter:
     return out
 
 
+def _counts(total: Counter, name: str) -> pa.RecordBatch:
+    """What a task has counted, which is then forgotten."""
+    out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
+                                     names=[name, "n"])
+    total.clear()
+    return out
+
+
 def words(docs: DataFrame, least: int = 7, often: int = 2) -> DataFrame:
     """word and n of every word of at least `least` code points and `often` occurrences."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
-                                             names=["word", "n"])
-            total.clear()
-            return out
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 for word, n in observed(doc_id, text.as_py()).items():
                     if len(word) >= least:
                         total[word] += n
                 if len(total) >= HELD:
-                    yield flush()
-        yield flush()
+                    yield _counts(total, "word")
+        yield _counts(total, "word")
     return (docs.select("doc_id", "text").mapInArrow(run, "word string, n long")
             .groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= often))
 
 
 def dictionary(vocabulary: DataFrame, longest: int = LONGEST, often: int = OFTEN, most: int = GRAMS) -> dict[str, int]:
     """The frequency-pruned grams with their counts over the distinct words; at most `most`."""
-    marked = F.concat(F.lit(FIRST), "word", F.lit(LAST))
-    grams = [F.transform(F.sequence(F.lit(1), F.length(marked) - q + 1), lambda p, q=q: F.substring(marked, p, F.lit(q)))
-             for q in range(SHORTEST, longest + 1)]
-    counts = settle(vocabulary.filter(F.length("word") >= longest)
-                    .select(F.explode(F.concat(*grams)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for b in batches:
+            for word in b.column(0).to_pylist():
+                s = FIRST + word + LAST
+                for q in range(SHORTEST, longest + 1):
+                    total.update([s[p:p + q] for p in range(len(s) - q + 1)])
+                if len(total) >= HELD:
+                    yield _counts(total, "gram")
+        yield _counts(total, "gram")
+    n = shuffle_width(vocabulary.sparkSession)
+    shares = vocabulary.select("word").repartition(n, "word").mapInArrow(run, "gram string, n long")
+    counts = settle(shares.groupBy("gram").agg(F.sum("n").alias("n")))
     stems = counts.filter(F.col("n") > often).select(F.col("gram").alias("stem"))
     stem = F.expr("substring(gram, 1, length(gram) - 1)")
     longer = counts.filter(F.length("gram") > SHORTEST).join(stems, stem == F.col("stem"), "left_semi")
@@ -175,10 +185,16 @@ def _roots(forms: DataFrame) -> DataFrame:
         at = at.select("word", "root")
 
 
-def variants(docs: DataFrame, times: int = 10, longest: int = LONGEST, often: int = OFTEN,
+def variants(docs: DataFrame, least: int = 7, times: int = 10, longest: int = LONGEST, often: int = OFTEN,
              most: int = GRAMS) -> DataFrame:
-    """word, n, n_near, form, form_n and root of every word (see the module)."""
-    vocabulary = settle(words(docs))
+    """word, n, n_near, form, form_n and root of every word (see the module).
+
+    A word of c code points has c + 1 grams, of which an edit changes `longest` at most, so near words share one
+    as long as no gram is longer than the shortest word.
+    """
+    if longest > least:
+        raise ValueError("grams may not be longer than the shortest word")
+    vocabulary = settle(words(docs, least))
     counted = vocabulary.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
     best = F.min(F.struct((-F.col("other_n")).alias("less"), "other"))
     around = near(vocabulary, dictionary(vocabulary, longest, often, most)).join(counted, "other").groupBy("word").agg(
