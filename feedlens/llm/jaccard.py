@@ -330,10 +330,11 @@ def _meet(batches: Iterator[pa.RecordBatch], share: Share, pairs: bool) -> Itera
 _LISTS = ["n", "pos", "hi", "lo"]
 
 
-def _candidates(tiles: DataFrame, share: Share) -> DataFrame:
+def _candidates(tiles: DataFrame, share: Share, most: int) -> DataFrame:
     """Forest links (a, b) whose components are those of all candidate pairs."""
     links = "a binary, b binary"
     own = tiles.select(*_LISTS).mapInArrow(partial(_meet, share=share, pairs=False), links)
+    tiles = tiles.filter((F.size("n") >= most) | (F.col("tile") > 0))  # others are their whole column
     spans = tiles.select("w", "tile", F.array_min("n").alias("low"), F.array_max("n").alias("high"))
     other = spans.select("w", *(F.col(x).alias(f"{x}2") for x in ("tile", "low", "high")))
     met = (spans.join(other, "w").filter("tile < tile2")
@@ -399,22 +400,32 @@ def _multiply(batches: Iterator[pa.RecordBatch], share: Share) -> Iterator[pa.Re
         yield out
 
 
-def _needed_sets(docs: DataFrame, at: DataFrame, width: int) -> DataFrame:
-    """node and its set, from one row (doc_id, text hash) for each node in `at`."""
+_END = "struct<root: binary, s: int, t: int, s2: int, t2: int>"
+
+
+def _needed_sets(docs: DataFrame, plan: DataFrame, width: int) -> DataFrame:
+    """The set of each node in `plan`, from its row (doc_id, text hash), once for each of its `ends`.
+
+    Only texts that a candidate needs are shuffled, once, and their sets once more, to their blocks.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
-            nodes, blobs = [], []
-            for _, _, items in _sets(iter([b]), width):
-                if len(items) and (sig := _signature(items)) not in seen:
+            rows, nodes, blobs = [], [], []
+            for i, _, items in _sets(iter([b]), width):
+                if len(items) and (sig := _signature(items)) not in seen:  # repeated rows count once
                     seen.add(sig)
+                    rows.append(i)
                     nodes.append(sig)
                     blobs.append(items.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(blobs, pa.binary())],
-                                             names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(blobs, pa.binary()),
+                                              b.column(1).take(pa.array(rows, pa.int32()))],
+                                             names=["node", "items", "ends"])
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
-    rows = texts.join(at.hint("merge"), texts["d"].eqNullSafe(at["doc_id"]) & (texts["h"] == at["th"]), "left_semi")
-    return rows.select("text").mapInArrow(run, "node binary, items binary")
+    at = texts["d"].eqNullSafe(plan["doc_id"]) & (texts["h"] == plan["th"])
+    sets = texts.join(plan.hint("merge"), at).select("text", "ends").mapInArrow(
+        run, f"node binary, items binary, ends array<{_END}>")
+    return sets.select("node", "items", F.inline("ends"))
 
 
 def _blocks(members: DataFrame, share: Share, sizes: Sizes) -> DataFrame:
@@ -426,7 +437,7 @@ def _blocks(members: DataFrame, share: Share, sizes: Sizes) -> DataFrame:
         "s", F.when(F.col("cuts") > 1, F.floor(F.log("n") / step)).otherwise(F.lit(0)).cast("int"))
     cuts = classed.groupBy("root", "s").agg(tiles.alias("tiles"))
     return classed.join(cuts, ["root", "s"]).select(
-        "node", "root", "s", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("t"),
+        "node", "doc_id", "th", "root", "s", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("t"),
         (F.col("cuts") > 1).alias("cut"))
 
 
@@ -450,20 +461,20 @@ def _node_of(hi: str, lo: str):
 def links(docs: DataFrame, classes: DataFrame, sketch, width: int, share: Share, sizes: Sizes) -> DataFrame:
     """Links (a, b) between sets that give the components of all pairs reaching the share."""
     tiles = settle(_tiles(_postings(docs, width, share, sizes, sketch), sizes.tile))
-    roots = settle(components(_candidates(tiles, share)))
+    roots = settle(components(_candidates(tiles, share, sizes.tile)))
     members = settle(roots.join(classes, roots["node"] == classes["sig"]).select("node", "root", "n", "doc_id", "th"))
     blocks = settle(_blocks(members, share, sizes))
-    sets = _needed_sets(docs, members.select("doc_id", "th"), width).join(blocks, "node")
-    own = blocks.select("root", "s", "t").distinct().select("root", "s", "t", F.col("s").alias("s2"),
-                                                            F.col("t").alias("t2"))
     pairs = settle(_pairs(tiles, blocks))
-    ends = (own.unionByName(pairs).select("*", F.col("s").alias("bs"), F.col("t").alias("bt"))
-            .unionByName(pairs.select("*", F.col("s2").alias("bs"), F.col("t2").alias("bt"))))
-    dealt = sets.select("node", "items", "root", F.col("s").alias("bs"), F.col("t").alias("bt")).join(
-        ends, ["root", "bs", "bt"]).select("root", "s", "t", "s2", "t2", "node", "items")
     key = ["root", "s", "t", "s2", "t2"]
+    own = blocks.select("node", "doc_id", "th", "root", "s", "t", F.col("s").alias("s2"), F.col("t").alias("t2"))
+    cut = blocks.filter("cut").select("node", "doc_id", "th", "root", F.col("s").alias("bs"), F.col("t").alias("bt"))
+    sides = (pairs.select("*", F.col("s").alias("bs"), F.col("t").alias("bt"))
+             .unionByName(pairs.select("*", F.col("s2").alias("bs"), F.col("t2").alias("bt"))))
+    ends = own.unionByName(cut.join(sides, ["root", "bs", "bt"]).drop("bs", "bt"))
+    plan = ends.groupBy("node", "doc_id", "th").agg(F.collect_list(F.struct(*key)).alias("ends"))
     n = shuffle_width(docs.sparkSession)
-    return (dealt.repartition(n, *key).sortWithinPartitions(*key)
+    return (_needed_sets(docs, plan, width).select(*key, "node", "items")
+            .repartition(n, *key).sortWithinPartitions(*key)
             .mapInArrow(partial(_multiply, share=share), "a binary, b binary"))
 
 
