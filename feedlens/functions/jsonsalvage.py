@@ -2,11 +2,16 @@
 
 Strategies run in the service's order and stop at the first that yields an object:
 direct → fenced → open_fence → longest (>2 keys) → first → cleaned → regex → rejected.
-Costly steps (the brace fold) are evaluated only for rows the cheap ones did not solve.
+Braces are read once per answer, in Python over Arrow batches, and only for answers that the first two
+strategies did not solve; the time is linear in the answer, however many objects it holds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +19,10 @@ from .memo import by_name
 from .text import strip_ws
 
 # Fixed patterns (must equal the service's)
-FENCE = r"```(?:json)?\s*(\{[\s\S]*?\})\s*```"
 OPEN_FENCE = r"```(?:json)?\s*(\{[\s\S]*)"
 FENCE_MARK = r"```(?:json)?"
 TRAILING_COMMA = r",(\s*[}\]])"
-NESTED_OBJECT = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+CLOSED = r"^(\{[\s\S]*?\})\s*```"
 
 STRATEGIES = ("direct", "fenced", "open_fence", "longest", "first", "cleaned", "regex", "rejected")
 
@@ -34,69 +38,123 @@ def is_json_object(c: Column) -> Column:
     """
     mark = F.md5(c)
     wrapped = F.concat(F.lit("["), c, F.lit(',"'), mark, F.lit('"]'))
-    return (F.coalesce(c.rlike(f"^{_JSON_WS}\\{{"), F.lit(False))
+    return (F.coalesce(c.rlike(f'^{_JSON_WS}\\{{{_JSON_WS}["}}]'), F.lit(False))  # what else is refused unread
             & F.try_parse_json(wrapped).isNotNull()
             & (F.coalesce(F.json_array_length(wrapped), F.lit(0)) == 2)
             & F.coalesce(F.get_json_object(wrapped, "$[1]") == mark, F.lit(False)))
 
 
-def brace_objects(c: Column) -> Column:
-    """J-6: substrings whose braces balance, in text order (depth clamped at 0, K16).
+def brace_spans(opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last brace of each balanced object at depth 0 (K16: a stray `}` leaves the depth at 0).
 
-    The text is split just before every brace (zero-width lookahead), so the fold takes one step
-    per brace instead of one per character; the running offset is carried by segment lengths.
+    `opens` tells `{` from `}`, brace by brace. The depth is the running sum less its lowest value so far.
     """
-    init = F.struct(F.lit(0).alias("d"), F.lit(-1).alias("s"), F.lit(0).alias("i"),
-                    F.array().cast("array<struct<s:int,e:int>>").alias("o"))
+    walk = np.cumsum(np.where(opens, 1, -1))
+    depth = walk - np.minimum(np.minimum.accumulate(walk), 0) if len(walk) else walk
+    before = np.append(0, depth[:-1]) if len(walk) else walk
+    ends = np.flatnonzero(~opens & (before == 1))
+    return np.flatnonzero(opens & (before == 0))[:len(ends)], ends
 
-    def step(acc, seg):
-        ch = F.substring(seg, 1, 1)
-        opening = ch == "{"
-        closing = (ch == "}") & (acc["d"] > 0)
-        done = closing & (acc["d"] == 1)
-        return F.struct(
-            F.when(opening, acc["d"] + 1).when(closing, acc["d"] - 1).otherwise(acc["d"]).alias("d"),
-            F.when(opening & (acc["d"] == 0), acc["i"]).when(done, F.lit(-1)).otherwise(acc["s"]).alias("s"),
-            (acc["i"] + F.length(seg)).alias("i"),
-            F.when(done, F.concat(acc["o"], F.array(F.struct(acc["s"].alias("s"), acc["i"].alias("e")))))
-            .otherwise(acc["o"]).alias("o"))
 
-    spans = F.aggregate(F.split(c, "(?=[{}])", -1), init, step, lambda acc: acc["o"])
-    return F.transform(spans, lambda x: F.substring(c, x["s"] + 1, x["e"] - x["s"] + 1))
+def nested_spans(opens: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last brace of each `{...}` that holds no deeper objects than plain `{...}`, left to right.
+
+    An object starts at `{`, goes on over closed pairs, and ends at `}`; where another brace follows, none
+    starts there. The pairs that such an attempt has read are objects themselves, so no brace is read often.
+    """
+    kinds, i, n = opens.tolist(), 0, len(opens)
+    while i < n:
+        j = i + 1
+        while kinds[i] and j + 1 < n and kinds[j] and not kinds[j + 1]:
+            j += 2
+        if kinds[i] and j < n and not kinds[j]:
+            yield i, j
+            i = j + 1
+        else:
+            i += 1
+
+
+def _scan(text: pa.Array, tail: pa.Array) -> pa.Array:
+    """Per row the objects of `text` and of `tail` by depth, and the longest of one nested level in `text`."""
+    def objects(value):
+        if not value.is_valid:
+            return None, None
+        raw = np.frombuffer(value.as_buffer(), np.uint8)  # braces are one byte each, whatever surrounds them
+        at = np.flatnonzero((raw == ord("{")) | (raw == ord("}")))
+        return raw, at
+
+    def cut(raw, at):
+        if raw is None:
+            return None
+        firsts, lasts = brace_spans(raw[at] == ord("{"))
+        return [raw[a:b + 1].tobytes() for a, b in zip(at[firsts].tolist(), at[lasts].tolist())]
+
+    rows = []
+    for t, u in zip(text, tail):
+        raw, at = objects(t)
+        longest = None
+        if raw is not None and len(at):
+            chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))  # characters before each byte
+            spans = [(int(at[i]), int(at[j]) + 1) for i, j in nested_spans(raw[at] == ord("{"))]
+            a, b = max(spans, key=lambda s: chars[s[1]] - chars[s[0]], default=(0, 0))
+            longest = raw[a:b].tobytes() if spans else None
+        rows.append((cut(raw, at), cut(*objects(u)), longest))
+    names = ["objects", "fenced", "nested"]
+    lists = [_texts([r[k] for r in rows]) for k in (0, 1)]
+    return pa.StructArray.from_arrays([*lists, pa.array([r[2] for r in rows], pa.binary()).view(pa.string())], names=names)
+
+
+def _texts(rows: list[list[bytes] | None]) -> pa.ListArray:
+    flat = pa.array([x for r in rows for x in r or []], pa.binary()).view(pa.string())
+    ends = np.cumsum([len(r or []) for r in rows])
+    offsets = pa.array(np.append(0, ends), pa.int32(), mask=np.append([r is None for r in rows], False))
+    return pa.ListArray.from_arrays(offsets, flat)
+
+
+_SCANNED = "struct<objects: array<string>, fenced: array<string>, nested: string>"
+
+
+def scan(text: Column, tail: Column | None = None) -> Column:
+    """The braces of an answer, read once: see `_scan`. Null texts give null."""
+    return F.arrow_udf(_scan, _SCANNED)(text, F.lit(None).cast("string") if tail is None else tail)
+
+
+def brace_objects(c: Column) -> Column:
+    """J-6: substrings whose braces balance, in text order."""
+    return scan(c)["objects"]
 
 
-def _first_valid(objs: Column, extra=None) -> Column:
-    ok = (lambda o: is_json_object(o)) if extra is None else (lambda o: is_json_object(o) & extra(o))
-    return F.get(F.filter(objs, ok), 0)
+def _tested(objs: Column) -> Column:
+    """Each object with what the choices need, tested once."""
+    return F.transform(objs, lambda o, i: F.struct(
+        is_json_object(o).alias("ok"), (-F.length(o)).alias("less"), i.alias("i"), o.alias("o")))
 
 
-def _by_length_desc(objs: Column) -> Column:
-    # stable: equal lengths keep text order, like Python's sorted(..., reverse=True)
-    idx = F.transform(objs, lambda o, i: F.struct((-F.length(o)).alias("neg_len"), i.alias("i"), o.alias("o")))
-    return F.transform(F.array_sort(idx), lambda x: x["o"])
+def _first(objs: Column) -> Column:
+    return F.get(F.filter(objs, lambda x: x["ok"]), 0)["o"]
 
 
 @by_name
 def _stages(content: str) -> list[dict[str, Column]]:
     """Column sets of the salvage stages for one content column (built once per context)."""
     c = F.col(content)
-    fenced = F.regexp_extract(c, FENCE, 1)
+    # the first fence that opens an object; no later one can be closed if it is not
+    tail = F.regexp_extract(c, OPEN_FENCE, 1)
+    fenced = F.regexp_extract("_tail", CLOSED, 1)
     quick = (F.when(is_json_object(c), F.struct(c.alias("j"), F.lit("direct").alias("s")))
              .when((fenced != "") & is_json_object(fenced), F.struct(fenced.alias("j"), F.lit("fenced").alias("s"))))
-    open_raw = strip_ws(F.regexp_extract(c, OPEN_FENCE, 1))
-    has_open = c.rlike(OPEN_FENCE)
     unsolved = F.col("_quick").isNull()
-    # _open_raw is a column, so the substring lambda in brace_objects reads it instead of
-    # re-running the regex
-    stage2 = {"_objs": F.when(unsolved, brace_objects(c)),
-              "_open_raw": F.when(unsolved & has_open, open_raw)}
-    stage3 = {"_open": F.when(F.col("_open_raw").isNotNull(), _first_valid(brace_objects(F.col("_open_raw"))))}
-    longest = _first_valid(_by_length_desc(F.col("_objs")), lambda o: F.size(F.json_object_keys(o)) > 2)
-    first = _first_valid(F.col("_objs"))
+    scanned = scan(F.when(unsolved, c), F.when(unsolved & (F.col("_tail") != ""), strip_ws(F.col("_tail"))))
+    tested = {"_objs": _tested(F.col("_scan.objects")), "_open": _first(_tested(F.col("_scan.fenced")))}
+    # equal lengths keep text order, like a stable sort by falling length
+    longest = F.array_min(F.transform(
+        F.filter("_objs", lambda x: x["ok"] & (F.size(F.json_object_keys(x["o"])) > 2)),
+        lambda x: F.struct(x["less"], x["i"], x["o"].alias("o"))))["o"]
+    first = _first(F.col("_objs"))
     cleaned_base = strip_ws(F.regexp_replace(c, FENCE_MARK, ""))
     cleaned = F.regexp_replace(F.regexp_replace(cleaned_base, "\n", " "), TRAILING_COMMA, "$1")
     cleaned_ok = cleaned_base.startswith("{") & cleaned_base.endswith("}") & is_json_object(cleaned)
-    regex_longest = F.get(_by_length_desc(F.regexp_extract_all(c, F.lit(NESTED_OBJECT), 0)), 0)
+    regex_longest = F.col("_scan.nested")
     pick = (
         F.when(F.col("_quick").isNotNull(), F.col("_quick"))
         .when(F.col("_open").isNotNull(), F.struct(F.col("_open").alias("j"), F.lit("open_fence").alias("s")))
@@ -106,7 +164,7 @@ def _stages(content: str) -> list[dict[str, Column]]:
         .when(regex_longest.isNotNull() & is_json_object(regex_longest),
               F.struct(regex_longest.alias("j"), F.lit("regex").alias("s")))
         .otherwise(F.struct(F.lit(None).cast("string").alias("j"), F.lit("rejected").alias("s"))))
-    return [{"_quick": quick}, stage2, stage3, {"_pick": pick},
+    return [{"_tail": tail}, {"_quick": quick}, {"_scan": scanned}, tested, {"_pick": pick},
             {"json_text": F.col("_pick.j"), "strategy": F.col("_pick.s")}]
 
 
@@ -115,4 +173,4 @@ def salvage(df: DataFrame, content: str = "content") -> DataFrame:
     out = df
     for stage in _stages(content):
         out = out.withColumns(stage)
-    return out.drop("_quick", "_objs", "_open_raw", "_open", "_pick")
+    return out.drop("_tail", "_quick", "_scan", "_objs", "_open", "_pick")

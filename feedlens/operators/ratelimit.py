@@ -2,17 +2,27 @@
 
 U1 is a greedy limiter: a request is admitted if fewer than `limit` admitted requests of the same
 user fall in (t − window, t]; rejected requests do not count. Admission feeds back, so it is a
-sequential fold, not a window count. A gap of at least one window empties the state, so requests
-are first cut into sessions at such gaps; sessions are independent and are folded as sorted
-streams with mapInPandas, never as one in-memory group per user.
+sequential fold, not a window count. But a request with at most `limit` requests in its window, itself
+included, is admitted whatever happened before; after a window of such requests alone, the state is
+known: all of them. A user's time is cut into buckets, and a bucket whose last window holds only such
+requests ends a segment. Segments are independent and are folded as sorted streams, never as one
+in-memory group per user; the next segment is led in by copies of that last window.
+
+A segment is long only while a user keeps sending more than is admitted. There the fold goes from one
+admitted request to the next by binary search, so its steps are bounded by admissions, not requests.
+
+Requests without a user are those of one user, "anonymous"; requests without a time are refused.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,80 +30,100 @@ from .. import schemas as S
 
 
 BUCKET_WINDOWS = 60
+ANONYMOUS = "anonymous"
+
+
+def who(user) -> Column:
+    """The limiter's user of a request: its id as text."""
+    return F.coalesce(F.col(user).cast("string"), F.lit(ANONYMOUS))
+
+
+def admit(times: np.ndarray, kept: deque, limit: int, window_us: int) -> list[int]:
+    """Places of the admitted among sorted `times`; `kept`, the last admitted times (at most `limit`), moves on."""
+    out, i, n = [], 0, len(times)
+    while i < n:
+        if len(kept) < limit or kept[0] <= times[i] - window_us:
+            if len(kept) == limit:
+                kept.popleft()
+            kept.append(int(times[i]))
+            out.append(i)
+            i += 1
+        else:  # nothing is admitted before the oldest leaves the window
+            i = int(np.searchsorted(times, kept[0] + window_us))
+    return out
 
 
 def _fold_stream(limit: int, window_us: int):
-    """Sorted (user, session, t) rows in, `admitted` out; state (≤ limit times) carries across batches."""
-    def run(batches):
-        cur = None
-        kept: deque = deque()
+    """Rows sorted by (user, segment, time) in, own rows with `admitted` out; state carries across batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cur, kept = None, deque()
         for b in batches:
-            u, sess, t = b["_u"].to_numpy(), b["_s"].to_numpy(), b["_t"].to_numpy()
-            admitted = np.zeros(len(b), dtype=bool)
-            for i in range(len(b)):
-                k = (u[i], sess[i])
-                if k != cur:
-                    cur, kept = k, deque()
-                now = t[i]
-                while kept and kept[0] <= now - window_us:
-                    kept.popleft()
-                if len(kept) < limit:
-                    kept.append(now)
-                    admitted[i] = True
-            out = b.drop(columns=["_b", "_s"], errors="ignore")
-            out["admitted"] = admitted
-            yield out
+            if not b.num_rows:
+                continue
+            u, seg, t = b.column("_u"), b.column("_s"), b.column("_t").to_numpy()
+            new = pc.or_(pc.not_equal(u[1:], u[:-1]), pc.not_equal(seg[1:], seg[:-1])).to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+            admitted = np.zeros(b.num_rows, bool)
+            for a, z in zip(starts, starts[1:]):
+                key = (u[a].as_py(), seg[a].as_py())
+                if key != cur:
+                    cur, kept = key, deque()
+                admitted[[a + k for k in admit(t[a:z], kept, limit, window_us)]] = True
+            keep = [x for x in b.schema.names if x not in ("_s", "_own")]
+            out = pa.RecordBatch.from_arrays([*(b.column(x) for x in keep), pa.array(admitted)], names=[*keep, "admitted"])
+            yield out.filter(b.column("_own"))
     return run
 
 
-def sessions(r: DataFrame, window_us: int, bucket_us: int) -> DataFrame:
-    """Session id (its start time, `_s`) for rows (_id, _u, _t): a new session starts at a gap of at
-    least one window. Row-level windows are partitioned by (user, time bucket); only one row per
-    (user, bucket) takes part in the per-user pass that carries sessions across bucket edges, so
-    a hot user is spread over as many tasks as it has buckets.
+def _led_in(r: DataFrame, window_us: int, width: int) -> DataFrame:
+    """Rows (_t) with their bucket `_b`; rows of a bucket's last window stand in the next bucket too, not `_own`."""
+    bucket = F.floor(F.col("_t") / width)
+    near_end = F.floor((F.col("_t") + window_us) / width) > bucket
+    places = F.when(near_end, F.array(bucket, bucket + 1)).otherwise(F.array(bucket))
+    return r.withColumn("_b", F.explode(places)).withColumn("_own", F.col("_b") == F.floor(F.col("_t") / width))
+
+
+def segments(r: DataFrame, limit: int, window_us: int, width: int) -> DataFrame:
+    """Rows (_id, _u, _t) with the segment `_s` they are folded in, led in by the last window before it.
+
+    Row-level windows are partitioned by (user, bucket); only one row per (user, bucket) takes part in
+    the per-user pass that joins buckets into segments.
     """
-    r = r.withColumn("_b", F.floor(F.col("_t") / bucket_us))
-    w = Window.partitionBy("_u", "_b").orderBy("_t", "_id")
-    r = r.withColumn("_prev", F.lag("_t").over(w))
-    inner_start = (F.col("_t") - F.col("_prev")) >= window_us
-    per_b = r.groupBy("_u", "_b").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"),
-                                      F.max(F.when(inner_start, F.col("_t"))).alias("_inner_last_start"))
-    wu = Window.partitionBy("_u").orderBy("_b")
-    prev_last = F.lag("_last").over(wu)
-    per_b = per_b.withColumn("_first_starts", prev_last.isNull() | ((F.col("_first") - prev_last) >= window_us))
-    per_b = per_b.withColumn("_b_last_start", F.coalesce(
-        "_inner_last_start", F.when(F.col("_first_starts"), F.col("_first"))))
-    per_b = per_b.withColumn("_carry", F.last("_b_last_start", ignorenulls=True).over(
-        wu.rowsBetween(Window.unboundedPreceding, -1)))
-    j = r.join(per_b.select("_u", "_b", "_first_starts", "_carry"), ["_u", "_b"])
-    starts = F.when(F.col("_prev").isNull(), F.col("_first_starts")).otherwise(inner_start)
-    j = j.withColumn("_start", F.when(starts, F.col("_t")))
-    running = F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (j.withColumn("_s", F.coalesce(running, F.col("_carry")))
-            .drop("_prev", "_first_starts", "_carry", "_start"))
+    r = _led_in(r, window_us, width)
+    back = F.lag("_t", limit).over(Window.partitionBy("_u", "_b").orderBy("_t", "_id"))
+    open_end = F.col("_own") & (F.col("_t") - back < window_us) & (F.col("_t") + window_us >= (F.col("_b") + 1) * width)
+    marked = r.withColumn("_open", F.coalesce(open_end, F.lit(False)))
+    per = marked.groupBy("_u", "_b").agg(F.max("_open").alias("_open"), F.max("_own").alias("_any"))
+    by_user = Window.partitionBy("_u").orderBy("_b")
+    joined = F.coalesce(F.lag("_open").over(by_user) & (F.lag("_b").over(by_user) == F.col("_b") - 1), F.lit(False))
+    per = per.filter("_any").withColumn("_joined", joined)
+    start = F.last(F.when(~F.col("_joined"), F.col("_b")), ignorenulls=True).over(by_user)
+    per = per.select("_u", "_b", "_joined", start.alias("_s"))
+    # a bucket without rows of its own is not there any more; within a segment the state itself leads on
+    return marked.drop("_open").join(per, ["_u", "_b"]).filter("_own or not _joined").drop("_joined", "_b")
 
 
 def rate_limit(requests: DataFrame, user: str = "user_id", ts: str = "ts", key: str = "event_id",
                limit: int = S.RATE_LIMIT_REQUESTS, window_seconds: int = S.RATE_LIMIT_WINDOW_SECONDS,
-               buckets: int | None = None, bucket_seconds: int = 3600) -> DataFrame:
-    """U1 (batch): adds `admitted` to every request.
+               buckets: int | None = None, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+    """U1 (batch): adds `admitted` and `refused` (why not: over_limit, no_time) to every request.
 
-    Sessions (see `sessions`) are hashed into `buckets` partitions (whole sessions stay together),
-    each sorted by (user, session, time) and folded as a stream, so memory per task is one Arrow
+    Segments (see `segments`) are hashed into `buckets` partitions (whole segments stay together),
+    each sorted by (user, segment, time) and folded as a stream, so memory per task is one Arrow
     batch plus at most `limit` timestamps.
     """
     window_us = window_seconds * 1_000_000
     n = buckets or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
     # request columns ride along through the fold, so no join back to the requests is needed
-    r = requests.withColumns({"_id": F.col(key), "_u": F.col(user), "_t": t})
-    r = sessions(r, window_us, bucket_seconds * 1_000_000)
-    r = (r.repartition(n, "_u", "_s")
-         .sortWithinPartitions("_u", "_s", "_t", "_id"))
-    out_schema = T.StructType([f for f in r.schema.fields if f.name not in ("_b", "_s")]
+    r = requests.withColumns({"_id": F.col(key), "_u": who(user), "_t": F.unix_micros(F.col(ts).cast("timestamp"))})
+    timed = segments(r.filter("_t is not null"), limit, window_us, bucket_windows * window_us)
+    timed = timed.repartition(n, "_u", "_s").sortWithinPartitions("_u", "_s", "_t", "_id")
+    out_schema = T.StructType([f for f in timed.schema.fields if f.name not in ("_s", "_own")]
                               + [T.StructField("admitted", T.BooleanType())])
-    decided = r.mapInPandas(_fold_stream(limit, window_us), out_schema)
-    return decided.drop("_id", "_u", "_t")
+    decided = timed.mapInArrow(_fold_stream(limit, window_us), out_schema).withColumn(
+        "refused", F.when(~F.col("admitted"), F.lit("over_limit")))
+    untimed = r.filter("_t is null").withColumns({"admitted": F.lit(False), "refused": F.lit("no_time")})
+    return decided.unionByName(untimed).drop("_id", "_u", "_t")
 
 
 def trailing_count(requests: DataFrame, user: str = "user_id", ts: str = "ts",
@@ -102,14 +132,12 @@ def trailing_count(requests: DataFrame, user: str = "user_id", ts: str = "ts",
 
     A user's time is cut into buckets of `BUCKET_WINDOWS` windows; each row also stands, uncounted for
     itself, in the bucket after its own if a request there can still see it. So a hot user is spread
-    over its buckets.
+    over its buckets. Requests without a user count as one user's; without a time the count is null.
     """
     window_us = window_seconds * 1_000_000
-    width = BUCKET_WINDOWS * window_us
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    bucket = F.floor(t / width)
-    seen_next = F.floor((t + window_us - 1) / width) > bucket
-    rows = requests.withColumns({"_t": t, "_own": bucket}).withColumn(
-        "_b", F.explode(F.when(seen_next, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
-    w = Window.partitionBy(user, "_b").orderBy("_t").rangeBetween(-(window_us - 1), 0)
-    return (rows.withColumn("n_window", F.count(F.lit(1)).over(w)).filter("_b = _own").drop("_t", "_own", "_b"))
+    timed = requests.withColumns({"_u": who(user), "_t": F.unix_micros(F.col(ts).cast("timestamp"))})
+    rows = _led_in(timed.filter("_t is not null"), window_us, BUCKET_WINDOWS * window_us)
+    w = Window.partitionBy("_u", "_b").orderBy("_t").rangeBetween(-(window_us - 1), 0)
+    counted = rows.withColumn("n_window", F.count(F.lit(1)).over(w)).filter("_own").drop("_own", "_b")
+    untimed = timed.filter("_t is null").withColumn("n_window", F.lit(None).cast("long"))
+    return counted.unionByName(untimed).drop("_u", "_t")

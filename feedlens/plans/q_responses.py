@@ -193,6 +193,35 @@ def brace_objects(spark, sf):
     return r.select("doc_id", F.size(brace_objects_expr(F.col("content"))).alias("n_objects"))
 
 
+def fx_many_objects(spark, sf):
+    """Answers with as many inner objects as the document has characters, by doc_id % 4: no JSON at all, one level
+    that is nested once, a good object after stray ones, and openings that never close."""
+    from ..sources.tables import table
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    k, n = F.col("doc_id") % 4, F.col("n_chars").cast("int")
+    inner = F.expr("repeat('{x} ', cast(n_chars as int))")
+    good = F.lit('{"problem_statement": "p", "desired_outcome": "o", "confidence_score": 0.5}')
+    text = (F.when(k == 0, F.concat(F.lit("{"), inner, F.lit("}")))
+            .when(k == 1, F.concat(F.lit("{"), good, inner))
+            .when(k == 2, F.concat(F.lit("} "), inner, good))
+            .otherwise(F.concat(F.repeat(F.lit("{"), n), F.lit("a}"), F.lit("```json {"), inner)))
+    return d.select("doc_id", text.alias("content"))
+
+
+@query("parse_many_objects", """
+SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'regex' WHEN doc_id % 4 = 2 THEN 'longest'
+       WHEN doc_id % 4 = 0 AND n_chars = 0 THEN 'direct' ELSE 'rejected' END AS strategy,
+  CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN n_chars + 1 ELSE CASE WHEN n_chars = 1 THEN 1 ELSE 0 END END
+    AS n_objects,
+  CASE WHEN doc_id % 4 IN (1, 2) THEN 'p' END AS problem_statement
+FROM documents""")
+def parse_many_objects(spark, sf):
+    """J-3 to J-9 over answers of many thousand objects: linear in the answer, whatever its braces."""
+    p = R.parse(fx_many_objects(spark, sf), "extract")
+    return p.select("doc_id", "strategy", F.size(brace_objects_expr(F.col("content"))).cast("long").alias("n_objects"),
+                    F.col("parsed.problem_statement").alias("problem_statement"))
+
+
 def fx_typed_answers(spark, sf):
     """Extract answers where some fields carry the wrong JSON type (by doc_id % 4)."""
     from ..sources.tables import table
