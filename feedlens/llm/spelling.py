@@ -13,7 +13,8 @@ Two words are near if one inserted, deleted or replaced code point turns one int
 4. Lists are merged by that bound: of g grams of which at most a are affected, in the order of their counts, two near
    words share one of the first a + 1 of each. Lists hold one gram at one place of words of one length; words of the
    next shorter length look there too.
-5. Words that meet in a list are verified by their edit distance.
+5. Words that meet in a list are verified by their edit distance, in tasks that read sorted lists; very long lists
+   are joined instead, so that Spark can split them.
 
 Edge cases: null and empty texts have no words; a null doc_id counts as empty text before the colon; repeated rows
 count again; an empty table gives no rows; extra columns are ignored; ties of the commonest near word go to the
@@ -26,7 +27,9 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,22 +37,24 @@ from pyspark.sql import functions as F
 
 from .common import settle, shuffle_width
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
 SHORTEST, LONGEST, OFTEN, GRAMS = 2, 5, 200, 1 << 18
 #: Distinct words that a task holds before it hands its counts on.
 HELD = 200_000
+#: Words of a list that one task compares, code points of a word there, pairs compared at once.
+LIST, WIDE, CHUNK = 4096, 64, 1 << 18
 FIRST, LAST = "^", "$"  # no letters, so no word holds them
 
 
-def observed(doc_id, text: str | None, every: int = 31) -> Counter:
-    """The words of one text, lower-cased A-Z; where `every` divides a word's hash, one code point is left out."""
+def observed(doc_id, text: str | None, least: int = 1, every: int = 31) -> Counter:
+    """The words of one text from runs of `least` code points on, lower-cased A-Z; where `every` divides a word's
+    hash, one code point is left out."""
     out: Counter = Counter()
+    if not text:
+        return out
     start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    low: Counter = Counter()
-    for run, n in Counter(RUN.findall(text or "")).items():
-        low[run.encode().lower()] += n  # bytes: only A-Z change
-    for raw, n in low.items():
-        h, word = zlib.crc32(raw, start), raw.decode()
+    low = text.encode().lower().decode()  # of bytes only A-Z change
+    for word, n in Counter(re.findall(f"[A-Za-zÀ-ÿ]{{{least},}}", low)).items():
+        h = zlib.crc32(word.encode(), start)
         if h % every == 0:
             k = h % len(word)
             word = word[:k] + word[k + 1:]
@@ -71,7 +76,7 @@ def words(docs: DataFrame, least: int = 7, often: int = 2) -> DataFrame:
         total: Counter = Counter()
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                for word, n in observed(doc_id, text.as_py()).items():
+                for word, n in observed(doc_id, text.as_py(), least).items():
                     if len(word) >= least:
                         total[word] += n
                 if len(total) >= HELD:
@@ -160,14 +165,119 @@ def _lists(vocabulary: DataFrame, counts: dict[str, int]) -> DataFrame:
     return vocabulary.select("word").repartition(n, "word").mapInArrow(run, "key long, own boolean, word string")
 
 
-def near(vocabulary: DataFrame, counts: dict[str, int]) -> DataFrame:
+def _pairs(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j), i < j, of rows that lie in runs of the given sizes, one run after the other."""
+    start = np.repeat(np.cumsum(size) - size, size)
+    end = np.repeat(np.cumsum(size), size)
+    row = np.arange(len(start))
+    after = end - row - 1
+    i = np.repeat(row, after)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after) + i + 1
+    return i, j
+
+
+def _one_edit(a: np.ndarray, b: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    """Whether rows of `a` are one edit from those of `b` (bytes, filled up with zeros, one column to spare).
+
+    `longer` tells rows of `b` that are one code point longer; the others are of one length.
+    """
+    off = a != b
+    out = off.sum(axis=1) == 1
+    k = np.flatnonzero(longer)
+    first = off[k].argmax(axis=1)  # up to here they agree, and behind it b is one place on
+    moved = a[k, :-1] != b[k, 1:]
+    last = np.where(moved.any(axis=1), moved.shape[1] - 1 - moved[:, ::-1].argmax(axis=1), -1)
+    out[k] = last < first
+    return out
+
+
+def _meet(batches: Iterator[pa.RecordBatch], most: int, wide: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key to near pairs (word, other), found by comparing the words of each list.
+
+    Rows of lists beyond `most` words, and words beyond `wide` code points, are handed on with their key.
+    """
+    names = ["word", "other", "key", "own"]
+
+    def found(words: np.ndarray, own: np.ndarray, size: np.ndarray):
+        width = max(map(len, words)) + 1
+        codes = np.frombuffer(b"".join(w.encode("latin-1").ljust(width, b"\0") for w in words), np.uint8)
+        codes, length = codes.reshape(-1, width), np.fromiter(map(len, words), np.int64, len(words))
+        i, j = _pairs(size)
+        use = own[i] | own[j]
+        i, j = i[use], j[use]
+        swap = length[i] > length[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        got = []
+        for a in range(0, len(i), CHUNK):
+            p, q = i[a:a + CHUNK], j[a:a + CHUNK]
+            near = _one_edit(codes[p], codes[q], length[q] > length[p])
+            got.append((p[near], q[near]))
+        p, q = (np.concatenate(x) for x in zip(*got)) if got else (i, j)
+        none = pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(words[p], pa.string()), pa.array(words[q], pa.string()), *none],
+                                          names=names)
+
+    def handed_on(key: np.ndarray, own: np.ndarray, words: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.nulls(len(words), pa.string()),
+                                           pa.array(key), pa.array(own)], names=names)
+
+    def lists(key, own, words):
+        """Pairs and rows of whole lists."""
+        long = np.fromiter(map(len, words), np.int64, len(words)) > wide
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+        size = np.bincount(group)
+        apart = ((size > most) | (np.bincount(group, long) > 0))[group]
+        if apart.any():
+            yield handed_on(key[apart], own[apart], words[apart])
+        keep = ~apart & ((size > 1) & (np.bincount(group, own) > 0))[group]
+        if keep.any():
+            yield found(words[keep], own[keep], np.bincount(group[keep])[np.unique(group[keep])])
+
+    carry, beyond = None, None  # the last list so far; the key of one that is too large and already handed on
+    for b in batches:
+        key = b.column(0).to_numpy()
+        own = b.column(1).to_numpy(zero_copy_only=False)
+        words = b.column(2).to_numpy(zero_copy_only=False)
+        if carry is not None:
+            key, own, words = (np.concatenate(x) for x in zip(carry, (key, own, words)))
+        if beyond is not None and len(key):
+            rest = key == beyond
+            if rest.any():
+                yield handed_on(key[rest], own[rest], words[rest])
+                key, own, words = key[~rest], own[~rest], words[~rest]
+        if not len(key):
+            carry = None
+            continue
+        last = key == key[-1]
+        if last.sum() > most:
+            beyond = key[-1]
+            yield handed_on(key[last], own[last], words[last])
+            carry = None
+        else:
+            beyond = None if beyond is not None and key[-1] != beyond else beyond
+            carry = key[last], own[last], words[last]
+        if not last.all():
+            yield from lists(key[~last], own[~last], words[~last])
+    if carry is not None and len(carry[0]):
+        yield from lists(*carry)
+
+
+def near(vocabulary: DataFrame, counts: dict[str, int], most: int = LIST, wide: int = WIDE) -> DataFrame:
     """(word, other) of every two near words, both ways."""
-    lists = settle(_lists(vocabulary, counts))
-    own = lists.filter("own").select("key", F.col("word").alias("other"))
-    # words of one length meet once, in order; shorter ones meet the list's own
-    met = (lists.join(own, "key").filter("not own or word < other")
-           .filter("levenshtein(word, other, 1) = 1").select("word", "other").distinct())
-    return met.unionByName(met.select(F.col("other").alias("word"), F.col("word").alias("other")))
+    n = shuffle_width(vocabulary.sparkSession)
+    lists = _lists(vocabulary, counts).repartition(n, "key").sortWithinPartitions("key")
+    met = settle(lists.mapInArrow(partial(_meet, most=most, wide=wide),
+                                  "word string, other string, key long, own boolean"))
+    # lists that no task should compare alone are joined; Spark splits their keys
+    apart = met.filter("key is not null").select("word", "key", "own")
+    own = apart.filter("own").select("key", F.col("word").alias("other"))
+    joined = (apart.join(own, "key").filter("not own or word < other")
+              .filter("levenshtein(word, other, 1) = 1").select("word", "other"))
+    pairs = met.filter("key is null").select("word", "other").unionByName(joined)
+    both = pairs.select(F.explode(F.array(F.struct("word", "other"), F.struct(
+        F.col("other").alias("word"), F.col("word").alias("other")))).alias("p")).select("p.*")
+    return both.distinct()
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -186,7 +296,7 @@ def _roots(forms: DataFrame) -> DataFrame:
 
 
 def variants(docs: DataFrame, least: int = 7, times: int = 10, longest: int = LONGEST, often: int = OFTEN,
-             most: int = GRAMS) -> DataFrame:
+             most: int = GRAMS, lists: int = LIST) -> DataFrame:
     """word, n, n_near, form, form_n and root of every word (see the module).
 
     A word of c code points has c + 1 grams, of which an edit changes `longest` at most, so near words share one
@@ -197,7 +307,7 @@ def variants(docs: DataFrame, least: int = 7, times: int = 10, longest: int = LO
     vocabulary = settle(words(docs, least))
     counted = vocabulary.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
     best = F.min(F.struct((-F.col("other_n")).alias("less"), "other"))
-    around = near(vocabulary, dictionary(vocabulary, longest, often, most)).join(counted, "other").groupBy("word").agg(
+    around = near(vocabulary, dictionary(vocabulary, longest, often, most), lists).join(counted, "other").groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), best.alias("best"))
     fits = -F.col("best.less") >= times * F.col("n")
     out = settle(vocabulary.join(around, "word", "left").select(

@@ -67,7 +67,8 @@ def corpus(seed, letters="abcéßÿÀn", n=250):
     return rows
 
 
-@pytest.mark.parametrize("kw", [{}, {"often": 3}, {"often": 3, "most": 40, "longest": 7}, {"most": 0}])
+@pytest.mark.parametrize("kw", [{}, {"often": 3}, {"often": 3, "most": 40, "longest": 7}, {"most": 0},
+                                {"often": 3, "lists": 4}])
 def test_variants(spark, kw):
     """Any dictionary gives the same result: pruned hard, cut short or empty."""
     rows = corpus(7)
@@ -122,3 +123,20 @@ def test_bound_holds_for_every_edit():
                         if move < 0:
                             a, b = b, a
                         assert {(g, p + m) for g, p in a for m in (0, abs(move))} & set(b)
+
+
+def test_one_edit_on_arrays():
+    import numpy as np
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abÿ") for _ in range(rng.randrange(1, 6))) for _ in range(120)]
+    codes = np.array([np.frombuffer(w.encode("latin-1").ljust(6, b"\0"), np.uint8) for w in words])
+    pairs = [(i, j) for i in range(120) for j in range(120) if len(words[j]) - len(words[i]) in (0, 1)]
+    i, j = (np.array(x) for x in zip(*pairs))
+    got = spelling._one_edit(codes[i], codes[j], np.array([len(words[b]) > len(words[a]) for a, b in pairs]))
+    assert got.tolist() == [is_near(words[a], words[b]) for a, b in pairs]
+
+
+def test_pairs_of_runs():
+    import numpy as np
+    i, j = spelling._pairs(np.array([1, 3, 2]))
+    assert list(zip(i.tolist(), j.tolist())) == [(1, 2), (1, 3), (2, 3), (4, 5)]
