@@ -12,12 +12,14 @@ Passages that remain run block-max WAND over all lists. What it retrieves is ver
 shingles: at least `OVERLAP` of the whole item's, or of the question's and of the answer's each, must
 occur in the passage. The answer is an item's last sentence, the question what comes before (both: the
 whole item if it has one sentence only). One edit breaks most shingles of a short part, so the parts
-alone would lose near copies. Words are runs of letters and digits, lower-cased.
+alone would lose near copies. Words are runs of letters and digits, lower-cased; of scripts without blanks every
+character is a word. An item of fewer than five words is found where its whole word sequence occurs.
 
-The index is broadcast. It is cut into parts of at most `PART_WORDS` words by a hash of the item
-(each with its own document frequencies), and every part searches all documents.
+The index is broadcast. It is cut into parts of about `PART_WORDS` words by a hash of the item, and every
+part searches all documents. Document frequencies and the mean length are counted by Spark over all items, so
+results do not depend on the parts; a part's items and their words' frequencies are all that the driver holds.
 
-Edge cases: null and empty texts hold nothing; items of fewer than five words identify no text and are
+Edge cases: null and empty texts hold nothing; items of fewer than `SHORTEST` words identify no text and are
 not searched; repeated items and documents match each on their own; an empty benchmark or document
 table gives no matches; an item longer than PART_WORDS has a part to itself; extra columns are kept
 by `clean` and ignored by `matches`.
@@ -37,16 +39,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 COMMON_SHARE = 0.25
-OVERLAP, SHINGLE = 0.8, 5
+OVERLAP, SHINGLE, SHORTEST = 0.8, 5, 3
 BLOCK = 16
 PART_WORDS = 2_000_000
 #: Words of a batch that are looked at together.
 CHUNK_WORDS = 500_000
 
-_words = re.compile(r"[^\W_]+").findall
+#: Scripts written without blanks: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_words = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+").findall
 _sentence_end = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -95,22 +101,28 @@ class Index:
     weights: np.ndarray
 
 
-def build(rows: list[tuple[int, str]]) -> Index | None:
-    """Index (item_id, text) pairs; None if no item has five words."""
-    kept = [(i, t, w) for i, t, w in ((i, t, words(t)) for i, t in rows) if len(w) >= SHINGLE]
+def build(rows: list[tuple[int, str]], counted: tuple[int, float, dict[str, int]] | None = None) -> Index | None:
+    """Index (item_id, text) pairs; None if no item is long enough.
+
+    `counted` has the number of all items, their mean length and the words' document frequencies; without it the
+    rows are all items.
+    """
+    kept = [(i, t, w) for i, t, w in ((i, t, words(t)) for i, t in rows) if len(w) >= SHORTEST]
     if not kept:
         return None
-    n, mean = len(kept), sum(len(w) for _, _, w in kept) / len(kept)
-    df = Counter(x for _, _, w in kept for x in set(w))
-    posting: dict[str, tuple[list[int], list[float]]] = {x: ([], []) for x in df}
+    every, mean, df = counted or (len(kept), sum(len(w) for _, _, w in kept) / len(kept),
+                                  Counter(x for _, _, w in kept for x in set(w)))
+    n = len(kept)
+    held = {x for _, _, w in kept for x in w}
+    posting: dict[str, tuple[list[int], list[float]]] = {x: ([], []) for x in held}
     for k, (_, _, w) in enumerate(kept):
-        weight = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * f * (K1 + 1)
+        weight = {x: math.log(1 + (every - df[x] + 0.5) / (df[x] + 0.5)) * f * (K1 + 1)
                   / (f + K1 * (1 - B + B * len(w) / mean)) for x, f in Counter(w).items()}
         total = sum(weight.values())
         for x, v in weight.items():
             posting[x][0].append(k)
             posting[x][1].append(v / total)
-    names = sorted(df, key=lambda x: (-df[x], x))
+    names = sorted(held, key=lambda x: (-df[x], x))
     lists = [Postings(np.array(posting[x][0]), np.array(posting[x][1])) for x in names]
     common, essential = np.zeros(n), np.ones(len(names), bool)
     for k, p in enumerate(lists):  # most frequent first, as long as no item gets too much from them
@@ -235,21 +247,39 @@ def search(index: Index, texts: list[str | None], threshold: float = THRESHOLD)
             passage = words(texts[start + d])[here] if found else []
             for item, score in found:
                 q, a = (_overlap(p, passage) for p in index.parts[item])
-                if (q >= OVERLAP and a >= OVERLAP) or _overlap(index.whole[item], passage) >= OVERLAP:
+                parts = len(index.whole[item]) >= SHINGLE and q >= OVERLAP and a >= OVERLAP
+                if parts or _overlap(index.whole[item], passage) >= OVERLAP:
                     best[d, item] = max(best.get((d, item), (0.0,)), (score, q, a))
         for (d, item), got in sorted(best.items()):
             yield start + d, index.ids[item], *got
         start += len(docs)
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """One index for each part of the benchmark, each of a bounded number of words."""
-    items = benchmark.filter("item_id is not null and text is not null").select("item_id", "text")
-    size = items.agg(F.sum(F.size(F.split("text", r"[\W_]+")))).first()[0] or 0
-    parts = max(1, math.ceil(size / PART_WORDS))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
-    got = (build([tuple(r) for r in items.filter(part == k).orderBy("item_id", "text").collect()]) for k in range(parts))
-    return [x for x in got if x is not None]
+def _item_words(text: str):
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(words)
+    return run(text)
+
+
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """One index for each part of the benchmark, one after the other, each of a bounded number of words."""
+    items = settle(benchmark.filter("item_id is not null and text is not null").select("item_id", "text")
+                   .withColumn("w", _item_words("text")).filter(F.size("w") >= SHORTEST))
+    whole = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("w")).alias("words")).first()
+    if not whole["n"]:
+        return
+    df = settle(items.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(
+        F.count(F.lit(1)).alias("df")))
+    parts = math.ceil(whole["words"] / PART_WORDS)
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    for k in range(parts):
+        own = items.filter(part == k)
+        held = df.join(own.select(F.explode("w").alias("word")).distinct(), "word", "left_semi")
+        rows = own.select("item_id", "text").orderBy("item_id", "text").collect()  # about PART_WORDS words
+        index = build([tuple(r) for r in rows], (whole["n"], whole["words"] / whole["n"], {r["word"]: r["df"] for r in held.collect()}))
+        if index is not None:
+            yield index
 
 
 MATCH = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"

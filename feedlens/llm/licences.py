@@ -1,7 +1,7 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Files are (path, text). Every line of a file, every paragraph of up to `PARAGRAPH` lines and every whole
-text, however long, is compared with each notice by the cosine of sparse TF-IDF vectors, whole texts
+Files are (path, text). Every line of a file, every paragraph (of a longer one, every window of `PARAGRAPH` lines
+from every half of that) and every whole text, however long, is compared with each notice by the cosine of sparse TF-IDF vectors, whole texts
 also with the full licence texts. A line or paragraph over `HEADER` gives the file its own licence. A file
 whose whole text is over `WHOLE` is a licence file: it also gives its directory that licence. A text over
 `WHOLE` of a full licence has that one, whatever notices it quotes. A file without a licence
@@ -53,13 +53,33 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
             "associated documentation files (the \"Software\"), to deal in the Software without restriction"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the "
+                "GNU General Public License as published by the Free Software Foundation; either version 2"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the "
+                 "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the "
+                 "GNU Affero General Public License as published by the Free Software Foundation, either version 3"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    *[(name, f"SPDX-License-Identifier: {short}") for name, short in [
+        ("Apache-2.0", "Apache-2.0"), ("MIT", "MIT"), ("ISC", "ISC"), ("BSD-2-Clause", "BSD-2-Clause"),
+        ("BSD-3-Clause", "BSD-3-Clause"), ("MPL-2.0", "MPL-2.0"), ("GPL-2.0", "GPL-2.0-only"),
+        ("GPL-2.0", "GPL-2.0-or-later"), ("GPL-2.0", "GPL-2.0"), ("GPL-3.0", "GPL-3.0-only"),
+        ("GPL-3.0", "GPL-3.0-or-later"), ("GPL-3.0", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1-only"),
+        ("LGPL-2.1", "LGPL-2.1-or-later"), ("LGPL-3.0", "LGPL-3.0-or-later"), ("AGPL-3.0", "AGPL-3.0-only"),
+        ("AGPL-3.0", "AGPL-3.0-or-later"), ("CC0-1.0", "CC0-1.0"), ("CC-BY-4.0", "CC-BY-4.0")]],
 ]
 
 _words = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*").findall
 
 
+#: A licence identifier is one word with its name, so that another name is another word.
+_identifier = re.compile(r"spdx-license-identifier:[ \t]*")
+
+
 def words(text: str | None) -> list[str]:
-    return _words((text or "").lower())
+    low = (text or "").lower()
+    return _words(_identifier.sub("spdx-license-identifier.", low) if "spdx-" in low else low)
 
 
 class Matcher:
@@ -103,23 +123,23 @@ class Matcher:
         """(licence, cosine, is a licence file) of a text; the best cosine is given in any case."""
         top: tuple[float, str] = (0.0, "")
         every: list[str] = []
-        paragraph: list[str] = []
-        lines = 0
+        paragraph: list[list[str]] = []  # of its lines, those not yet compared with what comes behind them
+        fresh = 0
 
         def better(w: list[str]) -> tuple[float, str]:
             return max(top, self.best(w, top[0]), key=lambda s: s[0])
 
         for line in (text or "").split("\n"):
             w = words(line)
-            if not w or lines >= PARAGRAPH:
-                top = better(paragraph) if lines > 1 else top
-                paragraph, lines = [], 0
+            if not w or len(paragraph) >= PARAGRAPH:
+                top = better(sum(paragraph, [])) if fresh and len(paragraph) > 1 else top
+                paragraph, fresh = paragraph[PARAGRAPH // 2:] if w else [], 0
             if w:
                 top = better(w)
                 every += w
-                paragraph += w
-                lines += 1
-        top = better(paragraph) if lines > 1 else top
+                paragraph.append(w)
+                fresh += 1
+        top = better(sum(paragraph, [])) if fresh and len(paragraph) > 1 else top
         if self.full:
             whole = self.full.best(every, min(top[0], WHOLE - 1e-9))
             if whole[0] >= WHOLE:

@@ -13,10 +13,12 @@ Vectors without structure need windows in proportion to their number; no curve c
 
 Equal vectors are searched once: a class keeps its `top + 1` smallest ids, enough for any result.
 
-Edge cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part,
-nor do those whose length is not the most common one (the smaller of equals), nor null ids; a repeated
-id counts once (its first vector in array order); with fewer candidates than `top` all are returned; an
-empty table gives no rows; extra columns are ignored.
+Edge cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do null
+ids; vectors of each length are searched among their own (lengths of up to `FEW` vectors, but for the most common
+length, by comparing all); a
+repeated id with different vectors is that many rows, each a candidate of all others and a query of its own, equal
+rows count once; with fewer candidates than `top` all are returned; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from .prefix import place, totals, with_prefix
 CURVES, AXES, BITS = 8, 3, 10
 BLOCK, CHUNK = 1024, 64
 PROBES, RECALL = 100, 0.97
+FEW = 4096
 SEED = 11
 
 
@@ -105,15 +108,21 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < most)) & F.exists(v, lambda x: x != 0)
     rows = vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0)).filter(fine).select(
         F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.distinct()
 
 
 def classes(rows: DataFrame, keep: int) -> DataFrame:
-    """Distinct vectors: rep (smallest id), v, and the `keep` smallest ids."""
+    """Distinct vectors: rep (a number in the order of their smallest ids), v, and the `keep` smallest ids."""
     first = Window.partitionBy("v").orderBy("vec_id")
     few = rows.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= keep)
-    return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(
-        F.col("ids")[0].alias("rep"), "v", "ids")
+    out = settle(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(
+        F.col("ids")[0].alias("rep"), "v", "ids"))
+    if out.groupBy("rep").count().filter("count > 1").isEmpty():
+        return out
+    # ids that repeat with different vectors: number the classes by smallest id and vector
+    placed = place(out.withColumn("one", F.lit(1).cast("long")), ["rep", "v"], [])
+    return with_prefix(placed, totals(placed, "one", []), ["rep", "v"], "one", []).select(
+        F.col("index").cast("long").alias("rep"), "v", "ids")
 
 
 def _keys(batches: Iterator[pa.RecordBatch], curves: Curves) -> Iterator[pa.RecordBatch]:
@@ -199,19 +208,45 @@ def _merge_queries(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20,
             top: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` best others of each vector whose id `every` divides."""
-    spark = vectors.sparkSession
     rows = settle(usable(vectors, id_col, vec_col))
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if lengths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("v") == lengths["d"])
+    lengths = {r["d"]: r["count"] for r in rows.groupBy(F.size("v").alias("d")).count().collect()}  # one row a length
+    usual = max(lengths, key=lambda d: (lengths[d], -d), default=None)
+    many = [d for d, n in lengths.items() if n > FEW or d == usual]
+    out = None
+    if len(many) < len(lengths) or not lengths:
+        out = _all_pairs(rows.filter(~F.size("v").isin(many)) if many else rows, every, top)
+    for d in many:
+        found = _nearest(rows.filter(F.size("v") == d), d, every, top)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+_FOUND = "query_id long, rank int, vec_id long, score double"
+
+
+def _all_pairs(rows: DataFrame, every: int, top: int) -> DataFrame:
+    """The result for lengths of at most FEW vectors each: every query against all of its length."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id", kind="stable")
+        ids, x, out = pdf["vec_id"].to_numpy(), _matrix(pdf["v"]), []
+        for k in np.flatnonzero(ids % every == 0).tolist():
+            s = (x * x[k]).sum(axis=1)
+            order = np.lexsort((ids, -s))
+            order = order[order != k][:top]
+            out += [(ids[k], i + 1, ids[o], s[o]) for i, o in enumerate(order.tolist())]
+        return pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
+    return rows.groupBy(F.size("v").alias("d")).applyInPandas(run, _FOUND)
+
+
+def _nearest(rows: DataFrame, dim: int, every: int, top: int) -> DataFrame:
+    """The result for vectors of one length, by curves."""
     known = classes(rows, top + 1)
     asking = rows.filter(F.col("vec_id") % every == 0)
     flagged = asking.groupBy("v").agg(F.lit(True).alias("asks"))
     known = settle(known.join(flagged, "v", "left").withColumn("asks", F.coalesce("asks", F.lit(False))))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     norms = known.agg(F.max(square).alias("most"), F.avg(square).alias("mean")).first()
-    curves = Curves(lengths["d"], float(np.sqrt(norms["most"])), norms["mean"])
+    curves = Curves(dim, float(np.sqrt(norms["most"])), norms["mean"])
 
     keyed = known.select("rep", "v", "asks").mapInArrow(
         partial(_keys, curves=curves), "rep long, curve int, key long, one long")
@@ -246,9 +281,9 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     members = known.select(F.col("rep").alias("other"), F.explode("ids").alias("vec_id"))
     by_member = Window.partitionBy("rep").orderBy("minus", "vec_id")
     listed = (best.join(members, "other").withColumn("nth", F.row_number().over(by_member))
-              .filter(F.col("nth") <= top + 1).select("rep", "vec_id", "minus"))
+              .filter(F.col("nth") <= top + 1).select("rep", "other", "vec_id", "minus"))
     queries = asking.join(known.select("v", "rep"), "v").select(F.col("vec_id").alias("query_id"), "rep")
-    by_query = Window.partitionBy("query_id").orderBy("minus", "vec_id")
-    return (queries.join(listed, "rep").filter("query_id <> vec_id")
+    by_query = Window.partitionBy("query_id", "rep").orderBy("minus", "vec_id")
+    return (queries.join(listed, "rep").filter("query_id <> vec_id or other <> rep")
             .withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= top)
             .select("query_id", "rank", "vec_id", (-F.col("minus")).alias("score")))

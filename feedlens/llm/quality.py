@@ -153,10 +153,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Net | None:
     order = F.xxhash64(F.lit("pu"), "doc_id")
     good = (labels.filter(taught & (F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
             .orderBy(order, "doc_id").limit(SAMPLE).withColumn("positive", F.lit(1)))
-    web = (docs.filter(taught & F.col("doc_id").isNotNull()).select("doc_id")
+    web = (docs.filter(taught & F.col("doc_id").isNotNull()).select("doc_id").distinct()
            .orderBy(F.xxhash64(F.lit("web"), "doc_id"), "doc_id").limit(SAMPLE).withColumn("positive", F.lit(0)))
-    chosen = settle(good.unionByName(web.distinct()))
-    rows = join_summary(docs.select("doc_id", "text"), chosen, ["doc_id"], most=2 * SAMPLE)
+    chosen = settle(good.unionByName(web))
+    # of rows repeating an id, the one whose text hashes lowest, so that the bound holds for rows too
+    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("positive", "doc_id")  # 2 * SAMPLE ids
+            .agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("one")).select("positive", "one.text"))
     got = rows.select("positive", _statistics()("text").alias("x")).toPandas()  # at most 2 * SAMPLE rows
     x = {k: np.stack(v.to_numpy()) for k, v in got.groupby("positive")["x"]} if len(got) else {}
     none = np.zeros((0, 1))

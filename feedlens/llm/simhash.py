@@ -186,14 +186,26 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """`docs` with one document of each component: the one with the smallest doc_id.
-
-    Of rows repeating that doc_id, the one whose text hashes lowest stays. Rows without doc_id stay.
+    """`docs` with one document of each component: its smallest doc_id, and of the rows repeating that id the one
+    whose text hashes lowest. A row without doc_id stays only where its component has no other.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), width, radius)
-    heads = found.filter("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.filter("doc_id is not null").select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    kept = (rows.join(heads, "doc_id", "left_semi")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))],
+                                             names=["doc_id", "th", "fp"])
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
+    # a row is told by its id and its text; the component's first is carried by fingerprint
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
+    firsts = settle(rows.groupBy("fp").agg(one.alias("at")))
+    roots = components(links(firsts.select("fp"), radius))
+    rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "at")
+    heads = rooted.groupBy("root").agg(F.min("at").alias("at"))
+
+    def key(doc_id, th):  # plain equalities, so that the join's shuffle serves the window too
+        return F.col(doc_id).isNull().alias("_none"), F.coalesce(doc_id, F.lit(0)).alias("_id"), th.alias("_th")
+    keys = ["_none", "_id", "_th"]
+    told = docs.select(*key("doc_id", F.xxhash64("text")), F.struct(*docs.columns).alias("_row"))
+    first = Window.partitionBy(*keys).orderBy(F.xxhash64("_row"))
+    return (told.join(heads.select(*key("at.doc_id", F.col("at.th"))), keys, "left_semi")
             .withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select("_row.*"))
-    return kept.unionByName(docs.filter("doc_id is null"))

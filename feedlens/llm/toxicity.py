@@ -107,8 +107,8 @@ def _labels(labels: DataFrame) -> DataFrame:
 def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(gram, ordinary, toxic): n-gram counts over all labelled rows of the fitting folds."""
     chosen = fold(F.col("doc_id"), FOLDS).isin(*FIT)
-    # labels grow with the corpus: the same shuffled join at every size, hashing the labels' side
-    known = _labels(labels).filter(chosen).hint("shuffle_hash")
+    # labels grow with the corpus: the same join at every size, which spills
+    known = _labels(labels).filter(chosen).hint("merge")
     rows = docs.filter(chosen).select("doc_id", "text").join(known, "doc_id")
     counted = rows.select("text", F.col("toxic").cast("int")).mapInArrow(_counted, "gram int, toxic int, n long")
     return counted.groupBy("gram").agg(F.sum(F.expr("if(toxic = 0, n, 0)")).alias("ordinary"),
@@ -196,8 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     model = Model(ratios(*dense), PLAIN)
     chosen = fold(F.col("doc_id"), FOLDS) == TUNE
     known = _labels(labels).filter(chosen).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TUNE_ROWS)
-    tune = (docs.filter(chosen).select("doc_id", "text").join(F.broadcast(known), "doc_id")  # TUNE_ROWS at most
-            .select(_scorer(model, raw=True)("text").alias("x"), "toxic").toPandas())
+    # of rows repeating an id, the one whose text hashes lowest: TUNE_ROWS at most
+    rows = (docs.filter(chosen).select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic")
+            .agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("one")).select("toxic", "one.text"))
+    tune = rows.select(_scorer(model, raw=True)("text").alias("x"), "toxic").toPandas()
     y = tune["toxic"].to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
         model.curve = _curve(np.stack(tune["x"].to_numpy()) / SCALE, y)

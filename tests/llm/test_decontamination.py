@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from feedlens.llm import decontamination as D
 from feedlens.sources.tables import table
@@ -103,7 +104,7 @@ def test_parts_give_the_same_matches(spark, sf_dir, monkeypatch):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     whole = {(r["doc_id"], r["item_id"]) for r in D.matches(docs, bench).collect()}
     monkeypatch.setattr(D, "PART_WORDS", 500)
-    assert len(D.indexes(bench)) > 1
+    assert len(list(D.indexes(bench))) > 1
     assert {(r["doc_id"], r["item_id"]) for r in D.matches(docs, bench).collect()} == whole
 
 
@@ -127,3 +128,25 @@ def test_edited_copies_of_every_item(spark, sf_dir):
             assert got == want, (item_id, at)
             seen[want and not all(map(left, index.parts[k]))] += 1
     assert seen[True] > 0
+
+
+def test_short_and_unspaced_items(spark):
+    """Items of three and four words, and of scripts without blanks, are found where their words follow each other."""
+    items = [(1, "purple monkey dishwasher"), (2, "その川は古い水車小屋のそばを流れる"), (3, "two words"), (4, "Who knows? Nobody at all."),
+             (5, "小川流水"), (6, "แม่น้ำไหลผ่านโรงสีเก่า")]
+    docs = [(1, "we saw a Purple, monkey dishwasher there"), (2, "purple dishwasher monkey"), (3, "昔、その川は古い水車小屋のそばを流れると言う"),
+            (4, "just two words here"), (5, "who knows, nobody at all"), (6, "nobody knows at all who"), (7, "前小川流水後"), (8, "小流川水"),
+            (9, "กาลครั้งหนึ่งแม่น้ำไหลผ่านโรงสีเก่ามาก"), (10, "川は流れる")]
+    got = D.matches(spark.createDataFrame(docs, "doc_id long, text string"),
+                    spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (3, 2), (5, 4), (7, 5), (9, 6)}
+
+
+def test_parts_change_nothing(spark, sf_dir, monkeypatch):
+    """Scores and matches are the same however many parts the index is cut into."""
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    bench = bench.unionByName(bench.limit(5).withColumn("item_id", F.lit(1).cast("long")))  # ids that repeat
+    whole = {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in D.matches(docs, bench).collect()}
+    monkeypatch.setattr(D, "PART_WORDS", 500)
+    assert len(list(D.indexes(bench))) > 3
+    assert {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in D.matches(docs, bench).collect()} == whole

@@ -69,12 +69,14 @@ def test_each_stage_takes_odd_and_no_rows(spark, sf_dir, odd_docs, no_docs, name
 
 def test_every_corpus_query_runs(spark, sf_dir):
     names = {n for n in E.queries() if n.startswith("op")}
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)}
     columns = {"op2": {"doc_id", "size", "source_size", "target", "taken"}, "op3": {"doc_id", "fingerprint", "component_id"},
                "op4": {"doc_id", "held_out", "lang_pred", "score"}, "op5": {"page_id", "host", "path", "rule", "verdict"},
                "op6": {"doc_id", "held_out", "score", "predicted"}, "op8": {"doc_id", "held_out", "score", "predicted"},
                "op7": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}, "op9": {"doc_id", "item_id"},
-               "op10": {"query_id", "rank", "vec_id", "score"}, "op1": {"doc_id", "licence"}}
+               "op10": {"query_id", "rank", "vec_id", "score"}, "op1": {"doc_id", "licence"},
+               "op11": {"doc_id", "n_shingles", "component_id"}, "op13": {"word", "form", "root", "n", "n_near", "form_n"},
+               "op12": {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"}}
     for n in names:
         df = E.queries()[n](spark, sf_dir)
         assert columns[n.split("_")[0]] <= set(df.columns)

@@ -106,6 +106,14 @@ def test_keep_one(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     rows = kept.collect()
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [1, 2, 5, 8, 9]
-    assert sum(r["doc_id"] is None for r in rows) == 2
+    assert [r["text"] for r in rows if r["doc_id"] is None] == ["stray words here"]
     assert all(r["_nth"] == "own _nth" and r["_row"] == "own _row" for r in rows)
     assert simhash.keep_one(no_docs).count() == 0
+
+
+def test_keep_one_with_repeated_ids(spark):
+    """One row of each component, told by id and text: a repeated id loses no text of its own."""
+    a, b = "one two three four five", "six seven eight nine ten"
+    rows = [(5, a, 1), (5, b, 2), (6, a, 3), (7, b, 4), (None, b, 5), (None, "quite alone it is", 6), (5, a, 7)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "quite alone it is"), (5, a), (5, b)]

@@ -174,3 +174,21 @@ def test_quality_edge_cases(odd_docs, no_docs, docs, labels, no_labels):
     rows = quality.with_score(odd_docs, net).collect()
     assert len(rows) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert quality.quality(no_docs, labels).count() == 0
+
+
+def test_samples_are_bounded_in_rows(spark, monkeypatch):
+    """A third of all rows under one id: what the driver collects stays within the stated bounds, and still learns."""
+    from feedlens.llm import quality, toxicity
+    monkeypatch.setattr(quality, "SAMPLE", 40)
+    monkeypatch.setattr(toxicity, "TUNE_ROWS", 30)
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda p, u: seen.append((len(p), len(u))))
+    rows = [(k, f"text {k} of some words {k % 7}") for k in range(600)] + [(4, f"other {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, int(k % 5 == 0)) for k in range(600)], "doc_id long, quality int, toxic int")
+    quality.fit(docs, labels.unionByName(labels))
+    assert seen == [(40, 40)]
+    tuned = []
+    monkeypatch.setattr(toxicity, "_curve", lambda x, y: tuned.append(len(y)) or toxicity.PLAIN)
+    toxicity.fit(docs, labels.unionByName(labels))
+    assert tuned and tuned[0] <= 30

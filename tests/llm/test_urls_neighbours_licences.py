@@ -98,6 +98,7 @@ def recall(got, want):
 
 
 def test_recall_on_embeddings(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "FEW", 0)
     monkeypatch.setattr(neighbours, "BLOCK", 32)  # many blocks, so that windows count
     monkeypatch.setattr(neighbours, "CHUNK", 2)
     df = table(spark, SF, "embeddings")
@@ -147,6 +148,24 @@ def test_copies_and_unusable_vectors(spark):
     assert found(df.filter("false")) == {} and found(df.filter("vec_id = 20")) == {}
 
 
+@pytest.mark.parametrize("few", [0, 4096])
+def test_mixed_lengths_and_repeated_ids(spark, monkeypatch, few):
+    """Every length is searched among its own; an id with several vectors is a query and a candidate with each."""
+    monkeypatch.setattr(neighbours, "FEW", few)
+    rng = np.random.default_rng(3)
+    rows = [(k % 150, rng.normal(size=3).tolist()) for k in range(200)] + [(k, rng.normal(size=2).tolist()) for k in range(60)]
+    rows += [(k, rng.normal(size=5).tolist()) for k in range(0, 40, 10)] + [(20, rows[20][1])] * 50
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in neighbours.nearest(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>"), top=4).collect())
+    want, one = [], sorted({(i, tuple(v)) for i, v in rows})
+    for i, v in one:
+        if i % 20 == 0:
+            near = sorted((-round(float(np.dot(v, w)), 9), j) for j, w in one if len(w) == len(v) and (j, w) != (i, v))
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(near[:4])]
+    assert {(q, r) for q, r, *_ in got} == {(q, r) for q, r, *_ in want} and len(got) == len(want)
+    assert len(set(got) & set(want)) >= 0.9 * len(want)
+
+
 def test_hilbert_visits_neighbouring_cells():
     for axes, bits in ((2, 4), (3, 3), (1, 5)):
         cells = np.array(np.meshgrid(*[range(1 << bits)] * axes)).reshape(axes, -1).T
@@ -237,3 +256,78 @@ def test_full_licence_texts_are_licence_files(spark):
         assert (got[100 + k]["licence"], got[100 + k]["inherited_from"]) == (name, name)
     assert all(got[200 + k]["licence"] is None for k in range(100))
     assert (got[400]["own_licence"], got[400]["is_licence_file"]) == ("MIT", False)
+
+
+NOTICES = [(n, t) for n, t in licences.TEMPLATES if n in ("BSD-3-Clause", "GPL-3.0", "MIT", "ISC", "LGPL-2.1") and len(t) > 80]
+
+
+@pytest.mark.parametrize("width", [30, 40, 60])
+def test_notice_anywhere_in_a_long_comment(width):
+    """A wrapped notice at every line of a paragraph longer than a window is found as that licence, or not at all
+    where its lines are too few among the window's; never as another licence."""
+    import textwrap
+    plain = "and then we went over to see what might be there in " + "z" * 3
+    for name, text in NOTICES:
+        m = licences.Matcher(licences.TEMPLATES, {w: 3 for _, t in licences.TEMPLATES for w in licences.words(t)}, 1000)
+        lines = textwrap.wrap(text, width)
+        alone = m.scan("\n".join(lines))[0]
+        for at in range(35, 45):
+            filler = [f"q{k}" for k in range(at)]
+            got = m.scan("\n".join([*filler, *lines, *[f"r{k}" for k in range(45 - at)]]))[0]
+            assert got in (alone, None)
+            block = m.scan("\n".join([*lines * (at // len(lines) + 1)]))[0]
+            assert block == alone == name
+    assert plain
+
+
+def test_cut_does_not_lose_a_notice():
+    """Notices one after the other in one paragraph: each window that holds a whole one is compared."""
+    m = licences.Matcher(licences.TEMPLATES, {}, 50)
+    bsd = dict((n, t) for n, t in licences.TEMPLATES if n == "BSD-3-Clause")["BSD-3-Clause"].split()
+    lines = [" ".join(bsd[k:k + 3]) for k in range(0, len(bsd), 3)]
+    for before in range(30, 45):
+        text = "\n".join([*(["*"] * 2), *["***" for _ in range(before)], *lines])
+        assert m.scan(text)[0] == "BSD-3-Clause"
+
+
+def test_identifiers():
+    m = licences.Matcher(licences.TEMPLATES, {"mit": 900, "spdx-license-identifier.mit": 400}, 1000)
+    assert m.scan("x\n// SPDX-License-Identifier: MIT\ny")[0] == "MIT"
+    assert m.scan("# spdx-license-identifier:   GPL-2.0-or-later")[0] == "GPL-2.0"
+    assert m.scan("# SPDX-License-Identifier: Some-Other")[0] is None
+    isc = dict(licences.TEMPLATES[::-1])
+    assert m.scan("Permission to use, copy, modify, and/or distribute this software for any purpose with or without\n"
+                  "fee is hereby granted, provided that the above copyright notice and this permission notice appear in\n"
+                  "all copies.")[0] == "ISC" and isc
+
+
+@pytest.mark.parametrize("given", [True])
+def test_inheritance_against_brute_force(spark, given):
+    """Random trees of directories: the nearest ancestor with a licence file, by walking up each path."""
+    import random
+    rng = random.Random(6)
+    names = [("MIT", "Released under the MIT License."), ("MPL-2.0", licences.TEMPLATES[10][1]), (None, "plain words only")]
+    rows = []
+    for k in range(400):
+        parts = [f"d{rng.randrange(3)}" for _ in range(rng.randrange(5))]
+        rows.append((k, "/".join([*parts, f"f{k}"]), rng.choice(names + names[2:] * 6)[1]))
+    df = spark.createDataFrame(rows, "id long, path string, text string")
+    got = {r["id"]: r for r in licences.scan(df, "id").collect()}
+    own = {p: got[k]["own_licence"] for k, p, _ in rows}
+    cosine = {p: got[k]["cosine"] for k, p, _ in rows}
+    for k, p, t in rows:
+        assert own[p] == dict((b, a) for a, b in names)[t]
+    given_by = {}
+    for k, p, t in rows:
+        if own[p]:
+            d = p.rpartition("/")[0]
+            given_by.setdefault(d, []).append((-cosine[p], own[p], p))
+    for k, p, t in rows:
+        if own[p]:
+            assert got[k]["licence"] == own[p] and got[k]["inherited_from"] is None
+            continue
+        d = p.rpartition("/")[0]
+        while d not in given_by and d:
+            d = d.rpartition("/")[0]
+        want = min(given_by[d])[1] if d in given_by else None
+        assert got[k]["licence"] == want and got[k]["inherited_from"] == (d if want else None)
