@@ -161,14 +161,19 @@ def route_cheapest(runs: DataFrame, sla_p95_s: float) -> DataFrame:
     """Q16: the cheapest provider whose p95 latency meets the SLA."""
     from .metrics import exact_percentiles
     p95 = exact_percentiles(runs, ["provider"], "duration_s", [0.95]).select("provider", F.col("value").alias("p95_s"))
-    cost = runs.groupBy("provider").agg(xavg("cost_usd").alias("avg_cost"))
+    cost = runs.groupBy("provider").agg(xavg(billed_cost()).alias("avg_cost"))
     ok = p95.join(cost, "provider").filter(F.col("p95_s") <= sla_p95_s)
     return ok.agg(F.min_by("provider", F.struct("avg_cost", "provider")).alias("provider"),
                   F.min("avg_cost").alias("avg_cost_usd"))
 
 
 def retry_failed(runs: DataFrame, key=("user_id", "source")) -> DataFrame:
-    """Q17: failed runs with no later success for the same key (one row per key, no pairs)."""
-    last_ok = runs.filter("success").groupBy(*key).agg(F.max("started_at").alias("_last_ok"))
-    f = runs.filter(~F.col("success")).join(last_ok, list(key), "left")
-    return f.filter(F.col("_last_ok").isNull() | (F.col("_last_ok") <= F.col("started_at"))).drop("_last_ok")
+    """Q17: failed runs with no later success for the same key (one row per key, no pairs; nulls are a key too)."""
+    last_ok = runs.filter("success").groupBy(*(F.col(k).alias(f"_{k}") for k in key)).agg(
+        F.max("started_at").alias("_last_ok"))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    f = runs.filter(~F.col("success")).join(last_ok, same, "left")
+    return (f.filter(F.col("_last_ok").isNull() | (F.col("_last_ok") <= F.col("started_at")))
+            .drop("_last_ok", *(f"_{k}" for k in key)))

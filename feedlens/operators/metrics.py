@@ -76,8 +76,8 @@ def executions(runs: DataFrame) -> DataFrame:
 
 
 def with_result(runs: DataFrame) -> DataFrame:
-    """MT2/MT3: runs that ended in a result; one that raised is not observed."""
-    return runs.filter(~F.col("raised"))
+    """MT2/MT3: runs that ended in a result; one that raised is not observed. A cache hit costs nothing (K8)."""
+    return runs.filter(~F.col("raised")).withColumn("cost_usd", billed_cost())
 
 
 def tokens(runs: DataFrame) -> DataFrame:
@@ -106,30 +106,49 @@ def rollup_executions(runs: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("value"), F.grouping_id().alias("level")))
 
 
-def active_runs(runs: DataFrame, period: str = "5 minutes") -> DataFrame:
+#: A stretch without events is filled period by period up to so many periods (a year of five minutes).
+IDLE_PERIODS = 366 * 24 * 12
+
+
+def active_now(runs: DataFrame) -> DataFrame:
+    """MT4: the gauge's value when the last run has started; runs that end then have ended."""
+    last = runs.agg(F.max("started_at").alias("_now"))
+    done = F.coalesce(F.col("completed_at") <= F.col("_now"), F.lit(False))
+    return (runs.select("started_at", "completed_at").join(F.broadcast(last))  # one row
+            .agg(F.coalesce(F.count_if(F.col("started_at").isNotNull() & ~done), F.lit(0)).alias("value")))
+
+
+def active_runs(runs: DataFrame, period: str = "5 minutes", idle: int = IDLE_PERIODS) -> DataFrame:
     """MT4: peak of the active-runs gauge per period, for every period from the first event to the last.
 
     +1 at start, −1 at end, ends first at equal times. Levels are built up from seconds: a running sum
     inside each second, then over the seconds of a period, then over periods, so the only one-task
-    window sees one row per period. A period's peak counts the level it is entered with.
+    window sees one row per period that has events. A period's peak counts the level it is entered with.
+    Periods between two events are filled in from the first of them; a stretch of more than `idle`
+    periods is not (a stray time stamp would make millions of rows): there the level before it holds.
     """
     d = runs.select(F.explode(F.array(
         F.struct(F.col("started_at").alias("t"), F.lit(1).cast("long").alias("d")),
         F.struct(F.col("completed_at").alias("t"), F.lit(-1).cast("long").alias("d")))).alias("x")).select("x.*")
     upto = (Window.unboundedPreceding, Window.currentRow)
     earlier = (Window.unboundedPreceding, -1)
-    d = d.withColumn("second", F.date_trunc("second", "t"))
+    d = d.filter("t is not null").withColumn("second", F.date_trunc("second", "t"))
     d = d.withColumn("run", F.sum("d").over(Window.partitionBy("second").orderBy("t", "d").rowsBetween(*upto)))
     sec = d.groupBy("second").agg(F.max("run").alias("top"), F.sum("d").alias("net"))
     sec = sec.withColumn("bucket", F.window("second", period).start)
     entry = F.coalesce(F.sum("net").over(Window.partitionBy("bucket").orderBy("second").rowsBetween(*earlier)), F.lit(0))
     per = (sec.withColumn("top", F.col("top") + entry).groupBy("bucket")
            .agg(F.max("top").alias("top"), F.sum("net").alias("net")))
-    span = per.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).filter("a is not null")
-    every = span.select(F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {period}"))).alias("bucket"))
-    dense = every.join(per, "bucket", "left")
-    level = F.coalesce(F.sum("net").over(Window.orderBy("bucket").rowsBetween(*earlier)), F.lit(0))
-    return dense.select("bucket", (level + F.greatest(F.lit(0), F.coalesce("top", F.lit(0)))).cast("long").alias("peak_active"))
+    order = Window.orderBy("bucket")
+    step = F.expr(f"INTERVAL {period}")
+    level = F.coalesce(F.sum("net").over(order.rowsBetween(*earlier)), F.lit(0))
+    per = per.select("bucket", (level + F.greatest(F.lit(0), F.col("top"))).alias("peak"), (level + F.col("net")).alias("after"),
+                     F.lead("bucket").over(order).alias("next"))
+    near = (F.col("next") > F.col("bucket") + step) & (F.col("next") <= F.col("bucket") + step * idle)
+    gap = F.when(near, F.sequence(F.col("bucket") + step, F.col("next") - step, step))
+    own = F.array(F.struct("bucket", F.col("peak").cast("long").alias("peak_active")))
+    quiet = F.transform(gap, lambda b: F.struct(b.alias("bucket"), F.col("after").cast("long").alias("peak_active")))
+    return per.select(F.inline(F.concat(own, F.coalesce(quiet, F.filter(own, lambda x: F.lit(False))))))
 
 
 def window_counts(events: DataFrame, period: str, value: Column | None = None) -> DataFrame:
@@ -157,10 +176,14 @@ def alarm(counts: DataFrame, period_seconds: int, threshold: float = S.ALARM_THR
 
 def sliding_rate(events: DataFrame, length: str = "5 minutes", slide: str = "1 minute",
                  seconds: int = 300) -> DataFrame:
-    """Events per second over a sliding window."""
+    """Events per second over a sliding window whose length is a multiple of its slide.
+
+    Events are counted once, by panes of one slide; a window adds up its panes.
+    """
+    panes = events.groupBy(F.window("ts", slide).start.alias("ts")).agg(F.count(F.lit(1)).alias("_n"))
     w = F.window("ts", length, slide)
-    return (events.groupBy(w.start.alias("window_start"), w.end.alias("window_end"))
-            .agg(F.count(F.lit(1)).alias("n")).withColumn("rate", F.round(F.col("n") / seconds, 6)))
+    return (panes.groupBy(w.start.alias("window_start"), w.end.alias("window_end"))
+            .agg(F.sum("_n").alias("n")).withColumn("rate", F.round(F.col("n") / seconds, 6)))
 
 
 def exact_percentiles(df: DataFrame, group: list[str], value: str, ps: list[float]) -> DataFrame:
@@ -250,7 +273,7 @@ def registry(runs: DataFrame, steps: DataFrame, self_check: DataFrame) -> DataFr
     done = with_result(runs)
     lasted = steps.withColumn("duration_s", (
         (F.unix_micros("completed_at") - F.unix_micros("started_at")) / 1000).cast("long").cast("double") / 1000)
-    now = active_runs(runs).agg(F.max_by("peak_active", "bucket").alias("value"))
+    now = active_now(runs)
     by = ["provider", "model"]
     parts = [
         ("workflow_executions_total", executions(runs), [*by, "status"]),

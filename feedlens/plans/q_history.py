@@ -149,12 +149,23 @@ def quality_band(spark, sf):
 
 @query("route_cheapest", f"""
 SELECT arg_min(provider, c) AS provider, min(c) AS avg_cost_usd FROM (
-  SELECT provider, quantile_cont(duration_s, 0.95) AS p95, {xavg('cost_usd')} AS c FROM fx_runs GROUP BY 1)
+  SELECT provider, quantile_cont(duration_s, 0.95) AS p95, {xavg(BILLED)} AS c FROM fx_runs GROUP BY 1)
 WHERE p95 <= 47.0""")
 def route_cheapest(spark, sf):
     return Hs.route_cheapest(_runs(spark, sf), 47.0)
 
 
+@query("retry_failed_any_source", """
+SELECT f.run_id FROM fx_runs f
+WHERE NOT f.success AND NOT EXISTS (
+  SELECT 1 FROM fx_runs s WHERE s.success AND s.user_id = f.user_id AND s.started_at > f.started_at
+  AND nullif(s.source, 'web') IS NOT DISTINCT FROM nullif(f.source, 'web'))""")
+def retry_failed_any_source(spark, sf):
+    """Q17 where some runs have no source: a later success without one counts for them."""
+    r = _runs(spark, sf).withColumn("source", F.nullif("source", F.lit("web")))
+    return Hs.retry_failed(r).select("run_id")
+
+
 @query("retry_failed", """
 SELECT f.run_id FROM fx_runs f
 LEFT JOIN (SELECT user_id, source, max(started_at) AS last_ok FROM fx_runs WHERE success GROUP BY 1, 2) s

@@ -59,7 +59,7 @@ def scan_log_bad(spark, sf):
 EXECUTIONS = """(SELECT CASE WHEN raised THEN 'unknown' ELSE provider END AS provider,
     CASE WHEN raised THEN 'unknown' ELSE model END AS model,
     CASE WHEN raised THEN 'error' WHEN success THEN 'success' ELSE 'failure' END AS status FROM fx_runs)"""
-RESULTS = "(SELECT * FROM fx_runs WHERE NOT raised)"
+RESULTS = "(SELECT * REPLACE (CASE WHEN from_cache THEN 0.0 ELSE cost_usd END AS cost_usd) FROM fx_runs WHERE NOT raised)"
 
 
 @query("m_executions", f"SELECT provider, model, status, count(*) AS value FROM {EXECUTIONS} GROUP BY ALL")
@@ -97,6 +97,15 @@ def m_active_runs(spark, sf):
     return MT.active_runs(_runs(spark, sf))
 
 
+@query("m_active_runs_far", f"""{ACTIVE}
+UNION ALL SELECT TIMESTAMP '9999-12-30 00:00:00', 1""")
+def m_active_runs_far(spark, sf):
+    """MT4 with a stray run in the year 9999: one more period, not 800 million."""
+    r = _runs(spark, sf).select("started_at", "completed_at")
+    far = spark.sql("SELECT TIMESTAMP '9999-12-30 00:01:00' AS started_at, TIMESTAMP '9999-12-30 00:02:00' AS completed_at")
+    return MT.active_runs(r.unionByName(far))
+
+
 @query("m_tokens", """
 SELECT provider, model, 'input' AS type, CAST(sum(tokens_input) AS BIGINT) AS value FROM fx_runs GROUP BY ALL
 UNION ALL
@@ -332,7 +341,8 @@ def _registry_sql() -> str:
             f"SELECT rejection_reason AS reason, count(*) AS value FROM ({SELF_CHECK_REPAIRED}) WHERE NOT approved "
             "GROUP BY 1", ["reason"], "'self_check_rejections_total'"),
         "active_workflows": lines_sql(
-            f"SELECT arg_max(peak_active, bucket) AS value FROM ({ACTIVE})", [], "'active_workflows'"),
+            "SELECT (SELECT count(*) FROM fx_runs) - count(*) AS value FROM fx_runs "
+            "WHERE completed_at <= (SELECT max(started_at) FROM fx_runs)", [], "'active_workflows'"),
     }
     parts = []
     for name, (kind, text) in S.METRICS.items():

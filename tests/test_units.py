@@ -381,3 +381,42 @@ print("fine")
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, cwd=tmp_path,
                          env={**os.environ, "SPARK_CONF_DIR": str(conf)})
     assert out.stdout.strip().endswith("fine"), out.stderr[-2000:]
+
+
+def test_refused_values_count_nowhere(spark):
+    from feedlens.functions import exact as X_
+    df = spark.createDataFrame([(1.5,), (2.5,), (float("nan"),), (1e19,), (float("inf"),), (None,)], "v double")
+    r = df.agg(X_.xsum("v").alias("s"), X_.xavg("v").alias("a"), X_.refused("v").alias("n")).first()
+    assert (r.s, r.a, r.n) == (4.0, 2.0, 3)
+
+
+def test_active_runs_with_far_and_missing_times(spark):
+    from feedlens.operators import metrics as MT_
+    t = datetime(2024, 1, 1)
+    rows = [(t, t + timedelta(minutes=12)), (t + timedelta(minutes=1), None), (None, None),
+            (datetime(9999, 12, 30), datetime(9999, 12, 30, 0, 1))]
+    df = spark.createDataFrame(rows, "started_at timestamp, completed_at timestamp")
+    got = [(r.bucket, r.peak_active) for r in MT_.active_runs(df).orderBy("bucket").collect()]
+    assert got == [(t, 2), (t + timedelta(minutes=5), 2), (t + timedelta(minutes=10), 2), (datetime(9999, 12, 30), 2)]
+    assert MT_.active_runs(df.filter("false")).collect() == []
+    now = MT_.active_now(df.filter("started_at < timestamp'2025-01-01'")).first().value
+    assert now == 2
+
+
+def test_sliding_rate_equals_one_copy_a_window(spark):
+    from feedlens.operators import metrics as MT_
+    df = spark.range(500).select(F.timestamp_micros(F.col("id") * 7_777_777).alias("ts"))
+    w = F.window("ts", "5 minutes", "1 minute")
+    want = df.groupBy(w.start.alias("a")).agg(F.count(F.lit(1)).alias("n")).collect()
+    got = MT_.sliding_rate(df).collect()
+    assert {(r.window_start, r.n) for r in got} == {(r.a, r.n) for r in want}
+    assert all(r.window_end - r.window_start == timedelta(minutes=5) for r in got)
+
+
+def test_retry_failed_counts_missing_keys_as_a_key(spark):
+    from feedlens.operators import history as Hs_
+    t = datetime(2024, 1, 1)
+    rows = [("a", 1, None, False, t), ("b", 1, None, True, t + timedelta(hours=1)), ("c", 1, "x", False, t), ("d", None, None, False, t)]
+    df = spark.createDataFrame(rows, "run_id string, user_id long, source string, success boolean, started_at timestamp")
+    assert sorted(r.run_id for r in Hs_.retry_failed(df).collect()) == ["c", "d"]
+
