@@ -159,10 +159,10 @@ def route_cheapest(spark, sf):
 SELECT f.run_id FROM fx_runs f
 WHERE NOT f.success AND NOT EXISTS (
   SELECT 1 FROM fx_runs s WHERE s.success AND s.user_id = f.user_id AND s.started_at > f.started_at
-  AND nullif(s.source, 'web') IS NOT DISTINCT FROM nullif(f.source, 'web'))""")
+  AND nullif(s.source, 'view') IS NOT DISTINCT FROM nullif(f.source, 'view'))""")
 def retry_failed_any_source(spark, sf):
     """Q17 where some runs have no source: a later success without one counts for them."""
-    r = _runs(spark, sf).withColumn("source", F.nullif("source", F.lit("web")))
+    r = _runs(spark, sf).withColumn("source", F.nullif("source", F.lit("view")))
     return Hs.retry_failed(r).select("run_id")
 
 

@@ -19,11 +19,11 @@ EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("t
                        T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
-def _events(spark, sf, late_seconds=0):
+def _events(spark, sf, late_seconds=0, beat_seconds=None):
     """The events as a stream of four micro-batches, some rows coming late by up to `late_seconds`."""
     staged = ST.scratch(spark, "stream-events")
-    ST.stage_slices(table(spark, sf, "events"), "ts", staged, late_seconds=late_seconds)
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(staged)
+    ST.stage_slices(table(spark, sf, "events"), "ts", staged, late_seconds=late_seconds, beat_seconds=beat_seconds)
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", ST.FILES).parquet(staged)
 
 
 @query("stream_windows", """
@@ -61,31 +61,57 @@ def stream_dedupe(spark, sf):
         .withColumn("model", F.lit(S.DEFAULT_MODEL))
     req = H.with_cache_key(f).select("request_id", "cache_key", "requested_at")
     staged = ST.scratch(spark, "stream-dedupe-in")
-    ST.stage_slices(req, "requested_at", staged, late_seconds=300)
-    src = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 1).parquet(staged)
+    ST.stage_slices(req, "requested_at", staged, late_seconds=300, beat_seconds=86_400)
+    src = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", ST.FILES).parquet(staged)
     out, ck = ST.scratch(spark, "stream-dedupe-out"), ST.scratch(spark, "stream-dedupe-ck")
-    ST.run_append_to_parquet(ST.cache_stream(src), out, ck)
-    return spark.read.parquet(out).select("request_id", "hit")
+    with ST.rocksdb_state(spark):
+        ST.run_append_to_parquet(ST.cache_stream(src), out, ck)
+    return spark.read.parquet(out).filter("request_id is not null").select("request_id", "hit")
 
 
 @query("stream_rate_limit", _rate_sql(10, 60))
 def stream_rate_limit(spark, sf):
-    src = _events(spark, sf)
+    src = _events(spark, sf, late_seconds=300, beat_seconds=86_400)
     out, ck = ST.scratch(spark, "stream-rate-out"), ST.scratch(spark, "stream-rate-ck")
     with ST.rocksdb_state(spark):
         ST.run_append_to_parquet(ST.rate_limit_stream(src), out, ck)
-    return spark.read.parquet(out).select("event_id", "user_id", "admitted")
+    got = spark.read.parquet(out).filter("event_id is not null").select("event_id", "admitted")
+    return got.join(table(spark, sf, "events").select("event_id", "user_id"), "event_id")
+
+
+def _failures(events):
+    """The failures of the runs that raised, at the time they are logged: start + value/10 seconds."""
+    raised = events.filter((F.col("event_type") == "error") & FX.run_raises(F.col("event_id")))
+    return raised.withColumn("ts", F.timestamp_micros(F.unix_micros(FX.run_start(F.col("event_id"), F.col("ts")))
+                                                      + F.round(F.col("value") * 100000).cast("long")))
+
+
+def _changes_sql(period_s: int) -> str:
+    step = f"INTERVAL {period_s} SECOND"
+    return f"""
+WITH a AS (SELECT window_start AS w FROM ({_alarm_sql(period_s).replace("n > 5", "n > 1")}))
+SELECT 'alarm' AS name, 'ALARM' AS state, w AS since FROM a WHERE w - {step} NOT IN (SELECT w FROM a)
+UNION ALL SELECT 'alarm', 'OK', w + {step} FROM a WHERE w + {step} NOT IN (SELECT w FROM a)"""
+
+
+@query("stream_alarm_changes", _changes_sql(3600))
+def stream_alarm_changes(spark, sf):
+    """L4 live: when the alarm goes on and off, from closed hours of the stream and a two-period state."""
+    staged = ST.scratch(spark, "stream-failures")
+    rows = _failures(table(spark, sf, "events")).select("event_id", "ts")
+    ST.stage_slices(rows, "ts", staged, late_seconds=1800, beat_seconds=10 * 86_400)
+    src = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", ST.FILES).parquet(staged)
+    out, ck = ST.scratch(spark, "stream-changes-out"), ST.scratch(spark, "stream-changes-ck")
+    with ST.rocksdb_state(spark):
+        ST.run_append_to_parquet(ST.alarm_stream(src, 3600, threshold=1, delay="1 hour"), out, ck)
+    return spark.read.parquet(out)
 
 
 @query("stream_alarm", _alarm_sql(3600).replace("n > 5", "n > 1"))
 def stream_alarm(spark, sf):
-    """L4 live: failure counts per hour from the stream sink, then the two-period alarm."""
+    """L5, then L4 as a batch over the stream's sink: failure counts per hour, then the two-period alarm."""
     from ..operators import metrics as MT
-    src = (_events(spark, sf, late_seconds=1800)
-           # a run that raised logs its failure when it completes: start + value/10 seconds
-           .filter((F.col("event_type") == "error") & FX.run_raises(F.col("event_id")))
-           .withColumn("ts", F.timestamp_micros(F.unix_micros(FX.run_start(F.col("event_id"), F.col("ts")))
-                                                + F.round(F.col("value") * 100000).cast("long"))))
+    src = _failures(_events(spark, sf, late_seconds=1800))
     agg = ST.windowed_counts(src, period="1 hour", delay="1 hour")
     out, ck = ST.scratch(spark, "stream-alarm-out"), ST.scratch(spark, "stream-alarm-ck")
     ST.run_update_to_parquet(agg, out, ck)

@@ -1,5 +1,5 @@
-"""Structured Streaming forms of the live behaviours: windowed log counts (L5) and the
-stream-side cache with TTL (H9).
+"""Structured Streaming forms of the live behaviours: windowed log counts (L5), the live alarm (L4), the
+stream-side cache with TTL (H9) and the rate limiter (U1).
 
 Both run with `trigger(availableNow=True)` in checks, and continuously in production. Sinks and
 checkpoints live under the session's shared `spark.checkpoint.dir`, so a restarted driver or lost
@@ -9,15 +9,17 @@ executor resumes from the checkpoint instead of recomputing.
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas as S
+from ..operators.ratelimit import admit, who
 from ..session import checkpoint_dir
 
 
@@ -26,10 +28,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage_slices(df: DataFrame, ts: str, path: str, slices: int = 4, late_seconds: int = 0) -> None:
-    """Write `df` as successive time slices, one file each, for a source that takes one file a trigger.
+#: Files of a slice, written by as many tasks and read by as many; a trigger takes them all.
+FILES = 4
+
+
+def stage_slices(df: DataFrame, ts: str, path: str, slices: int = 4, late_seconds: int = 0, files: int = FILES,
+                 beat_seconds: int | None = None) -> None:
+    """Write `df` as successive time slices of `files` files each, for a source that takes as many a trigger.
 
     Every second row of the last `late_seconds` of a slice comes with the next one, late and out of order.
+    With `beat_seconds` a last slice follows: one row without values but for a time that many seconds on, which
+    lets the watermark pass all rows before it, as going traffic would.
     """
     t = F.unix_micros(F.col(ts).cast("timestamp"))
     edge = df.agg(F.min(t).alias("a"), F.max(t).alias("b")).first()
@@ -38,7 +47,12 @@ def stage_slices(df: DataFrame, ts: str, path: str, slices: int = 4, late_second
     late = ((t - edge["a"]) % width >= width - late_seconds * 1_000_000) & (F.pmod(F.xxhash64(t), F.lit(2)) == 0)
     nth = F.least(F.when(late, nth + 1).otherwise(nth), F.lit(slices - 1))
     for k in range(slices):
-        df.filter(nth == k).coalesce(1).write.mode("append").parquet(path)
+        df.filter(nth == k).repartition(files, F.xxhash64(*df.columns)).write.mode("append").parquet(path)
+    if beat_seconds is not None:
+        at = F.timestamp_micros(F.lit(edge["b"] + beat_seconds * 1_000_000)).cast(df.schema[ts].dataType)
+        beat = df.sparkSession.range(0, 1, 1, 1).select(*(
+            at.alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema))
+        beat.write.mode("append").parquet(path)
 
 
 def windowed_counts(stream: DataFrame, period: str = "5 minutes", delay: str = "10 minutes",
@@ -70,50 +84,6 @@ def latest_rows(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     return d.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_batch")
 
 
-CACHE_OUT = "request_id string, cache_key string, requested_at timestamp, hit boolean"
-CACHE_STATE = "written_us long"
-
-
-def _cache_state_fn(ttl_us: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:  # the watermark passed the entry's expiry: drop the key
-            state.remove()
-            return
-        written = state.get[0] if state.exists else None
-        parts = list(pdfs)
-        if not parts:
-            return
-        pdf = pd.concat(parts).sort_values(["requested_at", "request_id"], kind="mergesort")
-        t = (pdf["requested_at"].astype("datetime64[us]").astype("int64")).to_numpy()
-        hits = []
-        for now in t:
-            if written is not None and written <= now < written + ttl_us:
-                hits.append(True)
-            else:
-                hits.append(False)
-                # a miss computes and writes the result; a late row never moves the entry back
-                written = int(now) if written is None else max(written, int(now))
-        state.update((written,))
-        # the entry is dead after its TTL; let the watermark evict the key then (bounded state)
-        state.setTimeoutTimestamp(written // 1000 + ttl_us // 1000)
-        out = pdf[["request_id", "cache_key", "requested_at"]].copy()
-        out["hit"] = hits
-        yield out
-    return fn
-
-
-def cache_stream(requests: DataFrame, ttl_seconds: int = S.CACHE_TTL_SECONDS,
-                 delay: str = "10 minutes") -> DataFrame:
-    """H9: per key, a request within the TTL of the last computed result is a hit (keyed state).
-
-    State is one timestamp per key and is evicted by an event-time timeout once the watermark
-    passes the entry's expiry, so it holds only keys seen within the last TTL (+ delay).
-    """
-    return (requests.withWatermark("requested_at", delay).groupBy("cache_key")
-            .applyInPandasWithState(_cache_state_fn(ttl_seconds * 1_000_000), CACHE_OUT, CACHE_STATE,
-                                    "append", GroupStateTimeout.EventTimeTimeout))
-
-
 def run_append_to_parquet(df: DataFrame, out: str, checkpoint: str):
     q = (df.writeStream.outputMode("append").format("parquet").option("path", out)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -121,7 +91,7 @@ def run_append_to_parquet(df: DataFrame, out: str, checkpoint: str):
     return q
 
 
-# --- U1 on a stream: keyed state holds at most `limit` admitted times per user ----------------
+# --- Keyed folds in event-time order, whatever the micro-batches ------------------------------
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -138,63 +108,203 @@ def rocksdb_state(spark: SparkSession):
         spark.conf.set(key, was)
 
 
-RATE_OUT = "event_id long, user_id long, admitted boolean"
 
+FOLDED = "id string, ts_us long, decision boolean, late boolean"
+#: Time span of one piece of the reorder buffer: what is held in memory of a key at once.
+PIECE_SECONDS = 60
+
+
+def _ordered_fold(step, life_us: int, piece_us: int):
+    """A state processor that buffers a key's rows by time piece and folds a piece once the watermark has passed it.
 
-def _rate_processor(limit: int, window_us: int):
+    `step(memory, times)` gives the new memory (sorted times) and a decision for each of the sorted times. Timers
+    fire in time order, so pieces are folded in that order; a row whose piece is already past comes out as `late`,
+    undecided. A key's memory is dropped `life_us` after its last time.
+    """
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
-    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+    from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-    state_schema = StructType([StructField("times", ArrayType(LongType()))])
+    memory_schema = StructType([StructField("times", ArrayType(LongType()))])
+    piece_key = StructType([StructField("piece", LongType())])
+    piece_rows = StructType([StructField("ids", ArrayType(StringType())), StructField("times", ArrayType(LongType()))])
 
-    class RateLimiter(StatefulProcessor):
+    class Fold(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.times = handle.getValueState("admitted_times", state_schema)
-
-        def handleInputRows(self, key, rows, timerValues):
-            kept = list(self.times.get()[0]) if self.times.exists() else []
-            pdf = pd.concat(list(rows)).sort_values(["ts_us", "event_id"], kind="mergesort")
-            admitted = []
-            for now in pdf["ts_us"].to_numpy():
-                kept = [x for x in kept if x > now - window_us]
-                ok = len(kept) < limit
-                if ok:
-                    kept.append(int(now))
-                admitted.append(ok)
-            self.times.update((kept,))
-            # once the watermark is a window past the last admitted request the state is empty
-            # anyway: a timer then drops the key, so state holds only recently active users
-            for old in self.handle.listTimers():
-                self.handle.deleteTimer(old)
-            if kept:
-                self.handle.registerTimer(kept[-1] // 1000 + window_us // 1000)
-            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "user_id": pdf["user_id"].to_numpy(),
-                                "admitted": admitted})
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            self.times.clear()
-            return iter([])
+            self.memory = handle.getValueState("memory", memory_schema)
+            self.pieces = handle.getMapState("pieces", piece_key, piece_rows)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            for pdf in rows:  # one Arrow batch at a time
+                piece = pdf["ts_us"] // piece_us
+                late = (piece + 1) * piece_us <= passed
+                if late.any():
+                    out = pdf.loc[late, ["id", "ts_us"]].copy()
+                    out["decision"], out["late"] = False, True
+                    yield out
+                for p, part in pdf[~late].groupby(piece[~late]):
+                    held = self.pieces.getValue((int(p),)) if self.pieces.containsKey((int(p),)) else ([], [])
+                    self.pieces.updateValue((int(p),), ([*held[0], *part["id"]], [*held[1], *map(int, part["ts_us"])]))
+                    if not held[0]:
+                        self.handle.registerTimer(-(-(int(p) + 1) * piece_us // 1000))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
+            memory = list(self.memory.get()[0]) if self.memory.exists() else []
+            piece = (now_us // piece_us) - 1
+            if self.pieces.containsKey((piece,)):
+                ids, times = self.pieces.getValue((piece,))
+                self.pieces.removeKey((piece,))
+                order = sorted(range(len(ids)), key=lambda k: (times[k], ids[k]))
+                sorted_times = np.array([times[k] for k in order], np.int64)
+                memory, decisions = step(memory, sorted_times)
+                if memory:
+                    self.memory.update((memory,))
+                    self.handle.registerTimer(-(-(memory[-1] + life_us) // 1000))
+                yield pd.DataFrame({"id": [ids[k] for k in order], "ts_us": sorted_times, "decision": decisions, "late": False})
+            elif memory and memory[-1] + life_us <= now_us:
+                self.memory.clear()
 
         def close(self) -> None:
             pass
 
-    return RateLimiter()
+    return Fold()
+
+
+def _in_order(rows: DataFrame, key: str, step, life_us: int, delay: str, piece_seconds: int) -> DataFrame:
+    """rows(`key`, id, ts) → FOLDED by a state processor; the watermark follows `ts`, `delay` behind."""
+    r = rows.withWatermark("ts", delay).select(key, "id", F.unix_micros("ts").alias("ts_us"))
+    return r.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=_ordered_fold(step, life_us, piece_seconds * 1_000_000),
+        outputStructType=FOLDED, outputMode="Append", timeMode="EventTime")
+
+
+def _cache_step(ttl_us: int):
+    def step(memory: list[int], times: np.ndarray):
+        written = memory[-1] if memory else None
+        hits = []
+        for now in times.tolist():
+            hits.append(written is not None and now < written + ttl_us)
+            if not hits[-1]:
+                written = now  # a miss computes the result and writes it
+        return [written], hits
+    return step
+
+
+def cache_stream(requests: DataFrame, ttl_seconds: int = S.CACHE_TTL_SECONDS, delay: str = "10 minutes",
+                 piece_seconds: int = PIECE_SECONDS) -> DataFrame:
+    """H9: requests(request_id, cache_key, requested_at) → request_id, hit, late; a request within the TTL of
+    its key's last computed result is a hit.
+
+    Requests are decided in event-time order once the watermark has passed them, so any split into
+    micro-batches gives the same decisions. State is one time a key and the rows still ahead of the watermark;
+    a key's time is dropped after its TTL. A request that comes behind the watermark is `late` and no hit: it is
+    computed, and does not move the entry. Needs the RocksDB state store provider.
+    """
+    rows = requests.select("cache_key", F.col("request_id").alias("id"), F.col("requested_at").cast("timestamp").alias("ts"))
+    ttl_us = ttl_seconds * 1_000_000
+    return _in_order(rows, "cache_key", _cache_step(ttl_us), ttl_us, delay, piece_seconds).select(
+        F.col("id").alias("request_id"), F.col("decision").alias("hit"), "late")
+
+
+def _rate_step(limit: int, window_us: int):
+    def step(memory: list[int], times: np.ndarray):
+        kept = deque(memory)
+        decisions = np.zeros(len(times), bool)
+        decisions[admit(times, kept, limit, window_us)] = True
+        return list(kept), decisions
+    return step
 
 
 def rate_limit_stream(requests: DataFrame, limit: int = S.RATE_LIMIT_REQUESTS,
-                      window_seconds: int = S.RATE_LIMIT_WINDOW_SECONDS, delay: str = "10 minutes") -> DataFrame:
-    """U1 (stream): requests(event_id, user_id, ts) → admitted; state per user is ≤ `limit` longs.
-
-    Rows are folded in event-time order within a micro-batch and in arrival order across batches.
-    An event-time timer at (last admitted + window) clears a user's state once the watermark passes
-    it, so state holds only users active within the window (+ `delay`); rows later than the
-    watermark are dropped, as for any watermarked stream. Needs the RocksDB state store provider
-    (`ROCKSDB`), set before the query starts.
+                      window_seconds: int = S.RATE_LIMIT_WINDOW_SECONDS, delay: str = "10 minutes",
+                      piece_seconds: int = PIECE_SECONDS) -> DataFrame:
+    """U1 (stream): requests(event_id, user_id, ts) → event_id, admitted, late.
+
+    Requests are decided in event-time order once the watermark has passed them, so any split into micro-batches
+    gives the decisions of the batch job. State per user is at most `limit` times and the rows still ahead of the
+    watermark; it is dropped a window after the last admitted request. Requests behind the watermark are `late`
+    and not admitted; those without a user are one user's, as in the batch job. Needs the RocksDB state store
+    provider (`ROCKSDB`), set before the query starts.
+    """
+    window_us = window_seconds * 1_000_000
+    rows = requests.select(who("user_id").alias("user"), F.col("event_id").cast("string").alias("id"),
+                           F.col("ts").cast("timestamp").alias("ts"))
+    return _in_order(rows, "user", _rate_step(limit, window_us), window_us, delay, piece_seconds).select(
+        F.col("id").cast("long").alias("event_id"), F.col("decision").alias("admitted"), "late")
+
+
+# --- L4 live: closed windows feed the alarm's state -------------------------------------------
+
+ALARMED = "name string, state string, since timestamp"
+
+
+def _alarm_processor(period_us: int, threshold: float, periods: int):
+    """Closed windows (start, n) of one alarm in, its changes of state out.
+
+    `periods` successive windows over the threshold raise the alarm, one that is not clears it. Windows without
+    events never arrive: the gap before a window, or a timer one period after the last, stands for them.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+    from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+
+    schema = StructType([StructField("last", LongType()), StructField("run", LongType()), StructField("on", BooleanType())])
+
+    class Alarm(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("alarm", schema)
+
+        def _rows(self, key, changes):
+            return pd.DataFrame({"name": [key[0]] * len(changes), "state": [s for s, _ in changes],
+                                 "since": pd.to_datetime([t for _, t in changes], unit="us")})
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            last, run, on = self.state.get() if self.state.exists() else (None, 0, False)
+            changes = []
+            closed = sorted((int(a), float(n)) for pdf in rows for a, n in zip(pdf["start_us"], pdf["n"]))
+            for start, n in closed:  # one row a window
+                if last is not None and start > last + period_us:  # silent periods in between
+                    run = 0
+                    if on:
+                        on = False
+                        changes.append(("OK", last + period_us))
+                run = run + 1 if n > threshold else 0
+                if on != (run >= periods):
+                    on = not on
+                    changes.append(("ALARM" if on else "OK", start))
+                last = start
+            self.state.update((last, run, on))
+            if run:  # the next period is closed, silent or not, when the watermark has passed its end
+                self.handle.registerTimer((last + 2 * period_us) // 1000)
+            if changes:
+                yield self._rows(key, changes)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            last, run, on = self.state.get()
+            if last + 2 * period_us <= expiredTimerInfo.getExpiryTimeInMs() * 1000:  # no window came since
+                self.state.update((last, 0, False))
+                if on:
+                    yield self._rows(key, [("OK", last + period_us)])
+
+        def close(self) -> None:
+            pass
+
+    return Alarm()
+
+
+def alarm_stream(events: DataFrame, period_seconds: int, threshold: float = S.ALARM_THRESHOLD, periods: int = 2,
+                 delay: str = "10 minutes", ts: str = "ts", name: str | None = None) -> DataFrame:
+    """L4/L5 live: events → (name, state, since), one row each time the alarm is raised (ALARM) or cleared (OK).
+
+    Counts per period leave the first operator when the watermark has closed the period; the second holds the
+    last period's outcome. A period without events does not breach.
     """
-    t = F.col("ts").cast("timestamp")
-    r = (requests.withColumn("ts_e", t).withWatermark("ts_e", delay)
-         .select("event_id", "user_id", F.unix_micros("ts_e").alias("ts_us")))
-    return r.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=_rate_processor(limit, window_seconds * 1_000_000),
-        outputStructType=RATE_OUT, outputMode="Append", timeMode="EventTime")
+    named = events.withColumn("name", F.lit("alarm") if name is None else F.col(name))
+    counts = named.withWatermark(ts, delay).groupBy(F.window(ts, f"{period_seconds} seconds"), "name").agg(
+        F.count(F.lit(1)).alias("n"))
+    closed = counts.select("name", "window", F.unix_micros("window.start").alias("start_us"), "n")
+    return closed.groupBy("name").transformWithStateInPandas(
+        statefulProcessor=_alarm_processor(period_seconds * 1_000_000, threshold, periods),
+        outputStructType=ALARMED, outputMode="Append", timeMode="EventTime")
