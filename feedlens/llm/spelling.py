@@ -41,7 +41,7 @@ SHORTEST, LONGEST, OFTEN, GRAMS = 2, 5, 200, 1 << 18
 #: Distinct words that a task holds before it hands its counts on.
 HELD = 200_000
 #: Words of a list that one task compares, code points of a word there, pairs compared at once.
-LIST, WIDE, CHUNK = 4096, 64, 1 << 18
+LIST, WIDE, CHUNK = 1024, 64, 1 << 18
 FIRST, LAST = "^", "$"  # no letters, so no word holds them
 
 
@@ -207,12 +207,8 @@ def _meet(batches: Iterator[pa.RecordBatch], most: int, wide: int) -> Iterator[p
         i, j = i[use], j[use]
         swap = length[i] > length[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        got = []
-        for a in range(0, len(i), CHUNK):
-            p, q = i[a:a + CHUNK], j[a:a + CHUNK]
-            near = _one_edit(codes[p], codes[q], length[q] > length[p])
-            got.append((p[near], q[near]))
-        p, q = (np.concatenate(x) for x in zip(*got)) if got else (i, j)
+        near = _one_edit(codes[i], codes[j], length[j] > length[i])
+        p, q = i[near], j[near]
         none = pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array(words[p], pa.string()), pa.array(words[q], pa.string()), *none],
                                           names=names)
@@ -231,8 +227,16 @@ def _meet(batches: Iterator[pa.RecordBatch], most: int, wide: int) -> Iterator[p
         if apart.any():
             yield handed_on(key[apart], own[apart], words[apart])
         keep = ~apart & ((size > 1) & (np.bincount(group, own) > 0))[group]
-        if keep.any():
-            yield found(words[keep], own[keep], np.bincount(group[keep])[np.unique(group[keep])])
+        key, own, words, group = key[keep], own[keep], words[keep], group[keep]
+        size = size[np.unique(group)]
+        # lists of about CHUNK pairs together, a larger one alone
+        turn = np.cumsum(size * (size - 1) // 2) // CHUNK
+        ends = np.append(0, np.cumsum(size))
+        cuts = [0, *(np.flatnonzero(turn[1:] != turn[:-1]) + 1).tolist(), len(size)]
+        for a, z in zip(cuts, cuts[1:]):
+            if z > a:
+                rows = slice(ends[a], ends[z])
+                yield found(words[rows], own[rows], size[a:z])
 
     carry, beyond = None, None  # the last list so far; the key of one that is too large and already handed on
     for b in batches:
