@@ -4,6 +4,9 @@ The lookup is an as-of join: a request hits the newest entry of its key written
 request and still inside the TTL. It is computed as a union + window partitioned by
 (key, time bucket) instead of a join, so a hot key never multiplies requests by entries and each
 window group is bounded by part of one TTL period of that key's traffic.
+
+The cache grows without end, the requests of a job do not: a Bloom filter of the requests' keys thins the
+cache where it is read, so neither entries nor bodies of other keys are shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import keys
+from ..functions.bloom import BITS, key_filter
+from ..session import cut_lineage
 
 
 def with_cache_key(df: DataFrame, content: str = "content", provider: str = "provider",
@@ -34,15 +39,21 @@ def latest_entries(cache: DataFrame, now=None) -> DataFrame:
 
 
 def lookup(requests: DataFrame, cache: DataFrame, ttl_seconds: int = S.CACHE_TTL_SECONDS,
-           now_col: str = "requested_at", key: str = "request_id", splits: int = 4) -> DataFrame:
+           now_col: str = "requested_at", key: str = "request_id", splits: int = 4,
+           filter_bits: int = BITS) -> DataFrame:
     """H2 + H3 + H5: every request with `hit`, and the entry's `result_json`/`written_at` on hits.
 
     Time is cut into `splits` buckets a TTL; an entry stands in each bucket that its life touches, so a
     hot key is spread over its buckets. Only an entry's time and hash take part in the search; the
-    result bodies are joined to the hits afterwards.
+    result bodies are joined to the hits afterwards. Only entries that pass the filter of the requests' keys, and
+    whose life touches the requests' time span, are shuffled at all.
     """
     ttl_us = ttl_seconds * 1_000_000
     width = ttl_us // splits
+    span = requests.agg(F.min(now_col).alias("a"), F.max(now_col).alias("b")).first()
+    cache = cache.filter((F.col("written_at") <= F.lit(span["b"]))  # reaches the scan
+                         & (F.unix_micros("written_at") + ttl_us > F.unix_micros(F.lit(span["a"]).cast("timestamp"))))
+    cache = cache.filter(key_filter(requests, "cache_key", filter_bits)(F.col("cache_key")))
     r = (requests.withColumn("_t", F.unix_micros(F.col(now_col))).withColumn("_kind", F.lit(1))
          .withColumn("_b", F.floor(F.col("_t") / width)))
     w_t = F.unix_micros(F.col("written_at"))
@@ -69,9 +80,11 @@ def misses(looked: DataFrame) -> DataFrame:
     return looked.filter(~F.col("hit"))
 
 
-def leaders(requests: DataFrame, key: str = "request_id", by: str = "cache_key") -> DataFrame:
+def leaders(requests: DataFrame, key: str = "request_id", by: str = "cache_key", settled: bool = False) -> DataFrame:
     """H6: identical inputs in one batch are computed once – the smallest request id per `by` is the
-    leader; the others take its result. Pre-aggregated per key, so a hot key is one row."""
+    leader; the others take its result. Pre-aggregated per key, so a hot key is one row. The keys are hashes of
+    whole notes: unless the rows are `settled` already, they are written before they are used twice."""
+    requests = requests if settled else cut_lineage(requests)
     lead = requests.groupBy(by).agg(F.min(key).alias("leader_" + key))
     return requests.join(lead, by)
 

@@ -114,7 +114,7 @@ def run_workflow(notes: DataFrame, fn: ModelFn, out: str, provider: str = S.DEFA
         misses = H.misses(looked).drop("hit", "result_json", "written_at")
     # persona and temperature change the result but are no part of the service's cache key (K6)
     same = keys.cache_key_v2(*[F.col(c) for c in ("content", "provider", "model", "persona", "temperature")])
-    led = job.written(H.leaders(misses.withColumn("same_key", same), by="same_key"), "misses")
+    led = job.written(H.leaders(misses.withColumn("same_key", same), by="same_key", settled=True), "misses")
     todo = job.written(led.filter("request_id = leader_request_id").drop("leader_request_id", "same_key"), "todo")
     base = todo.select("run_id", "provider", "model", "persona")
 
