@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import ingest as I
+from ..operators import pii_model as M
 from ..sources import fixtures as FX
 from ..sources.tables import table
 from . import sql_snippets as Q
@@ -170,3 +171,21 @@ def workflow_rejects(spark, sf):
                        "temperature": (F.col("doc_id") % 25).cast("double") / 10})
     r = I.check_requests(I.fill_defaults(f), configured=["openai", "google"])
     return r.filter("reject_reason is not null").select("request_id", "reject_reason")
+
+
+@query("pii_model_spans", """
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents)
+SELECT doc_id, 'name' AS pii_type, 'Ada Lovelace' AS value, CAST(0.7 AS DOUBLE) AS confidence, 8 AS span_start, 20 AS span_end FROM t
+UNION ALL SELECT doc_id, 'address', '12 Elm Street', 0.7, 36 + n, 49 + n FROM t
+UNION ALL SELECT doc_id, 'other', 'K7 blue', 0.5, 63 + n, 70 + n FROM t WHERE doc_id % 3 = 0""")
+def pii_model_spans(spark, sf):
+    """A name, an address and a code that the model has removed from notes of whole documents."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    mark, coded = F.lit(M.MARK), F.col("doc_id") % 3 == 0
+
+    def note(name, address, code):
+        return F.concat(F.lit("Contact "), name, F.lit(" said: "), "text", F.lit("\nShip to "), address,
+                        F.lit(" under number "), F.when(coded, code).otherwise(F.lit("zero")), F.lit(" today."))
+    notes = d.select("doc_id", note(F.lit("Ada Lovelace"), F.lit("12 Elm Street"), F.lit("K7 blue")).alias("content"),
+                     note(mark, mark, mark).alias("redacted_text"))
+    return M.model_pii_table(notes, "doc_id")
