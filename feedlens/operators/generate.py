@@ -51,6 +51,20 @@ def retry_select(attempts: DataFrame, max_attempts: int = S.MAX_ATTEMPTS, keys=(
             .withColumn("next_attempt", F.col("attempt") + 1))
 
 
+def wait_seconds(attempt: int) -> int:
+    """M6: seconds to wait after a failed attempt: doubling from twice one, 4 at least and 30 at most."""
+    return min(S.RETRY_WAIT_MOST, max(S.RETRY_WAIT_LEAST, S.RETRY_WAIT_BASE * 2 ** (attempt - 1)))
+
+
+def retry_due(attempts: DataFrame, failed_at: str = "failed_at", max_attempts: int = S.MAX_ATTEMPTS,
+              keys=("run_id", "step")) -> DataFrame:
+    """M6: `retry_select` with `due_at`, before which the next attempt may not start."""
+    doubled = F.lit(S.RETRY_WAIT_BASE) * F.pow(F.lit(2), F.least(F.col("attempt"), F.lit(30)) - 1)
+    wait = F.least(F.lit(S.RETRY_WAIT_MOST), F.greatest(F.lit(S.RETRY_WAIT_LEAST), doubled)).cast("long")
+    return retry_select(attempts, max_attempts, keys).withColumn(
+        "due_at", F.timestamp_micros(F.unix_micros(F.col(failed_at).cast("timestamp")) + wait * 1_000_000))
+
+
 def provider_fallback(attempts: DataFrame, keys=("run_id",)) -> DataFrame:
     """M7: among all providers' attempts, the first success by preference, else the last failure.
 

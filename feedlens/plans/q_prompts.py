@@ -135,6 +135,17 @@ def retry_select(spark, sf):
     return r.select("run_id", "attempt", "error_kind", "next_attempt")
 
 
+@query("retry_due", """
+SELECT a.run_id, a.attempt + 1 AS next_attempt, r.completed_at + INTERVAL 4 SECOND AS due_at
+FROM fx_attempts a JOIN fx_runs r ON a.run_id = r.run_id
+WHERE a.attempt = 1 AND NOT a.success AND a.error_kind NOT IN ('ValueError','TypeError','KeyError')
+  AND NOT (a.event_id % 4 = 2)""")
+def retry_due(spark, sf):
+    """M6: when each retry may start; a failed call ends with its run."""
+    ended = FX.fx_runs(spark, sf).select("run_id", F.col("completed_at").alias("failed_at"))
+    return G.retry_due(FX.fx_attempts(spark, sf).join(ended, "run_id")).select("run_id", "next_attempt", "due_at")
+
+
 @query("attempt_latest", """
 SELECT run_id, CASE WHEN NOT success AND event_id % 4 = 2 THEN 2 ELSE 1 END AS attempt,
        success OR event_id % 8 = 2 AS success

@@ -12,6 +12,7 @@ read, or a call that failed, ends its run as an error, which is never cached.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -37,8 +38,10 @@ ModelFn = Callable[[pd.DataFrame], pd.DataFrame]
 class _Job:
     """One run of the workflow: where it writes and how it calls the model."""
 
-    def __init__(self, spark, fn: ModelFn, out: str, parallelism: int | None, fallback: dict[str, tuple[str, str]]):
+    def __init__(self, spark, fn: ModelFn, out: str, parallelism: int | None, fallback: dict[str, tuple[str, str]],
+                 pause: Callable[[float], None]):
         self.spark, self.fn, self.out, self.parallelism, self.fallback = spark, fn, out, parallelism, fallback
+        self.pause = pause
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.out}/{name}"
@@ -58,6 +61,9 @@ class _Job:
         tried = self._call(prompts, step, 1, 1)
         for attempt in range(2, S.MAX_ATTEMPTS + 1):
             again = G.retry_select(tried).select("run_id")
+            if again.isEmpty():
+                break
+            self.pause(G.wait_seconds(attempt - 1))  # every failed call has ended before, so none is tried too early
             tried = tried.unionByName(self._call(prompts.join(again, "run_id", "left_semi"), step, attempt, 1))
         if self.fallback:
             failed = G.latest_attempt(tried).filter(~F.col("success")).select("run_id")
@@ -81,15 +87,16 @@ class _Job:
 def run_workflow(notes: DataFrame, fn: ModelFn, out: str, provider: str = S.DEFAULT_PROVIDER,
                  model: str = S.DEFAULT_MODEL, persona: str = S.DEFAULT_PERSONA, parallelism: int | None = None,
                  cache_path: str | None = None, now_col: str = "requested_at", configured: list[str] | None = None,
-                 fallback: dict[str, tuple[str, str]] | None = None) -> dict[str, DataFrame]:
+                 fallback: dict[str, tuple[str, str]] | None = None,
+                 pause: Callable[[float], None] = time.sleep) -> dict[str, DataFrame]:
     """Run the workflow; returns the written tables (results, steps, rejects, answer rejects, cache entries).
 
     Provider, model, persona and temperature are columns of `notes`; the arguments fill what a note
     leaves out. `configured` lists providers with credentials; `fallback` maps a provider to the
-    (provider, model) that takes over its failed calls.
+    (provider, model) that takes over its failed calls. `pause` waits so many seconds before calls are tried again.
     """
     spark = notes.sparkSession
-    job = _Job(spark, fn, out, parallelism, fallback or {})
+    job = _Job(spark, fn, out, parallelism, fallback or {}, pause)
     for name, value in (("provider", provider), ("model", model), ("persona", persona)):
         own = F.coalesce(F.col(name), F.lit(value)) if name in notes.columns else F.lit(value)
         notes = notes.withColumn(name, own)

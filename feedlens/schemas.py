@@ -32,6 +32,7 @@ RATE_LIMIT_REQUESTS = 10
 RATE_LIMIT_WINDOW_SECONDS = 60
 
 MAX_ATTEMPTS = 2
+RETRY_WAIT_BASE, RETRY_WAIT_LEAST, RETRY_WAIT_MOST = 2, 4, 30  # seconds
 NON_RETRYABLE_ERRORS = ("ValueError", "TypeError", "KeyError")
 
 ALARM_THRESHOLD = 5

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..operators.generate import wait_seconds
 from ..operators.ratelimit import admit, who
 from ..session import checkpoint_dir
 
@@ -308,3 +309,83 @@ def alarm_stream(events: DataFrame, period_seconds: int, threshold: float = S.AL
     return closed.groupBy("name").transformWithStateInPandas(
         statefulProcessor=_alarm_processor(period_seconds * 1_000_000, threshold, periods),
         outputStructType=ALARMED, outputMode="Append", timeMode="EventTime")
+
+
+# --- M6 live: failed calls wait for their due time --------------------------------------------
+
+RETRIES = "run_id string, step string, provider string, attempt int, state string, due_ms long, released_ms long"
+
+
+def release_times(due_ms: list[int], free_ms: int, gap_ms: int) -> tuple[list[int], int]:
+    """When calls that are due at `due_ms` (rising) may start, one every `gap_ms`, and when the next one may."""
+    out = []
+    for due in due_ms:
+        out.append(max(due, free_ms))
+        free_ms = out[-1] + gap_ms
+    return out, free_ms
+
+
+def _retry_processor(max_attempts: int, gap_ms: int, wait_ms: dict[int, int]):
+    """Failed calls of one provider in; each comes out again as `retry` at its time, or as `given_up` at once."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+    strings, numbers = ArrayType(StringType()), ArrayType(IntegerType())
+    waiting_schema = StructType([StructField("runs", strings), StructField("steps", strings),
+                                 StructField("attempts", numbers), StructField("dues", ArrayType(LongType()))])
+
+    class Retry(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.free = handle.getValueState("free", StructType([StructField("ms", LongType())]))
+            self.waiting = handle.getMapState("waiting", StructType([StructField("at", LongType())]), waiting_schema)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            free = self.free.get()[0] if self.free.exists() else 0
+            for pdf in rows:
+                again = (pdf["attempt"] < max_attempts) & ~pdf["error_kind"].isin(S.NON_RETRYABLE_ERRORS)
+                last = pdf[~again]
+                if len(last):
+                    yield pd.DataFrame({"run_id": last["run_id"], "step": last["step"], "provider": key[0],
+                                        "attempt": last["attempt"], "state": "given_up", "due_ms": last["failed_ms"],
+                                        "released_ms": timerValues.getCurrentProcessingTimeInMs()})
+                calls = sorted((int(t) + wait_ms[int(a)], r, s, int(a)) for t, r, s, a in zip(
+                    pdf["failed_ms"][again], pdf["run_id"][again], pdf["step"][again], pdf["attempt"][again]))
+                now = timerValues.getCurrentProcessingTimeInMs()
+                at, free = release_times([c[0] for c in calls], max(free, now), gap_ms)
+                for when, (due, run, step, attempt) in zip(at, calls):
+                    held = self.waiting.getValue((when,)) if self.waiting.containsKey((when,)) else ([], [], [], [])
+                    self.waiting.updateValue((when,), ([*held[0], run], [*held[1], step], [*held[2], attempt + 1], [*held[3], due]))
+                    self.handle.registerTimer(when)
+            self.free.update((free,))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            when = expiredTimerInfo.getExpiryTimeInMs()
+            if self.waiting.containsKey((when,)):
+                runs, steps, attempts, dues = self.waiting.getValue((when,))
+                self.waiting.removeKey((when,))
+                yield pd.DataFrame({"run_id": list(runs), "step": list(steps), "provider": key[0], "attempt": list(attempts),
+                                    "state": "retry", "due_ms": list(dues),
+                                    "released_ms": timerValues.getCurrentProcessingTimeInMs()})
+
+        def close(self) -> None:
+            pass
+
+    return Retry()
+
+
+def retry_stream(failures: DataFrame, per_second: float = 10.0, max_attempts: int = S.MAX_ATTEMPTS,
+                 wait=wait_seconds) -> DataFrame:
+    """M6 live: failures(run_id, step, provider, attempt, error_kind, failed_at) → calls to make again, when due.
+
+    A call waits 4 to 30 seconds after its failure, doubling (`wait`), and a provider's calls leave at most
+    `per_second` a second; errors that no retry mends, and calls without attempts left, come out as `given_up`
+    at once. State is the waiting calls of each provider. Needs the RocksDB state store provider.
+    """
+    waits = {a: int(wait(a) * 1000) for a in range(1, max_attempts)}
+    rows = failures.select("run_id", "step", F.coalesce("provider", F.lit("unknown")).alias("provider"),
+                           F.col("attempt").cast("int").alias("attempt"), "error_kind",
+                           F.unix_millis(F.col("failed_at").cast("timestamp")).alias("failed_ms"))
+    return rows.groupBy("provider").transformWithStateInPandas(
+        statefulProcessor=_retry_processor(max_attempts, int(1000 / per_second), waits),
+        outputStructType=RETRIES, outputMode="Append", timeMode="ProcessingTime")
