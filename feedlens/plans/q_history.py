@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import deletion as D
 from ..operators import history as Hs
+from ..session import checkpoint_dir
 from ..sources import fixtures as FX
 from .catalog import query
 from .sql_snippets import BILLED, rsum, xavg
@@ -98,6 +102,17 @@ def history_delete(spark, sf):
     return Hs.history_delete(r, r.filter(~F.col("success"))).select("run_id")
 
 
+@query("history_delete_files", """
+SELECT run_id, CAST(started_at AS DATE) AS day FROM fx_runs WHERE success OR user_id % 7 <> 0""")
+def history_delete_files(spark, sf):
+    """Q10 in a stored table by day: only the days that hold a deleted run are written anew."""
+    path = f"{checkpoint_dir(spark)}/history-{uuid.uuid4().hex[:12]}"
+    r = _runs(spark, sf)
+    r.select("run_id", F.to_date("started_at").alias("day")).write.partitionBy("day").parquet(path)
+    D.delete(spark, path, r.filter(~F.col("success") & (F.col("user_id") % 7 == 0)).select("run_id"), "day")
+    return spark.read.parquet(path).select("run_id", "day")
+
+
 @query("recent_runs", "SELECT run_id, started_at FROM fx_runs ORDER BY started_at DESC, run_id LIMIT 10")
 def recent_runs(spark, sf):
     return Hs.recent_runs(_runs(spark, sf)).select("run_id", "started_at")

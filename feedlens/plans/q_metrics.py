@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import metrics as MT
+from ..operators import sketches as SK
+from ..session import checkpoint_dir
 from ..sources import fixtures as FX
 from .catalog import query
 from .sql_snippets import BILLED, rsum
@@ -291,6 +295,24 @@ RANKS = """
 SELECT provider, TRUE AS p50_ok, TRUE AS p95_ok, TRUE AS p99_ok FROM fx_runs GROUP BY provider"""
 
 
+@query("latency_sketch", RANKS)
+def latency_sketch(spark, sf):
+    """L7 from stored sketches of five minutes, merged: is each value's rank within the sketches' bound?"""
+    runs = _runs(spark, sf)
+    stored = f"{checkpoint_dir(spark)}/latency-sketches-{uuid.uuid4().hex[:12]}"
+    SK.write(SK.sketch(runs, "duration_s", ["provider"], ts="started_at"), stored)
+    merged = SK.percentiles(SK.current(spark.read.parquet(stored), ["provider"]), ["provider"], [0.5, 0.95, 0.99])
+    each = merged.groupBy("provider").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(name)
+                                            for p, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+    j = runs.select("provider", "duration_s").join(F.broadcast(each), "provider")  # one row per provider
+    n = F.count(F.lit(1))
+    ok = []
+    for p, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99")):
+        low, high = F.count_if(F.col("duration_s") < F.col(name)) / n, F.count_if(F.col("duration_s") <= F.col(name)) / n
+        ok.append(((low <= p + SK.RANK_ERROR) & (high >= p - SK.RANK_ERROR)).alias(f"{name}_ok"))
+    return j.groupBy("provider").agg(*ok)
+
+
 @query("latency_pct_approx", RANKS)
 def latency_pct_approx(spark, sf):
     """L7 in one pass with a mergeable sketch: is each value's rank within its stated bound (1/1000 of the rows)?"""
