@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import deletion as D
 from ..operators import history as Hs
+from ..operators import search as SE
 from ..session import checkpoint_dir
 from ..sources import fixtures as FX
 from .catalog import query
@@ -94,6 +95,19 @@ def history_search(spark, sf):
     return Hs.history_search(FX.fx_feedback(spark, sf), "worthless", "cust-1234").select("request_id")
 
 
+@query("history_search_index", """
+SELECT request_id FROM fx_feedback
+WHERE content ILIKE '%worthless%' OR levenshtein(lower(customer_id), 'cust-1234') <= 2""")
+def history_search_index(spark, sf):
+    """Q9 by stored indexes: trigrams of contents, shortened forms of customer ids."""
+    f = FX.fx_feedback(spark, sf)
+    at = f"{checkpoint_dir(spark)}/search-{uuid.uuid4().hex[:12]}"
+    SE.write(SE.content_index(f, "request_id"), f"{at}/contents")
+    SE.write(SE.id_index(f), f"{at}/ids")
+    return SE.search(f, spark.read.parquet(f"{at}/contents"), spark.read.parquet(f"{at}/ids"), "request_id",
+                     "worthless", "cust-1234").select("request_id")
+
+
 @query("history_delete", """
 SELECT run_id FROM fx_runs WHERE run_id NOT IN (SELECT run_id FROM fx_runs WHERE NOT success)""")
 def history_delete(spark, sf):
