@@ -31,7 +31,7 @@ RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
          ("block", "net/fr/")]
 SAMPLE = 100_000
 TREES, DEPTH, SEED = 20, 4, 17
-PRIOR_ROWS = 20.0
+PRIOR_ROWS, FOLDS = 20.0, 5
 
 FEATURES = ["f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params",
             "f_query", "f_fragment", "f_hyphens", "f_extension", "f_suffix_rate", "f_suffix_rows"]
@@ -94,11 +94,22 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFram
         return rows.select(*out, F.coalesce("rule_verdict", F.lit(only)).alias("verdict"),
                            F.coalesce("label", F.lit(float(only == "block"))).alias("score"))
     mean = total["blocked"] / total["n"]
-    # suffix statistics over all labelled rows, drawn towards the overall rate where rows are few
+    # suffix statistics over all labelled rows, for a labelled row over those of the other folds, so that its own
+    # label is not among them; drawn towards the overall rate where rows are few
+    rows = rows.withColumn("fold", F.when(F.col("label").isNotNull(), F.pmod(
+        F.xxhash64(F.lit("fold"), "host", "path", "page_id"), F.lit(FOLDS))).cast("int"))
+    by_fold = [F.col("fold") == k for k in range(FOLDS)]
     suffix = settle(rows.groupBy("suffix").agg(
-        ((F.coalesce(F.sum("label"), F.lit(0.0)) + mean * PRIOR_ROWS) / (F.count("label") + PRIOR_ROWS)).alias("f_suffix_rate"),
-        F.log1p(F.count("label")).alias("f_suffix_rows")))
+        F.array(*[F.coalesce(F.sum(F.when(k, F.col("label"))), F.lit(0.0)) for k in by_fold]).alias("blocked"),
+        F.array(*[F.count_if(k) for k in by_fold]).alias("seen")))
     rows = join_summary(rows, suffix, ["suffix"])
+
+    def others(column: str) -> Column:
+        every = F.aggregate(column, F.lit(0.0), lambda a, x: a + x)
+        return every - F.coalesce(F.get(F.col(column), F.col("fold")), F.lit(0.0))
+    rows = rows.withColumns({
+        "f_suffix_rate": (others("blocked") + mean * PRIOR_ROWS) / (others("seen") + PRIOR_ROWS),
+        "f_suffix_rows": F.log1p(others("seen"))}).drop("blocked", "seen")
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     share = min(1.0, SAMPLE / total["n"])
     drawn = F.pmod(F.xxhash64(F.lit("train"), "host", "path", "page_id"), F.lit(1_000_000)) < int(share * 1_000_000)

@@ -331,3 +331,15 @@ def test_inheritance_against_brute_force(spark, given):
             d = d.rpartition("/")[0]
         want = min(given_by[d])[1] if d in given_by else None
         assert got[k]["licence"] == want and got[k]["inherited_from"] == (d if want else None)
+
+
+def test_suffix_rates_come_from_other_folds(spark):
+    """Labels that have nothing to do with the URL: where each suffix is one row's, its own label must not show."""
+    import random
+    rng = random.Random(3)
+    rows = [(k, f"http://h{k}.{'net' if k % 2 else 'com'}{k}/{'es' if rng.random() < .5 else 'de'}/x") for k in range(400)]
+    rules = [("allow", f"com{k}/") if rng.random() < .5 else ("block", f"com{k}/") for k in range(0, 400, 2)]
+    rules += [("allow", f"net{k}/") if rng.random() < .5 else ("block", f"net{k}/") for k in range(1, 400, 2)]
+    got = urls.verdicts(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    agree = sum((r["score"] >= 0.5) == (r["verdict"] == "block") for r in got) / 400
+    assert len(got) == 400 and agree < 0.8
