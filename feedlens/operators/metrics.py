@@ -18,14 +18,21 @@ CORRUPT = "_corrupt_record"
 LOG_LINE = T.StructType([*S.LOG_EVENT.fields, T.StructField(CORRUPT, T.StringType())])
 
 
-def parse_log(lines: DataFrame, value: str = "value") -> DataFrame:
+def parse_log(lines: DataFrame, value: str = "value", events: tuple[str, ...] = ()) -> DataFrame:
     """JSON-lines events (already loaded as text) → typed rows with `ts`.
 
+    With `events` only these are kept; lines that do not name one are dropped before they are parsed.
+
     A line that is no JSON object stays as a row of nulls with its text in `_corrupt_record`; a time
     that cannot be read is null. ISO times may lack the fraction, as the service's writer leaves it out.
     """
+    for k, name in enumerate(events):
+        named = F.contains(value, F.lit(f'"{name}"')) if k == 0 else named | F.contains(value, F.lit(f'"{name}"'))
+    if events:
+        lines = lines.filter(named)
     e = lines.select(F.from_json(value, LOG_LINE, {"columnNameOfCorruptRecord": CORRUPT}).alias("e")).select("e.*")
-    return e.withColumn("ts", F.col("timestamp").try_cast("timestamp"))
+    e = e.withColumn("ts", F.col("timestamp").try_cast("timestamp"))
+    return e.filter(F.col("event").isin(*events)) if events else e
 
 
 def read_log(spark, path: str, stream: bool = False) -> DataFrame:

@@ -31,8 +31,9 @@ def cost_and_approval_by_provider(spark, sf):
     model = F.coalesce(*[F.when(prov == p, F.lit(m)) for p, m in MODELS.items()])
     n = notes.select("request_id", "doc_id", prov.alias("provider"), model.alias("model"),
                      X.redact(X.strip_ws(F.col("content"))).alias("cleaned"))
-    prompt = P.extract_prompt(F.col("cleaned"))
-    n = n.withColumn("tokens_input", F.floor(X.word_count(prompt).cast("double") * F.lit(1.3)).cast("long")) \
+    # the prompt's own words are a constant; blank lines keep them apart from the note's
+    n_words = X.word_count(F.col("cleaned")) + X.word_count(P.extract_prompt(F.lit("")))
+    n = n.withColumn("tokens_input", F.floor(n_words.cast("double") * F.lit(1.3)).cast("long")) \
          .withColumn("tokens_output", (F.lit(200) + F.col("doc_id") % 100).cast("long"))
     sc = FX.fx_self_check(spark, sf)
     answer = F.to_json(F.struct(*[f.name for f in S.SELF_CHECK.fields]))

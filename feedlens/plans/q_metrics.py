@@ -42,8 +42,8 @@ def _runs(spark, sf):
     return FX.fx_runs(spark, sf)
 
 
-def _log(spark, sf):
-    return MT.parse_log(FX.fx_log(spark, sf))
+def _log(spark, sf, *events):
+    return MT.parse_log(FX.fx_log(spark, sf), events=events)
 
 
 @query("scan_log", """
@@ -183,7 +183,7 @@ def log_completed(spark, sf):
 
 @query("log_failed", _win_sql("event = 'workflow_execution_failed'", 300))
 def log_failed(spark, sf):
-    return MT.window_counts(_log(spark, sf).filter(F.col("event") == S.EV_FAILED), "5 minutes")
+    return MT.window_counts(_log(spark, sf, S.EV_FAILED), "5 minutes")
 
 
 @query("log_cost", _win_sql("event = 'workflow_execution_completed' AND total_cost_usd IS NOT NULL", 300,
@@ -210,14 +210,14 @@ SELECT a.window_start, a.n, b.n AS prev_n FROM ({c}) a JOIN ({c}) b
 
 @query("alarm_errors", _alarm_sql(300))
 def alarm_errors(spark, sf):
-    c = MT.window_counts(_log(spark, sf).filter(F.col("event") == S.EV_FAILED), "5 minutes")
+    c = MT.window_counts(_log(spark, sf, S.EV_FAILED), "5 minutes")
     return MT.alarm(c, 300)
 
 
 @query("alarm_errors_any", _alarm_sql(300).replace("n > 5", "n > 0"))
 def alarm_errors_any(spark, sf):
     """L4 over 300 s periods with threshold 0, which the given events do reach."""
-    c = MT.window_counts(_log(spark, sf).filter(F.col("event") == S.EV_FAILED), "5 minutes")
+    c = MT.window_counts(_log(spark, sf, S.EV_FAILED), "5 minutes")
     return MT.alarm(c, 300, threshold=0)
 
 
@@ -230,13 +230,13 @@ def log_succeeded(spark, sf):
 @query("log_unsuccessful", _win_sql(UNSUCCESSFUL, 300))
 def log_unsuccessful(spark, sf):
     """L2 by success (K13): runs that raised or completed without success."""
-    return MT.window_counts(_unsuccessful(_log(spark, sf)), "5 minutes")
+    return MT.window_counts(_unsuccessful(_log(spark, sf, S.EV_FAILED, S.EV_COMPLETED)), "5 minutes")
 
 
 @query("alarm_errors_1h", _alarm_sql(3600, UNSUCCESSFUL))
 def alarm_errors_1h(spark, sf):
     """L4 by success over one hour."""
-    return MT.alarm(MT.window_counts(_unsuccessful(_log(spark, sf)), "1 hour"), 3600)
+    return MT.alarm(MT.window_counts(_unsuccessful(_log(spark, sf, S.EV_FAILED, S.EV_COMPLETED)), "1 hour"), 3600)
 
 
 @query("rate_5m", """
