@@ -105,18 +105,19 @@ def segments(r: DataFrame, limit: int, window_us: int, width: int) -> DataFrame:
 
 def rate_limit(requests: DataFrame, user: str = "user_id", ts: str = "ts", key: str = "event_id",
                limit: int = S.RATE_LIMIT_REQUESTS, window_seconds: int = S.RATE_LIMIT_WINDOW_SECONDS,
-               buckets: int | None = None, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+               buckets: int | None = None, bucket_seconds: int | None = None) -> DataFrame:
     """U1 (batch): adds `admitted` and `refused` (why not: over_limit, no_time) to every request.
 
     Segments (see `segments`) are hashed into `buckets` partitions (whole segments stay together),
     each sorted by (user, segment, time) and folded as a stream, so memory per task is one Arrow
-    batch plus at most `limit` timestamps.
+    batch plus at most `limit` timestamps. A bucket is `BUCKET_WINDOWS` windows, or `bucket_seconds` (a window at least).
     """
     window_us = window_seconds * 1_000_000
+    width = BUCKET_WINDOWS * window_us if bucket_seconds is None else max(bucket_seconds * 1_000_000, window_us)
     n = buckets or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # request columns ride along through the fold, so no join back to the requests is needed
     r = requests.withColumns({"_id": F.col(key), "_u": who(user), "_t": F.unix_micros(F.col(ts).cast("timestamp"))})
-    timed = segments(r.filter("_t is not null"), limit, window_us, bucket_windows * window_us)
+    timed = segments(r.filter("_t is not null"), limit, window_us, width)
     timed = timed.repartition(n, "_u", "_s").sortWithinPartitions("_u", "_s", "_t", "_id")
     out_schema = T.StructType([f for f in timed.schema.fields if f.name not in ("_s", "_own")]
                               + [T.StructField("admitted", T.BooleanType())])

@@ -44,7 +44,7 @@ def requests(seed):
 def test_equals_the_sequential_fold(spark, seed, limit, window, bucket_windows):
     rows = requests(seed)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = U.rate_limit(df, limit=limit, window_seconds=window, bucket_windows=bucket_windows).collect()
+    got = U.rate_limit(df, limit=limit, window_seconds=window, bucket_seconds=bucket_windows * window).collect()
     assert {r.event_id: r.admitted for r in got} == plain(rows, limit, window)
     assert len(got) == len(rows)
     assert all((r.refused is None) == r.admitted for r in got)
