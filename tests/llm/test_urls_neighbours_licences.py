@@ -266,7 +266,6 @@ def test_notice_anywhere_in_a_long_comment(width):
     """A wrapped notice at every line of a paragraph longer than a window is found as that licence, or not at all
     where its lines are too few among the window's; never as another licence."""
     import textwrap
-    plain = "and then we went over to see what might be there in " + "z" * 3
     for name, text in NOTICES:
         m = licences.Matcher(licences.TEMPLATES, {w: 3 for _, t in licences.TEMPLATES for w in licences.words(t)}, 1000)
         lines = textwrap.wrap(text, width)
@@ -277,7 +276,6 @@ def test_notice_anywhere_in_a_long_comment(width):
             assert got in (alone, None)
             block = m.scan("\n".join([*lines * (at // len(lines) + 1)]))[0]
             assert block == alone == name
-    assert plain
 
 
 def test_cut_does_not_lose_a_notice():
@@ -295,14 +293,12 @@ def test_identifiers():
     assert m.scan("x\n// SPDX-License-Identifier: MIT\ny")[0] == "MIT"
     assert m.scan("# spdx-license-identifier:   GPL-2.0-or-later")[0] == "GPL-2.0"
     assert m.scan("# SPDX-License-Identifier: Some-Other")[0] is None
-    isc = dict(licences.TEMPLATES[::-1])
     assert m.scan("Permission to use, copy, modify, and/or distribute this software for any purpose with or without\n"
                   "fee is hereby granted, provided that the above copyright notice and this permission notice appear in\n"
-                  "all copies.")[0] == "ISC" and isc
+                  "all copies.")[0] == "ISC"
 
 
-@pytest.mark.parametrize("given", [True])
-def test_inheritance_against_brute_force(spark, given):
+def test_inheritance_against_brute_force(spark):
     """Random trees of directories: the nearest ancestor with a licence file, by walking up each path."""
     import random
     rng = random.Random(6)
