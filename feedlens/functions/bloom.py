@@ -48,21 +48,31 @@ def _pieces(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
                                                                                      pa.binary())], names=["piece", "bits"])
 
 
-def key_filter(keys: DataFrame, column: str, bits: int = BITS):
-    """A function from a column to whether its value may be among `keys`' (runs one job over them now)."""
-    spark, schema = keys.sparkSession, "piece int, bits binary"
-    hashes = keys.filter(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"))
+def key_field(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The filter's bytes for a single column of 64-bit hashes (runs one job over them now)."""
+    schema = "piece int, bits binary"
     parts = hashes.mapInArrow(partial(_set_bits, bits=bits), schema).repartition("piece").mapInArrow(_merge, schema)
     field = np.zeros(bits // 8, np.uint8)
     size = min(PIECE, bits // 8)
     for r in parts.collect():  # bits / 8 bytes
         field[r["piece"] * size:(r["piece"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(field)
+    return field
+
+
+def among(h: np.ndarray, field: np.ndarray) -> np.ndarray:
+    """Whether each 64-bit hash may be one of the filter's."""
+    at = places(h, len(field) * 8)
+    hit = field[(at >> np.uint64(3)).astype(np.int64)] & (128 >> (at & np.uint64(7)).astype(np.uint8))
+    return (hit != 0).all(axis=0)
+
+
+def key_filter(keys: DataFrame, column: str, bits: int = BITS):
+    """A function from a column to whether its value may be among `keys`' (runs one job over them now)."""
+    hashes = keys.filter(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"))
+    shared = keys.sparkSession.sparkContext.broadcast(key_field(hashes, bits))
 
     def may_contain(c: Column) -> Column:
         def probe(h: pa.Array) -> pa.Array:
-            at = places(h.to_numpy(zero_copy_only=False), bits)
-            hit = shared.value[(at >> np.uint64(3)).astype(np.int64)] & (128 >> (at & np.uint64(7)).astype(np.uint8))
-            return pa.array((hit != 0).all(axis=0))
+            return pa.array(among(h.to_numpy(zero_copy_only=False), shared.value))
         return F.arrow_udf(probe, "boolean")(F.xxhash64(c))
     return may_contain
