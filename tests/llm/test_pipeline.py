@@ -10,6 +10,7 @@ from feedlens.llm import toxicity
 from feedlens.sources.tables import table
 
 from .test_decontamination import brute_matches
+from .test_expressions import brute_features
 from .test_mixing_sharding import brute_mix, size_of
 from .test_simhash import expect
 
@@ -18,10 +19,10 @@ def brute_pipeline(spark, sf_dir):
     """(doc_id, shard, times) of what the pipeline keeps."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels)
+    known = {r["key"]: (r["pair"], r["ratio"]) for r in model.leaning.collect()}
     rows = []
     for r in docs.collect():
-        z = toxicity.scores(r.text, model) / toxicity.SCALE @ model.curve[:-1] + model.curve[-1]
-        if 1 / (1 + 2.718281828459045 ** -z) < 0.3:
+        if model.probability(brute_features(r.text, model, known)[None])[0] < 0.3:
             rows.append((r.doc_id, r.text, r.source))
     heads = {d for d, _, c in expect([(d, t) for d, t, _ in rows]) if d == c}
     rows = [r for r in rows if r[0] in heads]

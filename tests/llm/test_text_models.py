@@ -69,7 +69,8 @@ def test_kneser_ney_against_dictionaries():
 
 
 def test_gram_counts_cover_all_labelled_rows(docs, labels):
-    got = {r["gram"]: (r["ordinary"], r["toxic"]) for r in toxicity.gram_counts(docs, labels).collect()}
+    counted = toxicity.counts(docs, labels).filter(F.col("kind") == toxicity.BY_CHARACTER)
+    got = {r["key"]: (r["ordinary"], r["toxic"]) for r in counted.collect()}
     want = defaultdict(lambda: [0, 0])
     for r in docs.join(labels, "doc_id").collect():
         if zlib.crc32(str(r["doc_id"]).encode()) % 4 in toxicity.FIT:
@@ -112,7 +113,8 @@ def test_toxicity_edge_cases(spark, odd_docs, no_docs, docs, labels, no_labels):
     assert {r["score"] for r in toxicity.toxicity(odd_docs, no_labels).collect()} == {0.0}
     assert toxicity.without_toxic(odd_docs, no_labels).count() == odd_docs.count()
     model = toxicity.fit(docs, labels)
-    rows = toxicity.with_score(odd_docs.select("doc_id", "text"), model).collect()
+    rows = toxicity.with_score(odd_docs, model, ["doc_id", "score"]).toDF("doc_id", "own", "score").collect()
+    assert {r["own"] for r in rows} == {"own score"}
     assert len(rows) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.toxicity(no_docs, labels).count() == 0
     twice = labels.withColumn("toxic", F.lit(None).cast("int")).unionByName(labels).unionByName(labels.select("doc_id", "quality", "toxic"))
