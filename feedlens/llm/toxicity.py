@@ -47,6 +47,8 @@ PLAIN = np.array([0.0, 0.0, 2.0, 6.0, 0.0, 1.0, 1.0, 0.0, -8.0])
 PLAIN_CHARACTERS = np.array([0.0, 0.0, 2.0, 6.0, 0.0, -8.0])
 #: The first of them are the character model's.
 CHARACTERS = 5
+#: What the characters' curve alone must have above the other, in log odds.
+RESERVE = 1.0
 COUNTS = "kind int, key long, before long, word long, toxic int, n long"
 BY_CHARACTER, BY_WORD = 0, 1
 
@@ -180,7 +182,8 @@ class Model:
     def probability(self, x: np.ndarray) -> np.ndarray:
         """Of rows of scores."""
         x = x / SCALE
-        z = np.maximum(x @ self.curve[:-1] + self.curve[-1], x[:, :CHARACTERS] @ self.characters[:-1] + self.characters[-1])
+        alone = x[:, :CHARACTERS] @ self.characters[:-1] + self.characters[-1] - RESERVE
+        z = np.maximum(x @ self.curve[:-1] + self.curve[-1], alone)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -285,7 +288,7 @@ def with_score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFra
         for k, w in enumerate(curve[:-1] / SCALE[:len(curve) - 1]):
             z = z + F.col("_x")[k] * float(w)
         return z
-    z = F.greatest(line(model.curve), line(model.characters))
+    z = F.greatest(line(model.curve), line(model.characters) - RESERVE)
     # "x" is added last, so that a kept column of that name does not clash
     rows = features(docs, model, keep).toDF(*[f"_keep{k}" for k in range(len(keep))], "_x")
     return rows.select(*[F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)],
