@@ -1,11 +1,12 @@
-"""Expressions of one or two words that lean toxic: class-conditional Kneser-Ney over words, kept as a table.
+"""Expressions that lean toxic: class-conditional Kneser-Ney over words, kept as a table.
 
 Words are runs of letters and digits of any script, lower-cased; in scripts written without blanks each
-letter is a word. An expression is a word, or a word after the word before it; it counts once for each
-labelled document that holds it. The counts are a distributed table that grows with the corpus. A word's
-probability in a class backs off to continuation counts pooled over both classes, that of a word after
-another backs off to the word's. What is left are the expressions whose toxic log-likelihood exceeds the
-ordinary one by more than `EXCESS` and which the toxic class has seen beyond the discount.
+letter is a word. An expression is a word, or in such scripts also a letter after the letter before it; it
+counts once for each labelled document that holds it. The counts are a distributed table that grows with
+the corpus. A word's probability in a class backs off to the documents that hold it, pooled over both
+classes; that of a letter after another backs off to the letter's. What is left are the expressions whose
+toxic log-likelihood exceeds the ordinary one by more than `EXCESS` and which the toxic class has seen
+beyond the discount.
 
 Documents are scanned once. A Bloom filter of fixed size passes on the few hashes that may be leaning
 expressions; these are joined to the table, so neither the table nor the documents' other words move.
@@ -13,6 +14,10 @@ expressions; these are joined to the table, so neither the table nor the documen
 Expressions are known by 64-bit hashes: among 10^10 expressions of a corpus, a document's expression meets
 a stranger's hash about once in 10^9.
 
+Pairs of whole words are not counted: they are nearly as many as the words of all texts, and made the
+shuffle larger than the input. An expression of several words is known by its words and by the
+characters across their blanks.
+
 Edge cases: a null text and one without words have no expressions; a class without rows leaves no leaning
 expression; repeated rows count each for itself.
 """
@@ -33,6 +38,7 @@ EXCESS = 2.0
 #: Words whose hashes a task remembers.
 MEMO = 1 << 19
 
+_letter = re.compile(f"[{UNSPACED}]")
 _word = re.compile(f"[{UNSPACED}]|[^\\W_{UNSPACED}]+")
 _memo: dict[str, int] = {}
 
@@ -61,32 +67,33 @@ def expressions(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found = words(text)
     h = np.fromiter(map(_hash, found), np.uint64, len(found))
     alone = np.unique(h)
-    pair, at = np.unique(keys(h[:-1], h[1:]), return_index=True)
+    before, word = h[:0], h[:0]
+    if _letter.search(text or ""):
+        letter = np.fromiter((_letter.match(w) is not None for w in found), bool, len(found))
+        both = letter[:-1] & letter[1:]
+        before, word = h[:-1][both], h[1:][both]
+    pair, at = np.unique(keys(before, word), return_index=True)
     key = np.concatenate([alone, pair])
-    before = np.concatenate([np.zeros(len(alone), np.uint64), h[:-1][at]])
-    return key.view(np.int64), before.view(np.int64), np.concatenate([alone, h[1:][at]]).view(np.int64)
+    before = np.concatenate([np.zeros(len(alone), np.uint64), before[at]])
+    return key.view(np.int64), before.view(np.int64), np.concatenate([alone, word[at]]).view(np.int64)
 
 
 def leaning(counts: DataFrame) -> DataFrame:
     """(key, pair, ratio) of the expressions that lean toxic, from (key, before, word, ordinary, toxic)."""
     alone, pairs = counts.filter("before = 0"), counts.filter("before != 0")
-    spread = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("after"))
     total = alone.agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic")],
-                      *[F.sum(F.least(c, F.lit(DISCOUNT))).alias(f"cut_{c}") for c in ("ordinary", "toxic")],
-                      F.count(F.lit(1)).alias("words")).first()
-    if not total["words"] or not total["ordinary"] or not total["toxic"]:
+                      *[F.sum(F.least(c, F.lit(DISCOUNT))).alias(f"cut_{c}") for c in ("ordinary", "toxic")]).first()
+    if not total["ordinary"] or not total["toxic"]:
         return counts.select("key", (F.col("before") != 0).alias("pair"), F.lit(0.0).alias("ratio")).filter("false")
-    every = pairs.count() + total["words"]
-    shared = (F.coalesce("after", F.lit(0)) + 1) / every
+    shared = (F.col("ordinary") + F.col("toxic")) / (total["ordinary"] + total["toxic"])
 
     def smoothed(own, cut, of, shorter):
         return (F.greatest(own - DISCOUNT, F.lit(0)) + cut * shorter) / of
 
     # an expression within the discount has no toxic mass of its own, and is never one that leans
     seen = F.col("toxic") > DISCOUNT
-    one = (alone.join(spread, "word", "left")
-           .select("key", "word", "toxic", *[smoothed(F.col(c), F.lit(total[f"cut_{c}"]), F.lit(total[c]), shared)
-                                             .alias(f"p_{c}") for c in ("ordinary", "toxic")]))
+    one = alone.select("key", "word", "toxic", *[smoothed(F.col(c), F.lit(total[f"cut_{c}"]), F.lit(total[c]), shared)
+                                                 .alias(f"p_{c}") for c in ("ordinary", "toxic")])
     few = pairs.filter(seen)
     inside = pairs.join(few.select("before").distinct(), "before", "left_semi").groupBy("before").agg(
         *[F.sum(c).alias(f"all_{c}") for c in ("ordinary", "toxic")],

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,12 +18,11 @@ SF = "/root/testdata/sf0.01"
 
 def brute_expressions(text):
     w = expressions.words(text)
-    return {(None, x) for x in w} | set(zip(w, w[1:]))
+    return {(None, x) for x in w} | {(a, b) for a, b in zip(w, w[1:]) if re.match(f"[{expressions.UNSPACED}]{{2}}$", a + b)}
 
 
 def key_of(before, word):
-    both = [before, word] if before is not None else [word]
-    key, _, _ = expressions.expressions(" ".join(both))
+    key, _, _ = expressions.expressions(word if before is None else before + word)
     return int(key[-1])
 
 
@@ -31,7 +31,6 @@ def brute_leaning(texts):
     n = [Counter(e for t, k in texts if k == c for e in brute_expressions(t)) for c in (0, 1)]
     every = set(n[0]) | set(n[1])
     alone = {e for e in every if e[0] is None}
-    after = Counter(w for v, w in every - alone)
     d = expressions.DISCOUNT
     total = [sum(n[c][e] for e in alone) for c in (0, 1)]
     cut = [sum(min(n[c][e], d) for e in alone) for c in (0, 1)]
@@ -40,11 +39,10 @@ def brute_leaning(texts):
         for c in (0, 1):
             of[c][v] += n[c][v, w]
             cut_of[c][v] += min(n[c][v, w], d)
-    pairs = len(every - alone) + len(alone)
 
     def p(c, v, w):
         if v is None:
-            return (max(n[c][None, w] - d, 0) + cut[c] * (after[w] + 1) / pairs) / total[c]
+            return (max(n[c][None, w] - d, 0) + cut[c] * (n[0][None, w] + n[1][None, w]) / sum(total)) / total[c]
         if not of[c][v]:
             return p(c, None, w)
         return (max(n[c][v, w] - d, 0) + cut_of[c][v] * p(c, None, w)) / of[c][v]
@@ -74,8 +72,8 @@ def labels(spark):
 
 def test_words_and_expressions_of_any_script():
     assert expressions.words("Don't ÉTÉ_2 пример 你好 ไท") == ["don", "t", "été", "2", "пример", "你", "好", "ไ", "ท"]
-    key, before, word = expressions.expressions("a b a b")
-    assert len(key) == 4 and (before == 0).sum() == 2 and len(set(word.tolist())) == 2
+    key, before, word = expressions.expressions("你好 你 a b a")
+    assert len(key) == 6 and (before == 0).sum() == 4 and len(set(word.tolist())) == 4  # 你好 and 好你
     for empty in (None, "", " ..\n"):
         assert [len(c) for c in expressions.expressions(empty)] == [0, 0, 0]
     assert len(expressions.expressions("one")[0]) == 1
@@ -83,15 +81,15 @@ def test_words_and_expressions_of_any_script():
 
 def test_leaning_against_dictionaries(spark, docs, labels):
     rng = random.Random(3)
-    common = [f"w{k}" for k in range(60)]
+    common = [f"w{k}" for k in range(40)] + list("老人回家在磨坊边的树下")
     rows = []
     for k in range(400):
         w = rng.choices(common, k=20)
         toxic = int(k % 4 == 0)
         if toxic:
-            w[3:5] = ["bad", rng.choice(["w1", "w2"])]
+            w[3:6] = ["bad", "蠢", rng.choice("货人")]
         if rng.random() < 0.1:
-            w[8] = "bad" if not toxic else "odd"
+            w[8] = "蠢" if not toxic else "odd"
         rows.append((k, " ".join(w), toxic))
     made = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     fitting = [(t, x) for k, t, x in rows if zlib.crc32(str(k).encode()) % 4 in toxicity.FIT]
@@ -99,7 +97,7 @@ def test_leaning_against_dictionaries(spark, docs, labels):
     counted = toxicity.counts(made.select("doc_id", "text"), made.select("doc_id", "toxic"))
     got = {r["key"]: (r["pair"], r["ratio"]) for r in
            expressions.leaning(counted.filter(F.col("kind") == toxicity.BY_WORD)).collect()}
-    assert want and set(got) == set(want)
+    assert {True, False} == {pair for pair, _ in want.values()} and set(got) == set(want)
     for k, (pair, ratio) in want.items():
         assert got[k] == (pair, pytest.approx(ratio, abs=2e-6))
 
