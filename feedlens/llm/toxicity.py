@@ -11,7 +11,9 @@ reads new forms of known stems.
 Words: what the corpus tells of single expressions, in any script, is a distributed table of counts of
 words and pairs of words that grows with the corpus (`expressions`); the documents' few expressions
 that may lean toxic are joined to it. A logistic curve over the scores of both, fitted on another fold,
-turns them into a probability. A score is a function of the text, and is carried by two hashes of it.
+turns them into a probability; each row teaches it twice, once as if its expressions were new, so that what
+the words tell does not outweigh forms that only the characters know. A score is a function of the text,
+and is carried by two hashes of it.
 
 Edge cases: null and empty texts score as a text without words; a label that is null counts as no
 label, a doc_id with several labels as toxic if any is; without labels of both classes every score
@@ -44,11 +46,8 @@ EXCESS = 2.0
 #: Scales that bring the scores to about one, and the curve used when the tuning fold lacks a class.
 SCALE = np.array([0.5, 2.0, 10.0, 10.0, 10.0, 4.0, 4.0, 1.0])
 PLAIN = np.array([0.0, 0.0, 2.0, 6.0, 0.0, 1.0, 1.0, 0.0, -8.0])
-PLAIN_CHARACTERS = np.array([0.0, 0.0, 2.0, 6.0, 0.0, -8.0])
 #: The first of them are the character model's.
 CHARACTERS = 5
-#: What the characters' curve alone must have above the other, in log odds.
-RESERVE = 1.0
 COUNTS = "kind int, key long, before long, word long, toxic int, n long"
 BY_CHARACTER, BY_WORD = 0, 1
 
@@ -172,18 +171,15 @@ def ratios(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     """ratio: log-likelihood ratio by character n-gram; leaning: the table of expressions; field: the Bloom
-    filter of its keys; curve: weights of the scores, the intercept last; characters: of theirs alone."""
+    filter of its keys; curve: weights of the scores, the intercept last."""
     ratio: np.ndarray
     leaning: DataFrame
     field: np.ndarray
     curve: np.ndarray
-    characters: np.ndarray
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         """Of rows of scores."""
-        x = x / SCALE
-        alone = x[:, :CHARACTERS] @ self.characters[:-1] + self.characters[-1] - RESERVE
-        z = np.maximum(x @ self.curve[:-1] + self.curve[-1], alone)
+        z = x / SCALE @ self.curve[:-1] + self.curve[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -204,7 +200,12 @@ def scores(text: str | None, ratio: np.ndarray) -> np.ndarray:
 
 
 def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the intercept."""
+    """Ridge logistic regression by Newton steps; the last weight is the intercept.
+
+    Each row counts once as it is and once without its scores by words.
+    """
+    new = x * (np.arange(x.shape[1]) < CHARACTERS)
+    x, y = np.concatenate([x, new]), np.concatenate([y, y])
     x = np.column_stack([x, np.ones(len(x))])
     w, pull = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(steps):
@@ -223,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     dense = np.zeros((2, 1 << 5 * ORDER))
     dense[:, got["key"]] = got["ordinary"], got["toxic"]
     leaning = settle(expressions.leaning(counted.filter(F.col("kind") == BY_WORD).drop("kind")))
-    model = Model(ratios(*dense), leaning, key_field(leaning.select("key")), PLAIN, PLAIN_CHARACTERS)
+    model = Model(ratios(*dense), leaning, key_field(leaning.select("key")), PLAIN)
     chosen = fold(F.col("doc_id"), FOLDS) == TUNE
     known = _labels(labels).filter(chosen).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TUNE_ROWS)
     # of rows repeating an id, the one whose text hashes lowest: TUNE_ROWS at most
@@ -232,8 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     tune = features(rows, model, ["toxic"]).toPandas()
     y = tune["toxic"].to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
-        x = np.stack(tune["x"].to_numpy()) / SCALE
-        model.curve, model.characters = _curve(x, y), _curve(x[:, :CHARACTERS], y)
+        model.curve = _curve(np.stack(tune["x"].to_numpy()) / SCALE, y)
     return model
 
 
@@ -282,13 +282,9 @@ def with_score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFra
     """`keep` of `docs`, and score, the probability of being toxic."""
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
-
-    def line(curve):
-        z = F.lit(float(curve[-1]))
-        for k, w in enumerate(curve[:-1] / SCALE[:len(curve) - 1]):
-            z = z + F.col("_x")[k] * float(w)
-        return z
-    z = F.greatest(line(model.curve), line(model.characters) - RESERVE)
+    z = F.lit(float(model.curve[-1]))
+    for k, w in enumerate(model.curve[:-1] / SCALE):
+        z = z + F.col("_x")[k] * float(w)
     # "x" is added last, so that a kept column of that name does not clash
     rows = features(docs, model, keep).toDF(*[f"_keep{k}" for k in range(len(keep))], "_x")
     return rows.select(*[F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)],
