@@ -420,3 +420,17 @@ def test_retry_failed_counts_missing_keys_as_a_key(spark):
     df = spark.createDataFrame(rows, "run_id string, user_id long, source string, success boolean, started_at timestamp")
     assert sorted(r.run_id for r in Hs_.retry_failed(df).collect()) == ["c", "d"]
 
+
+
+def test_registry_takes_the_gauge_from_the_peaks_of_all_periods(spark):
+    from feedlens.operators import metrics as MT_
+    t, minute = datetime(2024, 1, 1), timedelta(minutes=1)
+    times = [(t, t + 12 * minute), (t, t + 10.5 * minute), (t + 11 * minute, t + 20 * minute)]
+    rows = [(a, b, "google", "m", False, True, False, 1.0, 0.01, 0.1, 5, 6) for a, b in times]
+    runs = spark.createDataFrame(rows, "started_at timestamp, completed_at timestamp, provider string, model string, "
+                                 "raised boolean, success boolean, from_cache boolean, duration_s double, cost_usd double, "
+                                 "risk double, tokens_input long, tokens_output long")
+    steps = spark.createDataFrame([], "step string, provider string, status string, started_at timestamp, completed_at timestamp")
+    checks = spark.createDataFrame([], "approved boolean, rejection_reason string")
+    lines = MT_.registry(runs, steps, checks).filter("family = 'active_workflows' and pos = 2").collect()
+    assert [float(r.line.split()[-1]) for r in lines] == [1.0]  # the last period is entered with one run; two run when the last starts
