@@ -22,7 +22,7 @@ from .text import strip_ws
 OPEN_FENCE = r"```(?:json)?\s*(\{[\s\S]*)"
 FENCE_MARK = r"```(?:json)?"
 TRAILING_COMMA = r",(\s*[}\]])"
-CLOSED = r"^(\{[\s\S]*?\})\s*```"
+CLOSED = r"\}\s*```"
 
 STRATEGIES = ("direct", "fenced", "open_fence", "longest", "first", "cleaned", "regex", "rejected")
 
@@ -59,64 +59,104 @@ def brace_spans(opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def nested_spans(opens: np.ndarray) -> Iterator[tuple[int, int]]:
     """First and last brace of each `{...}` that holds no deeper objects than plain `{...}`, left to right.
 
-    An object starts at `{`, goes on over closed pairs, and ends at `}`; where another brace follows, none
-    starts there. The pairs that such an attempt has read are objects themselves, so no brace is read often.
+    Pairs `{` `}` with no brace in between are plain. Of the other braces, a `{` right before a `}` makes an object
+    with the plain pairs between them; the plain pairs that are in no such object are objects themselves.
     """
-    kinds, i, n = opens.tolist(), 0, len(opens)
-    while i < n:
-        j = i + 1
-        while kinds[i] and j + 1 < n and kinds[j] and not kinds[j + 1]:
-            j += 2
-        if kinds[i] and j < n and not kinds[j]:
-            yield i, j
-            i = j + 1
-        else:
-            i += 1
-
-
-def _scan(text: pa.Array, tail: pa.Array) -> pa.Array:
+    return zip(*(x.tolist() for x in _nested(opens)))
+
+
+def _nested(opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    plain = np.flatnonzero(opens[:-1] & ~opens[1:])
+    other = np.ones(len(opens), bool)
+    other[plain] = other[plain + 1] = False
+    rest = np.flatnonzero(other)
+    at = np.flatnonzero(opens[rest][:-1] & ~opens[rest][1:])
+    firsts, lasts = rest[at], rest[at + 1]
+    k = np.searchsorted(firsts, plain) - 1  # the last object that starts before the pair
+    inside = (k >= 0) & (lasts[np.maximum(k, 0)] > plain) if len(firsts) else np.zeros(len(plain), bool)
+    firsts, lasts = np.append(firsts, plain[~inside]), np.append(lasts, plain[~inside] + 1)
+    order = np.argsort(firsts)
+    return firsts[order], lasts[order]
+
+
+_MAY_FOLLOW = np.isin(np.arange(256), np.frombuffer(b'"} \t\n\r', np.uint8))
+
+
+class _Lists:
+    """Lists of strings, row by row, kept as bytes and lengths."""
+
+    def __init__(self) -> None:
+        self.bytes, self.lengths, self.rows = [], [], []
+
+    def add(self, raw: np.ndarray | None, at: np.ndarray | None, likely: bool) -> None:
+        """The balanced objects of one text with braces `at`; `likely`: less those that cannot be JSON by their start."""
+        if raw is None:
+            self.rows.append(None)
+            return
+        firsts, lasts = brace_spans(raw[at] == ord("{"))
+        a, b = at[firsts], at[lasts] + 1
+        if likely:
+            good = _MAY_FOLLOW[raw[a + 1]]
+            a, b = a[good], b[good]
+        edge = np.zeros(len(raw) + 1, np.int8)
+        edge[a] += 1
+        edge[b] -= 1  # an object may start where another ends
+        self.bytes.append(raw[np.cumsum(edge[:-1], dtype=np.int8).view(bool)])
+        self.lengths.append(b - a)
+        self.rows.append(len(a))
+
+    def array(self) -> pa.ListArray:
+        none = [n is None for n in self.rows]
+        ends = np.cumsum([0, *(n or 0 for n in self.rows)])
+        values = _strings(self.bytes, np.concatenate([*self.lengths, np.zeros(0, np.int64)]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(none, False)), values)
+
+
+def _strings(parts: list[np.ndarray], lengths: np.ndarray) -> pa.StringArray:
+    data = np.concatenate([*parts, np.zeros(0, np.uint8)])
+    offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+def _longest_nested(raw: np.ndarray, at: np.ndarray) -> bytes | None:
+    firsts, lasts = _nested(raw[at] == ord("{"))
+    if not len(firsts):
+        return None
+    chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))  # characters before each byte
+    a, b = at[firsts], at[lasts] + 1
+    k = int(np.argmax(chars[b] - chars[a]))  # the first of equals
+    return raw[a[k]:b[k]].tobytes()
+
+
+def _scanner(likely: bool):
     """Per row the objects of `text` and of `tail` by depth, and the longest of one nested level in `text`."""
-    def objects(value):
+    def braces(value):
         if not value.is_valid:
             return None, None
         raw = np.frombuffer(value.as_buffer(), np.uint8)  # braces are one byte each, whatever surrounds them
-        at = np.flatnonzero((raw == ord("{")) | (raw == ord("}")))
-        return raw, at
+        return raw, np.flatnonzero((raw == ord("{")) | (raw == ord("}")))
 
-    def cut(raw, at):
-        if raw is None:
-            return None
-        firsts, lasts = brace_spans(raw[at] == ord("{"))
-        return [raw[a:b + 1].tobytes() for a, b in zip(at[firsts].tolist(), at[lasts].tolist())]
-
-    rows = []
-    for t, u in zip(text, tail):
-        raw, at = objects(t)
-        longest = None
-        if raw is not None and len(at):
-            chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))  # characters before each byte
-            spans = [(int(at[i]), int(at[j]) + 1) for i, j in nested_spans(raw[at] == ord("{"))]
-            a, b = max(spans, key=lambda s: chars[s[1]] - chars[s[0]], default=(0, 0))
-            longest = raw[a:b].tobytes() if spans else None
-        rows.append((cut(raw, at), cut(*objects(u)), longest))
-    names = ["objects", "fenced", "nested"]
-    lists = [_texts([r[k] for r in rows]) for k in (0, 1)]
-    return pa.StructArray.from_arrays([*lists, pa.array([r[2] for r in rows], pa.binary()).view(pa.string())], names=names)
-
-
-def _texts(rows: list[list[bytes] | None]) -> pa.ListArray:
-    flat = pa.array([x for r in rows for x in r or []], pa.binary()).view(pa.string())
-    ends = np.cumsum([len(r or []) for r in rows])
-    offsets = pa.array(np.append(0, ends), pa.int32(), mask=np.append([r is None for r in rows], False))
-    return pa.ListArray.from_arrays(offsets, flat)
+    def run(text: pa.Array, tail: pa.Array) -> pa.Array:
+        objects, fenced, nested = _Lists(), _Lists(), []
+        for t, u in zip(text, tail):
+            raw, at = braces(t)
+            objects.add(raw, at, likely)
+            fenced.add(*braces(u), likely)
+            nested.append(_longest_nested(raw, at) if raw is not None and len(at) else None)
+        return pa.StructArray.from_arrays([objects.array(), fenced.array(), pa.array(nested, pa.binary()).view(pa.string())],
+                                          names=["objects", "fenced", "nested"])
+    return run
 
 
 _SCANNED = "struct<objects: array<string>, fenced: array<string>, nested: string>"
 
 
-def scan(text: Column, tail: Column | None = None) -> Column:
-    """The braces of an answer, read once: see `_scan`. Null texts give null."""
-    return F.arrow_udf(_scan, _SCANNED)(text, F.lit(None).cast("string") if tail is None else tail)
+def scan(text: Column, tail: Column | None = None, likely: bool = False) -> Column:
+    """The braces of an answer, read once: see `_scanner`. Null texts give null.
+
+    With `likely` objects that start with what no JSON object starts with are left out.
+    """
+    return F.arrow_udf(_scanner(likely), _SCANNED)(text, F.lit(None).cast("string") if tail is None else tail)
 
 
 def brace_objects(c: Column) -> Column:
@@ -139,33 +179,39 @@ def _stages(content: str) -> list[dict[str, Column]]:
     """Column sets of the salvage stages for one content column (built once per context)."""
     c = F.col(content)
     # the first fence that opens an object; no later one can be closed if it is not
-    tail = F.regexp_extract(c, OPEN_FENCE, 1)
-    fenced = F.regexp_extract("_tail", CLOSED, 1)
+    tail = F.when(F.contains(c, F.lit("```")), F.regexp_extract(c, OPEN_FENCE, 1)).otherwise(F.when(c.isNotNull(), F.lit("")))
+    # up to the first brace that a closing fence follows
+    upto = F.split("_tail", CLOSED, 2)
+    fenced = F.when(F.col("_tail") != "", F.when(F.size(upto) == 2, F.concat(upto[0], F.lit("}")))).otherwise(F.lit(""))
     quick = (F.when(is_json_object(c), F.struct(c.alias("j"), F.lit("direct").alias("s")))
-             .when((fenced != "") & is_json_object(fenced), F.struct(fenced.alias("j"), F.lit("fenced").alias("s"))))
+             .when((F.col("_fenced") != "") & is_json_object(F.col("_fenced")),
+                   F.struct(F.col("_fenced").alias("j"), F.lit("fenced").alias("s"))))
     unsolved = F.col("_quick").isNull()
-    scanned = scan(F.when(unsolved, c), F.when(unsolved & (F.col("_tail") != ""), strip_ws(F.col("_tail"))))
+    scanned = scan(F.when(unsolved, c), F.when(unsolved & (F.col("_tail") != ""), strip_ws(F.col("_tail"))), likely=True)
     tested = {"_objs": _tested(F.col("_scan.objects")), "_open": _first(_tested(F.col("_scan.fenced")))}
     # equal lengths keep text order, like a stable sort by falling length
     longest = F.array_min(F.transform(
         F.filter("_objs", lambda x: x["ok"] & (F.size(F.json_object_keys(x["o"])) > 2)),
         lambda x: F.struct(x["less"], x["i"], x["o"].alias("o"))))["o"]
-    first = _first(F.col("_objs"))
-    cleaned_base = strip_ws(F.regexp_replace(c, FENCE_MARK, ""))
-    cleaned = F.regexp_replace(F.regexp_replace(cleaned_base, "\n", " "), TRAILING_COMMA, "$1")
-    cleaned_ok = cleaned_base.startswith("{") & cleaned_base.endswith("}") & is_json_object(cleaned)
-    regex_longest = F.col("_scan.nested")
-    pick = (
+    best = {"_longest": F.when(F.col("_open").isNull(), longest), "_first": _first(F.col("_objs"))}
+    found = (
         F.when(F.col("_quick").isNotNull(), F.col("_quick"))
         .when(F.col("_open").isNotNull(), F.struct(F.col("_open").alias("j"), F.lit("open_fence").alias("s")))
-        .when(longest.isNotNull(), F.struct(longest.alias("j"), F.lit("longest").alias("s")))
-        .when(first.isNotNull(), F.struct(first.alias("j"), F.lit("first").alias("s")))
-        .when(cleaned_ok, F.struct(cleaned.alias("j"), F.lit("cleaned").alias("s")))
-        .when(regex_longest.isNotNull() & is_json_object(regex_longest),
-              F.struct(regex_longest.alias("j"), F.lit("regex").alias("s")))
+        .when(F.col("_longest").isNotNull(), F.struct(F.col("_longest").alias("j"), F.lit("longest").alias("s")))
+        .when(F.col("_first").isNotNull(), F.struct(F.col("_first").alias("j"), F.lit("first").alias("s"))))
+    base = F.when(F.col("_found").isNull(), strip_ws(F.regexp_replace(c, FENCE_MARK, "")))
+    cleaned = F.when(F.col("_base").startswith("{") & F.col("_base").endswith("}"),
+                     F.regexp_replace(F.regexp_replace("_base", "\n", " "), TRAILING_COMMA, "$1"))
+    nested = F.when(F.col("_found").isNull(), F.col("_scan.nested"))
+    pick = (
+        F.when(F.col("_found").isNotNull(), F.col("_found"))
+        .when(F.col("_cleaned").isNotNull() & is_json_object(F.col("_cleaned")),
+              F.struct(F.col("_cleaned").alias("j"), F.lit("cleaned").alias("s")))
+        .when(F.col("_nested").isNotNull() & is_json_object(F.col("_nested")),
+              F.struct(F.col("_nested").alias("j"), F.lit("regex").alias("s")))
         .otherwise(F.struct(F.lit(None).cast("string").alias("j"), F.lit("rejected").alias("s"))))
-    return [{"_tail": tail}, {"_quick": quick}, {"_scan": scanned}, tested, {"_pick": pick},
-            {"json_text": F.col("_pick.j"), "strategy": F.col("_pick.s")}]
+    return [{"_tail": tail}, {"_fenced": fenced}, {"_quick": quick}, {"_scan": scanned}, tested, best, {"_found": found},
+            {"_base": base, "_nested": nested}, {"_cleaned": cleaned}, {"_pick": pick}]
 
 
 def salvage(df: DataFrame, content: str = "content") -> DataFrame:
@@ -173,4 +219,5 @@ def salvage(df: DataFrame, content: str = "content") -> DataFrame:
     out = df
     for stage in _stages(content):
         out = out.withColumns(stage)
-    return out.drop("_tail", "_quick", "_scan", "_objs", "_open", "_pick")
+    # one row for one: a filter by strategy stays above, else it would run the whole salvage a second time
+    return out.select(*df.columns, F.inline(F.array(F.struct(F.col("_pick.j").alias("json_text"), F.col("_pick.s").alias("strategy")))))

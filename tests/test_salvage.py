@@ -88,3 +88,15 @@ def test_first_closed_fence_is_taken(spark):
     df = spark.createDataFrame([(c,) for c, _, _ in cases], "content string")
     got = [(r.strategy, r.json_text) for r in J.salvage(df).select("strategy", "json_text").collect()]
     assert got == [(s, j) for _, s, j in cases]
+
+
+def test_a_filter_by_strategy_does_not_salvage_twice(spark):
+    df = spark.createDataFrame([('{"a": 1} and {"b": 2}',)], "content string")
+    plan = J.salvage(df).filter("strategy = 'first'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_objects_that_cannot_be_json_are_left_out_when_asked(spark):
+    df = spark.createDataFrame([('{x} { "a": 1}{"b": {}}{}',), (None,), ("é {é} {\n}",)], "t string")
+    got = [r.s and r.s.objects for r in df.select(J.scan(F.col("t"), likely=True).alias("s")).collect()]
+    assert got == [['{ "a": 1}', '{"b": {}}', "{}"], None, ["{\n}"]]
