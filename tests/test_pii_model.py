@@ -70,3 +70,11 @@ def test_long_notes_in_moderate_time():
     t0 = time.time()
     assert spans(note, note.replace("Ann", M.MARK)) == [("other", "Ann")]
     assert time.time() - t0 < 20
+
+
+def test_notes_are_aligned_once(spark):
+    df = spark.createDataFrame([("1", "Contact Ada Lovelace said: mail a@b.org now", "Contact [REDACTED] said: mail [REDACTED] now")],
+                               "request_id string, content string, redacted_text string")
+    spans = M.model_pii_table(df)
+    assert [(r.pii_type, r.value) for r in spans.collect()] == [("name", "Ada Lovelace")]  # the address by pattern is left out
+    assert spans._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
