@@ -111,60 +111,105 @@ def rocksdb_state(spark: SparkSession):
 
 
 FOLDED = "id string, ts_us long, decision boolean, late boolean"
-#: Time span of one piece of the reorder buffer: what is held in memory of a key at once.
+#: Step of event time at which requests are decided.
 PIECE_SECONDS = 60
+#: Event time of one entry of the reorder buffer: what is held in memory of a bucket at once.
+SPAN_SECONDS = 7 * 86_400
+#: Buckets that the keys are dealt into by hash; each is one group of the state.
+BUCKETS = 4096
 
 
-def _ordered_fold(step, life_us: int, piece_us: int):
-    """A state processor that buffers a key's rows by time piece and folds a piece once the watermark has passed it.
+def _ordered_fold(column: str, step, life_us: int, piece_us: int, span_us: int):
+    """A state processor that buffers a bucket's rows by time span and folds them once the watermark has passed them.
 
-    `step(memory, times)` gives the new memory (sorted times) and a decision for each of the sorted times. Timers
-    fire in time order, so pieces are folded in that order; a row whose piece is already past comes out as `late`,
-    undecided. A key's memory is dropped `life_us` after its last time.
+    `step(memory, times)` gives a key's new memory (sorted times) and a decision for each of the sorted times. A row
+    is passed when its piece is; spans are folded in time order. A row whose piece is already past when it comes is
+    `late`, undecided. A key's memory is dropped `life_us` after its last time. Calls of the state are a few for
+    a bucket and span, however many keys and rows it has.
     """
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
     from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-    memory_schema = StructType([StructField("times", ArrayType(LongType()))])
-    piece_key = StructType([StructField("piece", LongType())])
-    piece_rows = StructType([StructField("ids", ArrayType(StringType())), StructField("times", ArrayType(LongType()))])
+    strings, longs = ArrayType(StringType()), ArrayType(LongType())
+    memory_schema = StructType([StructField("keys", strings), StructField("times", ArrayType(longs))])
+    span_key = StructType([StructField("span", LongType())])
+    span_rows = StructType([StructField("keys", strings), StructField("ids", strings), StructField("times", longs)])
+
+    def ends(times):
+        return (times // piece_us + 1) * piece_us
 
     class Fold(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
             self.memory = handle.getValueState("memory", memory_schema)
-            self.pieces = handle.getMapState("pieces", piece_key, piece_rows)
+            self.spans = handle.getMapState("spans", span_key, span_rows)
+
+        def _wake(self, at_us: int) -> None:
+            self.handle.registerTimer(-(-int(at_us) // 1000))
+
+        def _store(self, span: int, keys, ids, times) -> None:
+            self.spans.updateValue((span,), (list(keys), list(ids), [int(t) for t in times]))
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            passed, first = timerValues.getCurrentWatermarkInMs() * 1000, None
             for pdf in rows:  # one Arrow batch at a time
-                piece = pdf["ts_us"] // piece_us
-                late = (piece + 1) * piece_us <= passed
+                pdf = pdf[pdf["ts_us"].notna()]
+                late = ends(pdf["ts_us"]) <= passed
                 if late.any():
                     out = pdf.loc[late, ["id", "ts_us"]].copy()
                     out["decision"], out["late"] = False, True
                     yield out
-                for p, part in pdf[~late].groupby(piece[~late]):
-                    held = self.pieces.getValue((int(p),)) if self.pieces.containsKey((int(p),)) else ([], [])
-                    self.pieces.updateValue((int(p),), ([*held[0], *part["id"]], [*held[1], *map(int, part["ts_us"])]))
-                    if not held[0]:
-                        self.handle.registerTimer(-(-(int(p) + 1) * piece_us // 1000))
+                pdf = pdf[~late]
+                for span, part in pdf.groupby(pdf["ts_us"] // span_us):
+                    at = (int(span),)
+                    held = self.spans.getValue(at) if self.spans.containsKey(at) else ([], [], [])
+                    self._store(at[0], [*held[0], *part[column]], [*held[1], *part["id"]], [*held[2], *part["ts_us"]])
+                    soonest = int(ends(part["ts_us"]).min())
+                    first = soonest if first is None else min(first, soonest)
+            if first is not None:
+                self._wake(first)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
-            memory = list(self.memory.get()[0]) if self.memory.exists() else []
-            piece = (now_us // piece_us) - 1
-            if self.pieces.containsKey((piece,)):
-                ids, times = self.pieces.getValue((piece,))
-                self.pieces.removeKey((piece,))
-                order = sorted(range(len(ids)), key=lambda k: (times[k], ids[k]))
-                sorted_times = np.array([times[k] for k in order], np.int64)
-                memory, decisions = step(memory, sorted_times)
-                if memory:
-                    self.memory.update((memory,))
-                    self.handle.registerTimer(-(-(memory[-1] + life_us) // 1000))
-                yield pd.DataFrame({"id": [ids[k] for k in order], "ts_us": sorted_times, "decision": decisions, "late": False})
-            elif memory and memory[-1] + life_us <= now_us:
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            kept = self.memory.get() if self.memory.exists() else ([], [])
+            memory = dict(zip(kept[0], kept[1]))
+            for span in sorted(k[0] for k in self.spans.keys()):
+                if span * span_us + piece_us > passed:
+                    self._wake(span * span_us + piece_us)
+                    break
+                keys, ids, times = self.spans.getValue((span,))
+                keys, ids = np.array(keys, object), np.array(ids, object)
+                times = np.array(times, np.int64)
+                due = ends(times) <= passed
+                if due.any():
+                    yield self._fold(memory, keys[due], ids[due], times[due])
+                if due.all():
+                    self.spans.removeKey((span,))
+                else:
+                    if due.any():
+                        self._store(span, keys[~due], ids[~due], times[~due])
+                    self._wake(ends(times[~due]).min())
+                    break
+            self._keep(memory, bool(kept[0]), passed // piece_us * piece_us)
+
+        def _fold(self, memory: dict, keys, ids, times) -> pd.DataFrame:
+            """Decide rows in the order of key, time and id; `memory` moves on."""
+            order = np.lexsort((pd.factorize(ids, sort=True)[0], times, pd.factorize(keys)[0]))
+            keys, ids, times = keys[order], ids[order], times[order]
+            starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            decisions = np.zeros(len(keys), bool)
+            for a, z in zip(starts, starts[1:]):
+                memory[keys[a]], decisions[a:z] = step(list(memory.get(keys[a], [])), times[a:z])
+            return pd.DataFrame({"id": ids, "ts_us": times, "decision": decisions, "late": False})
+
+        def _keep(self, memory: dict, had: bool, upto_us: int) -> None:
+            """Store the memory of keys that rows after `upto_us` can still see; a timer drops the last of them."""
+            alive = {k: [int(t) for t in times] for k, times in memory.items() if times[-1] + life_us > upto_us}
+            if alive:
+                self.memory.update((list(alive), list(alive.values())))
+                last = max(times[-1] for times in alive.values()) + life_us
+                self._wake(-(-last // piece_us) * piece_us)
+            elif had:
                 self.memory.clear()
 
         def close(self) -> None:
@@ -173,12 +218,14 @@ def _ordered_fold(step, life_us: int, piece_us: int):
     return Fold()
 
 
-def _in_order(rows: DataFrame, key: str, step, life_us: int, delay: str, piece_seconds: int) -> DataFrame:
+def _in_order(rows: DataFrame, key: str, step, life_us: int, delay: str, piece_seconds: int, span_seconds: int,
+              buckets: int) -> DataFrame:
     """rows(`key`, id, ts) → FOLDED by a state processor; the watermark follows `ts`, `delay` behind."""
-    r = rows.withWatermark("ts", delay).select(key, "id", F.unix_micros("ts").alias("ts_us"))
-    return r.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_ordered_fold(step, life_us, piece_seconds * 1_000_000),
-        outputStructType=FOLDED, outputMode="Append", timeMode="EventTime")
+    r = rows.withWatermark("ts", delay).select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), key, "id",
+                                               F.unix_micros("ts").alias("ts_us"))
+    fold = _ordered_fold(key, step, life_us, piece_seconds * 1_000_000, span_seconds * 1_000_000)
+    return r.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=fold, outputStructType=FOLDED, outputMode="Append", timeMode="EventTime")
 
 
 def _cache_step(ttl_us: int):
@@ -194,18 +241,20 @@ def _cache_step(ttl_us: int):
 
 
 def cache_stream(requests: DataFrame, ttl_seconds: int = S.CACHE_TTL_SECONDS, delay: str = "10 minutes",
-                 piece_seconds: int = PIECE_SECONDS) -> DataFrame:
+                 piece_seconds: int = PIECE_SECONDS, span_seconds: int = SPAN_SECONDS, buckets: int = BUCKETS) -> DataFrame:
     """H9: requests(request_id, cache_key, requested_at) → request_id, hit, late; a request within the TTL of
     its key's last computed result is a hit.
 
     Requests are decided in event-time order once the watermark has passed them, so any split into
     micro-batches gives the same decisions. State is one time a key and the rows still ahead of the watermark;
     a key's time is dropped after its TTL. A request that comes behind the watermark is `late` and no hit: it is
-    computed, and does not move the entry. Needs the RocksDB state store provider.
+    computed, and does not move the entry. Keys are dealt into `buckets`, whose state is read and written as one;
+    a bucket's requests of `span_seconds` are in memory at once. Needs the RocksDB state store provider.
     """
     rows = requests.select("cache_key", F.col("request_id").alias("id"), F.col("requested_at").cast("timestamp").alias("ts"))
     ttl_us = ttl_seconds * 1_000_000
-    return _in_order(rows, "cache_key", _cache_step(ttl_us), ttl_us, delay, piece_seconds).select(
+    return _in_order(rows, "cache_key", _cache_step(ttl_us), ttl_us, delay, piece_seconds, span_seconds,
+                     buckets).select(
         F.col("id").alias("request_id"), F.col("decision").alias("hit"), "late")
 
 
@@ -220,7 +269,8 @@ def _rate_step(limit: int, window_us: int):
 
 def rate_limit_stream(requests: DataFrame, limit: int = S.RATE_LIMIT_REQUESTS,
                       window_seconds: int = S.RATE_LIMIT_WINDOW_SECONDS, delay: str = "10 minutes",
-                      piece_seconds: int = PIECE_SECONDS) -> DataFrame:
+                      piece_seconds: int = PIECE_SECONDS, span_seconds: int = SPAN_SECONDS,
+                      buckets: int = BUCKETS) -> DataFrame:
     """U1 (stream): requests(event_id, user_id, ts) → event_id, admitted, late.
 
     Requests are decided in event-time order once the watermark has passed them, so any split into micro-batches
@@ -232,7 +282,8 @@ def rate_limit_stream(requests: DataFrame, limit: int = S.RATE_LIMIT_REQUESTS,
     window_us = window_seconds * 1_000_000
     rows = requests.select(who("user_id").alias("user"), F.col("event_id").cast("string").alias("id"),
                            F.col("ts").cast("timestamp").alias("ts"))
-    return _in_order(rows, "user", _rate_step(limit, window_us), window_us, delay, piece_seconds).select(
+    return _in_order(rows, "user", _rate_step(limit, window_us), window_us, delay, piece_seconds, span_seconds,
+                     buckets).select(
         F.col("id").cast("long").alias("event_id"), F.col("decision").alias("admitted"), "late")
 
 

@@ -171,3 +171,12 @@ def test_rows_behind_the_watermark_are_dropped(spark):
     ST.run_update_to_parquet(agg, out, ck)
     got = ST.latest_rows(spark, out, ["window_start"]).collect()
     assert sorted(r.window_start for r in got) == [T0, T0 + timedelta(minutes=300), T0 + timedelta(minutes=400)]
+
+
+def test_keys_of_a_bucket_share_one_state(spark):
+    """State is read and written by bucket: many keys with one request each are few entries, decided as ever."""
+    batches = [[_row(f"{i}-{m}", f"k{i}", m) for i in range(50)] for m in (0, 30, 90)]
+    rows, q = _run(spark, ST.cache_stream(_feed(spark, [*batches, [BEAT]]), buckets=4))
+    assert {r.request_id: r.hit for r in rows if r.request_id} == {
+        f"{i}-{m}": m == 30 for i in range(50) for m in (0, 30, 90)}
+    assert max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]) <= 12
