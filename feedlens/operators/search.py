@@ -1,6 +1,7 @@
 """Q9 with indexes: substrings of contents by trigrams, customer ids by deletion neighbourhoods.
 
-A content that holds a text holds all of the text's trigrams, so only rows with all of them are read and verified. Two
+A content that holds a text holds all of the text's trigrams, so only rows with all of them are read and verified. A
+trigram is stored with lists of the keys that have it, gathered in the tasks that read the contents. Two
 ids within two edits of each other become equal when at most two characters are left out of each (an exchanged
 character is left out of both), so ids are indexed under all such shortened forms and only ids that share one with
 the question are compared. The result is that of the scan (`history.history_search`).
@@ -11,11 +12,17 @@ the latter are always compared.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EDITS, LONGEST = 2, 48
+#: Pairs of gram and row that a task gathers before it hands on a list of keys for each gram.
+GATHERED = 1 << 20
 #: Folders of a stored index, by a hash of the gram; a search reads those of its grams.
 SHARDS = 64
 
@@ -43,10 +50,55 @@ def _shard(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(SHARDS)).cast("int")
 
 
+def _codes(text: str) -> np.ndarray:
+    """`trigrams` as numbers, 21 bits a code point."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    code = np.sort(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:])  # np.unique hashes, which takes longer
+    return code[_firsts(code)]
+
+
+def _firsts(code: np.ndarray) -> np.ndarray:
+    """Where each value of a sorted array comes first."""
+    return np.flatnonzero(np.append(True, code[1:] != code[:-1])[:len(code)])
+
+
+def _gram(code: int) -> str:
+    return chr(code >> 42) + chr(code >> 21 & 0x1FFFFF) + chr(code & 0x1FFFFF)
+
+
+def _lists(keys: pa.Array, codes: list[np.ndarray]) -> pa.RecordBatch:
+    """(gram, keys) from a key and its trigrams' numbers for each row."""
+    code, row = np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    starts = _firsts(code)
+    ends = pa.array(np.append(starts, len(code)), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(map(_gram, code[starts].tolist()), pa.string()),
+                                       pa.ListArray.from_arrays(ends, keys.take(pa.array(row)))], names=["gram", "keys"])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, codes, held, kind = [], [], 0, None
+    for b in batches:
+        kind = b.column(0).type
+        for key, text in zip(b.column(0), b.column(1)):
+            keys.append(key.as_py())
+            codes.append(_codes(text.as_py()))
+            held += len(codes[-1])
+            if held >= GATHERED:
+                yield _lists(pa.array(keys, kind), codes)
+                keys, codes, held = [], [], 0
+    if held:
+        yield _lists(pa.array(keys, kind), codes)
+
+
 def content_index(rows: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """(shard, gram, key): the distinct trigrams of every content, in lower case."""
-    grams = rows.select(key, F.explode(_each(trigrams)(F.lower(content))).alias("gram"))
-    return grams.select(_shard(F.col("gram")).alias("shard"), "gram", key)
+    """(shard, gram, keys): the distinct trigrams of every content, in lower case, each with lists of its rows' keys.
+
+    A gram has a row for each `GATHERED` pairs of a task, so far fewer rows are shuffled and sorted than there are pairs."""
+    schema = T.StructType([T.StructField("gram", T.StringType()), T.StructField("keys", T.ArrayType(rows.schema[key].dataType))])
+    grams = rows.filter(F.col(content).isNotNull()).select(key, F.lower(content)).mapInArrow(_gather, schema)
+    return grams.select(_shard(F.col("gram")).alias("shard"), "gram", "keys")
 
 
 def id_index(rows: DataFrame, column: str = "customer_id") -> DataFrame:
@@ -74,7 +126,7 @@ def _looked_up(index: DataFrame, grams: list[str]) -> DataFrame:
 def content_candidates(index: DataFrame, key: str, q: str) -> DataFrame:
     """Keys whose content has all trigrams of `q` (at least three characters)."""
     grams = trigrams(q)
-    return (_looked_up(index, grams).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return (_looked_up(index, grams).select(F.explode("keys").alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
             .filter(F.col("_n") == len(grams)).select(key))
 
 

@@ -1,6 +1,7 @@
 """Indexed search gives the scan's rows and compares few of them."""
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,28 @@ def test_few_rows_are_compared(rows, stored):
     assert "shard" in plan and "levenshtein" not in plan
 
 
+def _pairs(lists):
+    return sorted(((gram, key) for gram, keys in lists for key in keys), key=str)
+
+
+def test_grams_are_stored_with_lists_of_keys(spark):
+    texts = [None, "", "ab", "abc", "ABCabc", "aß\U0001f600b\U0001f600", "\ufeffab", "\x00\x00\x00\x00"] + ["the same words again"] * 500
+    data = [(None if k % 9 == 4 else f"r{k % 300}", t) for k, t in enumerate(texts)]
+    index = Q.content_index(spark.createDataFrame(data, "request_id string, content string").coalesce(2), "request_id").collect()
+    want = [(g, key) for key, t in data for g in Q.trigrams((t or "").lower())]
+    assert _pairs((r.gram, r["keys"]) for r in index) == sorted(want, key=str)
+    assert len(index) <= 2 * len({g for g, _ in want})  # a row for each gram of a task, not for each pair
+
+
+def test_lists_are_handed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(Q, "GATHERED", 10)
+    texts = ["abcdef", "", "bcdefgh", "ab", "xyz", "abcdefghijklmnopqr"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 3)), pa.array(texts[k:k + 3])], names=["k", "t"]) for k in (0, 3)]
+    parts = [dict(zip(*(b.column(j).to_pylist() for j in (0, 1)))) for b in Q._gather(iter(batches))]
+    want = sorted(((g, k) for k, t in enumerate(texts) for g in Q.trigrams(t)), key=str)
+    assert _pairs(x for part in parts for x in part.items()) == want and len(parts) == 2
+
+
 def test_shortened_forms():
     assert Q.shortened("ab") == {"ab", "a", "b", ""}
     rng = random.Random(1)
