@@ -7,16 +7,22 @@ formed whole:
 2. A set of n shingles can only reach the share with a partner if they share one of its first
    n - ceil(0.85 n) + 1 shingles in any order that all documents keep. The order is by counts (rare first)
    from a sketch of fixed size over all documents, then by hash: the sketch steers the work, not the result.
-3. Only those shingles are shuffled. The documents of one column are compared by set size and by place in the
-   order, which bounds the overlap of a pair that meets there first; what stays is a graph of candidates, held
-   as forests. Columns longer than a tile are compared tile by tile.
-4. The sets of each candidate component come together once, in blocks of bounded size (components larger than
-   a block are cut by size class and hash; only blocks that share a column and whose sizes agree are paired).
-   Each pair of blocks is multiplied in slices of columns, overlap counts add up, and documents that can no
-   longer reach the share with any other are dropped between slices.
-5. Links (a forest for each pair of blocks, never all pairs) give the components.
-
-Shingles are 64-bit hashes, sets 128-bit hashes.
+3. Only those shingles are shuffled, packed by partition. The documents of one column are compared by set size and
+   by place in the order, which bounds the overlap of a pair that meets there first; what stays is a graph of
+   candidates, held as links without repeats. Columns longer than a tile are compared tile by tile.
+4. Large candidate components hold many pairs that only a chain of others joins. Each set has the parities of its
+   hashes' counts in n to 2n cells, one or two bits a shingle: where those of two sets differ, a shingle is in one
+   set only, which bounds their overlap whatever the sketch has seen. Members whose bound reaches the share
+   are linked, and these components are smaller, near what the links give in the end.
+5. The texts of each such component come together once, packed, in blocks of bounded size (larger ones are cut by
+   size class and hash, a class into four blocks as long as they fit, so that a text goes to a few pairs of blocks
+   and not to as many as there are blocks). Each pair of blocks is multiplied tile by tile in slices of columns,
+   overlap counts add up, and documents that can no longer reach the share with any other are dropped between
+   slices. Tiles whose documents are all linked already are passed over.
+6. Links (a forest for each pair of blocks, never all pairs) give the components.
+
+Shingles are 64-bit hashes, sets 128-bit hashes (64 bits of them among the candidates, where two sets of one name only
+make another candidate).
 
 Edge cases: null, empty and blank texts have an empty set, are linked with nothing and keep their own doc_id;
 texts with fewer words than a shingle have one shingle, the whole sequence; repeated rows and equal sets share a
@@ -37,6 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bloom import among, key_field
 from .common import settle, shuffle_width
 from .simhash import components
 
@@ -73,6 +80,11 @@ def _signature(items: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(items.tobytes())
 
 
+def _node_of(sig: str):
+    """The second half of a set's hash: its 64-bit name among the candidates."""
+    return F.conv(F.hex(F.substring(sig, 9, 8)), 16, -10).cast("long")
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
     """(row of the batch, batch, its shingles) of each document."""
     for b in batches:
@@ -81,18 +93,20 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
             yield i, b, shingles(texts[i].as_py(), width)
 
 
-_PROFILE = "doc_id long, th long, n long, sig binary, part int, counts binary"
+_PROFILE = "doc_id long, th long, n long, sig binary, bits binary, part int, counts binary"
+_NAMES = [x.split()[0] for x in _PROFILE.split(", ")]
 
 
 def _profile(docs: DataFrame, width: int) -> DataFrame:
-    """Per document its id, text hash, set size and set; besides, per task, its share of the sketch."""
+    """Per document its id, text hash, set size, set and parities; besides, per task, its share of the sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.uint32)
         for b in batches:
-            n, sigs, held, size = [], [], [], 0
+            n, sigs, bits, held, size = [], [], [], [], 0
             for _, _, items in _sets(iter([b]), width):
                 n.append(len(items))
                 sigs.append(_signature(items) if len(items) else None)
+                bits.append(_parity(items) if len(items) else None)
                 held.append(items)
                 size += len(items)
                 if size >= FLUSH:
@@ -101,14 +115,13 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
             counts += _counted(held)
             none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), *none],
-                names=["doc_id", "th", "n", "sig", "part", "counts"])
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()),
+                 pa.array(bits, pa.binary()), *none], names=_NAMES)
         for part in np.flatnonzero(counts.reshape(-1, PART).any(axis=1)).tolist():
             blob = zstandard.compress(counts[part * PART:(part + 1) * PART].astype(np.uint64).tobytes(), 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([part], pa.int32()),
-                                                 pa.array([blob], pa.binary())],
-                names=["doc_id", "th", "n", "sig", "part", "counts"])
+                [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary())] * 2 + [
+                    pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=_NAMES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     return rows.mapInArrow(run, _PROFILE)
 
@@ -146,7 +159,7 @@ def _sketch(profile: DataFrame) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Sizes:
-    """Bounds of what one task holds: postings in a tile, sets and shingles in a block, postings in a sorted run."""
+    """Postings in a tile of a column, sets and shingles compared at once, postings in a sorted run."""
     tile: int = 512
     sets: int = 512
     items: int = 1 << 20
@@ -168,25 +181,49 @@ class Share:
         return -(-self.num * (n + m) // (self.num + self.den))
 
 
-def _postings(docs: DataFrame, width: int, share: Share, sizes: Sizes, sketch) -> DataFrame:
-    """The leading shingles `w` of each set, with its size and the place of `w` in the common order.
+#: Bytes of a posting before it is packed: its shingle, run, set size, place and set.
+_POSTING = np.dtype([("w", np.int64), ("run", np.int32), ("n", np.int32), ("pos", np.int32), ("node", np.int64)])
+
+
+def _pack(postings: list[np.ndarray], to: zstandard.ZstdCompressor) -> bytes:
+    """The columns of some postings, byte by byte of the same weight (high bytes are mostly zeros)."""
+    return to.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in postings))
 
-    A shingle that the sketch sees far above the usual gets several sorted runs, dealt by set (`run` from 1 on;
-    0 where there is one run only).
-    """
-    names = ["w", "run", "n", "pos", "hi", "lo"]
 
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    k, at, out = len(raw) // _POSTING.itemsize, 0, []
+    for name in _POSTING.names:
+        kind = _POSTING[name]
+        out.append(np.ascontiguousarray(raw[at:at + k * kind.itemsize].reshape(kind.itemsize, k).T).view(kind).ravel())
+        at += k * kind.itemsize
+    return out
+
+
+def _postings(docs: DataFrame, width: int, share: Share, sizes: Sizes, sketch, keys: np.ndarray) -> DataFrame:
+    """The leading shingles of each set, with its size and their places in the common order, packed by partition.
+
+    Of a shingle 48 bits are kept: two that agree in them only make another candidate. One that the sketch sees far
+    above the usual gets several sorted runs, dealt by set (`run` from 1 on; 0 where there is one run only).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         noise = float(np.median(counts))
         noise += 6 * noise ** 0.5
+        to = zstandard.ZstdCompressor(1)
         seen: set[bytes] = set()
         held: list[tuple] = []
         size = 0
 
         def flush():
             cols = [np.concatenate(c) for c in zip(*held)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+            at = (cols[0] + cols[1].astype(np.int64) * 0x9E3779B1) % len(keys)
+            order = np.argsort(at << 48 | cols[0])
+            cols, at = [c[order] for c in cols], at[order]
+            starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            blobs = [_pack([c[i:j] for c in cols], to) for i, j in zip(starts, np.append(starts[1:], len(at)))]
+            return pa.RecordBatch.from_arrays([pa.array(keys[at[starts]]), pa.array(blobs, pa.binary())],
+                                              names=["at", "postings"])
 
         for _, _, items in _sets(batches, width):
             n = len(items)
@@ -197,83 +234,103 @@ def _postings(docs: DataFrame, width: int, share: Share, sizes: Sizes, sketch) -
             # by count, then by hash: items come sorted, and the sort is stable
             order = np.argsort(c.astype(np.uint64) << np.uint64(32) | items >> np.uint64(32), kind="stable")
             lead = order[:n - int(share.least(np.int64(n))) + 1]
-            hi, lo = np.frombuffer(sig, np.int64)
+            node = np.frombuffer(sig, ">i8")[1].astype(np.int64)
             runs = 1 + (np.maximum(c[lead] - noise, 0) // sizes.run).astype(np.int64)
             k = len(lead)
-            place = np.where(runs > 1, 1 + int(lo) % runs, 0)
-            held.append((items[lead].view(np.int64), place, np.full(k, n), np.arange(k), np.full(k, hi),
-                         np.full(k, lo)))
+            place = np.where(runs > 1, 1 + int(node) % runs, 0).astype(np.int32)
+            held.append(((items[lead] >> np.uint64(16)).view(np.int64), place, np.full(k, n, np.int32),
+                         np.arange(k, dtype=np.int32), np.full(k, node)))
             size += k
-            if size >= 50_000:
+            if size >= FLUSH:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
-    return docs.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
-
-
-_TILES = "w long, tile long, n array<long>, pos array<long>, hi array<long>, lo array<long>"
-
-
-def _cut_tiles(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Sorted postings to tiles: lists of at most `most` postings of one column. Columns of one document go."""
-    def emit(c: list[np.ndarray], last: bool):
-        """Tiles of the runs in `c`; the last run is held back unless nothing follows, but for whole tiles."""
-        nonlocal carry, cut
-        w, run, n, pos, hi, lo = c
-        if not len(w):
-            return None
-        new = np.ones(len(w), bool)
-        new[1:] = (w[1:] != w[:-1]) | (run[1:] != run[:-1])
-        same = np.zeros(len(w), bool)  # one set found in several tasks
-        same[1:] = ~new[1:] & (hi[1:] == hi[:-1]) & (lo[1:] == lo[:-1])
-        c = [x[~same] for x in c]
-        w, run, n, pos, hi, lo = c
-        new = new[~same]
-        starts = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        nth = np.arange(len(w)) - starts[group]
-        first = np.zeros(len(starts), np.int64)
-        first[0] = cut  # whole tiles of the first run that went before
-        tile = first[group] + nth // most
-        ends = np.append(starts[1:], len(w))
-        end = len(w)
-        if not last:  # of the last run, only whole tiles may go
-            whole = (ends[-1] - starts[-1] - 1) // most * most  # one row stays, so that the run stays open
-            end = int(starts[-1] + whole)
-            carry = [x[end:] for x in c]
-            cut = int(first[-1] + whole // most)
-        else:
-            carry = None
-        new_tile = np.ones(len(w), bool)
-        new_tile[1:] = new[1:] | (tile[1:] != tile[:-1])
-        at = np.flatnonzero(new_tile[:end])
-        size = np.diff(np.append(at, end))
-        several = (size > 1) | (run[at] > 0) | (tile[at] > 0)
-        at, size = at[several], size[several]
-        if not len(at):
-            return None
-        keep = np.repeat(at - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-        offsets = pa.array(np.append(0, np.cumsum(size)), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[keep])) for x in (n, pos, hi, lo)]
-        return pa.RecordBatch.from_arrays([pa.array(w[at]), pa.array(run[at] << 32 | tile[at]), *lists],
-                                          names=["w", "tile", "n", "pos", "hi", "lo"])
-
-    carry, cut = None, 0
-    for b in batches:
-        c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-        if carry is not None:
-            c = [np.concatenate([x, y]) for x, y in zip(carry, c)]
-        if (out := emit(c, False)) is not None:
-            yield out
-    if carry is not None and (out := emit(carry, True)) is not None:
-        yield out
+    return docs.select("text").mapInArrow(run, "at long, postings binary")
+
 
+def _dealt(spark, n: int) -> np.ndarray:
+    """For each of `n` partitions a number that repartition(n, ...) sends there."""
+    first = spark.range(32 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id")).collect()
+    out = np.arange(n)
+    for r in first:  # a partition that none of them reaches stays empty
+        out[r["at"]] = r["id"]
+    return out
 
-def _tiles(postings: DataFrame, most: int) -> DataFrame:
-    n = shuffle_width(postings.sparkSession)
-    runs = postings.repartition(n, "w", "run").sortWithinPartitions("w", "run", "n", "hi", "lo")
-    return runs.mapInArrow(partial(_cut_tiles, most=most), _TILES)
+
+_MET = "w long, tile long, low long, high long, body binary"
+_TILE = np.dtype([("n", np.int32), ("pos", np.int32), ("node", np.int64)])
+#: Links in one row, columns up to this length are compared all at once.
+ROW, SHORT = 1 << 16, 8
+
+
+def _meet_columns(batches: Iterator[pa.RecordBatch], most: int, share: Share) -> Iterator[pa.RecordBatch]:
+    """A partition's postings to links of the sets that meet in a column and may reach the share.
+
+    Columns longer than `most` are cut into tiles; these go on, to be compared with each other.
+    """
+    blobs = [x.as_py() for b in batches for x in b.column(1)]
+    if not blobs:
+        return
+    w, run, n, pos, node = (np.concatenate(c) for c in zip(*map(_unpack, blobs)))
+    del blobs
+    order = np.lexsort((node, n, run, w))
+    w, run, n, pos, node = (c[order] for c in (w, run, n, pos, node))
+    same = np.zeros(len(w), bool)  # one set found in several tasks
+    same[1:] = (w[1:] == w[:-1]) & (run[1:] == run[:-1]) & (node[1:] == node[:-1])
+    w, run, n, pos, node = (c[~same] for c in (w, run, n, pos, node))
+    new = np.append(True, (w[1:] != w[:-1]) | (run[1:] != run[:-1]))
+    starts = np.flatnonzero(new)
+    length = np.diff(np.append(starts, len(w)))[np.cumsum(new) - 1]  # of the posting's column
+    nth = (np.arange(len(w)) - np.repeat(starts, np.diff(np.append(starts, len(w))))) // most
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    links = []
+
+    # short columns all at once: each posting with the one `gap` places on
+    some = np.flatnonzero((length > 1) & (length <= min(SHORT, most)))
+    for gap in range(1, min(SHORT, most)):
+        i, j = some[:-gap], some[gap:]
+        here = (w[i] == w[j]) & (run[i] == run[j])
+        i, j = i[here], j[here]
+        near = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= share.need(n[i], n[j])
+        links.append((node[i[near]], node[j[near]]))
+
+    at = np.flatnonzero((new | np.append(True, nth[1:] != nth[:-1])) & (length > min(SHORT, most)))
+    ends = np.minimum(at + most, starts[np.searchsorted(starts, at, "right") - 1] + length[at])
+    tiles = []
+    for a, e in zip(at.tolist(), ends.tolist()):
+        i, j = np.nonzero(np.triu(_may_reach(n[a:e], pos[a:e], n[a:e], pos[a:e], share), 1))
+        if len(i):
+            x, y = _forest(i, j, e - a)
+            links.append((node[a:e][x], node[a:e][y]))
+        if run[a] or length[a] > most:
+            body = np.empty(e - a, _TILE)
+            body["n"], body["pos"], body["node"] = n[a:e], pos[a:e], node[a:e]
+            tiles.append((int(w[a]), int(run[a]) << 32 | int(nth[a]), int(n[a]), int(n[e - 1]), body.tobytes()))
+    # of a run up to SHORT long, the one tile
+    for a in np.flatnonzero(new & (run > 0) & (length <= min(SHORT, most))).tolist():
+        e = a + int(length[a])
+        body = np.empty(e - a, _TILE)
+        body["n"], body["pos"], body["node"] = n[a:e], pos[a:e], node[a:e]
+        tiles.append((int(w[a]), int(run[a]) << 32, int(n[a]), int(n[e - 1]), body.tobytes()))
+
+    kinds = [pa.int64()] * 4 + [pa.binary()]
+    names = ["w", "tile", "low", "high", "body"]
+    for k in range(0, len(tiles), 256):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*tiles[k:k + 256]), kinds)], names=names)
+    a, b = (np.concatenate(x) for x in zip(*links)) if links else (np.empty(0, np.int64),) * 2
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    both = np.column_stack([a, b])[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[:len(a)]]
+    for k in range(0, len(both), ROW):
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([both[k:k + ROW].tobytes()], pa.binary())],
+                                         names=names)
+
+
+def _met(postings: DataFrame, n: int, most: int, share: Share) -> DataFrame:
+    """Rows of links (`w` is null), and the tiles of columns that have several."""
+    return postings.repartition(n, "at").mapInArrow(partial(_meet_columns, most=most, share=share), _MET)
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -291,59 +348,83 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return label[member], member
 
 
-def _nodes(hi: np.ndarray, lo: np.ndarray) -> list[bytes]:
-    both = np.column_stack([hi, lo]).tobytes()
-    return [both[k:k + 16] for k in range(0, len(both), 16)]
-
-
 def _may_reach(n, pos, m, qos, share: Share) -> np.ndarray:
     """Whether sets whose first common shingle is at `pos` and `qos` can reach the share (matrix)."""
     need = share.need(n[:, None], m[None, :])
     return np.minimum((n - pos)[:, None], (m - qos)[None, :]) >= need
 
 
-def _meet(batches: Iterator[pa.RecordBatch], share: Share, pairs: bool) -> Iterator[pa.RecordBatch]:
-    """Forests of the pairs that meet in a tile, or in a pair of tiles, and may reach the share."""
+def _pair(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _unlink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for x in b.column(0):
+            both = np.frombuffer(x.as_py(), np.int64).reshape(-1, 2)
+            yield _pair(both[:, 0].copy(), both[:, 1].copy())
+
+
+def _meet_tiles(batches: Iterator[pa.RecordBatch], share: Share) -> Iterator[pa.RecordBatch]:
+    """Forests of the pairs that meet in two tiles of a column and may reach the share."""
     for b in batches:
         got = []
-        lists = [b.column(i) for i in range(b.num_columns)]
-        flat = [x.values.to_numpy(zero_copy_only=False) for x in lists]
-        off = [x.offsets.to_numpy() for x in lists]
-        for k in range(b.num_rows):
-            n, pos, hi, lo = (f[o[k]:o[k + 1]] for f, o in zip(flat[:4], off[:4]))
-            if pairs:
-                m, qos, hi2, lo2 = (f[o[k]:o[k + 1]] for f, o in zip(flat[4:], off[4:]))
-                i, j = np.nonzero(_may_reach(n, pos, m, qos, share))
-                j = j + len(n)
-                hi, lo = np.concatenate([hi, hi2]), np.concatenate([lo, lo2])
-            else:
-                i, j = np.nonzero(np.triu(_may_reach(n, pos, n, pos, share), 1))
+        for x, y in zip(b.column(0), b.column(1)):
+            x, y = np.frombuffer(x.as_py(), _TILE), np.frombuffer(y.as_py(), _TILE)
+            (n, pos), (m, qos) = ((t["n"].astype(np.int64), t["pos"].astype(np.int64)) for t in (x, y))
+            i, j = np.nonzero(_may_reach(n, pos, m, qos, share))
             if len(i):
-                x, y = _forest(i, j, len(hi)) if len(i) > 1 else (i, j)
-                got.append((hi[x], lo[x], hi[y], lo[y]))
+                node = np.concatenate([x["node"], y["node"]])
+                i, j = _forest(i, j + len(x), len(node))
+                got.append((node[i], node[j]))
         if got:
-            a, c, d, e = (np.concatenate(x) for x in zip(*got))
-            yield pa.RecordBatch.from_arrays([pa.array(_nodes(a, c), pa.binary()), pa.array(_nodes(d, e), pa.binary())],
-                                             names=["a", "b"])
+            yield _pair(*(np.concatenate(x) for x in zip(*got)))
 
 
-_LISTS = ["n", "pos", "hi", "lo"]
+def _candidates(met: DataFrame, share: Share) -> DataFrame:
+    """Links (a, b) whose components are those of all candidate pairs."""
+    links = "a long, b long"
+    own = met.filter("w is null").select("body").mapInArrow(_unlink, links)
+    tiles = met.filter("w is not null")
+    spans = tiles.select("w", "tile", "low", "high")
+    other = spans.select("w", *(F.col(x).alias(f"{x}2") for x in ("tile", "low", "high")))
+    pairs = (spans.join(other, "w").filter("tile < tile2")
+             .filter(f"high2 * {share.den} >= low * {share.num} and high * {share.den} >= low2 * {share.num}")
+             .select("w", "tile", "tile2"))
+    right = tiles.select("w", F.col("tile").alias("tile2"), F.col("body").alias("body2"))
+    cross = pairs.join(tiles.select("w", "tile", "body"), ["w", "tile"]).join(right, ["w", "tile2"]).select("body", "body2")
+    return own.unionByName(cross.mapInArrow(partial(_meet_tiles, share=share), links))
 
 
-def _candidates(tiles: DataFrame, share: Share, most: int) -> DataFrame:
-    """Forest links (a, b) whose components are those of all candidate pairs."""
-    links = "a binary, b binary"
-    own = tiles.select(*_LISTS).mapInArrow(partial(_meet, share=share, pairs=False), links)
-    tiles = tiles.filter((F.size("n") >= most) | (F.col("tile") > 0))  # others are their whole column
-    spans = tiles.select("w", "tile", F.array_min("n").alias("low"), F.array_max("n").alias("high"))
-    other = spans.select("w", *(F.col(x).alias(f"{x}2") for x in ("tile", "low", "high")))
-    met = (spans.join(other, "w").filter("tile < tile2")
-           .filter(f"high2 * {share.den} >= low * {share.num} and high * {share.den} >= low2 * {share.num}")
-           .select("w", "tile", "tile2"))
-    right = tiles.select("w", F.col("tile").alias("tile2"), *(F.col(x).alias(f"{x}2") for x in _LISTS))
-    cross = (met.join(tiles, ["w", "tile"]).join(right, ["w", "tile2"])
-             .select(*_LISTS, *(f"{x}2" for x in _LISTS)))
-    return own.unionByName(cross.mapInArrow(partial(_meet, share=share, pairs=True), links))
+def _parity(items: np.ndarray) -> bytes:
+    """Whether the number of a set's hashes in each of its cells is odd; from n to 2n cells, a power of two."""
+    cells = max(64, 1 << (len(items) - 1).bit_length())
+    odd = np.bincount((items & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _close(n: np.ndarray, bits: list[bytes], share: Share) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that may reach the share: where parities differ, a shingle is in one set only.
+
+    Sets that reach it have as many cells, or one twice as many, whose halves are then laid over each other.
+    """
+    length = np.array([len(x) for x in bits])
+    got = []
+    for cells in np.unique(length).tolist():
+        a, c = np.flatnonzero(length == cells), np.flatnonzero(length == 2 * cells)
+        rows = np.concatenate([a, c])
+        own = np.frombuffer(b"".join(bits[k] for k in a), np.uint64).reshape(len(a), -1)
+        twice = np.frombuffer(b"".join(bits[k] for k in c), np.uint64).reshape(len(c), 2, own.shape[1])
+        both = np.concatenate([own, twice[:, 0] ^ twice[:, 1]])
+        differ = np.zeros((len(a), len(rows)), np.int64)
+        for k in range(own.shape[1]):
+            differ += np.bitwise_count(own[:, k, None] ^ both[None, :, k])
+        x, y = n[a][:, None], n[rows][None, :]
+        need = share.need(x, y)
+        near = (x + y - differ >= 2 * need) & (np.minimum(x, y) >= need)
+        i, j = np.nonzero(np.triu(near, 1))  # the first columns are the rows themselves
+        got.append((a[i], rows[j]))
+    return tuple(np.concatenate(x) for x in zip(*got))
 
 
 def _product(sizes: np.ndarray, items: list[np.ndarray], share: Share) -> tuple[np.ndarray, np.ndarray]:
@@ -373,109 +454,160 @@ def _product(sizes: np.ndarray, items: list[np.ndarray], share: Share) -> tuple[
     return np.nonzero(np.triu(overlap >= need, 1))
 
 
-def _multiply(batches: Iterator[pa.RecordBatch], share: Share) -> Iterator[pa.RecordBatch]:
-    """Sorted sets of each pair of blocks to a forest of its links."""
-    def linked(nodes: list[bytes], items: list[np.ndarray]):
-        firsts = {x: k for k, x in enumerate(nodes)}  # repeated rows count once
-        if len(firsts) < 2:
-            return None
-        nodes, items = list(firsts), [items[k] for k in firsts.values()]
-        i, j = _product(np.array([len(x) for x in items]), items, share)
-        if not len(i):
-            return None
-        x, y = _forest(i, j, len(nodes))
-        return pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in x], pa.binary()),
-                                           pa.array([nodes[k] for k in y], pa.binary())], names=["a", "b"])
-
-    key, nodes, items = None, [], []
+def _linked(n: np.ndarray, side: np.ndarray, near, share: Share, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the pairs of rows that `near(rows)` finds, of one block or between two (`side` 0 and 1).
+
+    Rows are compared tile by tile. Tiles whose sizes do not agree, or whose rows are one component already, are
+    passed over, so that a large group of near copies costs a few rounds of tiles, not all pairs of them.
+    """
+    order = np.lexsort((n, side))
+    at, tiles = 0, ([], [])
+    while at < len(order):
+        most = order[at:at + sizes.sets]
+        fit = (np.cumsum(n[most]) <= sizes.items) & (side[most] == side[most[0]])
+        tile = most[:max(1, int(fit.argmin()) if not fit.all() else len(fit))]
+        tiles[side[tile[0]]].append(tile)
+        at += len(tile)
+    first, second = tiles
+    pairs = ((x, y) for x in first for y in second) if second else (
+        (x, y) for k, x in enumerate(first) for y in first[k:])
+    label = np.arange(len(n))
+    for x, y in pairs:
+        if n[x].max() < share.least(n[y].min()) or n[y].max() < share.least(n[x].min()):
+            continue
+        rows = x if x is y else np.concatenate([x, y])
+        if (label[rows] == label[rows[0]]).all():
+            continue
+        i, j = near(rows)
+        if len(i):
+            i, j = _forest(label[rows[i]], label[rows[j]], len(n))
+            to = np.arange(len(n))
+            to[j] = i
+            label = to[label]
+    member = np.flatnonzero(label != np.arange(len(n)))
+    return label[member], member
+
+
+_KEY = ["root", "s", "t", "s2", "t2"]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each key, without it, of batches sorted by key (the first columns)."""
+    key, rows = None, []
     for b in batches:
-        for root, s1, t1, s2, t2, node, blob in zip(*(b.column(i).to_pylist() for i in range(6)), b.column(6)):
-            if key != (root, s1, t1, s2, t2):
-                if nodes and (out := linked(nodes, items)) is not None:
-                    yield out
-                key, nodes, items = (root, s1, t1, s2, t2), [], []
-            nodes.append(node)
-            items.append(np.frombuffer(blob.as_buffer(), np.uint64).copy())
-    if nodes and (out := linked(nodes, items)) is not None:
-        yield out
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if key != row[:len(_KEY)]:
+                if rows:
+                    yield rows
+                key, rows = row[:len(_KEY)], []
+            rows.append(row[len(_KEY):])
+    if rows:
+        yield rows
+
+
+def _refine(batches: Iterator[pa.RecordBatch], share: Share, sizes: Sizes) -> Iterator[pa.RecordBatch]:
+    """Rows (side, node, n, bits) of each pair of blocks to a forest of the links that parities allow."""
+    for rows in _groups(batches):
+        side, node, n, bits = (list(c) for c in zip(*rows))
+        n = np.array(n)
+        i, j = _linked(n, np.array(side), lambda k: _close(n[k], [bits[x] for x in k], share), share, sizes)
+        if len(i):
+            node = np.array(node)
+            yield _pair(node[i], node[j])
+
+
+def _multiply(batches: Iterator[pa.RecordBatch], share: Share, sizes: Sizes, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (side, packed text) of each pair of blocks to a forest of its links."""
+    for rows in _groups(batches):
+        firsts: dict[bytes, tuple] = {}
+        for side, blob in rows:
+            items = shingles(zstandard.decompress(blob).decode("utf-8"), width)
+            firsts.setdefault(_signature(items), (side, items))  # repeated rows count once
+        if len(firsts) < 2:
+            continue
+        nodes, (side, items) = list(firsts), zip(*firsts.values())
+        n = np.array([len(x) for x in items])
+        i, j = _linked(n, np.array(side), lambda k: _product(n[k], [items[x] for x in k], share), share, sizes)
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in i], pa.binary()),
+                                              pa.array([nodes[k] for k in j], pa.binary())], names=["a", "b"])
 
 
-_END = "struct<root: binary, s: int, t: int, s2: int, t2: int>"
+_END = "struct<root: bigint, s: int, t: int, s2: int, t2: int, side: int>"
 
 
-def _needed_sets(docs: DataFrame, plan: DataFrame, width: int) -> DataFrame:
-    """The set of each node in `plan`, from its row (doc_id, text hash), once for each of its `ends`.
+def _needed_texts(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """The packed text of each set in `plan`, from its row (doc_id, text hash), once for each of its `ends`.
 
-    Only texts that a candidate needs are shuffled, once, and their sets once more, to their blocks.
+    Only texts that a candidate needs are shuffled, once, and once more to their blocks: a Bloom filter of their rows
+    drops the others. A packed text is smaller than its set of 64-bit hashes.
     """
+    field = docs.sparkSession.sparkContext.broadcast(key_field(plan.select(F.xxhash64("doc_id", "th"))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        to = zstandard.ZstdCompressor(3)
         for b in batches:
-            rows, nodes, blobs = [], [], []
-            for i, _, items in _sets(iter([b]), width):
-                if len(items) and (sig := _signature(items)) not in seen:  # repeated rows count once
-                    seen.add(sig)
-                    rows.append(i)
-                    nodes.append(sig)
-                    blobs.append(items.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(blobs, pa.binary()),
-                                              b.column(1).take(pa.array(rows, pa.int32()))],
-                                             names=["node", "items", "ends"])
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
+            b = b.filter(pa.array(among(b.column(2).to_numpy(), field.value)))
+            blobs = [to.compress(x.as_buffer()) if x.is_valid else b"" for x in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blobs, pa.binary())],
+                                             names=["d", "h", "packed"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
+    texts = rows.select("d", "h", F.xxhash64("d", "h").alias("k"), "text").mapInArrow(run, "d long, h long, packed binary")
     at = texts["d"].eqNullSafe(plan["doc_id"]) & (texts["h"] == plan["th"])
-    sets = texts.join(plan.hint("merge"), at).select("text", "ends").mapInArrow(
-        run, f"node binary, items binary, ends array<{_END}>")
-    return sets.select("node", "items", F.inline("ends"))
+    return texts.join(plan.hint("merge"), at).select("packed", F.inline("ends"))
+
 
+def _blocks(members: DataFrame, share: Share, sizes: Sizes, room: int) -> DataFrame:
+    """`members` (root, n, ...) with their block (s, t): one for a small component, else by size class and hash.
 
-def _blocks(members: DataFrame, share: Share, sizes: Sizes) -> DataFrame:
-    """node, root and its block (s, t): one block for a small component, else by size class and hash."""
+    A class gets up to four blocks, more only where these would have more than `room` times the usual shingles: a
+    member goes to each block that its own is compared with.
+    """
     step = float(np.log(share.den / share.num))
     tiles = F.greatest(F.ceil(F.count(F.lit(1)) / sizes.sets), F.ceil(F.sum("n") / sizes.items))
+    most = F.greatest(F.lit(4), F.ceil(F.sum("n") / (sizes.items * room)))
     whole = members.groupBy("root").agg(tiles.alias("cuts"))
     classed = members.join(whole, "root").withColumn(
         "s", F.when(F.col("cuts") > 1, F.floor(F.log("n") / step)).otherwise(F.lit(0)).cast("int"))
-    cuts = classed.groupBy("root", "s").agg(tiles.alias("tiles"))
+    cuts = classed.groupBy("root", "s").agg(F.least(tiles, most).alias("tiles"))
     return classed.join(cuts, ["root", "s"]).select(
-        "node", "doc_id", "th", "root", "s", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("t"),
+        *members.columns, "s", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("t"),
         (F.col("cuts") > 1).alias("cut"))
 
 
-def _pairs(tiles: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Pairs of different blocks of one component that share a column and whose size classes may agree."""
-    cut = blocks.filter("cut").select("node", "root", "s", "t")
-    postings = tiles.select("w", F.explode(F.arrays_zip("hi", "lo")).alias("x")).select("w", "x.hi", "x.lo")
-    there = (postings.select("w", _node_of("hi", "lo").alias("node")).join(cut, "node")
-             .select("w", "root", "s", "t").distinct())
-    other = there.select("w", "root", F.col("s").alias("s2"), F.col("t").alias("t2"))
-    return (there.join(other, ["w", "root"]).filter("(s2 = s and t2 > t) or s2 = s + 1")
-            .select("root", "s", "t", "s2", "t2").distinct())
-
-
-def _node_of(hi: str, lo: str):
-    """The 16 bytes of a set's hash: its two halves, lowest byte first."""
-    return F.unhex(F.concat(*(
-        F.concat(*(F.substring(F.lpad(F.hex(x), 16, "0"), k, 2) for k in range(15, 0, -2))) for x in (hi, lo))))
+def _placed(blocks: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` of each member, once for its own block and once for each pair of blocks that it is in."""
+    own = blocks.select("root", "s", "t", F.col("s").alias("s2"), F.col("t").alias("t2"), F.lit(0).alias("side"), *columns)
+    cut = blocks.filter("cut")
+    there = cut.select("root", "s", "t").distinct()
+    other = there.select("root", F.col("s").alias("s2"), F.col("t").alias("t2"))
+    pairs = there.join(other, "root").filter("(s2 = s and t2 > t) or s2 = s + 1")
+    sides = (pairs.select("*", F.col("s").alias("bs"), F.col("t").alias("bt"), F.lit(0).alias("side"))
+             .unionByName(pairs.select("*", F.col("s2").alias("bs"), F.col("t2").alias("bt"), F.lit(1).alias("side"))))
+    members = cut.select("root", F.col("s").alias("bs"), F.col("t").alias("bt"), *columns)
+    return own.unionByName(members.join(sides, ["root", "bs", "bt"]).drop("bs", "bt").select(own.columns))
 
 
 def links(docs: DataFrame, classes: DataFrame, sketch, width: int, share: Share, sizes: Sizes) -> DataFrame:
     """Links (a, b) between sets that give the components of all pairs reaching the share."""
-    tiles = settle(_tiles(_postings(docs, width, share, sizes, sketch), sizes.tile))
-    roots = settle(components(_candidates(tiles, share, sizes.tile)))
-    members = settle(roots.join(classes, roots["node"] == classes["sig"]).select("node", "root", "n", "doc_id", "th"))
-    blocks = settle(_blocks(members, share, sizes))
-    pairs = settle(_pairs(tiles, blocks))
-    key = ["root", "s", "t", "s2", "t2"]
-    own = blocks.select("node", "doc_id", "th", "root", "s", "t", F.col("s").alias("s2"), F.col("t").alias("t2"))
-    cut = blocks.filter("cut").select("node", "doc_id", "th", "root", F.col("s").alias("bs"), F.col("t").alias("bt"))
-    sides = (pairs.select("*", F.col("s").alias("bs"), F.col("t").alias("bt"))
-             .unionByName(pairs.select("*", F.col("s2").alias("bs"), F.col("t2").alias("bt"))))
-    ends = own.unionByName(cut.join(sides, ["root", "bs", "bt"]).drop("bs", "bt"))
-    plan = ends.groupBy("node", "doc_id", "th").agg(F.collect_list(F.struct(*key)).alias("ends"))
     n = shuffle_width(docs.sparkSession)
-    return (_needed_sets(docs, plan, width).select(*key, "node", "items")
-            .repartition(n, *key).sortWithinPartitions(*key)
-            .mapInArrow(partial(_multiply, share=share), "a binary, b binary"))
+    size = classes.agg(F.sum("n")).first()[0] or 0
+    parts = min(max(n, -(-size * (share.den - share.num) // share.den >> 20)), (1 << 15) - 1)
+    postings = _postings(docs, width, share, sizes, sketch, _dealt(docs.sparkSession, parts))
+    roots = settle(components(_candidates(settle(_met(postings, parts, sizes.tile, share)), share)))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n, *_KEY).sortWithinPartitions(*_KEY)
+
+    own = ["sig", "node", "n", "doc_id", "th"]
+    members = roots.join(classes, "node").select("root", *own, "bits")
+    near = dealt(_placed(settle(_blocks(members, share, sizes, 64)), ["node", "n", "bits"])).mapInArrow(
+        partial(_refine, share=share, sizes=sizes), "a long, b long")
+    members = components(near).join(classes, "node").select("root", *own)
+    ends = _placed(settle(_blocks(members, share, sizes, 8)), ["sig", "doc_id", "th"])
+    plan = settle(ends.groupBy("sig", "doc_id", "th").agg(F.collect_list(F.struct(*_KEY, "side")).alias("ends")))
+    return dealt(_needed_texts(docs, plan).select(*_KEY, "side", "packed")).mapInArrow(
+        partial(_multiply, share=share, sizes=sizes, width=width), "a binary, b binary")
 
 
 def similar(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, sizes: Sizes = Sizes()) -> DataFrame:
@@ -483,9 +615,9 @@ def similar(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, size
     share = Share(num, den)
     profile = settle(_profile(docs, width))
     rows = profile.filter("part is null").select("doc_id", "th", "n", "sig")
-    classes = settle(rows.filter("sig is not null").groupBy("sig", "n").agg(
-        F.min(F.struct("doc_id", "th")).alias("at"), F.min("doc_id").alias("head"))
-        .select("sig", "n", "at.doc_id", "at.th", "head"))
+    classes = settle(profile.filter("sig is not null").groupBy("sig", "n").agg(
+        F.min(F.struct("doc_id", "th")).alias("at"), F.min("doc_id").alias("head"), F.max("bits").alias("bits"))
+        .select("sig", _node_of("sig").alias("node"), "n", "at.doc_id", "at.th", "head", "bits"))
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(profile))
     roots = components(links(docs, classes, sketch, width, share, sizes))
     rooted = classes.join(roots, classes["sig"] == roots["node"], "left").select(

@@ -111,3 +111,60 @@ def test_product_drops_rows_that_cannot_reach():
     want = [(a, b) for a in range(6) for b in range(a + 1, 6)
             if 100 * len(np.intersect1d(items[a], items[b])) >= 85 * len(np.union1d(items[a], items[b]))]
     assert list(zip(i.tolist(), j.tolist())) == want
+
+
+def test_parities_keep_every_pair_that_reaches():
+    """The bound from parities lets each pair through that reaches the share, and few of the others."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    share = jaccard.Share(85, 100)
+    passage = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    items = [np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in (1, 2, 7, 64, 65, 130, 500, 2000)]
+    items += [x[:round(len(x) * cut)] for x in items for cut in (1, 0.99, 0.9, 0.86, 0.84) if round(len(x) * cut)]
+    items += [np.unique(np.concatenate([passage, rng.integers(0, 1 << 63, 300).astype(np.uint64)])) for _ in range(20)]
+    n = np.array([len(x) for x in items])
+    i, j = jaccard._close(n, [jaccard._parity(x) for x in items], share)
+    got = {frozenset(p) for p in zip(i.tolist(), j.tolist())}
+    both = [(a, b) for a in range(len(items)) for b in range(a)]
+    reach = {frozenset(p) for p in both if 100 * len(np.intersect1d(*(items[k] for k in p))) >= 85 * len(
+        np.union1d(*(items[k] for k in p)))}
+    assert reach <= got and len(got) == len(i)
+    assert not [p for p in got if min(p) >= len(items) - 20]
+
+
+def test_linked_tiles_are_passed_over():
+    """A group of near copies costs a row of tiles, not all pairs of tiles; the links are the same."""
+    import numpy as np
+    n, calls = np.full(400, 100), []
+
+    def near(rows):
+        calls.append(len(rows))
+        i, j = np.nonzero(np.triu((rows[:, None] - rows[None, :]) % 2 == 0, 1))
+        return i, j
+    for side in (np.zeros(400, int), np.repeat([0, 1], 200)):
+        calls.clear()
+        i, j = jaccard._linked(n, side, near, jaccard.Share(85, 100), jaccard.Sizes(sets=10))
+        assert len(i) == 398 and (i % 2 == j % 2).all()
+    calls.clear()
+    jaccard._linked(n, np.zeros(400, int), lambda r: (calls.append(1), np.nonzero(np.triu(np.ones((len(r),) * 2), 1)))[1],
+                    jaccard.Share(85, 100), jaccard.Sizes(sets=10))
+    assert len(calls) == 40  # of 820 pairs of tiles
+
+
+def test_texts_go_to_few_blocks(spark, monkeypatch):
+    """Texts that only share a passage are not shuffled, and each of a large group goes to a few pairs of blocks."""
+    sent = []
+    needed = jaccard._needed_texts
+
+    def seen(docs, plan):
+        sent.extend(len(r["ends"]) for r in plan.collect())
+        return needed(docs, plan)
+    monkeypatch.setattr(jaccard, "_needed_texts", seen)
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(40))
+    alone = [(i, " ".join(f"u{rng.randrange(10 ** 6)}" for _ in range(30)) + f" {passage} "
+              + " ".join(f"u{rng.randrange(10 ** 6)}" for _ in range(30))) for i in range(150)]
+    stock = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    group = [(1000 + i, " ".join(stock[:k] + [f"x{i}"] + stock[k + 1:])) for i, k in enumerate(rng.choices(range(200), k=90))]
+    check(spark, alone + group, sizes=TINY)
+    assert len(sent) <= 95 and max(sent) <= 13, (len(sent), max(sent))
