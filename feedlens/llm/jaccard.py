@@ -49,8 +49,8 @@ from .simhash import components
 
 #: Counters of the sketch (4 MB broadcast, whatever the corpus) and counters in one row of it.
 CELLS, PART = 1 << 20, 1 << 14
-#: Columns multiplied at once, hashes counted at once.
-SLICE, FLUSH = 4096, 1 << 20
+#: Columns multiplied at once, hashes counted at once, postings packed at once.
+SLICE, FLUSH, HELD = 4096, 1 << 20, 1 << 18
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -241,7 +241,7 @@ def _postings(docs: DataFrame, width: int, share: Share, sizes: Sizes, sketch, k
             held.append(((items[lead] >> np.uint64(16)).view(np.int64), place, np.full(k, n, np.int32),
                          np.arange(k, dtype=np.int32), np.full(k, node)))
             size += k
-            if size >= FLUSH:
+            if size >= HELD:
                 yield flush()
                 held, size = [], 0
         if held:
